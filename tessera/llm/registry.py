@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.packing import op5_packing
 from tessera.llm.pii import op6_pii
+from tessera.llm.quality import op2_quality_rules
 from tessera.llm.simhash import op10_simhash
 from tessera.llm.syncmers import op9_syncmers
 from tessera.llm.token_counts import op8_token_counts
 from tessera.llm.word_bpe import op4_bpe_codec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,

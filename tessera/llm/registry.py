@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.lm import op3_language_model
 from tessera.llm.packing import op5_packing
 from tessera.llm.pii import op6_pii
 from tessera.llm.quality import op2_quality_rules
@@ -16,6 +17,7 @@ from tessera.llm.word_bpe import op4_bpe_codec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_language_model": op3_language_model,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,

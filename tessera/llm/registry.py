@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.html_text import op7_html_text
+from tessera.llm.language_id import op1_language_id
 from tessera.llm.lm import op3_language_model
 from tessera.llm.packing import op5_packing
 from tessera.llm.pii import op6_pii
@@ -16,11 +18,13 @@ from tessera.llm.token_counts import op8_token_counts
 from tessera.llm.word_bpe import op4_bpe_codec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_model": op3_language_model,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
+    "op7_html_text": op7_html_text,
     "op8_token_counts": op8_token_counts,
     "op9_syncmers": op9_syncmers,
     "op10_simhash": op10_simhash,

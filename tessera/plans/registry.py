@@ -1,4 +1,4 @@
-"""Queries and their DuckDB SQL by name."""
+"""Queries and their DuckDB SQL by name; the modules below register theirs on import."""
 
 from __future__ import annotations
 
@@ -6,5 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with the SQL that gives the same rows where SQL can."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+from tessera.plans import evaluation, evidence, explore, network, partition, ranking, similarity  # noqa: E402, F401

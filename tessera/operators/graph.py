@@ -98,7 +98,7 @@ def neighbourhood(edges: DataFrame, focus: DataFrame, hops: int = 1) -> DataFram
 
 
 def shortest_paths(edges: DataFrame, origins: DataFrame, targets: DataFrame, limit: int = 4) -> DataFrame:
-    """node, status, hops, path: the directed shortest way to the nearest target, the lexically least of equals."""
+    """node, status, hops, path: the directed shortest way to the nearest target, the least of equals; -1 and '' without one."""
     steps = edges.select(F.col("source").alias("at"), F.col("target").alias("_next")).distinct()
     wanted = targets.select(F.col("node").alias("at")).distinct()
     now = origins.select("node", F.col("node").alias("at")).distinct().withColumn("path", F.array(F.col("node")))
@@ -110,7 +110,7 @@ def shortest_paths(edges: DataFrame, origins: DataFrame, targets: DataFrame, lim
         seen = seen.union(now.select("node", "at"))
         done = done.union(now.join(wanted, "at", "left_semi").groupBy("node").agg(F.min("path").alias("path")))
     out = origins.select("node").distinct().join(done, "node", "left")
-    return out.select("node", F.when(F.col("path").isNull(), "NO_REACHABLE_ANCHOR").otherwise("FOUND").alias("status"), (F.size("path") - 1).cast("long").alias("hops"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path")).withColumn("hops", F.when(F.col("status") == "FOUND", F.col("hops")))
+    return out.select("node", F.when(F.col("path").isNull(), "NO_REACHABLE_ANCHOR").otherwise("FOUND").alias("status"), (F.size("path") - 1).cast("long").alias("hops"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path")).withColumns({"hops": F.when(F.col("status") == "FOUND", F.col("hops")).otherwise(-1), "path": F.coalesce("path", F.lit(""))})
 
 
 def graph_statistics(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -1 +1,49 @@
-"""Queries of this group."""
+"""Folds, thresholds and metrics over labelled documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import evaluation
+from tessera.plans.registry import query
+from tessera.sources.tables import table
+
+GRID = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+SCORED_SQL = """x as (select l.doc_id, l.doc_id % 5 as fold, cast(max(quality) as bigint) as y, round(least(1, max(n_chars) / 5000.0), 6) as score from labels l join documents d on l.doc_id = d.doc_id group by 1)"""
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return joined.groupBy("doc_id").agg(F.max("quality").cast("long").alias("y"), F.round(F.least(F.lit(1.0), F.max("n_chars") / F.lit(5000.0)), 6).alias("score")).withColumn("fold", F.col("doc_id") % 5)
+
+
+@query(f"with {SCORED_SQL}, f as (select fold, y, avg(score) as m from x group by 1, 2) select y, round(avg(m), 9) as mean, round(stddev_pop(m), 9) as std, count(*) as folds from f group by 1")
+def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and population standard deviation over folds."""
+    f = scored(spark, sf_dir).groupBy("fold", "y").agg(F.avg("score").alias("m"))
+    return evaluation.fold_summary(f, ["y"], "m").withColumns({c: F.round(c, 9) for c in ("mean", "std")})
+
+
+@query(f"""with {SCORED_SQL}, g as (select unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as threshold), fs as (select distinct fold from x),
+c as (select fs.fold, cast(g.threshold as double) as threshold, cast(sum(case when y = 1 and score > threshold then 1 else 0 end) as double) as tp, cast(sum(case when y = 0 and score > threshold then 1 else 0 end) as double) as fp,
+  cast(sum(case when y = 1 and not score > threshold then 1 else 0 end) as double) as fn, cast(sum(case when y = 0 and not score > threshold then 1 else 0 end) as double) as tn from fs join x on x.fold <> fs.fold, g group by 1, 2),
+m as (select *, case when (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 then 0 else (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) end as mcc from c),
+b as (select fold, threshold, row_number() over (partition by fold order by round(mcc, 9) desc, threshold) as nth from m),
+own as (select x.fold, b.threshold, sum(case when y = 1 and score > threshold then 1 else 0 end)::bigint as tp, sum(case when y = 0 and score > threshold then 1 else 0 end)::bigint as fp, sum(case when y = 1 and not score > threshold then 1 else 0 end)::bigint as fn,
+  sum(case when y = 0 and not score > threshold then 1 else 0 end)::bigint as tn from x join b on x.fold = b.fold and nth = 1 group by 1, 2)
+select fold, threshold, tp, fp, fn, tn, round(case when tp + fp = 0 then 0 else tp / cast(tp + fp as double) end, 9) as "precision", round(case when tp + fn = 0 then 0 else tp / cast(tp + fn as double) end, 9) as recall from own""")
+def fold_threshold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A threshold for each fold from the others, and the fold's counts and rates at it."""
+    x = scored(spark, sf_dir)
+    t = evaluation.best_thresholds(x, "fold", "score", "y", GRID)
+    counts = evaluation.confusion(x.join(t, "fold"), ["fold", "threshold"], F.col("y") == 1, F.col("score") > F.col("threshold"))
+    return evaluation.rates(counts).select("fold", "threshold", "tp", "fp", "fn", "tn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query(f"""with {SCORED_SQL}, pairs as (select sum(case when a.score > b.score then 1.0 when a.score = b.score then 0.5 else 0 end) as area, count(*) as n from (select score from x where y = 1) a, (select score from x where y = 0) b),
+v as (select score, cast(sum(y) as double) as p, cast(count(*) as double) as c from x group by 1), u as (select *, sum(p) over (order by score desc) as tp, sum(c) over (order by score desc) as n from v)
+select round(cast(area as double) / n, 6) as roc_auc, round((select sum(tp / u.n * p) / sum(p) from u), 6) as pr_auc from pairs""")
+def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area under the ROC curve and average precision."""
+    return evaluation.roc_auc(scored(spark, sf_dir), "score", "y").select(F.round("roc_auc", 6).alias("roc_auc"), F.round("pr_auc", 6).alias("pr_auc"))

@@ -1 +1,203 @@
-"""Queries of this group."""
+"""Explorer queries, text functions over the tables, and reader-writer round trips."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text as fx
+from tessera.operators import explore, rank
+from tessera.plans.inputs import PAIRS_SQL, part_pairs
+from tessera.plans.registry import query
+from tessera.sources import io
+from tessera.sources.tables import shared_dir, table
+
+
+@query("""with m as (select p_partkey, p_name, p_brand from part where contains(lower(p_partkey || ' ' || p_name || ' ' || p_type), 'bolt') and p_brand = 'Brand#13')
+select p_partkey, p_name, (select count(*) from m) as total from m order by p_name, p_partkey limit 25""")
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A facet search with its first 25 rows and the total."""
+    m = explore.search(table(spark, sf_dir, "part"), "BOLT", ["p_partkey", "p_name", "p_type"], {"p_brand": "Brand#13"})
+    return explore.top_with_total(m.select("p_partkey", "p_name"), [F.asc("p_name"), F.asc("p_partkey")], 25)
+
+
+@query("select c_custkey, c_name from customer order by c_acctbal desc, c_custkey limit 20 offset 40")
+def third_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of 20 of a stable order."""
+    return rank.page(table(spark, sf_dir, "customer"), [F.desc("c_acctbal"), F.asc("c_custkey")], 3, 20).select("c_custkey", "c_name")
+
+
+@query("""select lang, count(*) as total, count_if(n_chars > 2000)::bigint as long_texts, count_if(source = 'src0')::bigint as first_source, count_if(contains(text, '@'))::bigint as with_at, round(count_if(n_chars > 2000) / cast(count(*) as double), 9) as share_long from documents group by 1""")
+def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many conditional counts in one pass."""
+    f = explore.facet_counts(table(spark, sf_dir, "documents"), {"long_texts": F.col("n_chars") > 2000, "first_source": F.col("source") == "src0", "with_at": F.col("text").contains("@")}, "lang")
+    return f.withColumn("share_long", F.round(F.col("long_texts") / F.col("total"), 9))
+
+
+@query(f"""with {PAIRS_SQL}, l as (select p1, p2, case when qty >= 45 then 'RF2;HI' else 'HI' end as evidence, case when qty % 2 = 0 then qty end as score from pairs)
+select p1, p2, evidence, score from l where contains(evidence, 'RF2') and score >= 46""")
+def pair_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by evidence text and by a score that may be missing."""
+    rows = part_pairs(spark, sf_dir).select("p1", "p2", F.when(F.col("qty") >= 45, "RF2;HI").otherwise("HI").alias("evidence"), F.when(F.col("qty") % 2 == 0, F.col("qty")).alias("score"))
+    return explore.pair_filter(rows, "evidence", "RF2", "score", 46)
+
+
+GRAPH_SQL = f"""{PAIRS_SQL}, strong as (select * from pairs where qty >= 48),
+pe as (select least(p1, p2) as left_id, greatest(p1, p2) as right_id, count(*) as n_rows, string_agg(distinct cast(cast(qty as bigint) as varchar), ';' order by cast(cast(qty as bigint) as varchar)) as labels from strong group by 1, 2),
+kn as (select id, max(c) as c, max(a) as a from (select p1 as id, 1 as c, 0 as a from strong union all select p2, 0, 1 from strong) t group by 1),
+dg as (select id, count(*) as degree from (select left_id as id from pe union all select right_id from pe) t group by 1),
+nd as (select id, case when c = 1 and a = 1 then 'both' when c = 1 then 'candidate' else 'anchor' end as kind, degree from kn join dg using (id))"""
+
+
+def strong_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_pairs(spark, sf_dir, 48).withColumn("label", F.col("qty").cast("long"))
+
+
+@query(f"with {GRAPH_SQL} select left_id, right_id, n_rows, labels from pe")
+def pair_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the pair graph with their rows and merged labels."""
+    return explore.pair_graph_edges(strong_pairs(spark, sf_dir), "p1", "p2", "label")
+
+
+@query(f"with {GRAPH_SQL} select id, kind, degree from nd")
+def pair_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the pair graph: kind and degree over distinct pairs."""
+    return explore.pair_graph_nodes(strong_pairs(spark, sf_dir), "p1", "p2")
+
+
+@query(f"with {GRAPH_SQL} select id, kind, degree from nd where kind <> 'anchor' order by degree desc, id limit 1")
+def default_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node to show first."""
+    return explore.default_focus(pair_graph_nodes(spark, sf_dir))
+
+
+@query(f"""with {GRAPH_SQL}, f as (select id from nd where kind <> 'anchor' order by degree desc, id limit 1),
+e2 as (select left_id as id, right_id as partner, n_rows, labels from pe union all select right_id, left_id, n_rows, labels from pe)
+select id, partner, n_rows, labels from e2 where id in (select id from f)""")
+def partner_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of the focus with their edges."""
+    return explore.partners(pair_graph(spark, sf_dir), default_focus(spark, sf_dir))
+
+
+@query(f"""with {PAIRS_SQL}, s as (select *, least(p1, p2) as left_id, greatest(p1, p2) as right_id from pairs where qty >= 48)
+select left_id, right_id, min_by(p1, pos) as first_a, min_by(p2, pos) as first_b, count(*) as n_rows, string_agg(distinct cast(cast(qty as bigint) as varchar), ';' order by cast(cast(qty as bigint) as varchar)) as aliases from s group by 1, 2""")
+def unique_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each unordered pair."""
+    return explore.unique_pairs(strong_pairs(spark, sf_dir), "p1", "p2", "pos", "label")
+
+
+@query("""with s as (select *, max(o_totalprice) over (partition by o_custkey) as top, row_number() over (partition by o_custkey order by o_orderkey) as nth from orders)
+select o_custkey as parent, o_orderkey as id, round(o_totalprice / top, 9) as share, nth from s where nth <= 12""")
+def sibling_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twelve children of each parent beside the largest."""
+    s = explore.sibling_comparison(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_totalprice")
+    return s.select(F.col("o_custkey").alias("parent"), F.col("o_orderkey").alias("id"), F.round("share", 9).alias("share"), F.col("nth").cast("long").alias("nth"))
+
+
+@query("""select cast(floor(embedding[1] / 0.1) as bigint) as cell_x, cast(floor(embedding[2] / 0.1) as bigint) as cell_y, count(*) as total, count_if(label = 0)::bigint as zero, count_if(label <> 0)::bigint as other from embeddings group by 1, 2""")
+def density_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by cell of the first two dimensions."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), "label")
+    return explore.density_bins(e, "x", "y", 0.1, {"zero": F.col("label") == 0, "other": F.col("label") != 0})
+
+
+@query("""select vec_id from embeddings where embedding[1] between -0.1 and 0.1 and embedding[2] between 0 and 0.2""")
+def region_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points inside a box."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return explore.in_box(e, "x", "y", (-0.1, 0.0, 0.1, 0.2)).select("vec_id")
+
+
+@query("""with p as (select a.doc_id as a, b.doc_id as b, a.text as s, b.text as t from documents a join documents b on b.doc_id = a.doc_id + 1),
+c as (select *, least(length(s), length(t)) as n from p),
+x as (select *, coalesce((select max(i) from range(0, 33) r(i) where i <= n and left(s, i) = left(t, i)), 0) as short_prefix from c)
+select a, b, cast(short_prefix as int) as prefix from x where short_prefix < 32""")
+def seq_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common head of neighbouring documents (those with under 32 equal characters, which SQL can check)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("t"), F.col("doc_id").alias("b"))
+    pairs = d.join(nxt, "doc_id").withColumn("x", explore.text_difference(F.col("text"), F.col("t")))
+    return pairs.select(F.col("doc_id").alias("a"), "b", F.col("x.prefix").alias("prefix")).filter("prefix < 32")
+
+
+@query("""with e as (select event_id, event_type, props::json as j from events)
+select event_id, event_type, cast(json_extract_string(j, '$.k') as bigint) as k from e""")
+def json_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a JSON column by an explicit schema."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.from_json("props", "k bigint").alias("j"))
+    return e.select("event_id", "event_type", "j.k")
+
+
+@query("""with h as (select page_id, list_distinct(regexp_extract_all(html, 'href="/([a-z]+)"', 1)) as ids from pages)
+select page_id, len(ids) as n, coalesce(array_to_string(list_sort(ids), ';'), '') as ids from h""")
+def regex_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct identifiers that a pattern finds in each page."""
+    found = F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([a-z]+)"'), 1))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("n"), F.array_join(F.array_sort(found), ";").alias("ids"))
+
+
+@query("""select p_partkey as id, array_to_string(list_sort(list_distinct(list_transform(string_split(p_name || ' ' || p_type, ' '), lambda x: upper(trim(x))))), ';') as tokens,
+ upper(regexp_replace(p_name, '\\s', '', 'g')) as clean, lower(trim(regexp_replace(regexp_replace(p_name || '  {x}', '\\{[^}]*\\}', '', 'g'), '\\s+', ' ', 'g'))) as label,
+ case when length(p_name) > 10 then left(p_name, 5) || right(p_name, 5) else p_name end as ends,
+ concat_ws(' | ', case when p_size > 25 then 'large' end, case when p_retailprice > 1000 then 'dear' end) as path from part""")
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token, label, sequence and description functions over part names."""
+    p = table(spark, sf_dir, "part")
+    cell = F.translate(F.concat_ws(" ", "p_name", "p_type"), " ", ";")
+    return p.select(
+        F.col("p_partkey").alias("id"), fx.joined(fx.atomic_tokens(cell)).alias("tokens"), fx.clean_sequence("p_name").alias("clean"),
+        fx.normalized_label(F.concat("p_name", F.lit("  {x}"))).alias("label"), fx.limited_ends("p_name", 10).alias("ends"),
+        fx.describe_paths(F.when(F.col("p_size") > 25, "large"), F.when(F.col("p_retailprice") > 1000, "dear"), default="").alias("path"),
+    )
+
+
+@query("""with r as (select 'R1' as route, o_custkey as id, o_orderpriority as gene from orders where o_totalprice > 300000 union all select 'R2', c_custkey, c_mktsegment from customer where c_acctbal < -500 union all select 'R3', o_custkey, o_orderpriority from orders where o_orderstatus = 'P')
+select id, string_agg(distinct route, ';' order by route) as routes, count(*) as n_rows, count(distinct gene) as n_genes from r group by 1""")
+def route_integration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union of route outputs with provenance and distinct counts."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    pick = lambda df, route, key, gene: df.select(F.lit(route).alias("route"), F.col(key).alias("id"), F.col(gene).alias("gene"))
+    rows = pick(o.filter("o_totalprice > 300000"), "R1", "o_custkey", "o_orderpriority").unionByName(pick(c.filter("c_acctbal < -500"), "R2", "c_custkey", "c_mktsegment")).unionByName(pick(o.filter("o_orderstatus = 'P'"), "R3", "o_custkey", "o_orderpriority"))
+    return rows.groupBy("id").agg(fx.joined(F.collect_set("route")).alias("routes"), F.count("*").alias("n_rows"), F.count_distinct("gene").alias("n_genes"))
+
+
+@query("""with s as (select user_id, list_distinct(list(event_type order by ts, event_id)) as ts from events group by 1)
+select user_id, count(distinct event_type) as n_kinds, max(case when event_type in ('purchase', 'click') then 1 else 0 end) as included from events group by 1""")
+def evidence_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct evidence per entity, and whether any of it has an included code."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("user_id").agg(F.count_distinct("event_type").alias("n_kinds"), F.max(F.col("event_type").isin("purchase", "click").cast("int")).alias("included"))
+
+
+@query("select cast(n_nationkey as varchar) as n_nationkey, n_name, cast(n_regionkey as varchar) as n_regionkey from nation")
+def tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as TSV to the shared folder and read back as text."""
+    path, fields = f"{shared_dir(spark)}/tsv-{uuid.uuid4().hex}", ["n_nationkey", "n_name", "n_regionkey"]
+    io.write_tsv(table(spark, sf_dir, "nation"), path, fields)
+    return io.read_unique_tsv(spark, path, fields, "n_nationkey")
+
+
+@query("select cast(p_partkey as varchar) as accession, upper(regexp_replace(p_name || p_type, '\\s', '', 'g')) as sequence from part")
+def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as FASTA to the shared folder and read back."""
+    path = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    p = table(spark, sf_dir, "part").select("p_partkey", fx.clean_sequence(F.concat("p_name", "p_type")).alias("s"))
+    io.write_fasta(p, path, F.concat(F.lit("sp|"), F.col("p_partkey").cast("string"), F.lit("|x part")), "s", 10)
+    return io.read_fasta(spark, path).select("accession", "sequence")
+
+
+@query("""select cast(to_json({'orders': count(*)}) as varchar) as json from orders""")
+def json_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts as one JSON document."""
+    s = table(spark, sf_dir, "orders").agg(F.count("*").alias("value")).withColumn("name", F.lit("orders"))
+    return io.json_summary(s, ["name"])
+
+
+@query("select o_orderkey, o_custkey from orders where substring(cast(o_orderkey as varchar), 1, 4) = '1234' and o_orderkey = 1234")
+def sharded_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written by key prefix; one key read through its folder."""
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    io.write_shards(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", path, 2)
+    return io.read_shard(spark, path, "o_orderkey", "1234", 2).select("o_orderkey", "o_custkey")

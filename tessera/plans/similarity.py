@@ -1 +1,197 @@
-"""Queries of this group."""
+"""Blocked pair search, alignment, intervals, set similarity, grids over edges, windows and pair scoring."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import similarity as fs
+from tessera.functions import text as fx
+from tessera.operators import scoring, sensitivity, similarity
+from tessera.plans.registry import query
+from tessera.sources.tables import staged, table
+
+#: parts blocked by brand and type, compared by the 4-mers of their name
+KMER_SQL = """d as (select p_partkey as id, p_brand || '|' || p_type as signature, length(p_name) as n, p_name as t from part),
+k as (select id, signature, n, list_distinct(list_filter(list_transform(range(1, greatest(n - 2, 1)), lambda i: substring(t, i, 4)), lambda m: length(m) = 4 and len(list_distinct(string_split(m, ''))) >= 3)) as ks from d),
+edges as (select a.id as left_id, b.id as right_id, a.signature, a.n as left_length, b.n as right_length,
+  case when len(a.ks) = 0 or len(b.ks) = 0 then 0 else len(list_intersect(a.ks, b.ks)) / cast(least(len(a.ks), len(b.ks)) as double) end as containment
+  from k a join k b on a.signature = b.signature and a.id < b.id where least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)),
+kp as (select left_id, right_id, signature, round(containment, 6) as containment, cast(left_length as bigint) as left_length, cast(right_length as bigint) as right_length from edges where containment >= 0.08)"""
+
+
+def kmer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_brand", "p_type").alias("signature"), F.length("p_name").cast("long").alias("n"), fs.kmer_set("p_name").alias("ks"))
+    pairs = similarity.candidate_pairs(d, "id", "signature", "n", "ks")
+    return pairs.select("left_id", "right_id", "signature", F.round("containment", 6).alias("containment"), "left_length", "right_length")
+
+
+@query(f"with {KMER_SQL} select * from kp")
+def kmer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one signature, near in length, with shared k-mers."""
+    return kmer_edges(spark, sf_dir)
+
+
+@query(f"""with {KMER_SQL}, ax as (select cast(unnest([0.1, 0.3, 0.5, 0.9]) as double) as least), bx as (select cast(unnest([0.8, 0.9, 1.0]) as double) as ratio),
+g as (select least, ratio from ax, bx), m as (select *, round(least(left_length, right_length) / cast(greatest(left_length, right_length) as double), 6) as lr from kp),
+h as (select g.least, g.ratio, left_id, right_id from g join m on containment >= g.least and lr >= g.ratio)
+select g.least, g.ratio, count(left_id) as n_edges, (select count(distinct id) from (select unnest([left_id, right_id]) as id from h where h.least = g.least and h.ratio = g.ratio) t) as n_ids
+from g left join h using (least, ratio) group by 1, 2""")
+def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passing edges and recovered ids in each cell of a threshold grid, empty cells kept."""
+    e = kmer_edges(spark, sf_dir).withColumn("lr", F.round(fs.length_ratio("left_length", "right_length"), 6))
+    cells = sensitivity.grid(spark, least=[0.1, 0.3, 0.5, 0.9], ratio=[0.8, 0.9, 1.0])
+    return sensitivity.threshold_grid(e, cells, {"least": "containment", "ratio": "lr"})
+
+
+@query(f"""with {KMER_SQL}, p as (select 'strict' as profile, left_id, right_id from kp where containment >= 0.5 and left_length = right_length
+ union all select 'containment', left_id, right_id from kp where containment >= 0.5 union all select 'length', left_id, right_id from kp where left_length = right_length union all select 'none', left_id, right_id from kp where containment > 2),
+n as (select unnest(['strict', 'containment', 'length', 'none']) as profile)
+select n.profile, count(left_id) as n_edges, (select count(distinct id) from (select unnest([left_id, right_id]) as id from p q where q.profile = n.profile) t) as n_ids from n left join p using (profile) group by 1""")
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each set of rules lets through."""
+    near, same = F.col("containment") >= 0.5, F.col("left_length") == F.col("right_length")
+    return sensitivity.rule_ablation(kmer_edges(spark, sf_dir), {"strict": near & same, "containment": near, "length": same, "none": F.col("containment") > 2})
+
+
+@query(f"""with {KMER_SQL}, b as (select id, max(containment) as best from (select left_id as id, containment from kp union all select right_id, containment from kp) t group by 1),
+c as (select case when best >= 0.95 then 0.95 when best >= 0.6 then 0.6 when best >= 0.3 then 0.3 when best >= 0.08 then 0.08 end as bin, count(*) as n from b group by 1)
+select cast(x.bin as double) as bin, coalesce(n, 0) as n from (select unnest([0.08, 0.3, 0.6, 0.95]) as bin) x left join c on c.bin = x.bin""")
+def identity_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of the best score at each id, zero bins kept."""
+    return sensitivity.fixed_bins(sensitivity.best_per_endpoint(kmer_edges(spark, sf_dir), "containment"), "best", [0.08, 0.3, 0.6, 0.95])
+
+
+@query(f"""with {KMER_SQL}, base as (select distinct left_id as id from kp where containment >= 0.5),
+t as (select distinct substring(signature, 1, 8) as cell, left_id as id from kp), n as (select count(*) as n from base),
+s as (select cell, count(*) as own, sum(cast(id in (select id from base) as int)) as both_ from t group by 1)
+select cell, round(both_ / cast(own + n - both_ as double), 9) as jaccard from s, n""")
+def set_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jaccard of each brand's candidate set with a baseline set."""
+    e = kmer_edges(spark, sf_dir)
+    base = e.filter("containment >= 0.5").select(F.col("left_id").alias("id"))
+    found = sensitivity.set_jaccard_to(base, e.select(F.substring("signature", 1, 8).alias("cell"), F.col("left_id").alias("id")), "cell", "id")
+    return found.withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query()
+def align_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local alignments of the names of pairs with much in common."""
+    pairs = kmer_edges(spark, sf_dir).filter("containment >= 0.5")
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    side = lambda s: names.select(F.col("p_partkey").alias(f"{s}_id"), F.upper("p_name").alias(f"{s}_text"))
+    return similarity.align_pairs(pairs.join(side("left"), "left_id").join(side("right"), "right_id"))
+
+
+#: a user's first events by type with minutes as interval coordinates
+ARCH_SQL = """e as (select user_id, event_type, extract(hour from ts) * 60 + extract(minute from ts) + 1 as m, event_id from events where user_id <= 60),
+a as (select user_id, list(event_type order by m, event_id) as ids, list({'start': m, 'end': m + 30} order by m, event_id) as iv from (select *, row_number() over (partition by user_id order by m, event_id) as nth from e) t where nth <= 2 group by 1),
+pp as (select a.user_id as left_id, b.user_id as right_id, a.ids as lids, b.ids as rids, a.iv as liv, b.iv as riv from a join a b on a.user_id < b.user_id and a.ids[1] = b.ids[1] and a.user_id % 5 = b.user_id % 5),
+io as (select *, case when len(liv) = len(riv) then list_min(list_transform(range(1, len(liv) + 1), lambda i: greatest(0, least(liv[i]['end'], riv[i]['end']) / 1500.0 - (greatest(liv[i]['start'], riv[i]['start']) - 1) / 1500.0) / (greatest(liv[i]['end'], riv[i]['end']) / 1500.0 - (least(liv[i]['start'], riv[i]['start']) - 1) / 1500.0))) end as iou from pp)"""
+
+
+@query(f"""with {ARCH_SQL} select left_id, right_id, round(case when lids = rids and len(liv) = len(riv) then iou end, 6) as min_iou,
+ case when lids <> rids then 'order_or_copy_mismatch' when len(liv) <> len(riv) then 'coordinate_count_mismatch' when iou < 0.2 then 'low_overlap' else 'pass' end as reason from io""")
+def interval_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered labelled intervals of two entities compared, with the first reason that fails."""
+    e = table(spark, sf_dir, "events").filter("user_id <= 60").select("user_id", "event_type", "event_id", (F.hour("ts") * 60 + F.minute("ts") + 1).alias("m"))
+    listed = F.slice(F.array_sort(F.collect_list(F.struct("m", "event_id", "event_type"))), 1, 2)
+    arch = F.struct(F.lit("available").alias("status"), F.lit("events").alias("source"), F.transform("l", lambda x: x["event_type"]).alias("ids"), F.transform("l", lambda x: F.struct(x["m"].alias("start"), (x["m"] + 30).alias("end"))).alias("intervals"), F.lit(1500).alias("length"))
+    a = e.groupBy("user_id").agg(listed.alias("l")).select("user_id", arch.alias("arch"), (F.col("user_id") % 5).alias("block"), F.col("l")[0]["event_type"].alias("head"))
+    side = lambda s: a.select(F.col("user_id").alias(f"{s}_id"), F.col("arch").alias(f"{s}_arch"), "block", "head")
+    pairs = side("left").join(side("right"), ["block", "head"]).filter("left_id < right_id")
+    return pairs.withColumn("c", fs.compare_architectures("left_arch", "right_arch", 0.2)).select("left_id", "right_id", F.round("c.min_iou", 6).alias("min_iou"), "c.reason")
+
+
+@query("""with e as (select distinct user_id, extract(hour from ts) * 60 + extract(minute from ts) as m from events where user_id <= 30)
+select user_id, string_agg(cast(m as varchar) || '-' || cast(m + 5 as varchar), '|' order by m) as intervals, count(*) as n from e group by 1""")
+def interval_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals encoded as text and decoded again."""
+    e = table(spark, sf_dir, "events").filter("user_id <= 30").select("user_id", (F.hour("ts") * 60 + F.minute("ts")).alias("start")).distinct()
+    a = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + 5).alias("end")))).alias("i"))
+    b = a.withColumn("intervals", fx.encode_intervals("i")).withColumn("back", fx.decode_intervals("intervals"))
+    return b.select("user_id", fx.encode_intervals("back").alias("intervals"), F.size("back").cast("long").alias("n"))
+
+
+#: customers with the parts, brands and suppliers they bought at quantity 49 or more, paired within a nation and segment
+SETS_SQL = """b as (select distinct o_custkey as id, l_partkey as p, p_brand as br, l_suppkey as s from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey where l_quantity >= 49),
+st as (select id, list(distinct p) as ps, list(distinct br) as bs, list(distinct s) as ss from b group by 1),
+c as (select c_custkey as id, c_nationkey, c_mktsegment from customer),
+pr as (select x.id as left_id, y.id as right_id, xs.ps as lp, ys.ps as rp, xs.bs as lb, ys.bs as rb, xs.ss as ls, ys.ss as rs from c x join c y on x.c_nationkey = y.c_nationkey and x.c_mktsegment = y.c_mktsegment and x.id < y.id
+  join st xs on xs.id = x.id join st ys on ys.id = y.id),
+m as (select left_id, right_id, len(list_intersect(lp, rp)) as shared_parts, len(list_intersect(lb, rb)) as shared_brands, len(list_intersect(ls, rs)) as shared_suppliers,
+  len(list_intersect(lp, rp)) / cast(len(list_distinct(list_concat(lp, rp))) as double) as jaccard_parts,
+  len(list_intersect(lb, rb)) / cast(len(list_distinct(list_concat(lb, rb))) as double) as jaccard_brands,
+  len(list_intersect(ls, rs)) / cast(len(list_distinct(list_concat(ls, rs))) as double) as jaccard_suppliers from pr),
+al as (select *, shared_parts + shared_brands + shared_suppliers as shared_all from m),
+nn as (select count(*) as n from st), df as (select 'brands:' || br as member, ln((n + 1) / cast(count(distinct id) + 1 as double)) + 1 as weight from b, nn group by br, n),
+mem as (select left_id, right_id, member, count(*) as sides from (
+   select left_id, right_id, unnest(list_concat(list_concat(list_transform(lp, lambda x: 'parts:' || x), list_transform(lb, lambda x: 'brands:' || x)), list_transform(ls, lambda x: 'suppliers:' || x))) as member from pr
+   union all select left_id, right_id, unnest(list_concat(list_concat(list_transform(rp, lambda x: 'parts:' || x), list_transform(rb, lambda x: 'brands:' || x)), list_transform(rs, lambda x: 'suppliers:' || x))) as member from pr) t group by 1, 2, 3),
+w as (select left_id, right_id, sum(case when sides = 2 then coalesce(weight, 1) else 0 end) / sum(coalesce(weight, 1)) as weighted from mem left join df using (member) group by 1, 2),
+fm as (select al.*, round(w.weighted, 6) as weighted from al join w using (left_id, right_id)),
+fp as (select *, case when jaccard_suppliers >= 0.5 and shared_suppliers >= 1 then 'event' when jaccard_parts >= 0.5 and shared_parts >= 2 then 'first_set' when weighted >= 0.25 and shared_all >= 3 then 'weighted' else 'none' end as reason from fm)"""
+
+
+def functional_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
+    bought = li.filter("l_quantity >= 49").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    sets = staged(bought.groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("l_partkey").alias("parts"), F.collect_set("p_brand").alias("brands"), F.collect_set("l_suppkey").alias("suppliers")), "sets")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_mktsegment").join(sets.select("id"), "id", "left_semi")
+    side = lambda s: c.withColumnRenamed("id", f"{s}_id")
+    pairs = side("left").join(side("right"), ["c_nationkey", "c_mktsegment"]).filter("left_id < right_id").select("left_id", "right_id")
+    n = sets.count()
+    weights = sets.select(F.explode("brands").alias("b")).groupBy(F.concat(F.lit("brands:"), "b").alias("member")).agg((F.log((n + 1) / (F.count("*") + 1)) + 1).alias("weight"))
+    metrics = similarity.pair_set_metrics(pairs, sets, "id", ["parts", "brands", "suppliers"], weights)
+    return similarity.with_functional_pass(metrics.withColumn("weighted", F.round("weighted", 6)), "suppliers", "parts")
+
+
+@query(f"""with {SETS_SQL} select left_id, right_id, shared_parts, shared_brands, shared_suppliers, shared_all, round(jaccard_parts, 6) as jaccard_parts, round(jaccard_brands, 6) as jaccard_brands,
+ round(jaccard_suppliers, 6) as jaccard_suppliers, weighted, reason <> 'none' as passed, reason from fp where reason <> 'none'""")
+def function_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set similarities of customer pairs and the first rule that passes."""
+    f = functional_edges(spark, sf_dir).filter("passed")
+    return f.select("left_id", "right_id", "shared_parts", "shared_brands", "shared_suppliers", "shared_all", *[F.round(c, 6).alias(c) for c in ("jaccard_parts", "jaccard_brands", "jaccard_suppliers")], "weighted", "passed", "reason")
+
+
+@query(f"""with {SETS_SQL}, r as (select *, row_number() over (partition by left_id order by weighted desc, shared_all desc, right_id desc) as nth, count(*) over (partition by left_id) as n_support from fp where reason <> 'none')
+select left_id, right_id as best_seed, weighted, shared_all, n_support from r where nth = 1""")
+def extend_best_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each candidate the best supporting seed and the number of supports."""
+    passed = functional_edges(spark, sf_dir).filter("passed")
+    failures = passed.select("left_id").distinct()
+    return similarity.extend_by_similarity(failures, passed, "left_id", ["weighted", "shared_all"], "right_id").select("left_id", "best_seed", "weighted", "shared_all", "n_support")
+
+
+def vowel_share(texts: list[str]) -> np.ndarray:
+    """The plug-in model of the queries: the share of vowels in each text."""
+    return np.array([round(sum(t.count(v) for v in "aeiou") / max(1, len(t)), 9) for t in texts])
+
+
+@query("""with w as (select doc_id, unnest(case when length(text) <= 1022 then [0] else range(0, length(text) - 200, 822) end) as start, text from documents where length(text) > 0),
+s as (select doc_id, start, length(substring(text, start + 1, 1022)) as n, round(length(regexp_replace(substring(text, start + 1, 1022), '[^aeiou]', '', 'g')) / cast(length(substring(text, start + 1, 1022)) as double), 9) as score from w),
+r as (select *, row_number() over (partition by doc_id order by score desc, n, start) as nth, count(*) over (partition by doc_id) as n_windows, avg(score) over (partition by doc_id) as mean_score, max(score) over (partition by doc_id) as max_score from s)
+select doc_id as key, n_windows, round(mean_score, 6) as mean_score, round(max_score, 6) as max_score, start as max_start, start + n as max_end from r where nth = 1""")
+def window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of every whole text scored by a plug-in model and rolled up."""
+    scores = scoring.score_windows(table(spark, sf_dir, "documents"), "doc_id", "text", vowel_share)
+    return scoring.roll_up_windows(scores).withColumns({c: F.round(c, 6) for c in ("mean_score", "max_score")})
+
+
+@query("""with l as (select p_partkey as id, p_name, dense_rank() over (order by p_partkey) - 1 as li from part where p_size > 40), r as (select n_nationkey as id, n_name, dense_rank() over (order by n_nationkey) - 1 as ri from nation),
+u as (select li * (select count(*) from r) + ri as pair_index, p_name, n_name from l, r), g as (select * from u where length(p_name) + length(n_name) <= 25 and pair_index % 2 = 1)
+select pair_index, round(least(length(p_name), length(n_name)) / cast(greatest(length(p_name), length(n_name)) as double), 9) as score, cast(least(length(p_name), length(n_name)) / cast(greatest(length(p_name), length(n_name)) as double) > 0.9 as int) as flag from g""")
+def pair_scores_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending pairs of a gated universe scored by a plug-in model; even pairs count as done."""
+    parts = table(spark, sf_dir, "part").filter("p_size > 40").select("p_partkey", F.col("p_name").alias("left_text"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("right_text"))
+    universe = scoring.pair_universe(parts, "p_partkey", nations, "n_nationkey")
+    pairs = universe.join(parts, F.col("left_id") == F.col("p_partkey")).join(nations, F.col("right_id") == F.col("n_nationkey")).withColumn("length_sum", F.length("left_text") + F.length("right_text")).withColumn("prior", F.lit(1.0))
+    gated = scoring.pair_gate(pairs, "prior", "length_sum", 0.99, 25)
+    todo = scoring.pending(gated, gated.filter("pair_index % 2 = 0").select("pair_index"))
+
+    def model(a: list[str], b: list[str]) -> np.ndarray:
+        return np.array([min(len(x), len(y)) / max(len(x), len(y), 1) for x, y in zip(a, b, strict=True)])
+
+    return scoring.score_pairs(todo, model).withColumn("score", F.round("score", 9))

@@ -4,7 +4,7 @@ Every kind has an expression, a base score, a validator and context words. A spa
 raised where the validator is a checksum that holds and where one of the kind's context words stands within
 ``CONTEXT`` characters before it, lowered where a word of a contrary kind does (order, invoice, version).
 Spans that reach ``THRESHOLD`` are kept. The four base kinds keep every span that passes its validator; the
-method adds shorter card numbers, IBANs (mod 97), social security numbers, phone numbers without a plus sign and secrets after a key word.
+method adds shorter card numbers and those next to other digits, IBANs (mod 97), social security numbers, phone numbers without a plus sign and secrets after a key word.
 
 Null texts count as empty (no spans; the digest of empty text); rows with equal or null ids each keep their
 own row; an empty table gives an empty result; further columns of the input are ignored.
@@ -74,6 +74,7 @@ KINDS = (
     Kind("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda t: _digit.search(t) is not None, lambda s: 16 <= len(digits(s)) <= 19 and luhn(s), 0.7, checksum=True, base=True),
     Kind("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda t: "+" in t, lambda s: 8 <= len(digits(s)) <= 15, 0.6, base=True),
     Kind("card_short", re.compile(r"(?<![0-9])[0-9]([\x20-]?[0-9]){11,14}(?![\x20-]?[0-9])"), lambda t: _digit.search(t) is not None, luhn, 0.2, checksum=True, context=_words("card", "visa", "amex", "credit", "karte", "carte", "tarjeta")),
+    Kind("card_grouped", re.compile(r"(?<![0-9])[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"), lambda t: _digit.search(t) is not None, luhn, 0.3, checksum=True, context=_words("card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta")),
     Kind("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b"), lambda t: _digit.search(t) is not None, mod97, 0.4, checksum=True, context=_words("iban", "account", "konto", "compte", "cuenta")),
     Kind("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), lambda t: "-" in t and _digit.search(t) is not None, ssn, 0.5, context=_words("ssn", "social", "security", "tax")),
     Kind("phone_local", re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-][0-9]{3,4}(?![0-9])"), lambda t: _digit.search(t) is not None, lambda s: 8 <= len(digits(s)) <= 11, 0.3, context=_words("phone", "tel", "call", "mobile", "telefon", "handy", "téléphone", "teléfono")),

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tessera.sources.tables import staged, table
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
+#: Blocks above this size that no pivot splits are searched by bit flips, not pair by pair.
+DENSE = 20_000
 
 
 def shingle_hashes(text: str, size: int = SHINGLE) -> list[int]:
@@ -123,7 +125,7 @@ def _blocks(x: np.ndarray, radius: int, small: int = 512) -> Iterator[np.ndarray
 def _links(x: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Position pairs of distinct fingerprints within the radius, in bounded pieces."""
     n = len(x)
-    if n <= 20_000 or radius != 2:
+    if n <= DENSE or radius != 2:
         step = max(1, 4_000_000 // max(1, n))
         for a in range(0, n, step):
             i, j = np.nonzero(np.bitwise_count(x[a : a + step, None] ^ x[None, :]) <= radius)

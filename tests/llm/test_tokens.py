@@ -42,7 +42,7 @@ def test_word_bpe(docs, rows, empty):
     assert word_bpe.encode_decode(docs, P.path("word_bpe_49k.json")).count() == len(rows)
 
 
-_word = word_bpe.WordBpe(P.path("word_bpe_49k.json"), limit=40)
+_coder = word_bpe.WordBpe(P.path("word_bpe_49k.json"), limit=40)
 _text = st.lists(st.sampled_from(list("aabbcthe '\n\t.,!éßΣñ１²½") + [" ", "\x1c", "́", "😀", "<|endoftext|>", " ", "'s"]), max_size=60).map("".join)
 
 
@@ -50,7 +50,7 @@ _text = st.lists(st.sampled_from(list("aabbcthe '\n\t.,!éßΣñ１²½") + [" 
 @given(_text)
 def test_any_text(text):
     ids = WORDS.encode(text, add_special_tokens=False).ids
-    got, decoded = next(iter(_word.encode_decode([text])))
+    got, decoded = next(iter(_coder.encode_decode([text])))
     assert got == " ".join(map(str, ids))
     assert decoded == WORDS.decode(ids, skip_special_tokens=False)
     lookup = packing._ids(RANKS)

@@ -16,23 +16,23 @@ untouched, whatever their names, and ignored by ``quality_rules``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.tables import staged, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-#: measure, its direction (1: high values are bad) and its grid of candidate cutoffs
-RULES = (
-    ("symbol_share", 1, [round(0.01 * i, 2) for i in range(1, 31)]),
-    ("shout_share", 1, [round(0.01 * i, 2) for i in range(1, 31)]),
-    ("upper_share", 1, [round(0.05 * i, 2) for i in range(1, 19)]),
-    ("dup_line_share", 1, [round(0.05 * i, 2) for i in range(1, 20)]),
-    ("repeat_share", 1, [round(0.02 * i, 2) for i in range(1, 31)]),
-    ("stutter_share", 1, [round(0.02 * i, 2) for i in range(1, 31)]),
-    ("word_length", 1, [5.5 + 0.25 * i for i in range(30)]),
-)
+#: measure and its grid of candidate cutoffs; high values are bad
+RULES = {
+    "symbol_share": [round(0.01 * i, 2) for i in range(1, 31)],
+    "shout_share": [round(0.01 * i, 2) for i in range(1, 31)],
+    "upper_share": [round(0.05 * i, 2) for i in range(1, 19)],
+    "dup_line_share": [round(0.05 * i, 2) for i in range(1, 20)],
+    "repeat_share": [round(0.02 * i, 2) for i in range(1, 31)],
+    "stutter_share": [round(0.02 * i, 2) for i in range(1, 31)],
+    "word_length": [5.5 + 0.25 * i for i in range(30)],
+}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -98,11 +98,6 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def lenient_first(up: int, grid: list[float]) -> list[float]:
-    """The grid from the cutoff that rejects least to the one that rejects most."""
-    return sorted(grid, reverse=up > 0)
-
-
 def log_factorial(n: Column) -> Column:
     """ln n! by Stirling's series at n + 8, exact to about 1e-12."""
     x = n.cast("double") + 9
@@ -129,35 +124,35 @@ def cutoffs(found: DataFrame, labels: DataFrame, alpha: float, delta: float, pri
     Among a rule's certified cutoffs, the one with the highest share of bad documents rejected less ``price``
     times the share of good ones; the more lenient one of equals, and none if that is not above zero.
     """
+    spark = found.sparkSession
     judged = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    held = found.filter(~F.col("base_failed")).join(judged, "doc_id")
-    good = F.col("quality") == 1
-    beyond = lambda m, up, c: F.col(m) > c if up > 0 else F.col(m) < c
-    counts = [F.count_if(good).alias("n"), F.count_if(~good).alias("bad")]
-    for m, up, grid in RULES:
-        for i, c in enumerate(lenient_first(up, grid)):
-            counts += [F.count_if(beyond(m, up, c) & good).alias(f"{m}:k{i}"), F.count_if(beyond(m, up, c) & ~good).alias(f"{m}:b{i}")]
-    tests = held.groupBy("stratum").agg(*counts)
-    cases = F.array(*[F.struct(F.lit(m).alias("rule"), F.lit(i).alias("at"), F.lit(float(c)).alias("cut"), F.col(f"`{m}:k{i}`").alias("k"), F.col(f"`{m}:b{i}`").alias("b")) for m, up, grid in RULES for i, c in enumerate(lenient_first(up, grid))])
-    tall = tests.select("stratum", "n", "bad", F.explode(cases).alias("c")).select("stratum", "n", "bad", "c.*")
-    level = F.lit(delta / len(RULES)) / F.col("strata")
-    strata = tests.select(F.count("*").alias("strata"))  # one row
-    failed = tall.join(F.broadcast(strata)).filter(binomial_cdf(F.col("k"), F.col("n"), F.lit(alpha / len(RULES))) > level)
-    ends = failed.groupBy("stratum", "rule").agg(F.min("at").alias("end"))
-    gain = F.coalesce(F.try_divide(F.col("b"), F.col("bad")), F.lit(0.0)) - price * F.try_divide(F.col("k"), F.col("n"))
-    certified = tall.join(ends, ["stratum", "rule"], "left").filter("end is null or at < end").withColumn("gain", gain).filter("gain > 0")
-    best = F.struct("gain", -F.col("at"))
-    return certified.groupBy("stratum").agg(*[F.max_by(F.when(F.col("rule") == m, F.col("cut")), F.when(F.col("rule") == m, best)).alias(f"cut_{m}") for m, _, _ in RULES])
+    held = found.filter(~F.col("base_failed")).join(judged, "doc_id").withColumn("good", (F.col("quality") == 1).cast("int"))
+    sizes = held.groupBy("stratum").agg(F.sum("good").alias("n"), (F.count("*") - F.sum("good")).alias("bad"))
+    # each value falls behind the lenient cutoffs that it does not exceed, and is rejected by all after them
+    grids = spark.createDataFrame([(m, sorted(g, reverse=True)) for m, g in RULES.items()], "rule string, grid array<double>")
+    tall = held.select("stratum", "good", F.expr(f"stack({len(RULES)}, {', '.join(f'{m!r}, {m}' for m in RULES)}) as (rule, value)"))
+    spared = F.size(F.filter("grid", lambda c: ~(F.col("value") > c)))
+    counts = tall.join(F.broadcast(grids), "rule").groupBy("stratum", "rule", spared.alias("spared")).agg(F.sum("good").alias("k"), F.sum(1 - F.col("good")).alias("b"))
+    cells = grids.select("rule", F.posexplode("grid").alias("at", "cut"))
+    strata = sizes.select("stratum", "n", "bad", F.count("*").over(Window.partitionBy(F.lit(0))).alias("strata"))  # a row for each stratum
+    every = strata.join(F.broadcast(cells)).join(counts, ["stratum", "rule"], "left")  # cells: the grids, fixed in size
+    upto = lambda c: F.coalesce(F.sum(F.when(F.col("spared") <= F.col("at"), F.col(c))), F.lit(0)).alias(c)
+    tests = every.groupBy("stratum", "n", "bad", "strata", "rule", "at", "cut").agg(upto("k"), upto("b"))
+    passed = binomial_cdf(F.col("k"), F.col("n"), F.lit(alpha / len(RULES))) <= F.lit(delta / len(RULES)) / F.col("strata")
+    ends = F.min(F.when(~passed, F.col("at"))).over(Window.partitionBy("stratum", "rule"))
+    gain = F.coalesce(F.try_divide(F.col("b"), F.col("bad")), F.lit(0.0)) - price * F.coalesce(F.try_divide(F.col("k"), F.col("n")), F.lit(0.0))
+    certified = tests.withColumn("end", ends).filter("end is null or at < end").withColumn("gain", gain).filter("gain > 0")
+    best = certified.groupBy("stratum", "rule").agg(F.max_by("cut", F.struct("gain", -F.col("at"))).alias("cut"))
+    return best.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cut")).withColumnsRenamed({m: f"cut_{m}" for m in RULES})
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.1, delta: float = 0.05) -> DataFrame:
     """Measures, base_failed and the verdict ``kept`` of every document."""
     found = staged(measures(docs), "measures")
     limits = cutoffs(found, labels, alpha, delta)
-    beyond = [F.coalesce(F.col(m) > F.col(f"cut_{m}") if up > 0 else F.col(m) < F.col(f"cut_{m}"), F.lit(False)) for m, up, _ in RULES]
-    rejected = F.array_compact(F.array(*[F.when(b, F.lit(m)) for b, (m, _, _) in zip(beyond, RULES, strict=True)]))
+    rejected = F.array_compact(F.array(*[F.when(F.col(m) > F.col(f"cut_{m}"), F.lit(m)) for m in RULES]))
     judged = found.join(limits, "stratum", "left").withColumn("rejected_by", rejected)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop(*[f"cut_{m}" for m, _, _ in RULES])
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop(*[f"cut_{m}" for m in RULES])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

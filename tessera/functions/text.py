@@ -16,7 +16,7 @@ def blank(x: str | Column) -> Column:
 
 
 def _pieces(x: str | Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(blank(x), pattern), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(blank(x), pattern), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def atomic_tokens(x: str | Column) -> Column:
@@ -57,7 +57,7 @@ def parse_products(x: str | Column, keep_blank_ids: bool = False) -> Column:
         return F.trim(F.regexp_extract(record, rf"(?:^|;\s*){key}=([^;]*)", 1))
 
     def ids(record: Column) -> Column:
-        found = F.transform(F.split(field(record, "IsoId"), ","), F.trim)
+        found = F.transform(F.split(field(record, "IsoId"), ","), lambda t: F.trim(t))
         return found if keep_blank_ids else F.filter(found, lambda t: t != "")
 
     return F.transform(
@@ -74,7 +74,7 @@ def parse_products(x: str | Column, keep_blank_ids: bool = False) -> Column:
 def location_sections(x: str | Column, heading: str = "SUBCELLULAR LOCATION:") -> Column:
     """The sections of a comment cell, each without its heading."""
     body = F.trim(F.regexp_replace(blank(x), rf"^\s*{heading}\s*", ""))
-    return F.filter(F.transform(F.split(body, rf";\s*{heading}\s*"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(body, rf";\s*{heading}\s*"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def formal_part(x: str | Column) -> Column:
@@ -167,7 +167,7 @@ def number_or_null(x: str | Column) -> Column:
 
 def distinct_ignoring_case(values: str | Column) -> Column:
     """Array values distinct by lower-cased trimmed text, the first spelling kept."""
-    trimmed = F.filter(F.transform(col(values), F.trim), lambda t: t != "")
+    trimmed = F.filter(F.transform(col(values), lambda t: F.trim(t)), lambda t: t != "")
     return F.aggregate(
         trimmed,
         F.array().cast("array<string>"),

@@ -11,10 +11,11 @@ the word's hash, and every occurrence is answered in the shard of its word: the
 the denominator for the word as the context of what follows. Documents get sums; no table of the corpus is
 broadcast or collected, and the tries grow with the input.
 
-Words are 64-bit hashes of their lower-cased bytes, contexts 40 bits of them. The chance that any two
-of a billion words share a hash is about 3 %; an unseen context is taken for a seen one of the same word with a chance
-of 1e-6 for each million contexts that the word has in the shard. Words that hold more than ``hot_tokens`` training tokens are dealt by word and context; their
-counts, at most N / hot_tokens of them, are broadcast.
+Words are 64-bit hashes of their lower-cased bytes, contexts 40 bits of them. The chance that any two of a
+billion words share a hash is about 3 %; an unseen context is taken for a seen one of the same word with a
+chance of 1e-6 for each million contexts that the word has in the shard. Words with more than ``hot_tokens``
+training tokens are dealt by word and context; their counts are broadcast, N / hot_tokens of them at most and
+50,000 by default.
 
 Null texts count as empty: one token, the end. Rows with equal or null ids each keep their own row (a null id
 is in the training part, as its remainder is null). An empty table gives an empty result; without training
@@ -225,9 +226,13 @@ class Trie:
         return count, value
 
 
-OCCURRENCES = "shard int, first long, ids array<long>, trained binary, docs binary, words binary, contexts binary"
-SUMS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double"
-SUM_KINDS = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+#: Of the rows of a block of documents, numbered from ``first``, one also has what belongs to the documents: ids, lengths.
+OCCURRENCES = "shard int, first long, ids array<long>, lengths binary, trained binary, docs binary, words binary, contexts binary"
+#: For the documents of a block that have words in a shard: known tokens, sums of log10 (c + 0.5) and of the model.
+ANSWERS = "first long, ids array<long>, lengths binary, trained binary, docs binary, known binary, base binary, lm binary"
+ANSWER_KINDS = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 6)
+SUMS = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double"
+SUM_KINDS = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
 
 def names(schema: str) -> list[str]:
@@ -259,7 +264,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.filter("not held_out").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def language_model_scores(docs: DataFrame, held_out: DataFrame | None = None, mass: float = 8.0, shard_tokens: int = 5_000_000, hot_tokens: int = 1_000_000, block_tokens: int = 2_500_000) -> DataFrame:
+def language_model_scores(docs: DataFrame, mass: float = 8.0, shard_tokens: int = 2_500_000, hot_tokens: int | None = None, block_tokens: int = 2_500_000) -> DataFrame:
     """Scores of all documents by a model of those with ``held_out`` false.
 
     docs: doc_id, held_out, text. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -268,6 +273,8 @@ def language_model_scores(docs: DataFrame, held_out: DataFrame | None = None, ma
     docs = docs.select(F.col("doc_id").cast("long"), "held_out", F.coalesce("text", F.lit("")).alias("text"))
     counted = staged(word_counts(docs), "words")
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    if hot_tokens is None:
+        hot_tokens = max(shard_tokens // 20, n // 50_000)  # so that the broadcast has at most 50,000 words
     hot = {r["word"]: r["n"] for r in counted.filter(F.col("n") > hot_tokens).collect()}  # at most N / hot_tokens words
     starts, rows = docs.agg(F.count_if(~F.col("held_out")), F.count("*")).first()
     z = n + 0.5 * (v + 1)
@@ -300,8 +307,8 @@ def language_model_scores(docs: DataFrame, held_out: DataFrame | None = None, ma
             a, b = bounds[s], bounds[s + 1]
             starts_ = np.flatnonzero(np.concatenate([[True], words[a + 1 : b] != words[a : b - 1]]))
             repeats = np.diff(starts_, append=b - a).astype(np.uint32)
-            out.append((s, first, None if out else ids, trained, doc[a:b].tobytes(), words[a:b][starts_].tobytes() + repeats.tobytes(), narrow[a:b].tobytes()))
-        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4)
+            out.append((s, first, *((None, None) if out else (ids, lengths.astype(np.uint32).tobytes())), trained, doc[a:b].tobytes(), words[a:b][starts_].tobytes() + repeats.tobytes(), narrow[a:b].tobytes()))
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names(OCCURRENCES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +371,7 @@ def language_model_scores(docs: DataFrame, held_out: DataFrame | None = None, ma
         with Spool() as spool:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    spool.add({name: batch.column(name)[i].as_py() for name in Spool.NAMES}, batch.column("first")[i].as_py(), batch.column("ids")[i].as_py())
+                    spool.add({name: batch.column(name)[i].as_py() for name in Spool.NAMES}, {name: batch.column(name)[i].as_py() for name in ("first", "ids", "lengths")})
             trie = build(spool)
             many, totals = hot_words.value
             for row in spool:
@@ -378,21 +385,32 @@ def language_model_scores(docs: DataFrame, held_out: DataFrame | None = None, ma
                     value = np.where(lacking, np.log10(mass * (count + 0.5) / z), value)
                 value -= np.where(words != END, np.log10(count + mass), 0.0)
                 size = int(doc.max()) + 1
-                seen = np.bincount(doc, minlength=size)
-                at = np.flatnonzero(seen)
+                at = np.flatnonzero(np.bincount(doc, minlength=size))
                 known, base, lm = (np.bincount(doc, w, size)[at] for w in (count > 0, np.log10(count + 0.5), value))
-                nothing = [None] * len(at)
-                columns = (row["first"] + at, nothing, nothing, seen[at], known.astype(np.int64), base, lm)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, SUM_KINDS, strict=True)], names(SUMS))
-                if (ids := row["ids"]) is not None:
-                    n_ids, bits = len(ids), np.unpackbits(np.frombuffer(row["trained"], np.uint8))[: len(ids)]
-                    columns = (row["first"] + np.arange(n_ids), ids, ~bits.astype(bool), *[[0] * n_ids] * 4)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, SUM_KINDS, strict=True)], names(SUMS))
+                packed = (at.astype(np.uint16), known.astype(np.uint32), base, lm.astype(np.float32))
+                columns = (row["first"], row["ids"], row["lengths"], row["trained"] if row["ids"] is not None else None, *(x.tobytes() for x in packed))
+                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, ANSWER_KINDS, strict=True)], names(ANSWERS))
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents of one block: the sums of what its shards answered."""
+        known, base, lm = np.zeros(1 << 16, np.int64), np.zeros(1 << 16), np.zeros(1 << 16)
+        ids, lengths, trained = [], b"", b""
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = np.frombuffer(row["docs"], np.uint16)
+                known[at] += np.frombuffer(row["known"], np.uint32)
+                base[at] += np.frombuffer(row["base"], np.float64)
+                lm[at] += np.frombuffer(row["lm"], np.float32)
+                if row["ids"] is not None:
+                    ids, lengths, trained = row["ids"], row["lengths"], row["trained"]
+        n = len(ids)
+        out = np.unpackbits(np.frombuffer(trained, np.uint8))[:n] == 0
+        columns = (ids, out, np.frombuffer(lengths, np.uint32).astype(np.int64), known[:n], base[:n], lm[:n])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, SUM_KINDS, strict=True)], names(SUMS))
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     dealt = numbered.select("row", "doc_id", "held_out", "text").mapInArrow(deal, OCCURRENCES)
-    found = dealt.groupBy("shard").applyInArrow(answer, SUMS)
-    sums = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "lm")])
+    sums = dealt.groupBy("shard").applyInArrow(answer, ANSWERS).groupBy("first").applyInArrow(combine, SUMS)
     known = F.lit(int(n)).cast("long").alias("train_tokens")
     base = (F.col("base") - F.col("n_tokens") * F.lit(log10(z))).alias("base_score")
     score = (F.col("lm") - F.lit(log10(starts + mass))).alias("score")
@@ -413,13 +431,13 @@ class Spool:
 
     NAMES = ("docs", "trained", "words", "contexts")
 
-    def add(self, row: dict, first: int, ids: list | None) -> None:
+    def add(self, row: dict, other: dict) -> None:
         places = []
         for name in self.NAMES:
             places.append((self.file.tell(), len(row[name])))
             self.file.write(row[name])
         self.index.append(places)
-        self.others.append({"first": first, "ids": ids})
+        self.others.append(other)
 
     def __iter__(self) -> Iterator[dict]:
         self.file.flush()

@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tessera.plans import evaluation, evidence, explore, network, partition, ranking, similarity  # noqa: E402, F401
+from tessera.plans import audit, evaluation, evidence, explore, network, partition, ranking, similarity  # noqa: E402, F401

@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
-def with_next(docs: DataFrame, rows_per_run: int = 4_000) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_run: int = 4_000, most_runs: int = 100_000) -> DataFrame:
     """Each row in a run of rows near it by doc_id, and the first row of each run again at the end of the run before.
 
     Runs are cut at quantiles of doc_id, so each text is shuffled once and no task holds the whole order.
@@ -109,7 +109,7 @@ def with_next(docs: DataFrame, rows_per_run: int = 4_000) -> DataFrame:
     """
     ids = docs.select("doc_id")
     n = ids.count()
-    runs = max(1, ceil(n / rows_per_run))
+    runs = min(most_runs, max(1, ceil(n / rows_per_run)))  # larger tables get longer runs: Spark sorts them with spilling
     steps = [i / runs for i in range(1, runs)]
     found = ids.select(F.percentile_approx("doc_id", steps, 100 * runs).alias("q")).first()["q"] if steps else []  # one number for each run
     cuts = sorted(set(found or []))

@@ -1,4 +1,4 @@
-"""Queries and their DuckDB SQL by name; the modules below register theirs on import."""
+"""Queries and their DuckDB SQL by name; ``catalog`` imports the modules that register theirs."""
 
 from __future__ import annotations
 
@@ -22,5 +22,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
     return register
 
-
-from tessera.plans import audit, evaluation, evidence, explore, network, partition, ranking, similarity  # noqa: E402, F401

@@ -212,3 +212,32 @@ def test_files(spark, tmp_path):
     io.write_fasta(spark.createDataFrame([("a", "ABCDE")], "k string, s string"), str(tmp_path / "o"), F.col("k"), "s", 2)
     assert "".join(p.read_text() for p in sorted((tmp_path / "o").glob("part*"))) == ">a\nAB\nCD\nE\n"
     assert rows(io.export_text(spark.createDataFrame([("a\tb", None)], "x string, y int"))) == [("a b", "")]
+
+
+def test_unions_and_versions(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "k string")
+    u = partition.union_with_roles({"a": ids("x", "y"), "b": ids("y", "y", None)}, "k")
+    assert rows(u, "k", "in_a", "in_b", "membership") == [("x", 1, 0, "a"), ("y", 1, 1, "a;b")]
+    assert rows(partition.drift(ids("x", "y"), ids("y", "z"), "k")) == [("x", "ONLY_LEFT"), ("z", "ONLY_RIGHT")]
+    m = partition.membership_matrix(ids("x", "y", "z", "w"), {"p": ids("x", "y"), "q": ids("y", "z")}, "k", ("p", "q"))
+    assert rows(m, "k", "membership") == [("w", "NEITHER"), ("x", "X_ONLY"), ("y", "BOTH"), ("z", "Y_ONLY")]
+
+
+def test_edge_pass_and_best_support(spark):
+    e = spark.createDataFrame([("c", "s1", 0.9, 0.8, 0.8, True, True), ("c", "s2", 0.9, 0.9, 0.8, True, True), ("d", "s1", 0.69, 0.9, 0.9, True, True), ("d", "s2", 0.7, 0.79, 0.9, True, True), ("f", "s1", 0.9, 0.9, 0.9, False, True)], "c string, s string, i double, l double, r double, a boolean, f boolean")
+    passed = e.filter(similarity.edge_pass(F.col("i"), F.col("l"), F.col("r"), F.col("a"), F.col("f")))
+    assert rows(passed, "c", "s") == [("c", "s1"), ("c", "s2")]
+    assert rows(similarity.best_support(passed, "c", ["i", "l"], "s"), "c", "best_seed", "n_support") == [("c", "s2", 2)]
+
+
+def test_candidate_pairs(spark):
+    r = spark.createDataFrame([(1, "s", 10, ["ab", "cd"]), (2, "s", 9, ["ab"]), (3, "s", 7, ["ab"]), (4, "", 10, ["ab"]), (5, "t", 10, ["ab"]), (6, "s", 10, ["zz"])], "i long, s string, n int, k array<string>")
+    assert rows(similarity.candidate_pairs(r, "i", "s", "n", "k"), "left_id", "right_id") == [(1, 2)]
+    other = spark.createDataFrame([(9, "s", 10, ["cd"])], "i long, s string, n int, k array<string>")
+    assert rows(similarity.candidate_pairs(r, "i", "s", "n", "k", right=other), "left_id", "right_id") == [(1, 9)]
+
+
+def test_levels(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "k string")
+    got = evidence.level_comparison(ids("a", "b", "c"), ids("a", "b"), ids("a"), "k")
+    assert rows(got, "k", "level") == [("a", "PASS_BOTH"), ("b", "PASS_WIDE_ONLY"), ("c", "PASS_NEITHER")]

@@ -375,7 +375,7 @@ def language_model_scores(docs: DataFrame, mass: float = 8.0, shard_tokens: int
             trie = build(spool)
             many, totals = hot_words.value
             for row in spool:
-                doc, words, contexts, trained = unpack(row)
+                doc, words, contexts, _ = unpack(row)
                 count, value = trie.query(words, contexts)
                 if len(many):  # a hot word may lack any training pair here
                     at = np.minimum(np.searchsorted(many, words), len(many) - 1)

@@ -89,3 +89,35 @@ def test_registered():
     names = entry.queries()
     assert "pipeline" in names
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def shingled(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_copies_at_similarity(spark, folder):
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randint(100, 200))) for _ in range(40)]
+    for t in texts[:30]:  # a few words changed: similarity on both sides of 0.8
+        for edits in (1, 2, 3, 6):
+            w = t.split()
+            for at in rng.sample(range(len(w)), edits):
+                w[at] = "changed"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    sets = [shingled(t) for t in texts]
+    label = list(range(len(texts)))
+    while True:
+        new = [min(label[j] for j in range(len(texts)) if jaccard(sets[i], sets[j]) >= 0.8) for i in range(len(texts))]
+        if new == label:
+            break
+        label = new
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicate(spark, docs, folder[0]).collect()}
+    assert got == set(label)
+    assert len(set(label)) < len(texts)

@@ -42,19 +42,22 @@ def _runs(h: Column, step: int, n: Column) -> Column:
     return F.zip_with(F.slice(h, F.lit(1), left), F.slice(h, F.lit(step + 1), left), lambda a, b: F.xxhash64(a, b))
 
 
-def measures(docs: DataFrame) -> DataFrame:
+def measures(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, stratum, the base measures and the rules' measures of every whole text; one pass, no shuffle.
 
+    The columns ``carry`` come along as they are, in the struct ``carried``.
+
     Words in windows found twice: windows are hashed by doubling (1, 2, 4, 8 words). Only texts whose hashes
     repeat are sorted by (hash, place); each place beside an equal hash covers the words up to the next such
     place, eight at most.
     """
     text = F.coalesce("text", F.lit(""))
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("und")).alias("stratum"), text.alias("t"))
+    along = ["carried"] if carry else []
+    d = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("und")).alias("stratum"), text.alias("t"), *([F.struct(*carry).alias("carried")] if carry else []))
     d = d.withColumn("w", F.array_remove(F.split("t", SPACE), ""))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select(
-        "doc_id", "stratum",
+        "doc_id", "stratum", *along,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -65,7 +68,7 @@ def measures(docs: DataFrame) -> DataFrame:
     )
     n = F.size("h1")
     d = d.select(
-        *BASE[:3], "doc_id", "stratum", "n_shouts", "n_upper",
+        *BASE[:3], "doc_id", "stratum", *along, "n_shouts", "n_upper",
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter(F.zip_with(F.slice("h1", 2, F.greatest(n - 1, F.lit(0))), F.slice("h1", F.lit(1), F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda x: x)).alias("n_stutter"),
@@ -86,7 +89,7 @@ def measures(docs: DataFrame) -> DataFrame:
     d = d.withColumn("n_repeat_words", covered).drop("p")
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     return d.select(
-        "doc_id", "stratum", *BASE,
+        "doc_id", "stratum", *along, *BASE,
         share("n_symbols", "word_chars").alias("symbol_share"),
         share("n_shouts", "word_chars").alias("shout_share"),
         share("n_upper", "word_chars").alias("upper_share"),
@@ -146,10 +149,12 @@ def cutoffs(found: DataFrame, labels: DataFrame, alpha: float, delta: float, pri
     return best.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cut")).withColumnsRenamed({m: f"cut_{m}" for m in RULES})
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.1, delta: float = 0.05) -> DataFrame:
-    """Measures, base_failed and the verdict ``kept`` of every document."""
-    found = staged(measures(docs), "measures")
+def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.1, delta: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Measures, base_failed and the verdict ``kept`` of every document, with the columns ``carry`` in the struct ``carried``."""
+    found = staged(measures(docs, carry), "measures")
     limits = cutoffs(found, labels, alpha, delta)
+    if carry:  # whole texts stay where they are; a row for each stratum with labels
+        limits = F.broadcast(limits)
     rejected = F.array_compact(F.array(*[F.when(F.col(m) > F.col(f"cut_{m}"), F.lit(m)) for m in RULES]))
     judged = found.join(limits, "stratum", "left").withColumn("rejected_by", rejected)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop(*[f"cut_{m}" for m in RULES])

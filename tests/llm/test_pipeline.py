@@ -121,3 +121,15 @@ def test_near_copies_at_similarity(spark, folder):
     got = {r.doc_id for r in corpus_pipeline.near_duplicate(spark, docs, folder[0]).collect()}
     assert got == set(label)
     assert len(set(label)) < len(texts)
+
+
+def test_verdicts_by_row(spark, folder):
+    rng = random.Random(13)
+    good = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(60))
+    a, b, c = good(), good(), good()
+    row = lambda i, t: (i, t, "en", "s", len(t or ""))
+    rows = [row(1, a), row(1, "too short"), row(None, b), row(None, "junk"), row(None, None), row(2, c)]
+    collected = lambda stage, rs: sorted(map(tuple, stage(spark, spark.createDataFrame(rs, COLUMNS), folder[0]).collect()), key=repr)
+    assert collected(corpus_pipeline.quality, rows) == sorted([row(1, a), row(None, b), row(2, c)], key=repr)
+    copies = [row(4, a), row(3, a + " x"), row(3, a), row(3, a), row(None, a), row(None, b), row(None, b), row(3, c), row(3, None), row(5, "")]
+    assert collected(corpus_pipeline.near_duplicate, copies) == sorted([row(3, a), row(None, b), row(3, c), row(3, None)], key=repr)

@@ -44,6 +44,22 @@ def mod97(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+#: characters of an IBAN by country
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 "
+    "IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 "
+    "SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
+
+
+def iban_ends(s: str) -> list[int]:
+    """Where an IBAN at the start of s may end: at its country's length, at the end of s, or, for other countries, at any space."""
+    spaces = [i for i, c in enumerate(s) if c == " "]
+    length = IBAN_LENGTHS.get(s[:2])
+    shorter = [i for i in reversed(spaces) if length in (None, len(s[:i].replace(" ", "")))]
+    return [*shorter, len(s)] if length else [len(s), *shorter]
+
+
 def octets(s: str) -> bool:
     return all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in s.split(".")))
 
@@ -63,6 +79,7 @@ class Kind:
     checksum: bool = False
     context: re.Pattern | None = None
     base: bool = False
+    ends: Callable[[str], list[int]] | None = None  # where a proposed span may end; without it only as proposed
 
 
 _digit = re.compile("[0-9]")
@@ -75,7 +92,7 @@ KINDS = (
     Kind("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda t: "+" in t, lambda s: 8 <= len(digits(s)) <= 15, 0.6, base=True),
     Kind("card_short", re.compile(r"(?<![0-9])[0-9]([\x20-]?[0-9]){11,14}(?![\x20-]?[0-9])"), lambda t: _digit.search(t) is not None, luhn, 0.2, checksum=True, context=_words("card", "visa", "amex", "credit", "karte", "carte", "tarjeta")),
     Kind("card_grouped", re.compile(r"(?<![0-9])[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"), lambda t: _digit.search(t) is not None, luhn, 0.3, checksum=True, context=_words("card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta")),
-    Kind("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b"), lambda t: _digit.search(t) is not None, mod97, 0.4, checksum=True, context=_words("iban", "account", "konto", "compte", "cuenta")),
+    Kind("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b"), lambda t: _digit.search(t) is not None, mod97, 0.4, checksum=True, context=_words("iban", "account", "konto", "compte", "cuenta"), ends=iban_ends),
     Kind("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), lambda t: "-" in t and _digit.search(t) is not None, ssn, 0.5, context=_words("ssn", "social", "security", "tax")),
     Kind("phone_local", re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-][0-9]{3,4}(?![0-9])"), lambda t: _digit.search(t) is not None, lambda s: 8 <= len(digits(s)) <= 11, 0.3, context=_words("phone", "tel", "call", "mobile", "telefon", "handy", "téléphone", "teléfono")),
     Kind("secret", re.compile(r"""(?i)\b(?:token|api[_-]?key|secret|password|passwd)\s*[=:]\s*["']?[A-Za-z0-9_/+.-]{8,}["']?"""), lambda t: "=" in t or ":" in t, lambda s: True, 0.7),
@@ -89,16 +106,28 @@ def score(kind: Kind, text: str, start: int) -> float:
     return kind.score + 0.3 * kind.checksum + 0.3 * bool(kind.context and kind.context.search(near)) - 0.2 * bool(CONTRARY.search(near))
 
 
+def confirmed(kind: Kind, text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the spans that pass the validator; with ``ends`` the scan goes on behind a confirmed end or the failed start."""
+    if kind.ends is None:
+        yield from (m.span() for m in kind.pattern.finditer(text) if kind.valid(m[0]))
+        return
+    at = 0
+    while m := kind.pattern.search(text, at):
+        end = next((e for e in kind.ends(m[0]) if kind.valid(m[0][:e])), 0)
+        if end:
+            yield m.start(), m.start() + end
+        at = m.start() + (end or 1)
+
+
 def spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) in code points, by kind as listed, then start; kinds are leftmost and non-overlapping each."""
     found = []
     for kind in KINDS:
         if kind.needs(text):
-            for m in kind.pattern.finditer(text):
-                if kind.valid(m[0]):
-                    s = score(kind, text, m.start())
-                    if kind.base or s >= THRESHOLD:
-                        found.append((kind.name, m.start(), m.end(), round(s, 2)))
+            for start, end in confirmed(kind, text):
+                s = score(kind, text, start)
+                if kind.base or s >= THRESHOLD:
+                    found.append((kind.name, start, end, round(s, 2)))
     if any(f[0] not in BASE for f in found):  # what lies within a base span is known already
         base = [f for f in found if f[0] in BASE]
         found = [f for f in found if f[0] in BASE or not any(b[1] <= f[1] and f[2] <= b[2] for b in base)]

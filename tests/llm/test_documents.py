@@ -257,3 +257,12 @@ def test_dense_block_by_flips(monkeypatch):
     full = pairs()
     monkeypatch.setattr(simhash, "DENSE", 10)
     assert pairs() == full
+
+
+@pytest.mark.parametrize("after", ["", " BIC COBADEFFXXX", " 150 EUR", " 2024 12 01", " GB82 WEST 1234 5698 7654 32"])
+@pytest.mark.parametrize("number", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82WEST12345698765432"])
+@pytest.mark.parametrize("before", ["", "iban ", "REF AB12 CDEF 3456 "])
+def test_iban_before_other_words(before, number, after):
+    text = before + number + after
+    got = [text[a:b] for k, a, b, _ in pii.spans(text) if k == "iban"]
+    assert got == [number] + ([after[1:]] if after.startswith(" GB82") else [])

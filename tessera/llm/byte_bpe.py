@@ -1,23 +1,24 @@
 """Byte-level BPE of whole texts through bounded worker caches.
 
-A text is cut into *chunks* at places where a pre-token always begins: before a single space that is
-followed by a visible character, and around a lone newline. Each chunk encodes by itself to the same ids as
-in its text, so a worker encodes a chunk once and looks it up afterwards. Texts with other white space
-(runs, tabs, no-break spaces) are cut by the pre-token pattern itself.
+A text is cut into *chunks*: a run of visible characters with the white space before it. A pre-token always
+begins where white space follows a visible character, so each chunk encodes by itself to the same ids as in its
+text, and a worker encodes a chunk once and looks it up afterwards. Most chunks follow a single space; they are
+kept without it.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
 import public_tokenizers
-import regex
 import tiktoken
 
-#: Where one of these stands in a text, chunks could differ from pre-tokens; the pattern cuts such texts.
-UNUSUAL_SPACE = ("  ", "\n\n", " \n", "\n ", *map(chr, (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+WHITE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Where one of these stands in a text, chunks are found by expression instead of by splitting at spaces; the chunks are alike.
+UNUSUAL_SPACE = ("  ", "\n\n", " \n", "\n ", *(c for c in WHITE if c not in " \n"))
 END_OF_TEXT, END_OF_TEXT_ID = "<|endoftext|>", 50256
 
 
@@ -45,21 +46,22 @@ class Memo(dict):
         return value
 
 
-_pre_token = regex.compile(public_tokenizers.PATTERN)
+_chunk = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
-def chunks(text: str) -> tuple[str, list[str]] | list[str]:
-    """(head, chunks that follow a space unless they begin with a newline), or the pre-tokens of a text with unusual space."""
+def chunks(text: str) -> tuple[str, list[str]]:
+    """The visible characters that a text begins with, and the keys of the chunks after them (see ``spelled``)."""
     for space in UNUSUAL_SPACE:
         if space in text:
-            return _pre_token.findall(text)
+            found = [c[1:] if c[0] == " " and c[1:2] not in WHITE else c for c in _chunk.findall(text)]
+            return ("", found) if text[0] in WHITE else (found[0], found[1:])
     head, *rest = text.replace("\n", " \n").split(" ")
     return head, rest
 
 
-def spelled(chunk: str) -> str:
-    """The characters that a chunk after the head stands for."""
-    return chunk if chunk[:1] == "\n" else " " + chunk
+def spelled(key: str) -> str:
+    """The characters that a chunk's key stands for: itself if it begins with white space, else with a space before it."""
+    return key if key and key[0] in WHITE else " " + key
 
 
 class Lookup:
@@ -67,16 +69,11 @@ class Lookup:
 
     def __init__(self, value: Callable[[str], object], limit: int = 250_000):
         self.plain = Memo(value, limit // 5)
-        self.after_space = Memo(lambda chunk: value(spelled(chunk)), limit)
+        self.after_space = Memo(lambda key: value(spelled(key)), limit)
 
     def __call__(self, text: str):
         """An iterator over the values of a text that has no special string."""
-        found = chunks(text)
-        if isinstance(found, list):
-            return map(self.plain.__getitem__, found)
-        return self._joined(*found)
-
-    def _joined(self, head: str, rest: list[str]):
+        head, rest = chunks(text)
         if head:
             yield self.plain[head]
         yield from map(self.after_space.__getitem__, rest)

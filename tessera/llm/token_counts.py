@@ -1,8 +1,9 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier 1 is a compact table of the corpus' frequent pre-tokens and their lengths in tokens, found by bounded
-summaries in every task, merged as whole summaries, and broadcast (its size bound is ``table_size`` entries).
-Tier 2 is each worker's bounded cache, which encodes what tier 1 misses. No pre-token is ever shuffled.
+Tier 1 is a compact table of the corpus' frequent chunks (pre-tokens with the space before them) and their
+lengths in tokens, found by bounded summaries in every task, merged as whole summaries, and broadcast: at most
+``table_size`` entries of at most ``LONGEST`` characters. Tier 2 is each worker's bounded cache, which encodes
+what tier 1 misses. No pre-token is ever shuffled; texts with any white space go the same way.
 
 Null texts count as empty (0 bytes, 0 tokens); rows with equal or null ids each keep their own row; an empty
 table gives an empty result; further columns of the input are ignored.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from math import ceil, sqrt
+from math import ceil
 
 import numpy as np
 import public_tokenizers
@@ -26,11 +27,13 @@ from tessera.llm import byte_bpe
 from tessera.sources.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: Longer chunks are not held in the table, and so many summaries meet in one group.
+LONGEST, FAN = 64, 64
 SUMMARY = "slot int, keys binary, ends binary, counts binary"
 
 
 def _pack(slot: int, counter: Counter, size: int) -> pa.RecordBatch:
-    top = counter.most_common(size)
+    top = [x for x in counter.most_common(size) if len(x[0]) <= LONGEST]
     raw = [k.encode() for k, _ in top]
     ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
     columns = [[slot], [b"".join(raw)], [ends.tobytes()], [np.array([n for _, n in top], dtype=np.int64).tobytes()]]
@@ -46,10 +49,9 @@ def frequent_pretokens(docs: DataFrame, size: int) -> dict[str, int]:
     """At most ``size`` chunks with about the highest counts over all texts.
 
     Every task holds at most 16 * size counters (the rarest go when they overflow) and hands on one summary
-    of ``size``; summaries merge in two levels of about the square root of their number each.
+    of ``size``; summaries merge by a tree in which at most ``FAN`` meet in a group.
     """
     tasks = docs.rdd.getNumPartitions()
-    slots = max(1, ceil(sqrt(tasks)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -57,26 +59,22 @@ def frequent_pretokens(docs: DataFrame, size: int) -> dict[str, int]:
         for batch in batches:
             slot = batch.column(1)[0].as_py() if batch.num_rows else slot
             for text in batch.column(0).to_pylist():
-                found = byte_bpe.chunks(text or "")
-                if not isinstance(found, list):
-                    seen.update(found[1])
-            if len(seen) > 16 * size:
-                seen = Counter(dict(seen.most_common(4 * size)))
-        yield _pack(slot, seen, size)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for row in batch.to_pylist():
-                seen.update(_unpack(row["keys"], row["ends"], row["counts"]))
+                seen.update(byte_bpe.chunks(text or "")[1])
                 if len(seen) > 16 * size:
                     seen = Counter(dict(seen.most_common(4 * size)))
-        if seen:
-            yield _pack(0, seen, size)
+        yield _pack(slot, seen, size)
 
-    parts = docs.select("text", F.pmod(F.spark_partition_id(), F.lit(slots)).cast("int").alias("slot")).mapInArrow(count, SUMMARY)
-    merged = parts.repartition(slots, "slot").mapInArrow(merge, SUMMARY).coalesce(1).mapInArrow(merge, SUMMARY)
-    rows = merged.collect()  # one summary of at most ``size`` entries
+    def merge(key: tuple, rows: pa.Table) -> pa.Table:
+        seen: Counter = Counter()
+        for row in rows.to_pylist():
+            seen.update(_unpack(row["keys"], row["ends"], row["counts"]))
+        return pa.Table.from_batches([_pack(key[0].as_py(), seen, size)])
+
+    parts = docs.select("text", F.spark_partition_id().alias("slot")).mapInArrow(count, SUMMARY)
+    while tasks > 1:
+        tasks = ceil(tasks / FAN)
+        parts = parts.withColumn("slot", F.col("slot") % tasks).groupBy("slot").applyInArrow(merge, SUMMARY)
+    rows = parts.collect()  # one summary of at most ``size`` entries
     return _unpack(rows[0]["keys"], rows[0]["ends"], rows[0]["counts"]) if rows else {}
 
 
@@ -102,18 +100,16 @@ def token_counts(docs: DataFrame, ranks_file: str, limit: int = 512, table_size:
     encode = byte_bpe.encoder(ranks_file).encode_ordinary
     frequent = frequent_pretokens(docs, table_size)
     words = [w for w in frequent if "\x00" not in w]
-    blob = docs.sparkSession.sparkContext.broadcast(("\x00".join(words), np.array([len(encode(byte_bpe.spelled(w))) for w in words], dtype=np.uint16).tobytes()))
+    blob = docs.sparkSession.sparkContext.broadcast(("\x00".join(words), np.array([len(encode(byte_bpe.spelled(w))) for w in words], dtype=np.uint32).tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, sizes = blob.value
         cache = _lengths(ranks_file)
-        first = TwoTier(dict(zip(names.split("\x00"), np.frombuffer(sizes, np.uint16).tolist(), strict=True)) if sizes else {}, cache.after_space).__getitem__
+        first = TwoTier(dict(zip(names.split("\x00"), np.frombuffer(sizes, np.uint32).tolist(), strict=True)) if sizes else {}, cache.after_space).__getitem__
 
         def count(text: str) -> int:
-            found = byte_bpe.chunks(text)
-            if isinstance(found, list):
-                return sum(map(cache.plain.__getitem__, found))
-            return (cache.plain[found[0]] if found[0] else 0) + sum(map(first, found[1]))
+            head, rest = byte_bpe.chunks(text)
+            return (cache.plain[head] if head else 0) + sum(map(first, rest))
 
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")

@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -31,6 +32,24 @@ def test_counts(docs, rows, empty):
     assert token_counts.token_counts(empty, RANKS).count() == 0
 
 
+def test_counts_of_long_words_and_any_white_space(spark):
+    rng = np.random.default_rng(4)
+    texts = ["x" * 60_000 + " tail", "".join(rng.choice(list("abcdefgh "), 60_000)).replace(" ", ""), "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 70_000)))]
+    texts += ["".join(rng.choice(list("ab\n\t  \u3000\u00a0\u2028\x1c.'s1"), 400)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = {i: len(BYTES.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    for size in (3, 10_000):
+        assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, RANKS, table_size=size).collect()} == want
+
+
+def test_frequent_chunks_over_levels(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "FAN", 2)
+    docs = spark.createDataFrame([("w%d of the  of" % i,) for i in range(50)] + [(None,), ("", )], "text string").repartition(9)
+    got = token_counts.frequent_pretokens(docs, 100)
+    assert (got["of"], got["the"], got["  of"], len(got)) == (50, 50, 50, 3)  # heads are no chunks of the table
+    assert token_counts.frequent_pretokens(docs.limit(0), 100) == {}
+
+
 def test_word_bpe(docs, rows, empty):
     def want(t):
         ids = WORDS.encode(t or "", add_special_tokens=False).ids

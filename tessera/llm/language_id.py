@@ -1,12 +1,16 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features are hashed n-grams of one to three code points of the lower-cased text, weighted by their share of
-the text times their inverse document frequency. The weights come from follow-the-regularised-leader with an
-elastic net (most of them are exactly zero); a temperature fitted on labelled documents kept from the training
-calibrates the probabilities. The classifier is fitted on a bounded sample of the labelled rows, ``sample_rows``
-in all, dealt evenly over the languages and chosen by hash; prediction reads every whole text and needs no
-shuffle: the weights are broadcast (``buckets`` rows of one number for each language, languages at most
-``max_languages``, the most frequent).
+the text times their inverse document frequency, which counts every training document. The weights come from
+follow-the-regularised-leader with an elastic net (most of them are exactly zero); a temperature fitted on
+labelled documents kept from the training calibrates the probabilities.
+
+The classifier is fitted on a bounded sample of the labelled rows: ``sample_rows`` in all, dealt evenly over the
+languages (one row each at least), and in each language those of least hash of (doc_id, text), so that copies
+of a text under different ids are drawn like any other row; exact repeats of a row count as one. Its features
+come to the driver, six bytes for each distinct bucket of a text (65,536 buckets at most). Every learned language
+is predicted; fitting takes 1.5 MB on the driver for each language, the broadcast weights 0.25 MB. Prediction
+reads every whole text and needs no shuffle.
 
 A text that is null or has no letter is 'und' with score 0. Without labelled rows every text is 'und'. Ties go
 to the language first in order of name. Rows with equal or null ids each keep their own row; an empty table
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.tables import table
@@ -43,16 +47,47 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of texts with any n-gram, and for each bucket the number of texts that have it; summed in each task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((1 << BITS) + 1, np.int64)  # the last counts the texts
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                at = grams(text)
+                if len(at):
+                    here = np.zeros(len(seen), bool)
+                    here[at] = here[-1] = True
+                    seen += here
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["bucket", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # a row for each bucket at most
+    seen = np.zeros((1 << BITS) + 1)
+    seen[counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy()
+    return int(seen[-1]), seen[:-1]
+
+
 def labelled_features(docs: DataFrame) -> DataFrame:
-    """lang, fold, and the distinct buckets of a text with their counts, both as 32-bit integers in bytes."""
+    """lang, fold, h, and the distinct buckets of a text with their counts, as 16-bit and 32-bit numbers in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(grams(t), return_counts=True) for t in batch.column(2).to_pylist()]
-            at, n = ([x[k].astype(np.int32).tobytes() for x in found] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["lang", "fold", "at", "n"])
+            found = [np.unique(grams(t), return_counts=True) for t in batch.column(3).to_pylist()]
+            at, n = ([x[k].astype(kind).tobytes() for x in found] for k, kind in ((0, np.uint16), (1, np.uint32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["lang", "fold", "h", "at", "n"])
+
+    return docs.select("lang", "fold", "h", "text").mapInArrow(run, "lang string, fold int, h long, at binary, n binary")
+
 
-    return docs.select("lang", "fold", "text").mapInArrow(run, "lang string, fold int, at binary, n binary")
+def sample(usable: DataFrame, counts: dict[str, int], sample_rows: int) -> DataFrame:
+    """Features of the rows of least hash in each language, ``sample_rows`` over the number of languages at most; no text is shuffled."""
+    each = max(1, sample_rows // len(counts))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.3 * each + 50) / n))])  # surely enough of them
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
+    near = labelled_features(usable.withColumn("h", h).filter(F.col("h") / (1 << 62) < share[F.col("lang")]))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return near.dropDuplicates(["lang", "h"]).withColumn("place", place).filter(F.col("place") <= each).drop("place")
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -111,27 +146,24 @@ class Model:
         return self.classes[best], float(p[best])
 
 
-def train(docs: DataFrame, sample_rows: int = 4_000, max_languages: int = 200) -> Model:
-    """docs: lang, text and fold (0 to 4; fold 1 calibrates, the others but 0 train, 0 is never read)."""
+def train(docs: DataFrame, sample_rows: int = 6_000) -> Model:
+    """docs: doc_id, lang, text and fold (0 to 4; fold 1 calibrates, the others but 0 train, 0 is never read)."""
     usable = docs.filter("fold <> 0 and lang is not null and text is not null")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()  # a number for each language
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a number for each language
     if not counts:
         return Model([], np.zeros((0, 0)), 1.0)
-    classes = sorted(r["lang"] for r in counts)
-    each = max(1, sample_rows // len(classes))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / r["count"]))])
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
-    picked = usable.filter(chance < share[F.col("lang")]).limit(2 * sample_rows)
-    sample = labelled_features(picked.select("lang", "fold", "text")).collect()  # about sample_rows rows, the documented bound
+    classes = sorted(counts)
+    total, seen = document_frequencies(usable)
+    idf = np.log((1 + total) / (1 + seen)) + 1
     number = {c: i for i, c in enumerate(classes)}
-    rows = [(r["fold"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32), number[r["lang"]]) for r in sample if r["at"]]
-    seen = np.zeros(1 << BITS)
-    for _, a, _, _ in rows:
-        seen[a] += 1
-    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
-    scaled = [(f, a, (n / n.sum() * idf[a] * SCALE).astype(np.float32), y) for f, a, n, y in rows]
-    weights = follow_the_leader([r[1:] for r in scaled if r[0] != 1], len(classes))
-    kept = [r for r in scaled if r[0] == 1]
+    rows = []
+    for r in sample(usable, counts, sample_rows).collect():  # the documented bound
+        if r["at"]:
+            at, n = np.frombuffer(r["at"], np.uint16), np.frombuffer(r["n"], np.uint32)
+            rows.append((r["fold"], at, (n / n.sum() * idf[at] * SCALE).astype(np.float32), number[r["lang"]]))
+    rows.sort(key=lambda r: (r[3], r[1].tobytes(), r[2].tobytes()))  # the fit does not depend on the order of arrival
+    weights = follow_the_leader([r[1:] for r in rows if r[0] != 1], len(classes))
+    kept = [r for r in rows if r[0] == 1]
     temperature = fit_temperature(np.array([x @ weights[a] for _, a, x, _ in kept]).reshape(len(kept), len(classes)), np.array([r[3] for r in kept], np.int64))
     return Model(classes, (weights * idf[:, None] * SCALE).astype(np.float32), temperature)
 

@@ -42,6 +42,42 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in language_id.predict(docs, model).collect()} == {"und"}
 
 
+def test_language_sample_and_frequencies(spark):
+    rng = np.random.default_rng(3)
+    text = lambda: "".join(rng.choice(list("abcdefghij klmn"), 30))
+    rows = [(i, text(), "en") for i in range(400)] + [(1000 + i, "same text of many ids", "en") for i in range(400)] + [(5, "aa", "de")] * 3 + [(None, "null id", "fr")] * 500
+    usable = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("fold", F.lit(2)).repartition(4)
+    got = Counter(r.lang for r in language_id.sample(usable, {"en": 800, "de": 3, "fr": 500}, 300).collect())
+    assert got["de"] == got["fr"] == 1  # repeats of a row count as one
+    assert got["en"] == 100
+    total, seen = language_id.document_frequencies(usable)
+    want = np.zeros(1 << language_id.BITS)
+    for _, t, _ in rows:
+        want[np.unique(language_id.grams(t))] += 1
+    assert total == len(rows)
+    assert (seen == want).all()
+
+
+def test_every_language_is_predicted(spark):
+    names = [f"l{i:03d}" for i in range(250)]  # more than any fixed number of classes
+    rows = [(250 * k + i, " ".join([chr(0x4E00 + 5 * i + j) * 3 for j in range(5)]), n, 2 + k % 2) for i, n in enumerate(names) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, fold int")
+    found = language_id.predict(docs, language_id.train(docs, 750), ("doc_id", "lang")).collect()
+    assert np.mean([r.lang == r.lang_pred for r in found]) > 0.95
+
+
+def test_op1_query(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    english, german = "the and of with from stone river".split(), "der und mit auf nicht haus wasser".split()
+    rows = [(i, " ".join(rng.choice(german if i % 2 else english, 12)), "de" if i % 2 else "en", "s") for i in range(300)] + [(None, None, None, None), (7, "--", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = language_id.op1_language_id(spark, str(tmp_path))
+    assert got.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+    by = [r for r in got.collect() if r.doc_id is not None and r.lang_pred != "und"]
+    assert len(by) == 300 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in by)
+    assert all(r.lang_pred == ("de" if r.doc_id % 2 else "en") for r in by if r.held_out)
+
+
 def test_ftrl_is_sparse_and_calibration_bounded():
     rng = np.random.default_rng(0)
     rows = [(np.array([y, 100 + rng.integers(50)]), np.array([5.0, 0.01]), y) for y in (0, 1) * 40]

@@ -3,12 +3,15 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import html_text, language_id, lm, pii, quality, simhash, syncmers
@@ -181,6 +184,42 @@ def test_pii(docs, rows, empty):
     assert pii.find_pii(empty).count() == 0
 
 
+PLAIN = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(re.sub("[^0-9]", "", s)) <= 19 and pii.luhn(s)),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(re.sub("[^0-9]", "", s)) <= 15),
+}
+
+
+def plain_base(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, (p, ok) in PLAIN.items() for m in re.finditer(p, text) if ok(m[0])]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*"ab19.@@+-_ (.)", "1.2.3.4", "a@b.c", "+1 555 0100 22", "4111 1111 1111 1111", "ß", "\n", "300", "c.d@e-f.gh"]), max_size=40).map("".join))
+def test_base_spans_as_a_plain_scan(text):
+    assert [f"{k}:{a}:{b}" for k, a, b, _ in pii.spans(text) if k in PLAIN] == plain_base(text)
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000 + " .", "a" * 1_000_000 + "@", "a@" * 300_000, "1." * 400_000, "+1 " * 300_000, "token " * 200_000, "a@b.c token=abcdefgh12 " * 20_000, "A1" * 500_000, "12 " * 300_000])
+def test_long_texts_in_proportion(text):
+    start = time.process_time()
+    pii.spans(text)
+    assert time.process_time() - start < 8  # far below what a quadratic scan takes
+
+
+def test_op6_query(spark, tmp_path, rows):
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = pii.op6_pii(spark, str(tmp_path)).collect()
+    want = []
+    for r in rows:
+        base = plain_base(r[1] or "")
+        want.append((r[0], *[sum(x.startswith(k + ":") for x in base) for k in PLAIN], hashlib.sha256(",".join(base).encode()).hexdigest()))
+    assert sorted((tuple(r)[:6] for r in got), key=key) == sorted(want, key=key)
+    assert all(len(r.spans.split(",")) == len(r.scores.split(",")) for r in got)
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [

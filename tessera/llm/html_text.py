@@ -1,15 +1,18 @@
 """Visible text of HTML pages by layout-aware rendering.
 
 A tokenizer reads tags, text and comments; a tree builder opens and closes elements with the tags that HTML
-implies (a paragraph ends before a block, an item before the next item, a cell before the next cell, and so
-on); a renderer walks the tree. Elements that are never shown (head, script, style, template and the like),
-or that are hidden by attribute or inline style, give nothing. Blocks begin on their own line, paragraphs and
-headings stand between blank lines, list items carry a bullet or number with indentation by depth, cells of a
-table are aligned in columns, ``br`` breaks a line, ``pre`` keeps white space, and other white space collapses.
+implies (a paragraph ends before a block, an item before the next item, the head before anything it may not
+contain, a row comes before its cells, and so on) and moves what may not stand in a table before it; a renderer
+walks the tree. Hidden is what layout hides: elements that are never shown (script, style, template and the
+like), closed details and dialogs, ``hidden``, and the inline styles display, visibility, opacity and font-size;
+visibility and font-size are inherited and can be taken back by a child. Style sheets are not read. Blocks begin
+on their own line, paragraphs and headings stand between blank lines, list items carry a bullet or number with
+indentation by depth, cells of a table are aligned in columns, ``br`` breaks a line, ``pre`` and ``textarea``
+keep white space, and other white space collapses.
 
 A null page gives null text and 0 blocks; an empty page the empty text. Rows with equal or null ids each keep
-their own row; an empty table gives an empty result; further columns are ignored. Trees of any depth are built
-and walked without recursion.
+their own row; an empty table gives an empty result; further columns are ignored. Trees and tables of any depth
+are built and walked without recursion.
 """
 
 from __future__ import annotations
@@ -24,57 +27,90 @@ from pyspark.sql import functions as F
 
 from tessera.sources.tables import table
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title iframe object svg math canvas audio video select datalist textarea".split())
-RAW = frozenset("script style textarea title".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr caption ul".split())
+VOID = frozenset("area base br col colgroup embed hr img input link meta param source track wbr".split())
+UNSEEN = frozenset("head script style template noscript title iframe object canvas audio video datalist rp param noembed noframes annotation annotation-xml".split())
+#: not shown inside svg
+UNSEEN_SVG = frozenset("defs desc metadata symbol clippath mask pattern lineargradient radialgradient".split())
+#: their content is characters up to the end tag; those of the second set may hold character references
+RAW, ESCAPED = frozenset("script style textarea title noscript iframe xmp noembed noframes".split()), frozenset("textarea title".split())
+#: what the head may contain; anything else ends it
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+SECTIONS, TABLE_PARTS = frozenset("thead tbody tfoot".split()), frozenset("table thead tbody tfoot tr".split())
+#: what may stand directly in a table or its sections and rows
+IN_TABLE = frozenset("caption colgroup col thead tbody tfoot tr td th style script template".split())
+BLOCK = frozenset("option optgroup address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr caption ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
-LISTS = frozenset("ul ol menu dir".split())
+LISTS, KEPT = frozenset("ul ol menu dir".split()), frozenset("pre textarea xmp listing".split())
 #: an opening tag closes the nearest open element of these names, not looking beyond the fences
 IMPLIED = {
     "li": ({"li"}, LISTS),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "thead": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
-    "tbody": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
-    "option": ({"option"}, {"select"}),
+    "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"optgroup", "option"}, {"select", "datalist"}),
 }
+#: the elements of a table that a part of it goes into
+PARENTS = {"caption": {"table"}, "colgroup": {"table"}, "col": {"table", "colgroup"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "tr": SECTIONS | {"table"}, "td": {"tr"}, "th": {"tr"}}
 FENCES = frozenset("table td th caption button".split())
-CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
+CLOSES_P = BLOCK - {"option", "optgroup", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 
-_token = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)>?", re.S)
+_token = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>=]++|=)*+)>?", re.S)
 _attribute = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-_hidden_style = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|(?:^|;)\s*opacity\s*:\s*0(?:\.0*)?\s*(?:;|$))", re.I)
+_zero = re.compile(r"\+?0*(?:\.0*)?(?:px|pt|em|rem|ex|ch|vw|vh|%|cm|mm|in|pc)?")
 _space = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    """An element with its children: nodes and strings."""
+    """An element with its children: nodes and strings.
 
-    __slots__ = ("children", "hidden", "name", "start")
+    ``hidden``: nothing below it is shown. ``unseen``, ``tiny``: its own text is not, by visibility or font size.
+    """
 
-    def __init__(self, name: str, hidden: bool = False, start: int = 1):
-        self.name, self.hidden, self.start, self.children = name, hidden, start, []
+    __slots__ = ("children", "closed", "hidden", "name", "start", "tiny", "unseen")
 
-
-def attributes(raw: str) -> dict[str, str]:
-    return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _attribute.findall(raw)}
+    def __init__(self, name: str, within: "Node | None" = None):
+        self.name, self.hidden, self.closed, self.start, self.children = name, False, False, 1, []
+        self.unseen, self.tiny = (within.unseen, within.tiny) if within else (False, False)
 
 
-def is_hidden(name: str, raw: str) -> tuple[bool, int]:
-    """Whether an element is not shown, and the first number of a list."""
-    if name in UNSEEN:
-        return True, 1
-    if not raw or raw.isspace():
-        return False, 1
-    a = attributes(raw)
-    start = int(a["start"]) if name == "ol" and re.fullmatch(r"-?[0-9]{1,9}", a.get("start", "")) else 1
-    hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or (name == "input" and a.get("type", "").lower() == "hidden")
-    return hidden or bool(_hidden_style.search(a.get("style", ""))), start
+def attributes(raw: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for k, v in _attribute.findall(raw):
+        found.setdefault(k.lower(), html.unescape(v.strip("\"'")))
+    return found
+
+
+def declarations(style: str) -> dict[str, str]:
+    """The properties of an inline style; the last of a name counts."""
+    pairs = (d.partition(":") for d in style.lower().split(";"))
+    return {k.strip(): v.replace("!important", "").strip() for k, _, v in pairs}
+
+
+def element(name: str, raw: str, within: Node, in_svg: bool) -> Node:
+    """A node with what its attributes say of its visibility."""
+    node = Node(name, within)
+    node.hidden = name in UNSEEN or (in_svg and name in UNSEEN_SVG)
+    a = attributes(raw) if raw and not raw.isspace() else {}
+    node.closed = name == "details" and "open" not in a
+    if name == "dialog" and "open" not in a:
+        node.hidden = True
+    if not a or node.hidden:
+        return node
+    if name == "ol" and re.fullmatch(r"-?[0-9]{1,9}", a.get("start", "")):
+        node.start = int(a["start"])
+    elif name == "input":
+        kind = a.get("type", "").lower()
+        if kind not in ("hidden", "checkbox", "radio", "password", "file", "image", "range", "color") and a.get("value"):
+            node.children.append(a["value"])
+    style = declarations(a["style"]) if "style" in a else {}
+    opacity = style.get("opacity", "")
+    node.hidden = "hidden" in a or style.get("display") == "none" or (bool(opacity) and _zero.fullmatch(opacity) is not None)
+    if "visibility" in style:
+        node.unseen = style["visibility"] in ("hidden", "collapse") or (node.unseen and style["visibility"] == "inherit")
+    size = style.get("font-size", "")
+    if size and not (node.tiny and size.endswith(("%", "em")) and not size.endswith("rem")):  # a share of nothing is nothing
+        node.tiny = _zero.fullmatch(size) is not None
+    return node
 
 
 def parse(page: str) -> Node:
@@ -87,6 +123,10 @@ def parse(page: str) -> Node:
         while len(stack) > index:
             open_names[stack.pop().name] -= 1
 
+    def push(node: Node) -> None:
+        stack.append(node)
+        open_names[node.name] = open_names.get(node.name, 0) + 1
+
     def close(names: set[str] | frozenset[str], fences: set[str] | frozenset[str]) -> None:
         if not any(open_names.get(n) for n in names):
             return
@@ -97,40 +137,85 @@ def parse(page: str) -> Node:
             if stack[i].name in fences:
                 return
 
+    def put(child: Node | str, stray: bool) -> None:
+        """Append to the open element; what is stray in a table goes before it."""
+        if not stray:
+            stack[-1].children.append(child)
+            return
+        at = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == "table")
+        beside = stack[at - 1].children
+        beside.insert(next(i for i in range(len(beside) - 1, -1, -1) if beside[i] is stack[at]), child)
+
+    def text(s: str) -> None:
+        blank = not s or s.isspace()
+        if stack[-1].name == "head" and not blank:
+            pop_to(len(stack) - 1)
+        stray = stack[-1].name in TABLE_PARTS and not blank and bool(open_names.get("table"))
+        shown = next(x for x in reversed(stack) if x.name not in TABLE_PARTS) if stray else stack[-1]
+        if not shown.unseen and not shown.tiny:
+            put(s, stray)
+
     at, n = 0, len(page)
     while at < n:
         m = _token.search(page, at)
         if not m:
-            stack[-1].children.append(html.unescape(page[at:]))
+            text(html.unescape(page[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            text(html.unescape(page[at : m.start()]))
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
         if m[1]:
             if name == "p" and not open_names.get("p"):
-                stack[-1].children.append(Node("p"))
+                put(Node("p"), stack[-1].name in TABLE_PARTS and bool(open_names.get("table")))
             elif name == "br":
-                stack[-1].children.append(Node("br"))
+                put(Node("br"), stack[-1].name in TABLE_PARTS and bool(open_names.get("table")))
             elif name not in ("html", "body"):
-                close({name}, FENCES - {name} if name not in ("table", "tr", "tbody", "thead", "tfoot") else frozenset({"table"} - {name}))
+                close({name}, FENCES - {name} if name not in TABLE_PARTS else frozenset({"table"} - {name}))
+            continue
+        if name in ("html", "frameset"):
+            continue
+        if stack[-1].name == "head" and name not in IN_HEAD:
+            pop_to(len(stack) - 1)
+        if name == "body" and open_names.get("body"):
             continue
         if name in CLOSES_P and open_names.get("p"):
             close({"p"}, FENCES)
         if name in IMPLIED:
             close(*IMPLIED[name])
-        hidden, start = is_hidden(name, m[3])
-        node = Node(name, hidden, start)
-        stack[-1].children.append(node)
+        in_table = bool(open_names.get("table"))
+        if in_table and name in PARENTS:  # end what is open inside the part's parent
+            wanted = PARENTS[name]
+            i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name in wanted or stack[i].name in SECTIONS or stack[i].name == "table")
+            if stack[i].name not in wanted and stack[i].name in SECTIONS and name not in ("td", "th"):
+                i = next(k for k in range(i, -1, -1) if stack[k].name == "table")
+            pop_to(i + 1)
+            if name in ("td", "th") and stack[-1].name != "tr":
+                row = Node("tr", stack[-1])
+                put(row, False)
+                push(row)
+        elif name == "table" and stack[-1].name in TABLE_PARTS and in_table:  # a table directly in a table ends it
+            close({"table"}, frozenset())
+        within = stack[-1]
+        stray = within.name in TABLE_PARTS and bool(open_names.get("table")) and name not in IN_TABLE and name != "form"
+        if stray:
+            within = next(x for x in reversed(stack) if x.name not in TABLE_PARTS)
+        node = element(name, m[3], within, bool(open_names.get("svg")))
+        put(node, stray)
+        if node.unseen or node.tiny:
+            node.children.clear()  # an input's value
+        if name == "form" and within.name in TABLE_PARTS:
+            continue  # a form between the parts of a table holds nothing
         if name in RAW:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
-            node.children.append(page[at : end.start() if end else n])
+            inner = page[at : end.start() if end else n]
+            if not node.unseen and not node.tiny:
+                node.children.append(html.unescape(inner) if name in ESCAPED else inner)
             at = (page.find(">", end.start()) + 1 or n) if end else n
-        elif name not in VOID:
-            stack.append(node)
-            open_names[name] = open_names.get(name, 0) + 1
+        elif name not in VOID and not (m[3].endswith("/") and open_names.get("svg")):
+            push(node)
     return root
 
 
@@ -186,42 +271,56 @@ class Lines:
         return "\n".join(self.lines)
 
 
+def children(node: Node) -> list:
+    """What is shown of an element's children."""
+    if node.hidden:
+        return []
+    if node.closed:
+        return [c for c in node.children if isinstance(c, Node) and c.name == "summary"][:1]
+    return node.children
+
+
 def plain(node: Node) -> str:
-    """The characters of a node as they stand, without what is hidden; for pre."""
-    out, stack = [], [node]
+    """The characters of a node as they stand, without what is hidden; for pre. Blocks inside begin on their own line, cells after a space."""
+    out: list[str] = []
+    stack: list[Node | str | None] = [node]
     while stack:
         x = stack.pop()
         if isinstance(x, str):
             out.append(x)
-        elif x.name == "br":
-            out.append("\n")
-        elif not x.hidden:
-            stack.extend(reversed(x.children))
+            continue
+        if x is not None and x.name in ("td", "th"):
+            out.append(" ")
+        elif x is None or (x is not node and x.name in BLOCK) or (x is not node and x.name == "br"):
+            if out and (not out[-1].endswith("\n") or (x is not None and x.name == "br")):
+                out.append("\n")
+            if x is not None and x.name != "br":
+                stack.append(None)
+        if x is not None:
+            stack.extend(reversed(children(x)))
     return "".join(out)
 
 
-def rows_of(node: Node) -> tuple[list[str], list[list[Node]]]:
-    """Captions and rows of cells of a table, nested tables left to their cells."""
+def rows_of(node: Node, texts: dict[int, str]) -> tuple[list[str], list[list[Node]]]:
+    """Captions and rows of cells of a table."""
     captions, rows, stack = [], [], list(reversed(node.children))
     while stack:
         x = stack.pop()
         if isinstance(x, str) or x.hidden:
             continue
         if x.name == "caption":
-            captions.append(render(x))
+            captions.append(texts[id(x)])
         elif x.name == "tr":
             rows.append([c for c in x.children if isinstance(c, Node) and not c.hidden and c.name in ("td", "th")])
-        elif x.name in ("td", "th"):
-            rows.append([x])
-        elif x.name in ("thead", "tbody", "tfoot"):
+        elif x.name in SECTIONS:
             stack.extend(reversed(x.children))
     return captions, rows
 
 
-def table_lines(node: Node, depth: int) -> list[str]:
+def table_lines(node: Node, texts: dict[int, str]) -> list[str]:
     """A table with cells padded to the width of their column; a cell of many lines is joined by spaces."""
-    captions, rows = rows_of(node)
-    cells = [[" ".join(render(c, depth + 1).split("\n")).strip() for c in row] for row in rows]
+    captions, rows = rows_of(node, texts)
+    cells = [[" ".join(texts[id(c)].split("\n")).strip() for c in row] for row in rows]
     cells = [row for row in cells if any(row)]
     widths: list[int] = []
     for row in cells:
@@ -232,8 +331,22 @@ def table_lines(node: Node, depth: int) -> list[str]:
     return [*[c for c in captions if c], *["  ".join(c.ljust(w) for c, w in zip(row, widths, strict=False)).rstrip() for row in cells]]
 
 
-def render(node: Node, depth: int = 0) -> str:
-    """The visible text below a node. Tables nested beyond 20 levels are read as running text."""
+def render(root: Node) -> str:
+    """The visible text below a node: that of its tables' cells first, innermost tables before the others."""
+    parts, stack = [], [(root, False)]
+    while stack:  # cells and captions, outer ones first
+        x, in_table = stack.pop()
+        if in_table and x.name in ("td", "th", "caption"):
+            parts.append(x)
+        stack.extend((c, in_table or x.name == "table") for c in children(x) if isinstance(c, Node))
+    texts: dict[int, str] = {}
+    for x in reversed(parts):
+        texts[id(x)] = laid_out(x, texts)
+    return laid_out(root, texts)
+
+
+def laid_out(node: Node, texts: dict[int, str]) -> str:
+    """The visible text below a node, given the texts of the cells and captions below it."""
     out = Lines()
     counters: list[list] = []  # open lists: kind and next number
     stack: list = [(c, True) for c in reversed(node.children)]
@@ -254,14 +367,14 @@ def render(node: Node, depth: int = 0) -> str:
                 continue
             if name == "img":
                 continue
-            if name == "pre":
+            if name in KEPT:
                 out.blank = True
                 out.whole(plain(x).strip("\n").split("\n"))
                 out.blank = True
                 continue
-            if name == "table" and depth < 20:
+            if name == "table":
                 out.blank = out.blank or bool(out.lines or out.line)
-                out.whole(table_lines(x, depth))
+                out.whole(table_lines(x, texts))
                 out.blank = True
                 continue
             if name in BLOCK:
@@ -285,7 +398,7 @@ def render(node: Node, depth: int = 0) -> str:
             elif name == "dd":
                 out.indent += 1
             stack.append((x, False))
-            stack.extend((c, True) for c in reversed(x.children))
+            stack.extend((c, True) for c in reversed(children(x)))
             continue
         if name in BLOCK:
             out.end()

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -237,12 +238,105 @@ def test_op6_query(spark, tmp_path, rows):
         ("< not a tag <", "< not a tag <"),
         ("<a title='it's'>q</a>r", "qr"),
         ("<div>" * 3000 + "deep", "deep"),
+        ("<html><head><title>t</title><body><p>x", "x"),
+        ("<html><head><title>t</title><p>x", "x"),
+        ("<head><meta charset=utf-8>loose text", "loose text"),
+        ("<table><form><tr><td>cell</td></tr></form></table>", "cell"),
+        ("<table>loose<tr><td>cell</table>", "loose\n\ncell"),
+        ("<table><tr><div>block</div><td>cell</td></tr><p>para</table>after", "block\n\npara\n\ncell\n\nafter"),
+        ("<table><td>a<td>b<tr><td>c</table>", "a  b\nc"),
+        ("<table><colgroup><col><tr><td>a<table><tr><td>in</table></table>", "a  in"),
+        ("<p style='visibility:hidden'>no<b style='visibility:visible'>yes</b></p>", "yes"),
+        ("<p style='font-size:0'>no<b style='font-size:12px'>yes</b><i style='font-size:2em'>no</i></p>", "yes"),
+        ("<div style='opacity: 0'>no<b style='opacity:1'>no</b></div>a", "a"),
+        ("<span style='opacity:0.5'>a</span>", "a"),
+        ("<div aria-hidden=true>shown</div>", "shown"),
+        ("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details>", "s\nt\nyes"),
+        ("<textarea>a  b &amp;\n c</textarea>", "a  b &\n c"),
+        ("<select><option>a<option>b</select>", "a\nb"),
+        ("<svg><title>no</title><defs><text>no</text></defs><text>yes</text></svg><math><mi>x</mi></math>", "yesx"),
+        ("<input type=submit value='Go on'><input type=hidden value=no>", "Go on"),
+        ("a<!-->b<!--->c<!-- d --!>e", "abce"),
+        ("a</ bogus>b", "ab"),
+        ("<iframe>no</iframe><noscript><p>no</p></noscript>yes", "yes"),
     ],
 )
 def test_pages(page, text):
     assert html_text.extract(page) == text
 
 
+def random_page(rng, shown):
+    """A page of nested elements; the words that a browser shows are added to ``shown``."""
+    count = iter(range(10**9))
+
+    def piece(depth, seen, table_depth=0):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice(["word", "word", "inline", "block", "list", "table", "hide", "raw", "details", "input", "pre"]) if depth < 6 else "word"
+            if kind == "word":
+                w = f"w{next(count)}"
+                if seen:
+                    shown.append(w)
+                out.append(f" {w} ")
+            elif kind == "inline":
+                tag = rng.choice(["b", "i", "span", "a", "font", "custom-x"])
+                out.append(f"<{tag}>{piece(depth + 1, seen)}</{tag}>")
+            elif kind == "block":
+                tag = rng.choice(["div", "section", "h2", "blockquote", "form", "fieldset", "center"])
+                out.append(f"<{tag}>{piece(depth + 1, seen)}</{tag}>")
+            elif kind == "list":
+                tag = rng.choice(["ul", "ol", "dl"])
+                item = "dd" if tag == "dl" else "li"
+                out.append(f"<{tag}>" + "".join(f"<{item}>{piece(depth + 1, seen)}" + rng.choice(["", f"</{item}>"]) for _ in range(2)) + f"</{tag}>")
+            elif kind == "table":
+                rows = "".join("<tr>" + "".join(f"<td>{piece(depth + 1, seen)}" for _ in range(rng.randint(1, 3))) for _ in range(2))
+                stray = rng.choice(["", "%s", "<div>%s</div>", "<form>", "<p><b>%s</b>"])
+                stray = stray % piece(6, seen) if "%s" in stray else stray
+                out.append(rng.choice(["<table>%s%s</table>", "<table><tbody>%s%s</tbody></table>", "<table><thead><tr>%s</tr></thead>%s</table>"]) % (stray, rows))
+            elif kind == "hide":
+                hidden = rng.choice([" hidden", " style='display:none'", ' style="color:red; DISPLAY : none !important"', " style='visibility:hidden'", " style='opacity:0'", " style='font-size:0px'"])
+                out.append(f"<div{hidden}>{piece(depth + 1, False)}</div>")
+            elif kind == "raw":
+                tag = rng.choice(["script", "style", "template", "noscript", "iframe"])
+                out.append(f"<{tag}>w{next(count)}</{tag}>")
+            elif kind == "details":
+                is_open = rng.random() < 0.5
+                out.append(f"<details{' open' * is_open}><summary>{piece(5, seen)}</summary>{piece(depth + 1, seen and is_open)}</details>")
+            elif kind == "input":
+                w = f"w{next(count)}"
+                if seen:
+                    shown.append(w)
+                out.append(rng.choice([f"<textarea>{w}</textarea>", f"<select><option>{w}</select>", f"<input type=button value={w}>", f"<svg><text>{w}</text></svg>"]))
+            else:
+                out.append(f"<pre>{piece(5, seen)}</pre>")
+        return "".join(out)
+
+    return rng.choice(["<html><head><title>w0t</title>", "<head><style>w1t</style></head>", "<title>w2t</title>", ""]) + rng.choice(["<body>", ""]) + piece(0, True)
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_all_visible_words_come_out(seed):
+    shown = []
+    page = random_page(random.Random(seed), shown)
+    assert sorted(re.findall(r"w\d+", html_text.extract(page))) == sorted(shown)
+
+
+def test_deep_and_long_pages():
+    start = time.process_time()
+    assert html_text.extract("<table><tr><td>" * 3000 + "deep") == "deep"
+    assert html_text.extract("<p " + "a=1 " * 200_000 + ">x") == "x"
+    assert len(html_text.extract("<li>a" * 100_000).split("\n")) == 100_000
+    assert html_text.extract("<" * 200_000 + "<!--" * 1000) == "<" * 200_000
+    assert time.process_time() - start < 20
+
+
+def test_op7_query(spark, tmp_path):
+    rows = [(i, f"u{i}", f"<head><title>t</title><body><h1>h{i}</h1><p>text {i}") for i in range(50)] + [(None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.text, r.n_blocks) for r in html_text.op7_html_text(spark, str(tmp_path)).collect()}
+    assert got == {i: (f"h{i}\n\ntext {i}", 2) for i in range(50)} | {None: (None, 0)}
+
+
 def test_page_rows(spark):
     rows = [(1, None, "x"), (None, "<p>a", "x"), (1, "", None), (2, "<table>" * 60 + "t", None)]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()

@@ -2,9 +2,9 @@
 
 Texts become ids on the map side; what moves is one small row for each piece. Pieces are dealt at random to
 shards of a fixed size, so a shard's work and memory do not grow with the corpus, and each shard packs its
-pieces best-fit decreasing. Local search then exchanges one piece for one, two for one, or moves a piece
-between underfull sequences, always towards a larger sum of squared fills, until no sequence can be emptied.
-A shard leaves about one underfull sequence; that is the whole cost of sharding.
+pieces best-fit decreasing. Local search then moves one piece, or exchanges one for one or two for one, between
+any two underfull sequences where the sum of squared fills increases, and stops only when no such step is left;
+sequences that become empty go. A shard leaves about one underfull sequence; that is the whole cost of sharding.
 
 A null text is an empty document (only its closing id). Rows with equal or null doc_id are packed each for
 itself; an empty table gives an empty result; further columns of the input are ignored.
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil
@@ -78,107 +77,176 @@ class Bins:
         self.lengths, self.capacity = lengths, capacity
         self.items: list[list[int]] = []
         self.free: list[int] = []
-        self.by_free: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.mask = 0  # bit f: some open bin has f free
 
-    def _file(self, b: int, free: int) -> None:
-        self.free[b] = free
-        self.by_free[free].add(b)
-        self.mask |= 1 << free
-
-    def _unfile(self, b: int) -> None:
-        f = self.free[b]
-        self.by_free[f].discard(b)
-        if not self.by_free[f]:
-            self.mask &= ~(1 << f)
-
-    def tightest(self, length: int, but: int = -1) -> int:
-        """The open bin with the least free room of at least ``length``, or -1."""
+    def add(self, item: int) -> None:
+        """Into the open bin with the least free room that is enough, or into a new one."""
+        length = self.lengths[item]
         rest = self.mask >> length
-        while rest:
-            f = length + (rest & -rest).bit_length() - 1
-            for b in self.by_free[f]:
-                if b != but and self.items[b]:
-                    return b
-            rest = (self.mask >> (f + 1)) << (f + 1 - length)
-        return -1
-
-    def add(self, item: int, b: int) -> None:
-        if b < 0:
-            b = len(self.items)
+        if rest:
+            free = length + (rest & -rest).bit_length() - 1
+            b = self.by_free[free].pop()
+            if not self.by_free[free]:
+                self.mask &= ~(1 << free)
+        else:
+            free, b = self.capacity, len(self.items)
             self.items.append([])
             self.free.append(0)
-            self._file(b, self.capacity)
-        self._unfile(b)
         self.items[b].append(item)
-        self._file(b, self.free[b] - self.lengths[item])
-
-    def exchange(self, a: int, give: list[int], c: int, take: list[int]) -> None:
-        """Bin a gives items to bin c and takes others from it."""
-        delta = sum(self.lengths[i] for i in give) - sum(self.lengths[i] for i in take)
-        for b, out, into, change in ((a, give, take, delta), (c, take, give, -delta)):
-            self._unfile(b)
-            self.items[b] = [i for i in self.items[b] if i not in out] + into
-            self._file(b, self.free[b] + change)
+        self.free[b] = free - length
+        self.by_free[self.free[b]].append(b)
+        self.mask |= 1 << self.free[b]
 
 
 def best_fit(lengths: list[int], capacity: int) -> Bins:
     bins = Bins(lengths, capacity)
     for item in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        bins.add(item, bins.tightest(lengths[item]))
+        bins.add(item)
     return bins
 
 
-def _better(bins: Bins, a: int, targets: list[int]) -> bool:
-    """Make the first exchange found that takes tokens from bin a into a fuller one; such a step increases the sum of squared fills."""
-    n, mine = bins.lengths, sorted(bins.items[a], key=lambda i: -bins.lengths[i])
-    for i in mine:
-        if (c := bins.tightest(n[i], a)) >= 0 and bins.free[c] <= bins.free[a]:
-            bins.exchange(a, [i], c, [])
-            return True
-    for c in targets:
-        room = bins.free[c]
-        if c == a or not room or not bins.items[c] or room > bins.free[a]:
-            continue
-        theirs = sorted(bins.items[c], key=lambda i: n[i])
-        sizes = [n[i] for i in theirs]
-        for i in mine:
-            k = bisect_left(sizes, n[i] - room)  # one for one: their smallest that makes room enough
-            if k < len(sizes) and sizes[k] < n[i]:
-                bins.exchange(a, [i], c, [theirs[k]])
-                return True
-            for x in range(len(sizes)):  # one of ours for two of theirs
-                k = bisect_left(sizes, n[i] - room - sizes[x], x + 1)
-                if k < len(sizes) and sizes[x] + sizes[k] < n[i]:
-                    bins.exchange(a, [i], c, [theirs[x], theirs[k]])
-                    return True
-        for p, i in enumerate(mine):  # two of ours for one of theirs
-            for j in mine[p + 1 :]:
-                k = bisect_left(sizes, n[i] + n[j] - room)
-                if k < len(sizes) and sizes[k] < n[i] + n[j]:
-                    bins.exchange(a, [i, j], c, [theirs[k]])
-                    return True
-    return False
-
-
-def local_search(bins: Bins, width: int = 256) -> None:
-    """Empty the emptiest bins while exchanges with the ``width`` underfull bins of most room increase the squared fill.
-
-    Stops when the tokens left no longer need fewer bins or when no exchange is left for the emptiest bin.
+class Donors:
+    """Bins by what they can give (a length, or the sum of two) and their fill."""
+
+    def __init__(self, capacity: int):
+        self.mask = 0  # bit s: some bin can give s
+        self.fills = [0] * (capacity + 1)  # bit f of fills[s]: a bin of fill f can give s
+        self.bins: dict[tuple[int, int], set[int]] = {}
+
+    def add(self, s: int, fill: int, b: int) -> None:
+        self.bins.setdefault((s, fill), set()).add(b)
+        self.fills[s] |= 1 << fill
+        self.mask |= 1 << s
+
+    def discard(self, s: int, fill: int, b: int) -> None:
+        held = self.bins[s, fill]
+        held.discard(b)
+        if not held:
+            del self.bins[s, fill]
+            self.fills[s] &= ~(1 << fill)
+            if not self.fills[s]:
+                self.mask &= ~(1 << s)
+
+    def emptiest(self, s: int, below: int, but: int) -> int:
+        """The bin of least fill, less than ``below``, that can give s, or -1."""
+        rest = self.fills[s] & ((1 << below) - 1)
+        while rest:
+            for b in self.bins[s, (rest & -rest).bit_length() - 1]:
+                if b != but:
+                    return b
+            rest &= rest - 1
+        return -1
+
+
+class LocalSearch:
+    """Exchanges between underfull bins until none increases the sum of squared fills.
+
+    An exchange increases it exactly if the bin that gains becomes fuller than both were. So for each bin and
+    each of its items, pairs of items, or nothing, given away, the donors are asked for the largest gain that
+    fits, the emptiest donor first. Items of equal length are alike: a bin offers each of its distinct lengths and
+    sums of two once, some two thousand at most at a capacity of 2048.
     """
-    total = sum(bins.lengths)
-    least = ceil(total / bins.capacity)
-    order = sorted((b for b in range(len(bins.items)) if bins.items[b] and bins.free[b]), key=lambda b: -bins.free[b])
-    used = sum(1 for x in bins.items if x)
-    for at, a in enumerate(order):
-        if used <= least:
-            return
-        targets = order[at + 1 : at + 1 + width]
-        while bins.items[a] and _better(bins, a, targets):
-            pass
-        if bins.items[a]:
-            return
-        used -= 1
+
+    def __init__(self, bins: Bins):
+        self.capacity = bins.capacity
+        self.content: list[dict[int, list[int]]] = []
+        for items in bins.items:
+            by_length: dict[int, list[int]] = {}
+            for i in items:
+                by_length.setdefault(bins.lengths[i], []).append(i)
+            self.content.append(by_length)
+        self.fill = [bins.capacity - f for f in bins.free]
+        self.one, self.two = Donors(bins.capacity), Donors(bins.capacity)
+        self.open: set[int] = set()
+        for b in range(len(self.fill)):
+            self._offer(b)
+
+    def _pairs(self, b: int) -> dict[int, tuple[int, int]]:
+        """Sums of two items of a bin, with their lengths."""
+        own = sorted(self.content[b])
+        return {x + y: (x, y) for k, x in enumerate(own) for y in own[k:] if x != y or len(self.content[b][x]) > 1}
+
+    def _offer(self, b: int) -> None:
+        if 0 < self.fill[b] < self.capacity:
+            self.open.add(b)
+            for x in self.content[b]:
+                self.one.add(x, self.fill[b], b)
+            for s in self._pairs(b):
+                self.two.add(s, self.fill[b], b)
+
+    def _withdraw(self, b: int) -> None:
+        self.open.discard(b)
+        for x in self.content[b]:
+            self.one.discard(x, self.fill[b], b)
+        for s in self._pairs(b):
+            self.two.discard(s, self.fill[b], b)
+
+    def _exchange(self, a: int, give: tuple[int, ...], c: int, take: tuple[int, ...]) -> None:
+        """Bin a gives items of these lengths to bin c and takes others from it."""
+        self._withdraw(a)
+        self._withdraw(c)
+        moved = [(c, x, self._pop(a, x)) for x in give] + [(a, x, self._pop(c, x)) for x in take]
+        for b, x, i in moved:
+            self.content[b].setdefault(x, []).append(i)
+        change = sum(give) - sum(take)
+        self.fill[a] -= change
+        self.fill[c] += change
+        self._offer(a)
+        self._offer(c)
+
+    def _pop(self, b: int, x: int) -> int:
+        own = self.content[b][x]
+        i = own.pop()
+        if not own:
+            del self.content[b][x]
+        return i
+
+    def improve(self, c: int) -> bool:
+        """Make the exchange that fills bin c most."""
+        fill, room = self.fill[c], self.capacity - self.fill[c]
+        outs: list[tuple[int, tuple[int, ...]]] = [(0, ()), *((x, (x,)) for x in self.content[c]), *self._pairs(c).items()]
+        best, chosen = fill, None
+        for s, out in outs:
+            for donors in (self.one,) if len(out) == 2 else (self.one, self.two):
+                least = best - fill + s + 1  # a smaller gift fills c no more than what is found
+                rest = (donors.mask & ((1 << (s + room + 1)) - 1)) >> least
+                while rest:
+                    gift = rest.bit_length() - 1
+                    a = donors.emptiest(least + gift, fill - s + least + gift, c)
+                    if a >= 0:
+                        best, chosen = fill - s + least + gift, (a, donors, least + gift, out)
+                        break
+                    rest ^= 1 << gift
+            if best == self.capacity:
+                break
+        if not chosen:
+            return False
+        a, donors, gift, out = chosen
+        self._exchange(a, (gift,) if donors is self.one else self._pairs(a)[gift], c, out)
+        return True
+
+    def run(self) -> None:
+        changed = True
+        while changed:
+            changed, failed = False, set()  # bins of equal content fail alike until something changes
+            for c in sorted(self.open, key=lambda b: -self.fill[b]):
+                while c in self.open:
+                    pattern = tuple(sorted((x, len(i)) for x, i in self.content[c].items()))
+                    if pattern in failed:
+                        break
+                    if not self.improve(c):
+                        failed.add(pattern)
+                        break
+                    changed = True
+                    failed.clear()
+
+
+def local_search(bins: Bins) -> None:
+    """Exchange between underfull bins until no exchange increases the sum of squared fills."""
+    search = LocalSearch(bins)
+    search.run()
+    bins.items = [[i for own in content.values() for i in own] for content in search.content]
 
 
 def pack_shard(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:

@@ -1,6 +1,7 @@
 """BPE coding, token counts and packing against the tokenizer library."""
 
 import hashlib
+import itertools
 import math
 import struct
 import zlib
@@ -115,6 +116,82 @@ def test_bins(lengths):
     assert len(fill) <= len({b for b, x in enumerate(packing.best_fit(lengths, 50).items) if x})
 
 
+def squares(fills):
+    return sum(f * f for f in fills)
+
+
+def better_neighbour(bins, capacity):
+    """Whether a move, a one-for-one or a two-for-one exchange between two underfull bins increases the squared fill."""
+    for a in range(len(bins)):
+        for c in range(len(bins)):
+            fa, fc = sum(bins[a]), sum(bins[c])
+            if a == c or not 0 < fa < capacity or not 0 < fc < capacity:
+                continue
+            for k, m in ((1, 0), (1, 1), (2, 1), (1, 2)):
+                for give in itertools.combinations(bins[a], k):
+                    for take in itertools.combinations(bins[c], m):
+                        d = sum(give) - sum(take)
+                        if max(fa - d, fc + d) <= capacity and squares((fa - d, fc + d)) > squares((fa, fc)):
+                            return True
+    return False
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.integers(1, 50), st.sampled_from([17, 20, 24, 26])), max_size=40))
+def test_search_ends_where_no_exchange_helps(lengths):
+    bins = packing.best_fit(lengths, 50)
+    before = [sum(lengths[i] for i in b) for b in bins.items]
+    packing.local_search(bins)
+    assert sorted(i for b in bins.items for i in b) == list(range(len(lengths)))
+    after = [sum(lengths[i] for i in b) for b in bins.items]
+    assert all(f <= 50 for f in after)
+    assert squares(after) >= squares(before)
+    assert not better_neighbour([[lengths[i] for i in b] for b in bins.items], 50)
+
+
+def fewest(lengths, capacity):
+    """The least number of bins, by exhaustive search."""
+    best = len(lengths)
+
+    def place(at, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if at == len(lengths):
+            best = len(fills)
+            return
+        for k in range(len(fills)):
+            if fills[k] + lengths[at] <= capacity and fills[k] not in fills[:k]:
+                place(at + 1, [*fills[:k], fills[k] + lengths[at], *fills[k + 1 :]])
+        place(at + 1, [*fills, lengths[at]])
+
+    place(0, [])
+    return best
+
+
+def test_search_against_exhaustive_search():
+    rng = np.random.default_rng(6)
+    alone = found = least = 0
+    for _ in range(150):
+        lengths = sorted(rng.integers(8, 40, 9).tolist(), reverse=True)
+        bins = packing.best_fit(lengths, 60)
+        alone += sum(1 for b in bins.items if b)
+        packing.local_search(bins)
+        found += sum(1 for b in bins.items if b)
+        least += fewest(lengths, 60)
+    assert least <= found < alone
+    assert found - least < 0.5 * (alone - least)  # of what best fit leaves above the optimum, most is emptied
+
+
+@pytest.mark.parametrize("copies", [1, 40, 600])
+def test_search_empties_bins_of_copies(copies):
+    lengths = [1029, 522, 517, 502, 502] * 2 * copies
+    bins = packing.best_fit(lengths, 2048)
+    alone = sum(1 for b in bins.items if b)
+    packing.local_search(bins)
+    assert sum(1 for b in bins.items if b) == 3 * copies <= alone
+
+
 def test_local_search_empties_a_bin():
     # best fit leaves three bins; an exchange makes two enough
     lengths = [26, 24, 20, 10, 10, 10]

@@ -6,14 +6,16 @@ ranges, the anchor of least hash with the place where it first stands; two finge
 the likeness is the share of ranges whose anchors agree and lie in the same order in both texts.
 
 A text shorter than k is one anchor; an empty or null text has no anchor and the fingerprint ''. The likeness
-of two empty fingerprints is 1, of an empty and another 0. Equal texts have equal fingerprints. Rows with
-equal or null ids each keep their own row (null ids come first); an empty table gives an empty result.
+of two empty fingerprints is 1, of an empty and another 0. Equal texts have equal fingerprints. Documents follow
+each other by (doc_id, hash of the text, text), null ids first, so that a hot id (or many null ids) is cut into
+runs like any other part of the order; only equal rows stay together. Rows with equal or null ids each keep their
+own row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from math import ceil
 
@@ -28,7 +30,8 @@ from tessera.sources.tables import table
 K, S, RANGES = 16, 8, 64  # S and K are powers of two
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT, _TOP = np.uint64(32), np.uint64(58)
-_PLACE = 0xFFFFFF
+#: what a null id counts as in the order
+FIRST = -(1 << 63)
 
 
 def _joined(h: np.ndarray, width: int) -> np.ndarray:
@@ -65,14 +68,14 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(text: str) -> str:
-    """Fingerprint: for each range that has an anchor its number (2 hex digits), hash (5) and place (6)."""
+    """Fingerprint: for each range that has an anchor its number (2 hex digits), hash (5) and place (8: Spark's strings are shorter than 2^31)."""
     at, h = anchors(text)
     if not len(h):
         return ""
     order = np.lexsort((at, h))
     h, at = h[order], at[order]
     _, first = np.unique(h >> _TOP, return_index=True)
-    return "".join(f"{v >> 58:02x}{(v >> 38) & 0xFFFFF:05x}{min(p, _PLACE):06x}" for v, p in zip(h[first].tolist(), at[first].tolist(), strict=True))
+    return "".join(f"{v >> 58:02x}{(v >> 38) & 0xFFFFF:05x}{p:08x}" for v, p in zip(h[first].tolist(), at[first].tolist(), strict=True))
 
 
 def likeness(a: str, b: str) -> float:
@@ -81,7 +84,7 @@ def likeness(a: str, b: str) -> float:
         return 1.0
     if not a or not b:
         return 0.0
-    x, y = ({s[i : i + 2]: s[i + 2 : i + 13] for i in range(0, len(s), 13)} for s in (a, b))
+    x, y = ({s[i : i + 2]: s[i + 2 : i + 15] for i in range(0, len(s), 15)} for s in (a, b))
     same = sorted((int(v[5:], 16), int(y[r][5:], 16)) for r, v in x.items() if r in y and y[r][:5] == v[:5])
     chain: list[int] = []  # longest run of places that rise in both
     for _, q in same:
@@ -101,32 +104,39 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
-def with_next(docs: DataFrame, rows_per_run: int = 4_000, most_runs: int = 100_000) -> DataFrame:
-    """Each row in a run of rows near it by doc_id, and the first row of each run again at the end of the run before.
+def with_next(docs: DataFrame, rows_per_run: int = 4_000, most_runs: int = 20_000, draws: int = 20) -> DataFrame:
+    """Each row in a run of rows near it in the order, and the first row of each run again at the end of the run before.
 
-    Runs are cut at quantiles of doc_id, so each text is shuffled once and no task holds the whole order.
-    Columns: run, halo (the repeated row), doc_id, text. The last run ends with the very first row.
+    Runs are cut at (doc_id, hash) of a hash sample of about ``draws`` rows for each run, which has no bearing on the
+    result: each text is shuffled once, no task holds the whole order, and larger tables get longer runs, which
+    Spark sorts with spilling. Columns: run, halo (the repeated row), k, h, doc_id, text, ordered by k (the id), h
+    and text. The last run ends with the very first row.
     """
-    ids = docs.select("doc_id")
-    n = ids.count()
-    runs = min(most_runs, max(1, ceil(n / rows_per_run)))  # larger tables get longer runs: Spark sorts them with spilling
-    steps = [i / runs for i in range(1, runs)]
-    found = ids.select(F.percentile_approx("doc_id", steps, 100 * runs).alias("q")).first()["q"] if steps else []  # one number for each run
-    cuts = sorted(set(found or []))
+    spark = docs.sparkSession
+    keyed = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("k"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    keys = keyed.select("k", "h")
+    n = docs.count()
+    runs = min(most_runs, max(1, ceil(n / rows_per_run)))
+    share = min(1.0, draws * runs / max(1, n))
+    drawn = keys.filter(F.pmod(F.xxhash64("h", "k"), F.lit(1 << 30)) < int(share * (1 << 30))).toPandas() if runs > 1 else pd.DataFrame({"k": [], "h": []}, dtype=np.int64)  # draws * runs rows or so
+    drawn = drawn.drop_duplicates().sort_values(["k", "h"])
+    cuts = drawn.iloc[[len(drawn) * i // runs for i in range(1, runs)] if len(drawn) else []].drop_duplicates()
+    cut_k, cut_h = cuts["k"].to_numpy(np.int64), cuts["h"].to_numpy(np.int64)
 
     @F.pandas_udf("int")
-    def run_of(doc_id: pd.Series) -> pd.Series:
-        low = doc_id.isna().to_numpy()
-        return pd.Series(np.where(low, 0, np.searchsorted(np.array(cuts, np.int64), doc_id.fillna(0).to_numpy(np.int64), side="right")))
-
-    placed = ids.withColumn("run", run_of("doc_id"))
-    firsts = sorted((r["run"], r["id"] is not None, r["id"]) for r in placed.groupBy("run").agg(F.expr("min_by(doc_id, coalesce(doc_id, -9223372036854775808))").alias("id")).collect())  # one row for each run
-    before = [(i, firsts[k - 1][0]) for k, (_, _, i) in enumerate(firsts)]
-    spark = docs.sparkSession
-    halo = spark.createDataFrame(before, "first_id long, halo_run int")
-    marked = docs.withColumn("run", run_of("doc_id")).join(F.broadcast(halo), F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
+    def run_of(k: pd.Series, h: pd.Series) -> pd.Series:
+        low, high = (np.searchsorted(cut_k, k.to_numpy(), side=s) for s in ("left", "right"))
+        at = high.copy()
+        for i in np.flatnonzero(low < high).tolist():  # ids at which runs are cut
+            at[i] = bisect_right(cut_h, h[i], low[i], high[i])
+        return pd.Series(at)
+
+    placed = keys.withColumn("run", run_of("k", "h")).groupBy("run").agg(F.min(F.struct("k", "h")).alias("first")).orderBy("run").collect()  # a row for each run
+    before = [(r["first"]["k"], r["first"]["h"], placed[i - 1]["run"]) for i, r in enumerate(placed)]
+    halo = spark.createDataFrame(before, "first_k long, first_h long, halo_run int")
+    marked = keyed.withColumn("run", run_of("k", "h")).join(F.broadcast(halo), (F.col("k") == F.col("first_k")) & (F.col("h") == F.col("first_h")), "left")
     places = F.array(F.struct(F.col("run"), F.lit(False).alias("halo")), F.struct(F.col("halo_run").alias("run"), F.lit(True).alias("halo")))
-    return marked.select(F.explode(F.filter(places, lambda p: p["run"].isNotNull())).alias("p"), "doc_id", "text").select("p.run", "p.halo", "doc_id", "text")
+    return marked.select(F.explode(F.filter(places, lambda p: p["run"].isNotNull())).alias("p"), "k", "h", "doc_id", "text").select("p.run", "p.halo", "k", "h", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -139,7 +149,7 @@ COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
-    """Each text's fingerprint beside that of its edited text and of the next document by (doc_id, text)."""
+    """Each text's fingerprint beside that of its edited text and of the next document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (run, doc_id, text, fingerprint) of the row that waits for the next
@@ -160,7 +170,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in COMPARED.split(", ")])
 
     rows = with_next(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
-    return rows.repartition("run").sortWithinPartitions("run", "halo", F.asc_nulls_first("doc_id"), "text").mapInArrow(run, COMPARED)
+    ordered = rows.repartition("run").sortWithinPartitions("run", "halo", "k", "h", "text")
+    return ordered.select("run", "halo", "doc_id", "text").mapInArrow(run, COMPARED)
 
 
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -344,19 +344,73 @@ def test_page_rows(spark):
     assert len(got) == 4
 
 
-def test_syncmers(docs, rows, empty):
+def brute_next(spark, rows):
+    """(doc_id, text, next text) in the order by id (null first), hash and text."""
+    texts = sorted({r[1] or "" for r in rows})
+    h = {r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(((r[0] if r[0] is not None else -(1 << 63), h[r[1] or ""], r[1] or "", r[0]) for r in rows), key=lambda r: r[:3])
+    return [(doc_id, text, order[(i + 1) % len(order)][2]) for i, (_, _, text, doc_id) in enumerate(order)]
+
+
+def plain_likeness(a, b):
+    """The share of hash ranges whose anchors agree in both and keep their order, from the definition."""
+
+    def least(text):
+        points = [ord(c) for c in text]
+        found = {}
+        for at, h in zip(*(x.tolist() for x in syncmers.anchors(text)), strict=True):
+            assert at <= len(points)
+            if h >> 58 not in found or (h, at) < found[h >> 58]:
+                found[h >> 58] = (h, at)
+        return {r: (h >> 38 & 0xFFFFF, at) for r, (h, at) in found.items()}
+
+    x, y = least(a), least(b)
+    if not x or not y:
+        return 1.0 if x == y else 0.0
+    if a == b:
+        return 1.0
+    same = sorted((x[r][1], y[r][1]) for r in x if r in y and x[r][0] == y[r][0])
+    best = [1] * len(same)
+    for i in range(len(same)):
+        best[i] += max((best[j] for j in range(i) if same[j][1] < same[i][1]), default=0)
+    return max(best, default=0) / len(x.keys() | y.keys())
+
+
+@pytest.mark.parametrize("per_run", [4_000, 3])
+def test_syncmers(spark, docs, rows, empty, monkeypatch, per_run):
+    made = syncmers.with_next
+    monkeypatch.setattr(syncmers, "with_next", lambda d: made(d, per_run))
     got = syncmers.compare_with_next(docs).collect()
-    order = sorted(((r[0] is not None, r[0] or 0, r[1] or "", r[0]) for r in rows))
     want = []
-    for i, (_, _, text, doc_id) in enumerate(order):
-        nxt = order[(i + 1) % len(order)][2]
+    for doc_id, text, nxt in brute_next(spark, rows):
         half = len(text) // 2
-        want.append((doc_id, len(text), hashlib.sha256((text[: len(text) - half] + nxt[:half]).encode()).hexdigest()))
-    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=key) == sorted(want, key=key)
-    assert all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
+        other = text[: len(text) - half] + nxt[:half]
+        want.append((doc_id, len(text), hashlib.sha256(other.encode()).hexdigest(), plain_likeness(text, other), plain_likeness(text, nxt)))
+    have = sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got), key=key)
+    for a, w in zip(have, sorted(want, key=key), strict=True):
+        assert a[:3] == w[:3]
+        assert a[3:] == pytest.approx(w[3:])
     assert syncmers.compare_with_next(empty).count() == 0
-    small = syncmers.with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rows_per_run=5)
-    assert small.filter("halo").select("run").distinct().count() == small.filter("not halo").select("run").distinct().count()
+
+
+def test_hot_ids_are_cut_into_runs(spark):
+    rng = np.random.default_rng(9)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "t%d" % rng.integers(0, 400)) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    placed = syncmers.with_next(d, 30)
+    own = placed.filter("not halo")
+    assert own.count() == 900
+    assert placed.filter("halo").select("run").distinct().count() == own.select("run").distinct().count()
+    assert max(r["count"] for r in own.groupBy("run").count().collect()) < 150
+    got = sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in syncmers.compare_with_next(d).collect()), key=key)
+    want = [(i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + x[: len(t) // 2]).encode()).hexdigest()) for i, t, x in brute_next(spark, rows)]
+    assert got == sorted(want, key=key)
+
+
+def test_places_beyond_24_bits():
+    text = "a" * (1 << 24) + "".join(map(chr, np.random.default_rng(1).integers(97, 123, 3000)))
+    mark = syncmers.sketch(text)
+    assert max(int(mark[i + 7 : i + 15], 16) for i in range(0, len(mark), 15)) > 1 << 24
 
 
 def test_syncmer_anchors():

@@ -5,13 +5,14 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tessera.llm import pii
+from tessera.llm import near_copies, pii, simhash
 from tests.llm.test_documents import SPACE, brute_components, brute_simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -133,3 +134,42 @@ def test_verdicts_by_row(spark, folder):
     assert collected(corpus_pipeline.quality, rows) == sorted([row(1, a), row(None, b), row(2, c)], key=repr)
     copies = [row(4, a), row(3, a + " x"), row(3, a), row(3, a), row(None, a), row(None, b), row(None, b), row(3, c), row(3, None), row(5, "")]
     assert collected(corpus_pipeline.near_duplicate, copies) == sorted([row(3, a), row(None, b), row(3, c), row(3, None)], key=repr)
+
+
+def plain_groups(sets):
+    label = list(range(len(sets)))
+    while True:
+        new = [min(label[j] for j in range(len(sets)) if i == j or (sets[i] and sets[j] and jaccard(sets[i], sets[j]) >= 0.8)) for i in range(len(sets))]
+        if new == label:
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("block", [5, 17, 1000])
+def test_large_groups_in_blocks(spark, block):
+    """Provisional groups of chains, dense clusters and strangers, cut into blocks, keep every link."""
+    rng = random.Random(block)
+    rows = []
+    for root in range(3):
+        base = {rng.randrange(1 << 40) for _ in range(40)}
+        for _ in range(50):  # a dense cluster
+            rows.append((root, (base - set(rng.sample(sorted(base), 2))) | {rng.randrange(1 << 40)}))
+        chain = {rng.randrange(1 << 40) for _ in range(40)}
+        for _ in range(25):  # each like the one before, the ends unlike
+            chain = (chain - set(rng.sample(sorted(chain), 3))) | {rng.randrange(1 << 40) for _ in range(3)}
+            rows.append((root, set(chain)))
+        rows += [(root, {rng.randrange(1 << 40) for _ in range(40)}) for _ in range(10)]
+    keyed = [(root, i, np.array(sorted(s), np.uint64).tobytes()) for i, (root, s) in enumerate(rows)]
+    sets = spark.createDataFrame(keyed, "root long, key long, shingles binary").repartition(3).cache()
+    got = {r.fp: r.root for r in simhash.components(near_copies.exact_links(sets, 0.8, block)).collect()}
+    want = plain_groups([s for _, s in rows])
+    assert [got.get(i, i) for i in range(len(rows))] == want
+
+
+def test_texts_move_once(spark, folder):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    rows = near_copies.by_row(docs, corpus_pipeline.COLUMNS)
+    few = spark.createDataFrame([(1,)], "row long").hint("merge")
+    plan = rows.join(few, "row", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # of the short side

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from tessera.llm import near_copies, pii, simhash
-from tests.llm.test_documents import SPACE, brute_components, brute_simhash
+from tests.llm.test_documents import SPACE
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -43,7 +43,7 @@ def test_against_brute_force(spark, folder):
         covered = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
         if len(w) >= 20 and 100 * len(covered) <= 30 * len(w) and any(c.isalpha() for c in row[1]):
             kept.append(row)
-    label = brute_components([brute_simhash(r[1]) for r in kept])
+    label = plain_groups([shingled(r[1]) for r in kept])
     first = {}
     for g, r in zip(label, kept, strict=True):
         first[g] = min(first.get(g, r), r)

@@ -1,8 +1,10 @@
 """SimHash near-duplicates by vantage-point trees.
 
 Fingerprints: bit b is set if it is set in over half of the XXH64 hashes (seed 42) of the text's 3-word
-shingles. Equal fingerprints are one node. A vantage-point tree fitted to a bounded sample of nodes cuts the
-fingerprints into shards by Hamming distance; a node whose distance lies within the radius below a boundary
+shingles. Equal fingerprints are one node. A vantage-point tree cuts the fingerprints into shards by Hamming
+distance; it is fitted to a sample of nodes that grows with the shards, ``draws`` for each, up to ``most_shards``
+(65,536: two million numbers on the driver), beyond which shards grow instead (tens of bytes for each node, and a
+tree of its own inside); a node whose distance lies within the radius below a boundary
 is sent beyond it too (triangle bound: two nodes within the radius differ by at most the radius in their
 distance to any pivot), so every pair within the radius meets in some shard. A shard goes on with its own
 tree, compares exactly, and returns each node with the least node of its group there, never all pairs. The
@@ -168,8 +170,10 @@ def shard_links(nodes: DataFrame, tree: Tree, shards: int, radius: int = RADIUS)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for leaf, x in route(sent.value, batch.column(0).to_numpy().view(np.uint64), radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), leaf, np.int32)), pa.array(x.view(np.int64))], ["leaf", "fp"])
+            found = [(np.full(len(x), leaf, np.int32), x) for leaf, x in route(sent.value, batch.column(0).to_numpy().view(np.uint64), radius)]
+            if found:
+                leaf, x = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(x.view(np.int64))], ["leaf", "fp"])
 
     def compare(rows: pa.Table) -> pa.Table:
         x = np.unique(rows["fp"].to_numpy().view(np.uint64))
@@ -205,18 +209,19 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     return now.select("fp", F.col("to").alias("root")).union(now.select("to", "to").distinct())
 
 
-def near_duplicates(docs: DataFrame, shard_nodes: int = 4_000, sample_size: int = 32_768, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shard_nodes: int = 4_000, most_shards: int = 65_536, draws: int = 32, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable through links of at most ``radius`` bits).
 
-    The tree is fitted to at most about ``sample_size`` nodes, chosen by hash; every node is dealt and compared.
+    The tree is fitted to about ``draws`` nodes for each shard, chosen by hash; every node is dealt and compared.
     """
     prints = staged(fingerprints(docs), "fingerprints")
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     n = nodes.count()
-    share = min(1.0, sample_size / max(1, n))
-    picked = nodes.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < int(share * 1_000_000)).collect()  # at most about sample_size
-    sample = np.sort(np.array([r["fp"] for r in picked], np.int64)).view(np.uint64)
-    tree, shards = fit_tree(np.random.default_rng(0).permutation(sample), max(1, n // shard_nodes), radius)
+    leaves = min(most_shards, max(1, n // shard_nodes))
+    share = min(1.0, draws * leaves / max(1, n))
+    picked = nodes.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int(share * (1 << 40))).toArrow()  # at most about draws * most_shards numbers
+    sample = np.sort(picked["fp"].to_numpy()).view(np.uint64)
+    tree, shards = fit_tree(np.random.default_rng(0).permutation(sample), leaves, radius)
     found = components(shard_links(nodes, tree, shards, radius))
     least = found.join(nodes, "fp").groupBy("root").agg(F.min("least_id").alias("component_id"))
     labels = found.join(least, "root").select("fp", "component_id")

@@ -473,6 +473,24 @@ def test_chains_across_shards(spark, shard, sample):
     assert len(set(roots.values())) == len(roots)
 
 
+def test_shards_grow_in_number_with_the_nodes(spark):
+    rng = np.random.default_rng(12)
+    sizes = []
+    for n in (4_000, 32_000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        tree, shards = simhash.fit_tree(rng.permutation(x)[: 32 * (n // 500)], n // 500)
+        assert n // 1000 <= shards <= 2 * (n // 500)
+        sizes.append(max(len(part) for _, part in simhash.route(tree, x)))
+    assert sizes[1] < 4 * sizes[0]  # eight times the nodes; what lies within the radius of a boundary is dealt twice
+
+
+def test_op10_query(spark, tmp_path, rows):
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = simhash.op10_simhash(spark, str(tmp_path)).collect()
+    prints = [brute_simhash(r[1]) for r in rows]
+    assert sorted(((r.doc_id, r.fingerprint) for r in got), key=key) == sorted(((r[0], f"{p:016x}") for r, p in zip(rows, prints, strict=True)), key=key)
+
+
 def test_dense_block_by_flips(monkeypatch):
     rng = np.random.default_rng(2)
     x = np.unique(rng.integers(0, 1 << 12, 2000).astype(np.uint64))

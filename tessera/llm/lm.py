@@ -6,16 +6,23 @@ The model is a word bigram model with hierarchical Dirichlet smoothing:
     p(w | h) = (c(h, w) + m p(w)) / (c(h) + m)
 
 Its logarithm falls into a part that needs (h, w) and w, and a part that needs h alone. So the trie is kept
-word by word: the first level holds words, the second the contexts seen before each. It is cut into shards by
-the word's hash, and every occurrence is answered in the shard of its word: the numerator for the word itself,
+word by word: the first level holds words, the second the contexts seen before each. It is cut into cells by
+the word's hash, and every occurrence is answered in the cell of its word: the numerator for the word itself,
 the denominator for the word as the context of what follows. Documents get sums; no table of the corpus is
 broadcast or collected, and the tries grow with the input.
 
+What moves is a row for each block of documents and shard of cells. There are at most ``block_tokens`` /
+``row_occurrences`` shards, so that a row holds about ``row_occurrences`` occurrences or more at any size, and rows
+and bytes grow with the tokens. A shard of a large corpus has many cells: its task sorts its occurrences by cell
+on its own disk, answers one cell (``shard_tokens`` tokens) after another, and merges the answers. Files of a task,
+the mapped levels of a trie among them, are unlinked as they are made and are lost with the task only.
+
 Words are 64-bit hashes of their lower-cased bytes, contexts 40 bits of them. The chance that any two of a
 billion words share a hash is about 3 %; an unseen context is taken for a seen one of the same word with a
-chance of 1e-6 for each million contexts that the word has in the shard. Words with more than ``hot_tokens``
-training tokens are dealt by word and context; their counts are broadcast, N / hot_tokens of them at most and
-50,000 by default.
+chance of 1e-6 for each million contexts that the word has in the cell. Words with more than ``hot_tokens``
+training tokens are dealt by word and context; pairs of words with more (found in one document of
+``pair_sample``, then counted in all) are answered where they stand and never move. Counts of both are broadcast,
+about N / hot_tokens of each at most and 50,000 by default.
 
 Null texts count as empty: one token, the end. Rows with equal or null ids each keep their own row (a null id
 is in the training part, as its remainder is null). An empty table gives an empty result; without training
@@ -39,7 +46,7 @@ from pyspark.sql import functions as F
 from tessera.sources.tables import staged, table
 
 U64 = np.uint64
-CONTEXT_BITS, QUANTA = 40, 4096  # 24 bits are left for a word's place: a shard's words must number less than 2**24
+CONTEXT_BITS, QUANTA = 40, 4096  # 24 bits are left for a word's place: a trie's words must number less than 2**24
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 _P = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -194,8 +201,6 @@ class Trie:
         value = np.log10(pairs + mass * (counts[owner] + 0.5) / z) if len(pairs) else np.zeros(0)
         self.least, most = (float(value.min()), float(value.max())) if len(value) else (0.0, 0.0)
         self.step = (most - self.least) / (QUANTA - 1) or 1.0
-        if len(words) >= 1 << (64 - CONTEXT_BITS):
-            raise ValueError("too many words for one shard: lower shard_tokens")
         level = Levels()
         keys = EliasFano.build(words, 1 << 64)
         pointers = EliasFano.build(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))]).astype(U64), len(owner) + 1)
@@ -226,175 +231,295 @@ class Trie:
         return count, value
 
 
-#: Of the rows of a block of documents, numbered from ``first``, one also has what belongs to the documents: ids, lengths.
-OCCURRENCES = "shard int, first long, ids array<long>, lengths binary, trained binary, docs binary, words binary, contexts binary"
+#: Of the rows of a block of documents, numbered from ``first``, one also has what belongs to the documents: ids, lengths,
+#: which are in training, and the sums of the pairs answered on the spot. ``docs`` are numbers in the block, times two, plus one for training.
+OWN = "ids array<long>, lengths binary, trained binary, local binary"
+OWN_KINDS = (pa.list_(pa.int64()), *[pa.binary()] * 3)
+OCCURRENCES = f"shard int, first long, {OWN}, docs binary, words binary, contexts binary"
 #: For the documents of a block that have words in a shard: known tokens, sums of log10 (c + 0.5) and of the model.
-ANSWERS = "first long, ids array<long>, lengths binary, trained binary, docs binary, known binary, base binary, lm binary"
-ANSWER_KINDS = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 6)
+ANSWERS = f"first long, {OWN}, docs binary, known binary, base binary, lm binary"
 SUMS = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double"
 SUM_KINDS = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+#: Documents of a block at most, and tokens that a trie is built for at most (its words are fewer than 2**24).
+BLOCK_DOCS, TRIE_TOKENS = 32_000, 1 << 23
 
 
 def names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) of all training words and ends, pre-aggregated in each task."""
+def contexts_of(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The context of each token: the shortened hash of the word before it in its text."""
+    contexts = np.empty_like(words)
+    contexts[1:] = words[:-1]
+    contexts[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = START
+    contexts >>= U64(64 - CONTEXT_BITS)
+    return contexts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush() -> pa.RecordBatch:
-            words, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            unique, at = np.unique(words, return_inverse=True)
-            n = np.bincount(at, counts, len(unique)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(n)], ["word", "n"])
+def place_in(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each x stands in a rising table, and whether it does."""
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
 
-        for batch in batches:
-            size = max(1, batch.num_rows * 4_000_000 // max(1, batch.nbytes))
-            for at in range(0, batch.num_rows, size):
-                held.append(np.unique(tokens(batch.column(0).slice(at, size))[0], return_counts=True))
-            if sum(len(w) for w, _ in held) > 2_000_000:
-                yield flush()
-        if held:
-            yield flush()
 
-    return docs.filter("not held_out").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def slices(batch: pa.RecordBatch, text: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have about ``size`` bytes at most, or a single row."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(batch.num_rows - at, 1_000)
+        while n > 1 and pc.sum(pc.binary_length(batch.column(text).slice(at, n))).as_py() > size:
+            n //= 2
+        yield batch.slice(at, n)
+        at += n
 
 
-def language_model_scores(docs: DataFrame, mass: float = 8.0, shard_tokens: int = 2_500_000, hot_tokens: int | None = None, block_tokens: int = 2_500_000) -> DataFrame:
+def counted(docs: DataFrame, words: bool, pairs: np.ndarray | None = None) -> DataFrame:
+    """(kind, key, n) over all texts, pre-aggregated in each task: kind 0 words and ends; kind 1 pairs, those in ``pairs`` or, without it, all."""
+    wanted = docs.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, parts in enumerate(held):
+                if parts:
+                    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    parts.clear()
+                    unique, at = np.unique(keys, return_inverse=True)
+                    n = np.bincount(at, counts, len(unique)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(unique.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+
+        for whole in batches:
+            for batch in slices(whole, 0):
+                found, lengths = tokens(batch.column(0))
+                if words:
+                    held[0].append(np.unique(found, return_counts=True))
+                if wanted.value is None or len(wanted.value):
+                    pair = mixed(found + contexts_of(found, lengths))
+                    if wanted.value is not None:
+                        pair = pair[place_in(wanted.value, pair)[1]]
+                    held[1].append(np.unique(pair, return_counts=True))
+            if sum(len(k) for parts in held for k, _ in parts) > 2_000_000:
+                yield from flush()
+        yield from flush()
+
+    return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+class Cells:
+    """A shard's occurrences by cell; on the task's disk where they are many."""
+
+    KINDS = (U64, U64, np.uint16, np.uint32)  # words, contexts, docs, rows
+
+    def __init__(self, cells: int, held: int = 6_000_000):
+        self.memory: list[list[tuple]] = [[] for _ in range(cells)]
+        self.disk: list[list[tuple[int, int]]] = [[] for _ in range(cells)]
+        self.most, self.waiting, self.file = held, 0, None
+
+    def add(self, cell: int, *arrays: np.ndarray) -> None:
+        self.memory[cell].append(arrays)
+        self.waiting += len(arrays[0])
+        if self.waiting > self.most and len(self.memory) > 1:
+            self.file = self.file or tempfile.TemporaryFile()
+            self.file.seek(0, os.SEEK_END)
+            for parts, places in zip(self.memory, self.disk, strict=True):
+                if parts:
+                    joined = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                    places.append((self.file.tell(), len(joined[0])))
+                    for x, kind in zip(joined, self.KINDS, strict=True):
+                        self.file.write(x.astype(kind).tobytes())
+                    parts.clear()
+            self.waiting = 0
+
+    def load(self, cell: int) -> list[np.ndarray]:
+        parts, self.memory[cell] = self.memory[cell], []
+        for at, n in self.disk[cell]:
+            self.file.seek(at)
+            parts.append(tuple(np.frombuffer(self.file.read(n * np.dtype(k).itemsize), k) for k in self.KINDS))
+        return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, k) for k in self.KINDS]
+
+
+def added(code: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The distinct codes in order, and the sums of the values of each."""
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return [code[at], *(np.add.reduceat(v[order], at) if len(at) else v for v in values)]
+
+
+def language_model_scores(docs: DataFrame, mass: float = 8.0, shard_tokens: int = 2_500_000, hot_tokens: int | None = None, block_tokens: int = 2_500_000, row_occurrences: int = 250, pair_sample: int = 20) -> DataFrame:
     """Scores of all documents by a model of those with ``held_out`` false.
 
     docs: doc_id, held_out, text. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "held_out", F.coalesce("text", F.lit("")).alias("text"))
-    counted = staged(word_counts(docs), "words")
-    n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    training = docs.filter("not held_out")
+    some = staged(counted(training.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(pair_sample)) == 0), words=False), "some-pairs")
+    about = pair_sample * (some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    often = (hot_tokens or max(shard_tokens // 20, about // 50_000)) / pair_sample / 2
+    likely = np.sort(np.array([r["key"] for r in some.filter(F.col("n") > often).collect()], np.int64).view(U64))  # at most 2 N / hot_tokens pairs
+    counts = staged(counted(training, words=True, pairs=likely), "counts")
+    n, v = counts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if hot_tokens is None:
-        hot_tokens = max(shard_tokens // 20, n // 50_000)  # so that the broadcast has at most 50,000 words
-    hot = {r["word"]: r["n"] for r in counted.filter(F.col("n") > hot_tokens).collect()}  # at most N / hot_tokens words
+        hot_tokens = max(shard_tokens // 20, n // 50_000)  # so that the broadcast has at most 50,000 words and pairs
     starts, rows = docs.agg(F.count_if(~F.col("held_out")), F.count("*")).first()
     z = n + 0.5 * (v + 1)
     all_tokens = n * max(1.0, rows / max(1, starts))
-    shards = max(1, ceil(all_tokens / shard_tokens))
-    keys = np.array(list(hot), np.int64).view(U64)
-    rising = np.argsort(keys)
-    hot_words = spark.sparkContext.broadcast((keys[rising], np.array(list(hot.values()), np.int64)[rising]))
+    shards = max(1, min(ceil(all_tokens / shard_tokens), block_tokens // row_occurrences))
+    cells = max(1, ceil(all_tokens / (shards * shard_tokens)))  # of each shard
+
+    def table_of(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        hot = counts.filter((F.col("kind") == kind) & (F.col("n") > hot_tokens)).collect()  # at most N / hot_tokens keys
+        keys = np.array([r["key"] for r in hot], np.int64).view(U64)
+        order = np.argsort(keys)
+        return keys[order], np.array([r["n"] for r in hot], np.int64)[order]
+
+    hot = spark.sparkContext.broadcast((*table_of(0), *table_of(1)))
+
+    def cell_of(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """The cell of each occurrence, numbered through all shards; hot words go by their context too."""
+        is_hot = place_in(hot.value[0], words)[1]
+        key = np.where(is_hot, mixed(words + contexts), words)
+        return (((key >> U64(32)) * U64(shards * cells)) >> U64(32)).astype(np.uint32)
+
+    def seen(count: np.ndarray) -> np.ndarray:
+        """Of a word seen so often: what it takes off as the context of the next."""
+        return np.log10(count + mass)
 
     def block(first: int, ids: list, held: list, parts: list) -> pa.RecordBatch:
         """The occurrences of a run of documents, one row for each shard that has any; ids go with the first of them."""
         words, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
-        contexts = np.empty_like(words)
-        contexts[1:] = words[:-1]
-        contexts[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = START
-        contexts >>= U64(64 - CONTEXT_BITS)
-        doc = np.repeat(np.arange(len(lengths), dtype=np.uint16), lengths)
-        many, key = hot_words.value[0], words
-        if len(many):
-            is_hot = many[np.minimum(np.searchsorted(many, words), len(many) - 1)] == words
-            key = np.where(is_hot, mixed(words + contexts), words)
-        shard = (((key >> U64(32)) * U64(shards)) >> U64(32)).astype(np.uint32)
-        order = np.lexsort((words, shard))
-        words, contexts, doc, shard = words[order], contexts[order], doc[order], shard[order]
-        trained = np.packbits(~np.array(held, bool)).tobytes()
+        contexts = contexts_of(words, lengths)
+        trained = ~np.array(held, bool)
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        many, totals, pairs, together = hot.value
+        at, answered = place_in(pairs, mixed(words + contexts))
+        local = np.zeros((3, len(ids)))
+        if answered.any():  # pairs so frequent that they are answered here
+            word, own = words[answered], doc[answered]
+            count = totals[place_in(many, word)[0]]  # a hot pair's word is hot
+            value = np.log10(together[at[answered]] + mass * (count + 0.5) / z) - np.where(word != END, seen(count), 0.0)
+            local = np.stack([np.bincount(own, w, len(ids)) for w in (np.ones(len(own)), np.log10(count + 0.5), value)])
+            words, contexts, doc = words[~answered], contexts[~answered], doc[~answered]
+        cell = cell_of(words, contexts)
+        order = np.lexsort((words, cell))
+        words, contexts, shard = words[order], contexts[order], cell[order] // np.uint32(cells)
+        marked = (2 * doc + trained[doc])[order].astype(np.uint16)
         bounds = np.searchsorted(shard, np.arange(shards + 1))
         narrow = contexts.view(np.uint8).reshape(-1, 8)[:, : CONTEXT_BITS // 8]
+        own = (ids, lengths.astype(np.uint32).tobytes(), np.packbits(trained).tobytes(), local.tobytes())
         out = []
-        for s in np.flatnonzero(np.diff(bounds)).tolist():
+        for s in np.flatnonzero(np.diff(bounds)).tolist() or [first % shards]:
             a, b = bounds[s], bounds[s + 1]
-            starts_ = np.flatnonzero(np.concatenate([[True], words[a + 1 : b] != words[a : b - 1]]))
+            starts_ = np.flatnonzero(np.concatenate([[True], words[a + 1 : b] != words[a : b - 1]])) if b > a else np.zeros(0, np.int64)
             repeats = np.diff(starts_, append=b - a).astype(np.uint32)
-            out.append((s, first, *((None, None) if out else (ids, lengths.astype(np.uint32).tobytes())), trained, doc[a:b].tobytes(), words[a:b][starts_].tobytes() + repeats.tobytes(), narrow[a:b].tobytes()))
-        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5)
+            out.append((s, first, *((None,) * 4 if out else own), marked[a:b].tobytes(), words[a:b][starts_].tobytes() + repeats.tobytes(), narrow[a:b].tobytes()))
+        kinds = (pa.int32(), pa.int64(), *OWN_KINDS, *[pa.binary()] * 3)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names(OCCURRENCES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, ids, held, parts, waiting = 0, [], [], [], 0
         for whole in batches:
-            at = 0
-            while at < whole.num_rows:
-                size = min(whole.num_rows - at, 1_000)
-                while size > 1 and pc.sum(pc.binary_length(whole.column(3).slice(at, size))).as_py() > 4_000_000:
-                    size //= 2
-                batch = whole.slice(at, size)
-                at += size
+            for batch in slices(whole, 3):
                 if not ids:
                     first = batch.column(0)[0].as_py()
                 parts.append(tokens(batch.column(3)))
                 ids += batch.column(1).to_pylist()
                 held += batch.column(2).to_pylist()
                 waiting += len(parts[-1][0])
-                if waiting > block_tokens or len(ids) > 60_000:
+                if waiting > block_tokens or len(ids) > BLOCK_DOCS - 1_000:
                     yield block(first, ids, held, parts)
                     ids, held, parts, waiting = [], [], [], 0
         if ids:
             yield block(first, ids, held, parts)
 
-    def unpack(row: dict) -> tuple[np.ndarray, ...]:
-        doc = np.frombuffer(row["docs"], np.uint16).astype(np.int64)
-        unique_count = len(row["words"]) // 12
-        words = np.repeat(np.frombuffer(row["words"], U64, unique_count), np.frombuffer(row["words"], np.uint32, unique_count, 8 * unique_count))
+    def unpack(docs_: bytes, words_: bytes, contexts_: bytes) -> tuple[np.ndarray, ...]:
+        doc, unique = np.frombuffer(docs_, np.uint16), len(words_) // 12
+        words = np.repeat(np.frombuffer(words_, U64, unique), np.frombuffer(words_, np.uint32, unique, 8 * unique))
         wide = np.zeros((len(doc), 8), np.uint8)
-        wide[:, : CONTEXT_BITS // 8] = np.frombuffer(row["contexts"], np.uint8).reshape(-1, CONTEXT_BITS // 8)
-        trained = np.unpackbits(np.frombuffer(row["trained"], np.uint8))[doc].astype(bool)
-        return doc, words, wide.view(U64).ravel(), trained
+        wide[:, : CONTEXT_BITS // 8] = np.frombuffer(contexts_, np.uint8).reshape(-1, CONTEXT_BITS // 8)
+        return words, wide.view(U64).ravel(), doc
 
-    def summed(words: np.ndarray, contexts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    def build(words: np.ndarray, contexts: np.ndarray) -> Trie:
         order = np.lexsort((contexts, words))
-        words, contexts, n = words[order], contexts[order], n[order]
-        new = np.ones(len(words), bool)
-        new[1:] = (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1])
-        at = np.flatnonzero(new)
-        return words[at], contexts[at], np.add.reduceat(n, at) if len(at) else n
-
-    def build(spool: list) -> Trie:
-        parts, waiting = [], 0
-        for row in spool:
-            _, words, contexts, trained = unpack(row)
-            parts.append((words[trained], contexts[trained], np.ones(int(trained.sum()), np.int64)))
-            waiting += len(words)
-            if waiting > 4_000_000:
-                parts, waiting = [summed(*map(np.concatenate, zip(*parts, strict=True)))], 0
-        words, contexts, pairs = summed(*map(np.concatenate, zip(*parts, strict=True)))
+        words, contexts = words[order], contexts[order]
+        at = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1])])) if len(words) else order
+        pairs = np.diff(at, append=len(words))
+        words, contexts = words[at], contexts[at]
         unique, owner = np.unique(words, return_inverse=True)
-        counts = np.bincount(owner, weights=pairs, minlength=len(unique)).astype(np.int64)
-        many, totals = hot_words.value  # a hot word's count is that of all its shards
-        if len(many) and len(unique):
-            at = np.minimum(np.searchsorted(many, unique), len(many) - 1)
-            counts = np.where(many[at] == unique, totals[at], counts)
-        return Trie(unique, counts, owner, contexts, pairs, mass, z)
+        count = np.bincount(owner, weights=pairs, minlength=len(unique)).astype(np.int64)
+        there, is_hot = place_in(hot.value[0], unique)  # a hot word's count is that of all its cells
+        if is_hot.any():
+            count = np.where(is_hot, hot.value[1][there], count)
+        return Trie(unique, count, owner, contexts, pairs, mass, z)
+
+    def answers(words: np.ndarray, contexts: np.ndarray, doc: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
+        """Of one cell: the sums by row and document, in order of row << 16 | document."""
+        part = (mixed(words) % U64(len(words) // TRIE_TOKENS + 1)).astype(np.int64)
+        if len(words) > TRIE_TOKENS and part.min() < part.max():  # perhaps more than one trie's words: by hash, one part after another
+            done = [answers(*(x[part == p] for x in (words, contexts, doc, row))) for p in np.unique(part)]
+            return added(*(np.concatenate(x) for x in zip(*done, strict=True)))
+        trained = (doc & 1).astype(bool)
+        trie = build(words[trained], contexts[trained])
+        known, base, lm = (np.zeros(len(words)) for _ in range(3))
+        for at in range(0, len(words), 500_000):
+            part = slice(at, at + 500_000)
+            count, value = trie.query(words[part], contexts[part])
+            there, is_hot = place_in(hot.value[0], words[part])
+            if is_hot.any():  # a hot word may lack any training pair here
+                lacking = is_hot & (count == 0)
+                count = np.where(is_hot, hot.value[1][there], count)
+                value = np.where(lacking, np.log10(mass * (count + 0.5) / z), value)
+            known[part], base[part] = count > 0, np.log10(count + 0.5)
+            lm[part] = value - np.where(words[part] != END, seen(count), 0.0)
+        return added(row.astype(U64) << U64(16) | (doc >> 1).astype(U64), known, base, lm)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with Spool() as spool:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    spool.add({name: batch.column(name)[i].as_py() for name in Spool.NAMES}, {name: batch.column(name)[i].as_py() for name in ("first", "ids", "lengths")})
-            trie = build(spool)
-            many, totals = hot_words.value
-            for row in spool:
-                doc, words, contexts, _ = unpack(row)
-                count, value = trie.query(words, contexts)
-                if len(many):  # a hot word may lack any training pair here
-                    at = np.minimum(np.searchsorted(many, words), len(many) - 1)
-                    is_hot = many[at] == words
-                    lacking = is_hot & (count == 0)
-                    count = np.where(is_hot, totals[at], count)
-                    value = np.where(lacking, np.log10(mass * (count + 0.5) / z), value)
-                value -= np.where(words != END, np.log10(count + mass), 0.0)
-                size = int(doc.max()) + 1
-                at = np.flatnonzero(np.bincount(doc, minlength=size))
-                known, base, lm = (np.bincount(doc, w, size)[at] for w in (count > 0, np.log10(count + 0.5), value))
-                packed = (at.astype(np.uint16), known.astype(np.uint32), base, lm.astype(np.float32))
-                columns = (row["first"], row["ids"], row["lengths"], row["trained"] if row["ids"] is not None else None, *(x.tobytes() for x in packed))
-                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, ANSWER_KINDS, strict=True)], names(ANSWERS))
+        spool, others = Cells(cells), []
+        for batch in batches:
+            own = [batch.column(name) for name in ("first", *names(OWN), "docs", "words", "contexts")]
+            for i in range(batch.num_rows):
+                *other, docs_, words_, contexts_ = (c[i].as_py() for c in own)
+                words, contexts, doc = unpack(docs_, words_, contexts_)
+                row = np.full(len(doc), len(others), np.uint32)
+                others.append(other)
+                if cells == 1:
+                    spool.add(0, words, contexts, doc, row)
+                    continue
+                bounds = np.searchsorted(cell_of(words, contexts) % np.uint32(cells), np.arange(cells + 1))
+                for c in np.flatnonzero(np.diff(bounds)).tolist():
+                    spool.add(c, *(x[bounds[c] : bounds[c + 1]] for x in (words, contexts, doc, row)))
+        runs = []
+        for c in range(cells):
+            found = answers(*spool.load(c))
+            if cells > 1:
+                level = Levels()
+                for x in found:
+                    level.add(x)
+                found = level.map()
+            runs.append(found)
+        total = sum(len(r[0]) for r in runs)
+        step = max(1, len(others) * 1_000_000 // max(1, total))
+        for low in range(0, len(others), step):
+            high = min(len(others), low + step)
+            near = [[x[a:b] for x in r] for r in runs for a, b in [np.searchsorted(r[0], np.array([low << 16, high << 16], U64)).tolist()]]
+            code, known, base, lm = (np.concatenate(x) for x in zip(*near, strict=True))
+            if cells > 1:
+                code, known, base, lm = added(code, known, base, lm)
+            bounds = np.searchsorted(code, np.arange(low, high + 1).astype(U64) << U64(16)).tolist()
+            packed = ((code & U64(0xFFFF)).astype(np.uint16), known.astype(np.uint32), base, lm.astype(np.float32))
+            out = [(*others[low + i], *(x[a:b].tobytes() for x in packed)) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
+            kinds = (pa.int64(), *OWN_KINDS, *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names(ANSWERS))
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The documents of one block: the sums of what its shards answered."""
         known, base, lm = np.zeros(1 << 16, np.int64), np.zeros(1 << 16), np.zeros(1 << 16)
-        ids, lengths, trained = [], b"", b""
+        ids, lengths, trained, local = [], b"", b"", b""
         for batch in batches:
             for row in batch.to_pylist():
                 at = np.frombuffer(row["docs"], np.uint16)
@@ -402,10 +527,11 @@ def language_model_scores(docs: DataFrame, mass: float = 8.0, shard_tokens: int
                 base[at] += np.frombuffer(row["base"], np.float64)
                 lm[at] += np.frombuffer(row["lm"], np.float32)
                 if row["ids"] is not None:
-                    ids, lengths, trained = row["ids"], row["lengths"], row["trained"]
+                    ids, lengths, trained, local = (row[x] for x in names(OWN))
         n = len(ids)
+        here = np.frombuffer(local, np.float64).reshape(3, n)
         out = np.unpackbits(np.frombuffer(trained, np.uint8))[:n] == 0
-        columns = (ids, out, np.frombuffer(lengths, np.uint32).astype(np.int64), known[:n], base[:n], lm[:n])
+        columns = (ids, out, np.frombuffer(lengths, np.uint32).astype(np.int64), known[:n] + here[0].astype(np.int64), base[:n] + here[1], lm[:n] + here[2])
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, SUM_KINDS, strict=True)], names(SUMS))
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
@@ -417,35 +543,6 @@ def language_model_scores(docs: DataFrame, mass: float = 8.0, shard_tokens: int
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", known, base, score)
 
 
-class Spool:
-    """A shard's rows in an unlinked temporary file, so that they can be read twice without being held in memory."""
-
-    def __enter__(self) -> Spool:
-        self.file = tempfile.TemporaryFile()
-        self.index: list[list[tuple[int, int]]] = []
-        self.others: list[dict] = []
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        self.file.close()
-
-    NAMES = ("docs", "trained", "words", "contexts")
-
-    def add(self, row: dict, other: dict) -> None:
-        places = []
-        for name in self.NAMES:
-            places.append((self.file.tell(), len(row[name])))
-            self.file.write(row[name])
-        self.index.append(places)
-        self.others.append(other)
-
-    def __iter__(self) -> Iterator[dict]:
-        self.file.flush()
-        for other, places in zip(self.others, self.index, strict=True):
-            self.file.seek(places[0][0])
-            yield other | {name: self.file.read(size) for name, (_, size) in zip(self.NAMES, places, strict=True)}
-
-
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return language_model_scores(docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))))

@@ -128,10 +128,15 @@ def test_rules_reject_junk_and_keep_clean(spark, docs, empty):
     assert quality.quality_rules(d, few).filter("kept").count() == 1001
 
 
-@pytest.mark.parametrize(("shard", "hot", "block"), [(10**7, 10**7, 10**7), (500, 60, 300)])
-def test_language_model(docs, rows, empty, shard, hot, block):
+@pytest.mark.parametrize(
+    ("shard", "hot", "block", "least", "sample"),
+    [(10**7, 10**7, 10**7, 250, 20), (500, 60, 300, 1, 1), (200, 30, 300, 150, 1), (200, 10**7, 300, 300, 2)],
+    ids=["one cell", "many shards", "cells in shards, hot pairs", "cells in one shard"],
+)
+def test_language_model(docs, rows, empty, monkeypatch, shard, hot, block, least, sample):
+    monkeypatch.setattr(lm, "TRIE_TOKENS", 10**7 if shard > 500 else 60)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    got = lm.language_model_scores(docs.withColumn("held_out", held), shard_tokens=shard, hot_tokens=hot, block_tokens=block).collect()
+    got = lm.language_model_scores(docs.withColumn("held_out", held), shard_tokens=shard, hot_tokens=hot, block_tokens=block, row_occurrences=least, pair_sample=sample).collect()
     texts = [(i, i is not None and zlib.crc32(str(i).encode()) % 5 == 1, [*words_of(t), None]) for i, t, *_ in rows]
     c, b = Counter(), Counter()
     for _, out, w in texts:
@@ -152,6 +157,18 @@ def test_language_model(docs, rows, empty, shard, hot, block):
     assert lm.language_model_scores(empty.withColumn("held_out", F.lit(False))).count() == 0
 
 
+def test_hot_pair(spark):
+    """A corpus of one repeated pair, which is answered where it stands."""
+    docs = spark.createDataFrame([(i, "ab cd " * 400, False) for i in range(60)], "doc_id long, text string, held_out boolean").repartition(4)
+    got = lm.language_model_scores(docs, shard_tokens=1_000, hot_tokens=500, pair_sample=1).collect()
+    n, z = 60 * 801, 60 * 801 + 0.5 * 4
+    c = {"ab": 24_000, "cd": 24_000, None: 60}
+    p = {w: (k + 0.5) / z for w, k in c.items()}
+    want = math.log10((60 + 8 * p["ab"]) / 68) + 400 * math.log10((24_000 + 8 * p["cd"]) / 24_008) + 399 * math.log10((23_940 + 8 * p["ab"]) / 24_008) + math.log10((60 + 8 * p[None]) / 24_008)
+    assert all(r.score == pytest.approx(want, abs=2e-2) and r.train_tokens == n and r.n_known == 801 for r in got)
+    assert len(got) == 60
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 1000, 50_000])
 def test_elias_fano(n):
     rng = np.random.default_rng(n)

@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What case folding does to letters beyond lower-casing them (Unicode CaseFolding, the common ones).
+FOLDED = {"\u00df\u1e9e": "ss", "\u03c2": "\u03c3", "\u017f": "s", "\u212a": "k", "\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05\ufb06": "st", "\u0149": "\u02bcn", "\u00b5": "\u03bc"}
+
+
 def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -45,8 +49,11 @@ def clean_label(x: str | Column) -> Column:
 
 
 def normalized_label(x: str | Column) -> Column:
-    """clean_label in lower case; outside ASCII this differs from full case folding."""
-    return F.lower(clean_label(x))
+    """clean_label with case folded: lower case, and the letters whose folding is more than that (sharp s, final sigma, ligatures, long s, kelvin) replaced."""
+    folded = F.lower(clean_label(x))
+    for letters, plain in FOLDED.items():
+        folded = F.regexp_replace(folded, f"[{letters}]", plain)
+    return folded
 
 
 def parse_products(x: str | Column, keep_blank_ids: bool = False) -> Column:
@@ -184,6 +191,22 @@ def windows(x: str | Column, size: int = 1022, overlap: int = 200, keep_tail: bo
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring(text, s + 1, F.lit(size)).alias("window")))
 
 
+def over_limit(x: str | Column, limit: int = 4000) -> Column:
+    """Routing flag: whether a text is longer than a model takes, so that only its ends go in."""
+    return F.length(blank(x)) > limit
+
+
+def percent_text(x: str | Column, missing: str = "NA") -> Column:
+    """A share as a percentage with one digit; a blank cell is missing, never 0."""
+    n = number_or_null(x)
+    return F.when(n.isNull(), missing).otherwise(F.format_string("%.1f%%", n * 100))
+
+
+def distinct_terms(x: str | Column) -> Column:
+    """Terms of a '|' list, trimmed and distinct, in order."""
+    return F.array_distinct(_pieces(x, r"\|"))
+
+
 def limited_ends(x: str | Column, limit: int = 4000) -> Column:
     """Texts over ``limit`` characters as their first and last half of it."""
     text, half = blank(x), limit // 2

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import blank, joined
@@ -61,8 +61,23 @@ def case_audit(targets: DataFrame, key: str, universe: DataFrame, extended: Data
 
 
 def group_by_seed(rows: DataFrame, seed: str, candidate: str) -> DataFrame:
-    """Groups by best seed with their members in order; a seed's group must be bounded."""
-    return rows.groupBy(seed).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(candidate)), lambda x: x.cast("string")), ";").alias("members"))
+    """Members with their place in the group of their best seed and the group's size; rows stay rows, so a group may be of any size."""
+    sizes = rows.groupBy(seed).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(seed).orderBy(candidate))
+    return rows.select(seed, candidate).withColumn("place", place).join(sizes, seed)
+
+
+def evidence_sets(rows: DataFrame, entity: str, item: str, aspect: str, included: Column, aspects: list[str]) -> DataFrame:
+    """entity with, for each aspect, its distinct included items as sorted text (``<aspect>_items``) and their number.
+
+    An entity's items of an aspect must be bounded (annotation ids).
+    """
+    own = rows.filter(F.coalesce(included, F.lit(False)))
+    every = rows.select(entity).distinct()
+    sets = [F.collect_set(F.when(F.col(aspect) == a, F.col(item).cast("string"))).alias(a) for a in aspects]
+    out = every.join(own.groupBy(entity).agg(*sets), entity, "left")
+    none = F.array().cast("array<string>")
+    return out.select(entity, *[joined(F.coalesce(a, none)).alias(f"{a}_items") for a in aspects], *[F.size(F.coalesce(a, none)).cast("long").alias(f"n_{a}") for a in aspects])
 
 
 def pair_coverage(pairs: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:

@@ -36,6 +36,17 @@ def pair_filter(rows: DataFrame, evidence: str, needs: str | None = None, score:
     return out if score is None or least is None else out.filter(F.col(score).isNotNull() & (F.col(score) >= least))
 
 
+def extension_filter(rows: DataFrame, route: str | None = None, kind: str | None = None, text: str = "", columns: list[str] | None = None) -> DataFrame:
+    """Extended candidates of a route, with a kind of functional support (event, first_set: it has shared ids; weighted: the reason says so), and a search text.
+
+    rows: route, shared_event_ids, shared_first_ids, reason, and the columns searched.
+    """
+    out = rows if route is None else rows.filter(F.col("route") == route)
+    holds = {"event": F.coalesce("shared_event_ids", F.lit("")) != "", "first_set": F.coalesce("shared_first_ids", F.lit("")) != "", "weighted": F.col("reason").contains("weighted")}
+    out = out if kind is None else out.filter(holds[kind])
+    return search(out, text, columns or [])
+
+
 def pair_graph_edges(rows: DataFrame, a: str, b: str, label: str) -> DataFrame:
     """One edge for each unordered pair: n_rows and its sorted distinct labels."""
     return rows.groupBy(F.least(a, b).alias("left_id"), F.greatest(a, b).alias("right_id")).agg(F.count("*").alias("n_rows"), joined(F.collect_set(F.col(label).cast("string"))).alias("labels"))

@@ -7,7 +7,7 @@ from math import floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.rank import first_per_key
+from tessera.operators.rank import first_k, first_per_key
 from tessera.sources.tables import staged
 
 
@@ -69,21 +69,25 @@ def hops_to_seed(edges: DataFrame, seeds: DataFrame, limit: int = 4) -> DataFram
 
 
 def reachable_seeds(edges: DataFrame, origins: DataFrame, seeds: DataFrame, limit: int = 3) -> DataFrame:
-    """node, reach: how many other seeds each origin reaches in at most ``limit`` directed steps; origins with none are absent."""
-    steps = edges.select(F.col("source").alias("at"), F.col("target").alias("_next")).distinct()
-    seen = origins.select(F.col("node"), F.col("node").alias("at")).distinct()
+    """node, reach: how many other seeds each origin reaches in at most ``limit`` directed steps; origins with none are absent.
+
+    The search goes backwards from the seeds, so the rows kept are (node, seed it reaches) and nothing else.
+    """
+    back = edges.select(F.col("target").alias("at"), F.col("source").alias("_before")).distinct()
+    seen = seeds.select(F.col("node").alias("at"), F.col("node").alias("seed")).distinct()
     frontier = seen
     for _ in range(limit):
-        frontier = staged(frontier.join(steps, "at").select("node", F.col("_next").alias("at")).distinct().join(seen, ["node", "at"], "left_anti"), "reach")
+        frontier = staged(frontier.join(back, "at").select(F.col("_before").alias("at"), "seed").distinct().join(seen, ["at", "seed"], "left_anti"), "reach")
         seen = seen.union(frontier)
-    wanted = seeds.select(F.col("node").alias("at")).distinct()
-    return seen.filter("node <> at").join(wanted, "at", "left_semi").groupBy("node").agg(F.count("*").alias("reach"))
+    reached = seen.filter("at <> seed").select(F.col("at").alias("node"), "seed")
+    return reached.join(origins.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.count("*").alias("reach"))
 
 
 def first_steps(edges: DataFrame, k: int = 8) -> DataFrame:
     """node, out_edges, first_targets: the first k distinct targets by first insertion."""
-    numbered = edges.withColumn("_nth", F.row_number().over(Window.partitionBy("source").orderBy("first_order", "target")))
-    return numbered.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("out_edges"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_nth") <= k, F.struct("_nth", "target")))), lambda s: s["target"].cast("string")), ";").alias("first_targets"))
+    degree = edges.groupBy("source").agg(F.count("*").alias("out_edges"))
+    first = first_k(edges.select("source", "first_order", "target"), ["source"], "target", ["first_order", "target"], k, "_first")
+    return degree.join(first, "source").select(F.col("source").alias("node"), "out_edges", F.array_join(F.transform("_first", lambda t: t.cast("string")), ";").alias("first_targets"))
 
 
 def neighbourhood(edges: DataFrame, focus: DataFrame, hops: int = 1) -> DataFrame:
@@ -98,18 +102,19 @@ def neighbourhood(edges: DataFrame, focus: DataFrame, hops: int = 1) -> DataFram
 
 
 def shortest_paths(edges: DataFrame, origins: DataFrame, targets: DataFrame, limit: int = 4) -> DataFrame:
-    """node, status, hops, path: the directed shortest way to the nearest target, the least of equals; -1 and '' without one."""
-    steps = edges.select(F.col("source").alias("at"), F.col("target").alias("_next")).distinct()
-    wanted = targets.select(F.col("node").alias("at")).distinct()
-    now = origins.select("node", F.col("node").alias("at")).distinct().withColumn("path", F.array(F.col("node")))
-    seen = now.select("node", "at")
-    done = now.join(wanted, "at", "left_semi").select("node", "path")
+    """node, status, hops, path: the directed shortest way to the nearest target, the least of equals; -1 and '' without one.
+
+    The search goes backwards from the targets, a step a round; a node keeps the least of its shortest ways (its own
+    id before the least way of a next node), so there is one row for each node that reaches a target.
+    """
+    steps = edges.select(F.col("source").alias("node"), F.col("target").alias("_next")).distinct()
+    found = targets.select("node").distinct().withColumn("path", F.array("node"))
+    frontier = found
     for _ in range(limit):
-        grown = now.join(done, "node", "left_anti").join(steps, "at").select("node", F.col("_next").alias("at"), F.array_append("path", F.col("_next")).alias("path"))
-        now = staged(grown.join(seen, ["node", "at"], "left_anti").groupBy("node", "at").agg(F.min("path").alias("path")), "paths")
-        seen = seen.union(now.select("node", "at"))
-        done = done.union(now.join(wanted, "at", "left_semi").groupBy("node").agg(F.min("path").alias("path")))
-    out = origins.select("node").distinct().join(done, "node", "left")
+        ways = steps.join(frontier.select(F.col("node").alias("_next"), "path"), "_next").join(found.select("node"), "node", "left_anti")
+        frontier = staged(ways.groupBy("node").agg(F.min("path").alias("_least")).select("node", F.concat(F.array("node"), "_least").alias("path")), "paths")
+        found = found.union(frontier)
+    out = origins.select("node").distinct().join(found, "node", "left")
     return out.select("node", F.when(F.col("path").isNull(), "NO_REACHABLE_ANCHOR").otherwise("FOUND").alias("status"), (F.size("path") - 1).cast("long").alias("hops"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path")).withColumns({"hops": F.when(F.col("status") == "FOUND", F.col("hops")).otherwise(-1), "path": F.coalesce("path", F.lit(""))})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import atomic_tokens, formal_part, has_word, joined, normalized_label, section_tag
+from tessera.operators.quality import complete, unique_key
 
 
 def anchor_exclude(rows: DataFrame, key: str, cell: str, anchors: DataFrame, anchor_key: str, anchor_cell: str) -> DataFrame:
@@ -92,6 +93,38 @@ def recompute_consistency(old: DataFrame, new: DataFrame, key: str, value: str,
     return a.join(b, key).withColumn("abs_delta", F.abs(F.col("old_value") - F.col("new_value"))).withColumn("flipped", ((F.col("old_value") > threshold) != (F.col("new_value") > threshold)).cast("int"))
 
 
+def release_changes(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """field, changed: how many keys of both releases differ in each column (null equals null), and the keys retained, dropped and added."""
+    a = old.select(F.col(key).alias("_k"), F.struct(*columns).alias("_a"))
+    b = new.select(F.col(key).alias("_j"), F.struct(*columns).alias("_b"))
+    both = a.join(b, F.col("_k") == F.col("_j"), "full")
+    here, there = F.col("_a").isNotNull(), F.col("_b").isNotNull()
+    counts = [F.count_if(here & there & ~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}"))).alias(c) for c in columns]
+    one = both.agg(*counts, F.count_if(here & there).alias("RETAINED"), F.count_if(here & ~there).alias("DROPPED"), F.count_if(there & ~here).alias("ADDED"))
+    names = [*columns, "RETAINED", "DROPPED", "ADDED"]
+    return one.select(F.expr(f"stack({len(names)}, {', '.join(f'{n!r}, `{n}`' for n in names)}) as (field, changed)"))
+
+
+def integrate_routes(routes: dict[str, DataFrame], key: str, label: str) -> DataFrame:
+    """The union of route outputs: for each key its routes, rows and distinct labels."""
+    rows = None
+    for name, df in routes.items():
+        one = df.select(F.lit(name).alias("_route"), F.col(key), F.col(label).alias("_label"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy(key).agg(joined(F.collect_set("_route")).alias("routes"), F.count("*").alias("n_rows"), F.count_distinct("_label").alias("n_labels"))
+
+
+def join_one_to_one(rows: DataFrame, attributes: DataFrame, key: str, required: list[str]) -> DataFrame:
+    """rows with the attributes of their key; a repeated key on either side, or a required value that is missing after the join, is an error."""
+    for side, df in (("rows", rows), ("attributes", attributes)):
+        if bad := unique_key(df, key, side).first()["violations"]:
+            raise ValueError(f"{side}: {bad} blank or repeated keys in {key}")
+    out = rows.join(attributes, key, "left")
+    if bad := complete(out, required, "joined").first()["violations"]:
+        raise ValueError(f"{bad} required values are missing after the join on {key}")
+    return out
+
+
 def keep_old_add_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """All old rows, and new rows of keys that old lacks."""
     return old.unionByName(new.join(old.select(key), key, "left_anti"))

@@ -77,6 +77,17 @@ def consecutive(df: DataFrame, position: str, name: str) -> DataFrame:
     return agg.select(F.lit(name).alias("name"), bad.cast("long").alias("violations"))
 
 
+def head_of_order(order: DataFrame, position: str, top: DataFrame, key: str, k: int, name: str) -> DataFrame:
+    """Keys by which the first k of a full order and the top set differ."""
+    return exact_cover(order.filter(F.col(position) <= k), top, key, name)
+
+
+def locked(now: DataFrame, expected: DataFrame, key: str, digest: str, name: str) -> DataFrame:
+    """Inputs whose content hash is not the expected one, or that one side lacks."""
+    pair = now.select(key, F.col(digest).alias("_a")).join(expected.select(key, F.col(digest).alias("_b")), key, "full")
+    return _row(pair.filter(~F.col("_a").eqNullSafe(F.col("_b"))), name)
+
+
 def receipt(*checks: DataFrame) -> DataFrame:
     """name, violations, status PASS or FAIL of every check, and a row ALL."""
     rows = reduce(DataFrame.union, checks)

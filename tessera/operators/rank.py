@@ -99,6 +99,18 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def first_k(values: Column, order: Column, k: int) -> Column:
-    """Aggregate: the first k values by order. The group must be bounded."""
-    return F.transform(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), values.alias("v")))), 1, k), lambda s: s["v"])
+def first_k(df: DataFrame, by: list[str], value: str, order: list[str], k: int, name: str) -> DataFrame:
+    """For each group its first k values by order, as an array; k rows of a group are listed, whatever its size.
+
+    The rows are ranked first, so Spark keeps k of each group in every task before it shuffles.
+    """
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    first = df.withColumn("_nth", nth).filter(F.col("_nth") <= k)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_nth", F.col(value).alias("_v")))), lambda s: s["_v"])
+    return first.groupBy(*by).agg(listed.alias(name))
+
+
+def natural_key(x: Column) -> Column:
+    """A sort key in which numbers inside a text order by value: digits padded to 20 places, letters in lower case."""
+    padded = F.regexp_replace(F.regexp_replace(F.lower(x), r"(\d+)", "00000000000000000000$1"), r"0*(\d{20})(?!\d)", "$1")
+    return padded

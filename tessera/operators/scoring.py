@@ -34,21 +34,23 @@ def roll_up_windows(scores: DataFrame, digits: int = 9) -> DataFrame:
     return scores.groupBy("key").agg(F.count("*").alias("n_windows"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score"), F.max_by(F.struct("start", "length"), top).alias("_w")).select("key", "n_windows", "mean_score", "max_score", F.col("_w.start").alias("max_start"), (F.col("_w.start") + F.col("_w.length")).alias("max_end"))
 
 
-def pair_universe(left: DataFrame, left_key: str, right: DataFrame, right_key: str, most_right: int = 10_000) -> DataFrame:
+def pair_universe(left: DataFrame, left_key: str, right: DataFrame, right_key: str, block: int = 10_000) -> DataFrame:
     """Every (left, right) with pair_index = left_index * n_right + right_index, indexes by ascending key.
 
-    The product is what the operator is; the right side is collected into one array only after its size is
-    checked, and left rows are exploded next to it, so no join multiplies unbounded sides.
+    The product is what the operator is. The right side goes into rows of ``block`` keys each, as arrays, and each
+    left row meets every block by the block's number (an equi join on a number that the left rows are exploded to),
+    then its keys; so neither side is broadcast or collected, whatever its size.
     """
     from tessera.operators.rank import ordered_index
 
-    n = right.select(right_key).distinct().count()
-    if n > most_right:
-        raise ValueError(f"{n} right keys; at most {most_right} can be paired with every left key")
-    keys = sorted(r[0] for r in right.select(right_key).distinct().collect())
+    indexed = ordered_index(right.select(F.col(right_key).alias("right_id")).distinct(), F.asc("right_id"), name="_at").withColumn("right_index", F.col("_at") - 1).drop("_at")
+    n = indexed.count()
+    blocks = indexed.withColumn("_block", F.floor(F.col("right_index") / block).cast("long")).groupBy("_block").agg(F.collect_list(F.struct("right_index", "right_id")).alias("_keys"))
     rows = ordered_index(left.select(left_key).distinct(), F.asc(left_key), name="left_index")
-    pairs = rows.select(F.col(left_key).alias("left_id"), (F.col("left_index") - 1).alias("left_index"), F.posexplode(F.array(*[F.lit(k) for k in keys])).alias("right_index", "right_id"))
-    return pairs.withColumn("right_index", F.col("right_index").cast("long")).withColumn("pair_index", F.col("left_index") * n + F.col("right_index"))
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, (n - 1) // block)).cast("long")))
+    met = rows.select(F.col(left_key).alias("left_id"), (F.col("left_index") - 1).alias("left_index"), numbers.alias("_block")).join(blocks, "_block")
+    pairs = met.select("left_id", "left_index", F.explode("_keys").alias("_k")).select("left_id", "left_index", "_k.right_index", "_k.right_id")
+    return pairs.withColumn("pair_index", F.col("left_index") * n + F.col("right_index"))
 
 
 def pair_gate(pairs: DataFrame, score: str, length_sum: str, least: float = 0.99, longest: int = 1600) -> DataFrame:

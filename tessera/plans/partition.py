@@ -173,38 +173,6 @@ def keep_old_add_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.keep_old_add_new(c.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v")), c.select(F.col("c_custkey").alias("id"), F.round(F.col("c_acctbal") * 2, 6).alias("v")), "id")
 
 
-@query("""with c as (
- select 'customer_key' as name, count(*) - count(distinct c_custkey) as violations from customer
- union all select 'orders_have_customers', count(*) from (select distinct o_custkey from orders where o_custkey not in (select c_custkey from customer)) t
- union all select 'all_customers_ordered', (select count(*) from (select c_custkey from customer except select o_custkey from orders) a) + (select count(*) from (select o_custkey from orders except select c_custkey from customer) b)
- union all select 'complete', count(*) filter (where o_totalprice is null) + count(*) filter (where o_orderdate is null) from orders
- union all select 'status_counts', 0
- union all select 'discount_range', count(*) from lineitem where not coalesce(l_discount between 0 and 0.1, false)
- union all select 'disjoint_status', (select count(*) from (select distinct o_orderkey from orders where o_orderstatus = 'O' and o_orderkey in (select o_orderkey from orders where o_orderstatus = 'F')) t)
- union all select 'same_table', 0
- union all select 'positions', 0)
-select name, violations, case when violations = 0 then 'PASS' else 'FAIL' end as status from c
-union all select 'ALL', sum(violations)::bigint, case when sum(violations) = 0 then 'PASS' else 'FAIL' end from c""")
-def quality_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gates over the tables and their receipt."""
-    from tessera.operators.rank import ordered_index
-
-    c, o, li, nation = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "nation"))
-    customers, ordering = c.select(F.col("c_custkey").alias("k")), o.select(F.col("o_custkey").alias("k"))
-    status = o.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-    return quality.receipt(
-        quality.unique_key(c, "c_custkey", "customer_key"),
-        quality.subset(ordering, customers, "k", "orders_have_customers"),
-        quality.exact_cover(customers, ordering, "k", "all_customers_ordered"),
-        quality.complete(o, ["o_totalprice", "o_orderdate"], "complete"),
-        quality.composition(o, "o_orderstatus", status, "status_counts"),
-        quality.rule(li, F.col("l_discount").between(0, 0.1), "discount_range"),
-        quality.disjoint(o.filter("o_orderstatus = 'O'"), o.filter("o_orderstatus = 'F'"), "o_orderkey", "disjoint_status"),
-        quality.equal_tables(nation, nation.orderBy(F.desc("n_name")), "same_table"),
-        quality.consecutive(ordered_index(c.select("c_custkey"), F.asc("c_custkey")), "position", "positions"),
-    )
-
-
 @query("""select 'customer' as name, count(*) as rows, count(distinct c_custkey) as keys from customer union all select 'orders', count(*), count(distinct o_orderkey) from orders
 union all select 'documents', count(*), count(distinct doc_id) from documents""")
 def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

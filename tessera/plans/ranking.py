@@ -147,4 +147,4 @@ select custkey, string_agg(priority, ';' order by priority) as first_two from n
 def first_k_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two values of each key by order, as text."""
     u = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderpriority").alias("priority")).distinct()
-    return u.groupBy("custkey").agg(F.array_join(rank.first_k(F.col("priority"), F.col("priority"), 2), ";").alias("first_two"))
+    return rank.first_k(u, ["custkey"], "priority", ["priority"], 2, "first_two").withColumn("first_two", F.array_join("first_two", ";"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import set_hash  # noqa: F401  (re-exported for callers that lock an input)
-from tessera.operators.quality import equal_tables, unique_key
+from tessera.operators.quality import equal_tables, fingerprint, unique_key
 
 
 class InputError(ValueError):
@@ -76,17 +77,23 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def read_fasta_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The accession of every record, in no order; sequences are not kept."""
+    return spark.read.text(path).filter(F.col("value").startswith(">")).select(fasta_accession(F.substring("value", 2, 1_000_000)).alias("accession"))
+
+
 def fasta_count(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).filter(F.col("value").startswith(">")).count()
 
 
-def read_jsonl_last(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """JSON lines, blank ones skipped; the last object of a key wins."""
+def read_jsonl_last(spark: SparkSession, path: str, schema: str, key: str, order: str | None = None) -> DataFrame:
+    """JSON lines, blank ones skipped; the last object of a key wins: by ``order``, a field, or else by file name and place in the file."""
     from tessera.operators.rank import first_per_key
 
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id()).filter(F.trim("value") != "")
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()) if order is None else F.lit(0)
+    lines = spark.read.text(path).select("value", place.alias("_at")).filter(F.trim("value") != "")
     rows = lines.select(F.from_json("value", schema).alias("o"), "_at").select("o.*", "_at")
-    return first_per_key(rows, [key], [F.desc("_at")]).drop("_at")
+    return first_per_key(rows, [key], [F.desc(order or "_at")]).drop("_at")
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: T.StructType, required: str = "results") -> DataFrame:
@@ -102,6 +109,13 @@ def write_shards(df: DataFrame, key: str, path: str, length: int = 4) -> None:
     df.withColumn("prefix", F.substring(F.col(key).cast("string"), 1, length)).write.partitionBy("prefix").mode("errorifexists").parquet(path)
 
 
+def read_shards(spark: SparkSession, path: str, key: str, wanted: DataFrame, length: int = 4) -> DataFrame:
+    """The records of the keys in ``wanted`` (a column of the same name); only the folders of their prefixes are read."""
+    k = wanted.select(F.col(key).cast("string").alias("_k"), F.substring(F.col(key).cast("string"), 1, length).alias("_p")).distinct()
+    all_ = spark.read.option("basePath", path).parquet(path).withColumn("prefix", F.col("prefix").cast("string"))
+    return all_.join(k, (F.col("prefix") == F.col("_p")) & (F.col(key).cast("string") == F.col("_k")), "left_semi")
+
+
 def read_shard(spark: SparkSession, path: str, key: str, value: str, length: int = 4) -> DataFrame:
     """The records of one key; only its folder is read."""
     return spark.read.option("basePath", path).parquet(path).filter((F.col("prefix") == value[:length]) & (F.col(key).cast("string") == value))
@@ -116,13 +130,25 @@ def write_tsv(df: DataFrame, path: str, fields: list[str], extra: str = "ignore"
 
 def write_once(df: DataFrame, path: str, fields: list[str]) -> None:
     """Write where nothing is; the same content again does nothing; other content is an error."""
-    spark = df.sparkSession
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
-        if equal_tables(read_tsv(spark, path, fields), df, "same").first()["violations"]:
-            raise InputError(f"{path} has other content")
-        return
-    df.write.mode("errorifexists").csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="")
+    try:
+        df.write.mode("errorifexists").csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        if equal_tables(read_tsv(df.sparkSession, path, fields), df, "same").first()["violations"]:
+            raise InputError(f"{path} has other content") from e
+
+
+def freeze(df: DataFrame, name: str, key: str, path: str) -> None:
+    """Store a table's fingerprint, once; ``verify_frozen`` compares with it later."""
+    fingerprint(df, name, key).write.mode("errorifexists").parquet(path)
+
+
+def verify_frozen(df: DataFrame, name: str, key: str, path: str) -> DataFrame:
+    """name, violations (0 if the table still has the stored fingerprint), frozen_rows, rows."""
+    stored, now = df.sparkSession.read.parquet(path), fingerprint(df, name, key)
+    pair = stored.select("name", F.struct("rows", "keys", "content").alias("a")).join(now.select("name", F.struct("rows", "keys", "content").alias("b")), "name", "full")
+    return pair.select("name", (~F.col("a").eqNullSafe(F.col("b"))).cast("long").alias("violations"), F.col("a.rows").alias("frozen_rows"), F.col("b.rows").alias("rows"))
 
 
 def fasta_text(header: Column, sequence: Column, width: int = 80) -> Column:

@@ -110,6 +110,11 @@ def first_k(df: DataFrame, by: list[str], value: str, order: list[str], k: int,
     return first.groupBy(*by).agg(listed.alias(name))
 
 
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with each row's place (from 1) in its group, by an order that leaves no ties."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+
+
 def natural_key(x: Column) -> Column:
     """A sort key in which numbers inside a text order by value: digits padded to 20 places, letters in lower case."""
     padded = F.regexp_replace(F.regexp_replace(F.lower(x), r"(\d+)", "00000000000000000000$1"), r"0*(\d{20})(?!\d)", "$1")

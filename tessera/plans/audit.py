@@ -69,12 +69,12 @@ def case_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {similarity.KMER_SQL}, b as (select left_id, max_by(right_id, containment * 1000000 + right_id / 1e6) as seed from kp where containment >= 0.5 group by 1)
-select seed, count(*) as n, string_agg(cast(left_id as varchar), ';' order by left_id) as members from b group by 1""")
+select seed, left_id, row_number() over (partition by seed order by left_id) as place, count(*) over (partition by seed) as n from b""")
 def group_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates grouped by their best seed."""
+    """Candidates by their best seed, in order, with the size of its group."""
     e = similarity.kmer_edges(spark, sf_dir).filter("containment >= 0.5")
     best = e.groupBy("left_id").agg(F.max_by("right_id", F.struct("containment", "right_id")).alias("seed"))
-    return audit.group_by_seed(best, "seed", "left_id")
+    return audit.group_by_seed(best, "seed", "left_id").withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"""with {evidence.EVIDENCE_SQL.replace("LEVEL", "45")} select count(*) - count(*) as missing_pairs, cast(0 as bigint) as disagreements from ev""")

@@ -1,6 +1,6 @@
 """All registered queries: importing this module imports every module of queries."""
 
-from tessera.plans import audit, evaluation, evidence, explore, formats, gates, network, partition, ranking, similarity  # noqa: F401
+from tessera.plans import audit, evaluation, evidence, explore, fields, formats, gates, network, partition, ranking, similarity  # noqa: F401
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

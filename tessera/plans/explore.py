@@ -107,16 +107,19 @@ def region_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.in_box(e, "x", "y", (-0.1, 0.0, 0.1, 0.2)).select("vec_id")
 
 
-@query("""with p as (select a.doc_id as a, b.doc_id as b, a.text as s, b.text as t from documents a join documents b on b.doc_id = a.doc_id + 1),
-c as (select *, least(length(s), length(t)) as n from p),
-x as (select *, coalesce((select max(i) from range(0, 33) r(i) where i <= n and left(s, i) = left(t, i)), 0) as short_prefix from c)
-select a, b, cast(short_prefix as int) as prefix from x where short_prefix < 32""")
+@query("""with p as (select a.doc_id as a, b.doc_id as b, string_split(a.text, '') as s, string_split(b.text, '') as t from documents a join documents b on b.doc_id = a.doc_id + 1),
+n as (select *, case when a.text is null or b.text is null then null else least(len(p.s), len(p.t)) end as n from p join documents a on p.a = a.doc_id join documents b on p.b = b.doc_id),
+h as (select *, coalesce(list_position(list_transform(list_zip(s[:n], t[:n]), lambda x: x[1] = x[2]), false) - 1, n) as prefix from n),
+x as (select *, coalesce(list_position(list_transform(list_zip(list_reverse(s[prefix + 1:]), list_reverse(t[prefix + 1:]), true), lambda x: x[1] = x[2]), false) - 1, n - prefix) as suffix from h)
+select a, b, cast(prefix as bigint) as prefix, cast(suffix as bigint) as suffix, array_to_string(s[prefix + 1:least(len(s) - suffix, prefix + 40)], '') as left_middle, cast(len(t) - prefix - suffix as bigint) as right_middle from x""")
 def seq_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Common head of neighbouring documents (those with under 32 equal characters, which SQL can check)."""
+    """Neighbouring documents: their common head and tail, the beginning of what differs in the one, its length in the other."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("t"), F.col("doc_id").alias("b"))
     pairs = d.join(nxt, "doc_id").withColumn("x", explore.text_difference(F.col("text"), F.col("t")))
-    return pairs.select(F.col("doc_id").alias("a"), "b", F.col("x.prefix").alias("prefix")).filter("prefix < 32")
+    prefix, suffix = (F.col(f"x.{c}").cast("long").alias(c) for c in ("prefix", "suffix"))
+    middle = F.substring("text", F.col("x.prefix") + 1, F.least(F.length("text") - F.col("x.suffix") - F.col("x.prefix"), F.lit(40)))
+    return pairs.select(F.col("doc_id").alias("a"), "b", prefix, suffix, middle.alias("left_middle"), (F.length("t") - F.col("x.prefix") - F.col("x.suffix")).cast("long").alias("right_middle"))
 
 
 @query("""with e as (select event_id, event_type, props::json as j from events)
@@ -148,21 +151,3 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         fx.normalized_label(F.concat("p_name", F.lit("  {x}"))).alias("label"), fx.limited_ends("p_name", 10).alias("ends"),
         fx.describe_paths(F.when(F.col("p_size") > 25, "large"), F.when(F.col("p_retailprice") > 1000, "dear"), default="").alias("path"),
     )
-
-
-@query("""with r as (select 'R1' as route, o_custkey as id, o_orderpriority as gene from orders where o_totalprice > 300000 union all select 'R2', c_custkey, c_mktsegment from customer where c_acctbal < -500 union all select 'R3', o_custkey, o_orderpriority from orders where o_orderstatus = 'P')
-select id, string_agg(distinct route, ';' order by route) as routes, count(*) as n_rows, count(distinct gene) as n_genes from r group by 1""")
-def route_integration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union of route outputs with provenance and distinct counts."""
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    pick = lambda df, route, key, gene: df.select(F.lit(route).alias("route"), F.col(key).alias("id"), F.col(gene).alias("gene"))
-    rows = pick(o.filter("o_totalprice > 300000"), "R1", "o_custkey", "o_orderpriority").unionByName(pick(c.filter("c_acctbal < -500"), "R2", "c_custkey", "c_mktsegment")).unionByName(pick(o.filter("o_orderstatus = 'P'"), "R3", "o_custkey", "o_orderpriority"))
-    return rows.groupBy("id").agg(fx.joined(F.collect_set("route")).alias("routes"), F.count("*").alias("n_rows"), F.count_distinct("gene").alias("n_genes"))
-
-
-@query("""with s as (select user_id, list_distinct(list(event_type order by ts, event_id)) as ts from events group by 1)
-select user_id, count(distinct event_type) as n_kinds, max(case when event_type in ('purchase', 'click') then 1 else 0 end) as included from events group by 1""")
-def evidence_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct evidence per entity, and whether any of it has an included code."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.count_distinct("event_type").alias("n_kinds"), F.max(F.col("event_type").isin("purchase", "click").cast("int")).alias("included"))

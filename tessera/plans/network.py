@@ -62,14 +62,14 @@ def graph_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {STEPS_SQL}, b as (select source as a, target as z from edges union select target, source from edges),
-f as (select p_partkey as node from part where p_partkey % 101 = 0),
+f as (select p_partkey as node from part where p_partkey % 20 = 0),
 n1 as (select distinct z as node from b where a in (select node from f) and z not in (select node from f)),
 n2 as (select distinct z as node from b where a in (select node from n1) and z not in (select node from f) and z not in (select node from n1))
 select node, 0 as hop from f union all select node, 1 from n1 union all select node, 2 from n2""")
 def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts within two steps of some focus parts."""
+    """Parts within two steps of the focus parts: those with an id divisible by 20."""
     edges, _ = _edges(spark, sf_dir)
-    focus = table(spark, sf_dir, "part").filter("p_partkey % 101 = 0").select(F.col("p_partkey").alias("node"))
+    focus = table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("node"))
     return graph.neighbourhood(edges, focus, 2)
 
 

@@ -12,17 +12,17 @@ from tessera.plans.registry import query
 from tessera.sources.tables import table
 
 EXCLUDED_SQL = f"""{ANCHORS_SQL},
-tok as (select distinct p_partkey, upper(trim(unnest(string_split(p_name, ' ')))) as t from part where p_size <= 40),
-atok as (select distinct upper(trim(unnest(string_split(p_name, ' ')))) as t from anchors where p_partkey % 50 = 0),
+tok as (select distinct p_partkey, upper(unnest(string_split(p_name, ' ')) || '@' || p_brand) as t from part),
+atok as (select distinct t from tok where p_partkey in (select p_partkey from anchors)),
 hit as (select p_partkey, string_agg(t, ',' order by t) as hits from tok where t <> '' and t in (select t from atok) group by 1),
-ex as (select p.p_partkey as id, cast(p.p_partkey in (select p_partkey from anchors where p_partkey % 50 = 0) as boolean) as key_hit, coalesce(hits, '') as hits
-  from part p left join hit using (p_partkey) where p_size <= 40)"""
+ex as (select p.p_partkey as id, cast(p.p_partkey in (select p_partkey from anchors) as boolean) as key_hit, coalesce(hits, '') as hits
+  from part p left join hit using (p_partkey))"""
 
 
 def excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = F.translate("p_name", " ", ";").alias("cell")
-    rows = table(spark, sf_dir, "part").filter("p_size <= 40").select("p_partkey", cell)
-    anchors = anchor_parts(spark, sf_dir).filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("ak"), F.translate("p_name", " ", ";").alias("ac"))
+    cell = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.concat(w, F.lit("@"), F.col("p_brand"))), ";").alias("cell")
+    rows = table(spark, sf_dir, "part").select("p_partkey", cell)
+    anchors = rows.join(anchor_parts(spark, sf_dir).select("p_partkey"), "p_partkey", "left_semi").select(F.col("p_partkey").alias("ak"), F.col("cell").alias("ac"))
     return partition.anchor_exclude(rows, "p_partkey", "cell", anchors, "ak", "ac")
 
 

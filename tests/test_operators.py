@@ -1,6 +1,7 @@
 """Operators on small, hand-computed tables."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -96,38 +97,61 @@ def test_orient(spark):
 
 
 def brute_align(a, b):
-    """The recurrence cell by cell over all three states, for short texts: best score only."""
-    s = similarity._SCORES
-    n, m = len(a), len(b)
-    low = -(10**6)
-    M, P, Q = ([[low] * (m + 1) for _ in range(n + 1)] for _ in range(3))
-    best = 0
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            M[i][j] = max(0, int(s[ord(a[i - 1]), ord(b[j - 1])]) + max(0, M[i - 1][j - 1], P[i - 1][j - 1], Q[i - 1][j - 1]))
-            P[i][j] = max(M[i][j - 1] - 10, P[i][j - 1] - 1, Q[i][j - 1] - 10)
-            Q[i][j] = max(M[i - 1][j] - 10, Q[i - 1][j] - 1, P[i - 1][j] - 10)
-            best = max(best, M[i][j])
-    return best
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.text("ACDEFGHWX", max_size=18), st.text("ACDEFGHWX", max_size=18))
-def test_alignment(a, b):
-    score, matches, columns, used_a, used_b = similarity.align(a, b)
-    assert score == brute_align(a, b)
-    assert matches <= columns and used_a <= len(a) and used_b <= len(b)
-    assert similarity.align(a, a)[1] == len(a) or not a or score >= 0
+    """The best way that ends in each cell and state, kept in a table: (score, matches, -columns, residues, used of a)."""
+    ways = {}
+    best = (0, 0, 0, 0, 0)
+
+    def longer(options, score, match, of_a, of_b):
+        options = [w for w in options if w is not None]
+        if not options:
+            return None
+        w = max(options, key=lambda w: w[:4])
+        return (w[0] + score, w[1] + match, w[2] - 1, w[3] + of_a + of_b, w[4] + of_a)
+
+    at = lambda i, j, k: ways.get((i, j, k), (0, 0, 0, 0, 0) if k == "m" else None)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            x, y = a[i - 1], b[j - 1]
+            moves = {
+                "m": longer([at(i - 1, j - 1, k) for k in "mpq"], int(similarity._SCORES[x.encode("latin-1", "replace")[0], y.encode("latin-1", "replace")[0]]), int(x == y), 1, 1),
+                "p": longer([longer([at(i, j - 1, k)], -1 if k == "p" else -10, 0, 0, 1) for k in "mpq"], 0, 0, 0, 0),
+                "q": longer([longer([at(i - 1, j, k)], -1 if k == "q" else -10, 0, 1, 0) for k in "mpq"], 0, 0, 0, 0),
+            }
+            for k, w in moves.items():
+                if w is not None and k != "m":
+                    w = (w[0], w[1], w[2] + 1, *w[3:])
+                if w is not None and w[0] > 0:
+                    ways[i, j, k] = w
+                    best = max(best, w, key=lambda w: w[:4])
+    return best[0], best[1], -best[2], best[4], best[3] - best[4]
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.tuples(st.text("ACDEFGHWXa", max_size=18), st.text("ACDEFGHWXa", max_size=18)), max_size=6))
+def test_alignment(pairs):
+    found = similarity.align_many(pairs)
+    for (a, b), got in zip(pairs, found, strict=True):
+        assert got == brute_align(a, b)
+    short = [p for p in pairs if p[0] and p[1]]
+    if short:  # the way for texts of any length gives the same
+        assert similarity.Alignments(40, object).run(short) == [brute_align(*p) for p in short]
 
 
 def test_alignment_cases(spark):
-    assert similarity.align("HEAG", "HEAG") == (23, 4, 4, 4, 4)
-    assert similarity.align("XX", "XX")[0] == 2
-    assert similarity.align("", "A") == (0, 0, 0, 0, 0)
+    assert similarity.align_many([("HEAG", "HEAG"), ("XX", "XX"), ("", "A")]) == [(23, 4, 4, 4, 4), (2, 2, 2, 2, 2), (0, 0, 0, 0, 0)]
     p = spark.createDataFrame([(1, 2, "HEAG", "HEAG"), (1, 3, None, "A")], "left_id long, right_id long, left_text string, right_text string")
     assert rows(similarity.align_pairs(p), "right_id", "score", "identity", "left_coverage") == [(2, 23, 1.0, 1.0), (3, 0, 0.0, 0.0)]
 
 
+def test_long_alignment():
+    rng = np.random.default_rng(0)
+    a, b = ("".join(rng.choice(list("ACDEFGHIKL"), 600)) for _ in range(2))
+    start = time.process_time()
+    score, matches, columns, used_a, used_b = similarity.align_many([(a, a[:300] + b[:20] + a[300:])])[0]
+    assert (matches, columns, used_a, used_b) == (600, 620, 600, 620)
+    assert time.process_time() - start < 5
+
+
 def test_windows_roll_up(spark):
     s = spark.createDataFrame([("e", 1, 10, 0.7), ("e", 9, 6, 0.7), ("e", 3, 10, 0.1)], "key string, start long, length long, score double")
     r = scoring.roll_up_windows(s).first()
@@ -139,8 +163,7 @@ def test_pairs_and_resume(spark):
     u = scoring.pair_universe(a, "k", b, "k")
     assert rows(u, "pair_index", "left_id", "right_id") == [(i, "xyz"[i // 2], "pq"[i % 2]) for i in range(6)]
     assert scoring.pending(u, u.filter("pair_index < 4")).count() == 2
-    with pytest.raises(ValueError):
-        scoring.pair_universe(a, "k", b, "k", most_right=1)
+    assert rows(scoring.pair_universe(a, "k", b, "k", block=1), "pair_index", "left_id", "right_id") == rows(u, "pair_index", "left_id", "right_id")
     scored = scoring.score_pairs(u.withColumn("left_text", F.col("left_id")).withColumn("right_text", F.col("right_id")), lambda x, y: np.array([0.95] * len(x)))
     assert rows(scored.groupBy("flag").count()) == [(1, 6)]
 

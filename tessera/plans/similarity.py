@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity as fs
 from tessera.functions import text as fx
-from tessera.operators import scoring, sensitivity, similarity
+from tessera.operators import features, scoring, sensitivity, similarity
 from tessera.plans.registry import query
 from tessera.sources.tables import staged, table
 
@@ -84,34 +84,59 @@ def align_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.align_pairs(pairs.join(side("left"), "left_id").join(side("right"), "right_id"))
 
 
-#: a user's first events by type with minutes as interval coordinates
-ARCH_SQL = """e as (select user_id, event_type, extract(hour from ts) * 60 + extract(minute from ts) + 1 as m, event_id from events where user_id <= 60),
-a as (select user_id, list(event_type order by m, event_id) as ids, list({'start': m, 'end': m + 30} order by m, event_id) as iv from (select *, row_number() over (partition by user_id order by m, event_id) as nth from e) t where nth <= 2 group by 1),
-pp as (select a.user_id as left_id, b.user_id as right_id, a.ids as lids, b.ids as rids, a.iv as liv, b.iv as riv from a join a b on a.user_id < b.user_id and a.ids[1] = b.ids[1] and a.user_id % 5 = b.user_id % 5),
-io as (select *, case when len(liv) = len(riv) then list_min(list_transform(range(1, len(liv) + 1), lambda i: greatest(0, least(liv[i]['end'], riv[i]['end']) / 1500.0 - (greatest(liv[i]['start'], riv[i]['start']) - 1) / 1500.0) / (greatest(liv[i]['end'], riv[i]['end']) / 1500.0 - (least(liv[i]['start'], riv[i]['start']) - 1) / 1500.0))) end as iou from pp)"""
+#: a user's day is an entity, an event of it a feature of 30 minutes in two fragments; cheap ones are of a type that does not count
+DAYS_SQL = """f as (select user_id, user_id * 100 + extract(day from ts) as entity, event_type as feature_id, extract(hour from ts) * 60 + extract(minute from ts) + 1 as m, case when value >= 4 then 'domain' else 'site' end as kind from events),
+en as (select distinct user_id, entity from f), a as (select entity, list(feature_id order by m, feature_id) as ids, list(m order by m, feature_id) as iv from f where kind = 'domain' group by 1)"""
 
 
-@query(f"""with {ARCH_SQL} select left_id, right_id, round(case when lids = rids and len(liv) = len(riv) then iou end, 6) as min_iou,
- case when lids <> rids then 'order_or_copy_mismatch' when len(liv) <> len(riv) then 'coordinate_count_mismatch' when iou < 0.2 then 'low_overlap' else 'pass' end as reason from io""")
+def day_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entities (user_id, entity), and features flattened from a JSON document for each."""
+    minute = F.hour("ts") * 60 + F.minute("ts") + 1
+    e = table(spark, sf_dir, "events").select("user_id", (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("entity"), "event_type", minute.alias("m"), F.when(F.col("value") >= 4, "domain").otherwise("site").alias("kind"))
+    part = lambda a, b: F.struct((F.col("m") + a).alias("start"), (F.col("m") + b).alias("end"))
+    place = F.struct(F.array(part(15, 30), part(0, 10)).alias("fragments"))
+    mine = F.struct(F.col("entity").cast("string").alias("accession"), F.lit(1500).alias("protein_length"), F.array(place).alias("entry_protein_locations"))
+    other = F.struct(F.lit("0").alias("accession"), F.lit(9).alias("protein_length"), F.array(place).alias("entry_protein_locations"))
+    result = F.struct(F.struct(F.col("event_type").alias("accession"), F.upper("event_type").alias("name"), F.col("kind").alias("type")).alias("metadata"), F.array(other, mine).alias("proteins"))
+    docs = e.groupBy("user_id", "entity").agg(F.to_json(F.struct(F.collect_list(result).alias("results"))).alias("json"))
+    return docs.select("user_id", "entity"), features.flatten_features(docs, "entity", "json", restricted=True)
+
+
+@query(f"""with {DAYS_SQL} select entity, feature_id, upper(feature_id) as feature_name, kind as feature_type, cast(m as bigint) as start, cast(m + 30 as bigint) as "end", cast(1 as bigint) as location_index, cast(2 as bigint) as fragment_count, cast(1500 as bigint) as entity_length from f where kind = 'domain'""")
+def features_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of nested JSON documents: results of counted types, of the entity itself, from first to last fragment."""
+    f = day_features(spark, sf_dir)[1]
+    return f.select("entity", "feature_id", "feature_name", "feature_type", *[F.col(c).cast("long").alias(c) for c in ("start", "end", "location_index", "fragment_count", "entity_length")])
+
+
+@query(f"""with {DAYS_SQL}, n as (select entity as left_id, lead(entity) over (partition by user_id order by entity) as right_id from en),
+p as (select left_id, right_id, l.ids as lids, r.ids as rids, l.iv as liv, r.iv as riv from n left join a l on left_id = l.entity left join a r on right_id = r.entity where right_id is not null),
+i as (select *, case when lids = rids then list_min(list_transform(range(1, len(liv) + 1), lambda i: greatest(0, least(liv[i], riv[i]) + 30 - greatest(liv[i], riv[i]) + 1) / cast(greatest(liv[i], riv[i]) + 30 - least(liv[i], riv[i]) + 1 as double))) end as iou from p)
+select left_id, right_id, round(iou, 6) as min_iou, case when lids is null or rids is null then 'missing' when lids <> rids then 'order_or_copy_mismatch' when iou < 0.1 then 'low_overlap' else 'pass' end as reason from i""")
 def interval_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered labelled intervals of two entities compared, with the first reason that fails."""
-    e = table(spark, sf_dir, "events").filter("user_id <= 60").select("user_id", "event_type", "event_id", (F.hour("ts") * 60 + F.minute("ts") + 1).alias("m"))
-    listed = F.slice(F.array_sort(F.collect_list(F.struct("m", "event_id", "event_type"))), 1, 2)
-    arch = F.struct(F.lit("available").alias("status"), F.lit("events").alias("source"), F.transform("l", lambda x: x["event_type"]).alias("ids"), F.transform("l", lambda x: F.struct(x["m"].alias("start"), (x["m"] + 30).alias("end"))).alias("intervals"), F.lit(1500).alias("length"))
-    a = e.groupBy("user_id").agg(listed.alias("l")).select("user_id", arch.alias("arch"), (F.col("user_id") % 5).alias("block"), F.col("l")[0]["event_type"].alias("head"))
-    side = lambda s: a.select(F.col("user_id").alias(f"{s}_id"), F.col("arch").alias(f"{s}_arch"), "block", "head")
-    pairs = side("left").join(side("right"), ["block", "head"]).filter("left_id < right_id")
-    return pairs.withColumn("c", fs.compare_architectures("left_arch", "right_arch", 0.2)).select("left_id", "right_id", F.round("c.min_iou", 6).alias("min_iou"), "c.reason")
-
-
-@query("""with e as (select distinct user_id, extract(hour from ts) * 60 + extract(minute from ts) as m from events where user_id <= 30)
-select user_id, string_agg(cast(m as varchar) || '-' || cast(m + 5 as varchar), '|' order by m) as intervals, count(*) as n from e group by 1""")
+    """Each user's days compared with the next day: features in order and their places, with the first reason that fails."""
+    entities, found = day_features(spark, sf_dir)
+    arch = similarity_inputs(entities, found)
+    following = F.lead("entity").over(Window.partitionBy("user_id").orderBy("entity"))
+    pairs = entities.select(F.col("entity").alias("left_id"), following.alias("right_id")).filter("right_id is not null")
+    side = lambda s: arch.select(F.col("entity").alias(f"{s}_id"), F.col("arch").alias(f"{s}_arch"))
+    c = pairs.join(side("left"), "left_id").join(side("right"), "right_id").withColumn("c", fs.compare_architectures("left_arch", "right_arch", 0.1))
+    return c.select("left_id", "right_id", F.round("c.min_iou", 6).alias("min_iou"), "c.reason")
+
+
+def similarity_inputs(entities: DataFrame, found: DataFrame) -> DataFrame:
+    """entity and its architecture."""
+    return features.architectures(entities, "entity", found, "DAYS")
+
+
+@query("""with e as (select distinct user_id, extract(day from ts) as d, extract(hour from ts) * 60 + extract(minute from ts) as m from events)
+select user_id, cast(d as bigint) as day, string_agg(cast(m as varchar) || '-' || cast(m + 5 as varchar), '|' order by m) as intervals, count(*) as n from e group by 1, 2""")
 def interval_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals encoded as text and decoded again."""
-    e = table(spark, sf_dir, "events").filter("user_id <= 30").select("user_id", (F.hour("ts") * 60 + F.minute("ts")).alias("start")).distinct()
-    a = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + 5).alias("end")))).alias("i"))
+    """Each user's intervals of a day encoded as text and decoded again."""
+    e = table(spark, sf_dir, "events").select("user_id", F.dayofmonth("ts").cast("long").alias("day"), (F.hour("ts") * 60 + F.minute("ts")).alias("start")).distinct()
+    a = e.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + 5).alias("end")))).alias("i"))
     b = a.withColumn("intervals", fx.encode_intervals("i")).withColumn("back", fx.decode_intervals("intervals"))
-    return b.select("user_id", fx.encode_intervals("back").alias("intervals"), F.size("back").cast("long").alias("n"))
+    return b.select("user_id", "day", fx.encode_intervals("back").alias("intervals"), F.size("back").cast("long").alias("n"))
 
 
 #: customers with the parts, brands and suppliers they bought at quantity 49 or more, paired within a nation and segment
@@ -138,11 +163,13 @@ def functional_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     bought = li.filter("l_quantity >= 49").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
     sets = staged(bought.groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("l_partkey").alias("parts"), F.collect_set("p_brand").alias("brands"), F.collect_set("l_suppkey").alias("suppliers")), "sets")
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_mktsegment").join(sets.select("id"), "id", "left_semi")
-    side = lambda s: c.withColumnRenamed("id", f"{s}_id")
-    pairs = side("left").join(side("right"), ["c_nationkey", "c_mktsegment"]).filter("left_id < right_id").select("left_id", "right_id")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_mktsegment")
     n = sets.count()
     weights = sets.select(F.explode("brands").alias("b")).groupBy(F.concat(F.lit("brands:"), "b").alias("member")).agg((F.log((n + 1) / (F.count("*") + 1)) + 1).alias("weight"))
+    block = ["c_nationkey", "c_mktsegment"]
+    # a passing pair shares half of its suppliers, half of its parts or a quarter of the weight of all (rounded to six digits)
+    one = [similarity.prefix_pairs(similarity.set_members(sets, "id", [s]), "id", c, block, 0.5) for s in ("suppliers", "parts")]
+    pairs = staged(one[0].union(one[1]).union(similarity.prefix_pairs(similarity.set_members(sets, "id", ["parts", "brands", "suppliers"], weights), "id", c, block, 0.2499)).distinct(), "pairs")
     metrics = similarity.pair_set_metrics(pairs, sets, "id", ["parts", "brands", "suppliers"], weights)
     return similarity.with_functional_pass(metrics.withColumn("weighted", F.round("weighted", 6)), "suppliers", "parts")
 
@@ -164,6 +191,34 @@ def extend_best_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.extend_by_similarity(failures, passed, "left_id", ["weighted", "shared_all"], "right_id").select("left_id", "best_seed", "weighted", "shared_all", "n_support")
 
 
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measures of pairs of parts of one signature with k-mers in common: names as texts, size as the place of the one feature, and the suppliers, nations and months of their large lines."""
+    part, li, s = (table(spark, sf_dir, t) for t in ("part", "lineitem", "supplier"))
+    pairs = staged(kmer_edges(spark, sf_dir).filter("containment >= 0.5").select("left_id", "right_id"), "pairs")
+    texts = part.select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("text"))
+    place = F.array(F.struct(F.col("p_size").alias("start"), (F.col("p_size") + 30).alias("end")))
+    arch = part.select(F.col("p_partkey").alias("id"), F.struct(F.lit("available").alias("status"), F.lit("PART").alias("source"), F.array("p_type").alias("ids"), place.alias("intervals"), F.lit(100).alias("length")).alias("arch"))
+    large = li.filter("l_quantity >= 40").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    sets = large.groupBy(F.col("l_partkey").alias("id")).agg(F.collect_set("l_suppkey").alias("suppliers"), F.collect_set("s_nationkey").alias("nations"), F.collect_set(F.month("l_shipdate")).alias("months"))
+    return similarity.pair_metrics(pairs, texts, arch, sets, ["suppliers", "nations", "months"], None, "suppliers", "nations", 0.5)
+
+
+@query()
+def extension_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment, architecture and set similarity of every candidate pair, and whether it is a passing edge."""
+    return part_edges(spark, sf_dir).select("left_id", "right_id", "identity", "left_coverage", "right_coverage", "min_iou", "architecture", "weighted", "shared_all", "function", "edge")
+
+
+@query()
+def extended_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed candidates (parts over size 20) that a passing edge ties to a seed, with the best seed; their label stays."""
+    e, part = part_edges(spark, sf_dir).filter("edge"), table(spark, sf_dir, "part")
+    tall = e.select("left_id", "right_id", "identity", "weighted").union(e.select("right_id", "left_id", "identity", "weighted"))
+    failures = part.filter("p_size > 20").select(F.col("p_partkey").alias("left_id"), F.lit("failure").alias("label"))
+    seeds = part.filter("p_size <= 20").select(F.col("p_partkey").alias("right_id"))
+    return similarity.extend_by_similarity(failures, tall.join(seeds, "right_id", "left_semi"), "left_id", ["identity", "weighted"], "right_id").select("left_id", "label", "best_seed", "identity", "weighted", "n_support")
+
+
 def vowel_share(texts: list[str]) -> np.ndarray:
     """The plug-in model of the queries: the share of vowels in each text."""
     return np.array([round(sum(t.count(v) for v in "aeiou") / max(1, len(t)), 9) for t in texts])
@@ -180,15 +235,15 @@ def window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with l as (select p_partkey as id, p_name, dense_rank() over (order by p_partkey) - 1 as li from part where p_size > 40), r as (select n_nationkey as id, n_name, dense_rank() over (order by n_nationkey) - 1 as ri from nation),
-u as (select li * (select count(*) from r) + ri as pair_index, p_name, n_name from l, r), g as (select * from u where length(p_name) + length(n_name) <= 25 and pair_index % 2 = 1)
+u as (select li * (select count(*) from r) + ri as pair_index, p_name, n_name from l, r), g as (select * from u where length(p_name) + length(n_name) <= 25 and round(least(length(p_name), length(n_name)) / cast(greatest(length(p_name), length(n_name)) as double), 6) > 0.7 and pair_index % 2 = 1)
 select pair_index, round(least(length(p_name), length(n_name)) / cast(greatest(length(p_name), length(n_name)) as double), 9) as score, cast(least(length(p_name), length(n_name)) / cast(greatest(length(p_name), length(n_name)) as double) > 0.9 as int) as flag from g""")
 def pair_scores_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pending pairs of a gated universe scored by a plug-in model; even pairs count as done."""
     parts = table(spark, sf_dir, "part").filter("p_size > 40").select("p_partkey", F.col("p_name").alias("left_text"))
     nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("right_text"))
     universe = scoring.pair_universe(parts, "p_partkey", nations, "n_nationkey")
-    pairs = universe.join(parts, F.col("left_id") == F.col("p_partkey")).join(nations, F.col("right_id") == F.col("n_nationkey")).withColumn("length_sum", F.length("left_text") + F.length("right_text")).withColumn("prior", F.lit(1.0))
-    gated = scoring.pair_gate(pairs, "prior", "length_sum", 0.99, 25)
+    pairs = universe.join(parts, F.col("left_id") == F.col("p_partkey")).join(nations, F.col("right_id") == F.col("n_nationkey")).withColumn("length_sum", F.length("left_text") + F.length("right_text")).withColumn("prior", F.round(fs.length_ratio(F.length("left_text"), F.length("right_text")), 6))
+    gated = scoring.pair_gate(pairs, "prior", "length_sum", 0.7, 25)
     todo = scoring.pending(gated, gated.filter("pair_index % 2 = 0").select("pair_index"))
 
     def model(a: list[str], b: list[str]) -> np.ndarray:

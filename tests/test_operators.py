@@ -1,5 +1,6 @@
 """Operators on small, hand-computed tables."""
 
+import json
 import math
 import time
 
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation, evidence, explore, graph, partition, quality, rank, scoring, sensitivity, similarity
+from tessera.operators import evaluation, evidence, explore, features, graph, partition, quality, rank, scoring, sensitivity, similarity
 from tessera.sources import io
 
 
@@ -152,6 +153,99 @@ def test_long_alignment():
     assert time.process_time() - start < 5
 
 
+def test_prefix_pairs_lose_no_similar_pair(spark):
+    rng = np.random.default_rng(5)
+    weight = {f"s:{m}": float(w) for m, w in enumerate(rng.uniform(0.5, 3, 30))}
+    sets = {i: set(rng.choice(30, rng.integers(1, 9), p=np.arange(1, 31) / 465, replace=False).tolist()) for i in range(80)}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, s array<long>")
+    blocks = spark.createDataFrame([(i, i % 3) for i in sets], "id long, k int")
+    members = similarity.set_members(df, "id", ["s"], spark.createDataFrame(list(weight.items())[:20], "member string, weight double"))
+    w = lambda ms: sum(weight[f"s:{m}"] if m < 20 else 1.0 for m in ms)
+    for share in (0.25, 0.5, 0.9):
+        got = set(rows(similarity.prefix_pairs(members, "id", blocks, ["k"], share)))
+        want = {(i, j) for i in sets for j in sets if i < j and i % 3 == j % 3 and w(sets[i] & sets[j]) >= share * w(sets[i] | sets[j])}
+        assert want <= got
+        assert len(got) < 80 * 79 / 6
+
+
+def test_pair_metrics_and_extension(spark):
+    texts = {1: "HEAGAWGHEE", 2: "HEAGAWGHEE", 3: "HEAGAWGHAE", 4: "PAWHEAE", 5: ""}
+    spans = {1: [(1, 40)], 2: [(2, 41)], 3: [(1, 40)], 4: [(60, 99)], 5: None}
+    sets = {1: ([1, 2], [7]), 2: ([1, 2], [7, 8]), 3: ([2, 1], [9]), 4: ([5], [7]), 5: ([], [])}
+    t = spark.createDataFrame(list(texts.items()), "id long, text string")
+    arch = "struct<status: string, source: string, ids: array<string>, intervals: array<struct<start: int, end: int>>, length: int>"
+    a = spark.createDataFrame([(i, ("available" if s else "none", "X", ["d"], s or [], 100)) for i, s in spans.items()], f"id long, arch {arch}")
+    f = spark.createDataFrame([(i, *s) for i, s in sets.items()], "id long, ev array<long>, fi array<long>")
+    pairs = spark.createDataFrame([(i, j) for i in texts for j in texts if i < j], "left_id long, right_id long")
+    got = {(r.left_id, r.right_id): r for r in similarity.pair_metrics(pairs, t, a, f, ["ev", "fi"], None, "ev", "fi").collect()}
+    assert len(got) == 10
+    for (i, j), r in got.items():
+        score, matches, columns, x, y = brute_align(texts[i], texts[j])
+        assert (r.score, r.matches, r.columns) == (score, matches, columns)
+        both, union = (len(set(sets[i][k]) & set(sets[j][k])) for k in (0, 1)), (len(set(sets[i][k]) | set(sets[j][k])) for k in (0, 1))
+        both, union = list(both), list(union)
+        assert (r.shared_ev, r.shared_fi, r.shared_all) == (*both, sum(both))
+        assert r.weighted == pytest.approx(sum(both) / sum(union) if sum(union) else 0)
+        jac = [b / u if u else 0 for b, u in zip(both, union, strict=True)]
+        reason = "event" if jac[0] >= 0.5 and both[0] else "first_set" if jac[1] >= 0.5 and both[1] >= 2 else "weighted" if r.weighted >= 0.25 and sum(both) >= 3 else "none"
+        assert r.function == reason
+        p, q = spans[i], spans[j]
+        iou = max(0, min(p[0][1], q[0][1]) - max(p[0][0], q[0][0]) + 1) / (max(p[0][1], q[0][1]) - min(p[0][0], q[0][0]) + 1) if p and q else None
+        assert r.architecture == ("missing" if iou is None else "pass" if iou >= 0.8 else "low_overlap")
+        holds = columns and matches / columns >= 0.7 and x / len(texts[i]) >= 0.8 and y / len(texts[j]) >= 0.8 and r.architecture == "pass" and reason != "none"
+        assert r.edge == bool(holds)
+    assert {k for k, r in got.items() if r.edge} == {(1, 2), (1, 3), (2, 3)}
+    edges = spark.createDataFrame([(3, 1, 1.0, 0.2), (3, 2, 0.9, 0.5), (4, 1, 0.8, 0.1)], "left_id long, right_id long, identity double, weighted double")
+    failures = spark.createDataFrame([(3, "failure"), (5, "failure")], "left_id long, label string")
+    assert rows(similarity.extend_by_similarity(failures, edges, "left_id", ["identity", "weighted"], "right_id"), "left_id", "label", "best_seed", "n_support") == [(3, "failure", 1, 2)]
+
+
+def test_features_and_architectures(spark):
+    doc = {"results": [
+        {"metadata": {"accession": "F1", "name": "one", "type": "domain"}, "proteins": [{"accession": "p1", "protein_length": 90, "entry_protein_locations": [{"fragments": [{"start": 30, "end": 40}, {"start": 10, "end": 20}]}, {"fragments": []}]}, {"accession": "other", "protein_length": 5, "entry_protein_locations": [{"fragments": [{"start": 1, "end": 2}]}]}]},
+        {"metadata": {"accession": "F0", "type": "site"}, "proteins": [{"accession": "P1", "protein_length": 90, "entry_protein_locations": [{"fragments": [{"start": 5, "end": 7}]}]}]},
+    ]}
+    d = spark.createDataFrame([("P1", json.dumps(doc)), ("P2", "{}"), ("P3", None), ("P4", "broken")], "acc string, j string")
+    want = [("P1", 90, "F0", "", "site", 5, 7, 1, 1), ("P1", 90, "F1", "one", "domain", 10, 40, 1, 2)]
+    f = features.flatten_features(d, "acc", "j")
+    assert rows(f, "entity", "entity_length", *features.FEATURES) == want
+    assert rows(features.flatten_features(d, "acc", "j", restricted=True), "feature_id") == [("F1",)]
+    a = {r.acc: r.arch for r in features.architectures(d, "acc", f, "X").collect()}
+    assert (a["P1"].status, a["P1"].ids, [tuple(i) for i in a["P1"].intervals], a["P1"].length) == ("available", ["F0", "F1"], [(5, 7), (10, 40)], 90)
+    assert {a[k].status for k in ("P2", "P3", "P4")} == {"no_coordinate_resolved_features"}
+
+
+def test_write_once_again(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([("1", "a"), ("2", "b")], "k string, v string")
+    io.write_tsv(df, path, ["k", "v"])
+    io.write_tsv(df.repartition(2), path, ["k", "v"])  # equal content is left alone
+    with pytest.raises(io.InputError):
+        io.write_tsv(df.limit(1), path, ["k", "v"])
+    assert io.read_tsv(spark, path, ["k", "v"]).count() == 2
+    lines = str(tmp_path / "l")
+    spark.createDataFrame([('{"k": 1, "n": 5, "v": "new"}',), ("",), ('{"k": 1, "n": 2, "v": "old"}',)], "value string").write.text(lines)
+    assert rows(io.read_jsonl_last(spark, lines, "k int, n int, v string", "k", order="n"), "v") == [("new",)]
+    io.freeze(df, "t", "k", str(tmp_path / "f"))
+    assert rows(io.verify_frozen(df.repartition(3), "t", "k", str(tmp_path / "f"))) == [("t", 0, 2, 2)]
+    assert rows(io.verify_frozen(df.limit(1), "t", "k", str(tmp_path / "f"))) == [("t", 1, 2, 1)]
+
+
+def test_checked_join(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    assert rows(partition.join_one_to_one(a.select("k"), a, "k", ["v"])) == [(1, "x"), (2, "y")]
+    for left, right in ((a.union(a).select("k"), a), (a.select("k"), a.union(a)), (a.select("k"), a.limit(1))):
+        with pytest.raises(ValueError):
+            partition.join_one_to_one(left, right, "k", ["v"])
+
+
+def test_natural_order_and_first_k(spark):
+    df = spark.createDataFrame([(x,) for x in ("b2", "a10", "A9", "a010b", "b", "a9z")], "x string")
+    assert [r.x for r in df.orderBy(rank.natural_key(F.col("x")), "x").collect()] == ["A9", "a9z", "a10", "a010b", "b", "b2"]
+    k = spark.createDataFrame([("g", i) for i in (5, 3, 9, 1)] + [("h", 2)], "g string, v int")
+    assert rows(rank.first_k(k, ["g"], "v", ["v"], 2, "f")) == [("g", [1, 3]), ("h", [2])]
+
+
 def test_windows_roll_up(spark):
     s = spark.createDataFrame([("e", 1, 10, 0.7), ("e", 9, 6, 0.7), ("e", 3, 10, 0.1)], "key string, start long, length long, score double")
     r = scoring.roll_up_windows(s).first()

@@ -39,10 +39,10 @@ from math import ceil, log10
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import slices
 from tessera.sources.tables import staged, table
 
 U64 = np.uint64
@@ -265,17 +265,6 @@ def place_in(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == x
 
 
-def slices(batch: pa.RecordBatch, text: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts have about ``size`` bytes at most, or a single row."""
-    at = 0
-    while at < batch.num_rows:
-        n = min(batch.num_rows - at, 1_000)
-        while n > 1 and pc.sum(pc.binary_length(batch.column(text).slice(at, n))).as_py() > size:
-            n //= 2
-        yield batch.slice(at, n)
-        at += n
-
-
 def counted(docs: DataFrame, words: bool, pairs: np.ndarray | None = None) -> DataFrame:
     """(kind, key, n) over all texts, pre-aggregated in each task: kind 0 words and ends; kind 1 pairs, those in ``pairs`` or, without it, all."""
     wanted = docs.sparkSession.sparkContext.broadcast(pairs)

@@ -6,6 +6,8 @@ probability of at most so many false rejections among the stratum's good labelle
 ``alpha`` / rules, is at most ``delta`` / (strata * rules). Candidates of a rule are tested from the most lenient
 to the most severe and testing stops at the first that fails (fixed sequence), so only strata and rules need the
 Bonferroni correction: with probability 1 - delta no stratum loses more than ``alpha`` of its good documents.
+Good are documents that pass the base rule: what ``base_failed`` rejects is fixed by contract and outside the
+guarantee. Labelled documents count as independent trials; copies of one text count each.
 A rule without a certified cutoff rejects nothing in that stratum, nor does a stratum without labels.
 
 A null text has no words (base_failed). A null language is the stratum 'und'. Rows with equal doc_id share the

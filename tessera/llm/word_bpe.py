@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tessera.llm.batches import slices
 from tessera.sources.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -223,8 +224,7 @@ def encode_decode(docs: DataFrame, file: str, rows: int = 10_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(file)
         for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
+            for batch in slices(whole, 1, rows, 16_000_000):
                 ids, decoded = zip(*bpe.encode_decode([t or "" for t in batch.column(1).to_pylist()]), strict=True)
                 n = pa.array([s.count(" ") + 1 if s else 0 for s in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
@@ -239,8 +239,7 @@ def digests(docs: DataFrame, file: str, rows: int = 10_000) -> DataFrame:
         bpe = _bpe(file)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
+            for batch in slices(whole, 1, rows, 16_000_000):
                 out = [(s.count(" ") + 1 if s else 0, sha(s), sha(d)) for s, d in bpe.encode_decode([t or "" for t in batch.column(1).to_pylist()])]
                 n, a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

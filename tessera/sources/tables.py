@@ -13,20 +13,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: folders of local sessions without the setting, by application
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """This application's folder in the one that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is missing, as in local tests, a folder of this machine is made and set.
+    Everything an application stages lies below it, so its owner can remove the folder once results are saved
+    (``drop_staged``). Only a local session without the setting, as in tests, gets a folder of its machine; on a
+    cluster a missing setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: tables must be staged in a folder that all executors see")
+        found = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-shared-")
+        _own[spark.sparkContext.applicationId] = found
+    return f"{found}/{spark.sparkContext.applicationId}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove what this application has staged. DataFrames made from it cannot be read any more: save results first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet to the shared folder and read it again.
+    """Write ``df`` once as Parquet to the shared folder and read it again, at once: operators that stage run jobs when they are called.
 
     Cuts the lineage in a way that survives the loss of executors: later stages read files that every
     executor sees instead of recomputing the work above.

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluation, evidence, explore, features, graph, partition, quality, rank, scoring, sensitivity, similarity
-from tessera.sources import io
+from tessera.sources import io, tables
 
 
 def rows(df, *columns):
@@ -231,6 +231,34 @@ def test_write_once_again(spark, tmp_path):
     assert rows(io.verify_frozen(df.limit(1), "t", "k", str(tmp_path / "f"))) == [("t", 1, 2, 1)]
 
 
+def test_staged_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_dir", lambda _: str(tmp_path / "app"))
+    df = tables.staged(spark.range(5).toDF("k"), "five")
+    assert df.count() == 5
+    assert len(list(tmp_path.glob("app/five-*"))) == 1
+    tables.drop_staged(spark)
+    assert not list(tmp_path.glob("*"))
+
+
+class Session:
+    """What ``shared_dir`` asks of a session."""
+
+    def __init__(self, master, setting):
+        self.sparkContext, self.conf = self, self
+        self.master, self.applicationId, self.setting = master, f"app-{master}", setting
+
+    def get(self, _, default):
+        return self.setting or default
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    assert tables.shared_dir(Session("spark://x", "hdfs:///shared")) == "hdfs:///shared/app-spark://x"
+    assert tables.shared_dir(Session("local[4]", None)) == tables.shared_dir(Session("local[4]", None))
+    for master in ("spark://x", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            tables.shared_dir(Session(master, None))
+
+
 def test_checked_join(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     assert rows(partition.join_one_to_one(a.select("k"), a, "k", ["v"])) == [(1, "x"), (2, "y")]

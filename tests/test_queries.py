@@ -39,4 +39,5 @@ def test_entry(spark):
 
 
 def test_rows_only(spark):
-    assert QUERIES["align_pairs"](spark, DIR).count() >= 0
+    for name in ("align_pairs", "extension_edges", "extended_candidates"):
+        assert QUERIES[name](spark, DIR).count() >= 0

@@ -37,8 +37,8 @@ def value_ranks(df: DataFrame, value: str, descending: bool, n: int | None = Non
     return summed.join(F.broadcast(total)).select(value, (F.col("upto") - F.col("_rows") + 1).alias("rank"), "upto", "n")  # total: one row
 
 
-def _with_ranks(df: DataFrame, value: str, descending: bool) -> DataFrame:
-    ranks = value_ranks(df, value, descending).withColumnRenamed(value, "_value")
+def _with_ranks(df: DataFrame, value: str, descending: bool, base: DataFrame | None = None) -> DataFrame:
+    ranks = value_ranks(df if base is None else base, value, descending).withColumnRenamed(value, "_value")
     return df.join(ranks, F.col(value).eqNullSafe(F.col("_value")), "left").drop("_value")
 
 
@@ -55,12 +55,16 @@ def positive_percentile(df: DataFrame, value: str, name: str) -> DataFrame:
     return _with_ranks(filled, "_filled", False).withColumn(name, share).drop("rank", "upto", "n", "_filled")
 
 
-def beneficial_percentile(df: DataFrame, value: str, name: str, higher_is_better: bool = True, zero_is_no_evidence: bool = False) -> DataFrame:
-    """1 for the best value down to 0; missing values rank last, count in n and score 0; with one row 1."""
+def beneficial_percentile(df: DataFrame, value: str, name: str, higher_is_better: bool = True, zero_is_no_evidence: bool = False, base: DataFrame | None = None) -> DataFrame:
+    """1 for the best value down to 0; missing values rank last, count in n and score 0; with one row 1.
+
+    ``base``: the same rows, cheaper to read (a staged table), from which values are counted, so that several
+    percentiles in a row do not each repeat the joins of those before.
+    """
     share = F.when(F.col("n") <= 1, 1.0).when(F.col(value).isNull(), 0.0).otherwise(1 - (F.col("rank") - 1) / (F.col("n") - 1))
     if zero_is_no_evidence:
         share = F.when((F.col("n") > 1) & (F.col(value) <= 0), 0.0).otherwise(share)
-    return _with_ranks(df, value, higher_is_better).withColumn(name, F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0))).drop("rank", "upto", "n")
+    return _with_ranks(df, value, higher_is_better, base).withColumn(name, F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0))).drop("rank", "upto", "n")
 
 
 def fused_rank(df: DataFrame, percentiles: list[str], key: str, digits: int = 9) -> DataFrame:

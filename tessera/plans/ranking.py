@@ -52,7 +52,7 @@ r as (select *, row_number() over (order by fused desc, p_distance desc, p_share
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = staged(features(spark, sf_dir), "features")
     p = rank.beneficial_percentile(f, "distance", "p_distance", higher_is_better=False)
-    p = rank.beneficial_percentile(p, "shared", "p_shared", zero_is_no_evidence=True)
+    p = rank.beneficial_percentile(p, "shared", "p_shared", zero_is_no_evidence=True, base=f)
     return rank.fused_rank(p, ["p_distance", "p_shared"], "entity")
 
 
@@ -88,11 +88,11 @@ select id, round(1 - (rank() over (order by x desc nulls last) - 1) / cast(great
 from b""")
 def percentile_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four percentile rules and a weighted fusion, with missing values."""
-    b = balances(spark, sf_dir)
+    base = b = balances(spark, sf_dir)
     b = rank.rank_percentile(b, "x", "rank_share")
     b = rank.positive_percentile(b, "x", "positive_share")
-    b = rank.beneficial_percentile(b, "x", "low_share", higher_is_better=False)
-    b = rank.beneficial_percentile(b, "x", "high_share", zero_is_no_evidence=True)
+    b = rank.beneficial_percentile(b, "x", "low_share", higher_is_better=False, base=base)
+    b = rank.beneficial_percentile(b, "x", "high_share", zero_is_no_evidence=True, base=base)
     b = b.withColumn("a", F.col("x") / 10000).withColumn("h", F.lit(0.5)).withColumn("weighted", rank.weighted_fusion(["a", "h"], [0.15, 0.25]))
     return b.select("id", *[F.round(c, 9).alias(c) for c in ("rank_share", "positive_share", "low_share", "high_share", "weighted")])
 

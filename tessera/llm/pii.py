@@ -78,7 +78,7 @@ _domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+, leftmost and non-overlapping: each sign's domain first, then back over the local part."""
+    """Spans of the base expression for e-mail addresses, leftmost and non-overlapping: each sign's domain first, then back over the local part."""
     free, at = 0, text.find("@")
     while at >= 0:
         start = at
@@ -197,12 +197,12 @@ def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a hash of the base spans, all spans as text, and their scores in the same order."""
+    """Counts of the base kinds, a hash of the base spans, all spans as text, their scores in the same order, and their number."""
     said = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
     scores = F.array_join(F.transform("spans", lambda x: F.format_number(x["score"], 2)), ",").alias("scores")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), scores)
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), scores, F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -342,7 +342,8 @@ def added(code: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
 def language_model_scores(docs: DataFrame, mass: float = 8.0, shard_tokens: int = 2_500_000, hot_tokens: int | None = None, block_tokens: int = 2_500_000, row_occurrences: int = 250, pair_sample: int = 20) -> DataFrame:
     """Scores of all documents by a model of those with ``held_out`` false.
 
-    docs: doc_id, held_out, text. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    docs: doc_id, held_out, text. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    and mean_score: the score by token, which does not depend on a text's length.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "held_out", F.coalesce("text", F.lit("")).alias("text"))
@@ -529,7 +530,8 @@ def language_model_scores(docs: DataFrame, mass: float = 8.0, shard_tokens: int
     known = F.lit(int(n)).cast("long").alias("train_tokens")
     base = (F.col("base") - F.col("n_tokens") * F.lit(log10(z))).alias("base_score")
     score = (F.col("lm") - F.lit(log10(starts + mass))).alias("score")
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", known, base, score)
+    found = sums.select("doc_id", "held_out", "n_tokens", "n_known", known, base, score)
+    return found.withColumn("mean_score", F.col("score") / F.col("n_tokens"))  # a text has one token at least, its end
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,7 +103,7 @@ def test_op3(spark, folder):
     c = Counter(w for _, out, ws in texts if not out for w in ws)
     n, z = sum(c.values()), sum(c.values()) + 0.5 * (len(c) + 1)
     got = QUERIES["op3_language_model"](spark, path)
-    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mean_score"]
     got = got.collect()
     same([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got], [(i, out, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.5) / z) for w in ws), 5)) for i, out, ws in texts])
     clean = [r for r in got if r.doc_id is not None and r.doc_id < 1200 and r.held_out]

@@ -454,9 +454,8 @@ def language_model_scores(docs: DataFrame, mass: float = 8.0, shard_tokens: int
             done = [answers(*(x[part == p] for x in (words, contexts, doc, row))) for p in np.unique(part)]
             return added(*(np.concatenate(x) for x in zip(*done, strict=True)))
         trained = (doc & 1).astype(bool)
-        trie = build(words[trained], contexts[trained])
-        known, base, lm = (np.zeros(len(words)) for _ in range(3))
-        for at in range(0, len(words), 500_000):
+        trie, sums = build(words[trained], contexts[trained]), []
+        for at in range(0, len(words), 500_000):  # summed part by part: the temporary arrays stay small
             part = slice(at, at + 500_000)
             count, value = trie.query(words[part], contexts[part])
             there, is_hot = place_in(hot.value[0], words[part])
@@ -464,9 +463,12 @@ def language_model_scores(docs: DataFrame, mass: float = 8.0, shard_tokens: int
                 lacking = is_hot & (count == 0)
                 count = np.where(is_hot, hot.value[1][there], count)
                 value = np.where(lacking, np.log10(mass * (count + 0.5) / z), value)
-            known[part], base[part] = count > 0, np.log10(count + 0.5)
-            lm[part] = value - np.where(words[part] != END, seen(count), 0.0)
-        return added(row.astype(U64) << U64(16) | (doc >> 1).astype(U64), known, base, lm)
+            value -= np.where(words[part] != END, seen(count), 0.0)
+            code = row[part].astype(U64) << U64(16) | (doc[part] >> 1).astype(U64)
+            sums.append(added(code, (count > 0).astype(np.float64), np.log10(count + 0.5), value))
+        if not sums:
+            return [np.zeros(0, U64), *[np.zeros(0)] * 3]
+        return added(*(np.concatenate(x) for x in zip(*sums, strict=True))) if len(sums) > 1 else sums[0]
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spool, others = Cells(cells), []

@@ -165,3 +165,34 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.1, delta:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *BASE, "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
+
+
+def _grid_sql() -> str:
+    one = "select '{0}' as rule, {1} as place, unnest(range({2})) as nr, unnest(cast({3} as double[])) as cut"
+    return " union all ".join(one.format(m, i, len(g), sorted(g, reverse=True)) for i, (m, g) in enumerate(RULES.items()))
+
+
+_NAMES = ", ".join(f"'{m}'" for m in RULES)
+#: The same rows from DuckDB: measures from their definitions, cutoffs by exact binomial sums.
+OP2_SQL = f"""with d as (select doc_id, coalesce(lang, 'und') as stratum, coalesce(text, '') as t from documents),
+w as (select *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from d),
+starts as (select doc_id, unnest(range(1, len(ws) - 6)) as i, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + {WINDOW - 1}], ' '))) as s from w where len(ws) >= {WINDOW}),
+windows as (select doc_id, i, count(*) over (partition by doc_id, s) as times from starts),
+covered as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + {WINDOW})) as j from windows where times > 1) t group by 1),
+m as (select w.doc_id, stratum, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars, cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+  length(regexp_replace(t, '[^!?]', '', 'g')) as n_shouts, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) as n_upper, len(ls) as n_lines, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
+  coalesce(n, 0) as n_repeat_words, len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) as n_stutter from w left join covered on w.doc_id = covered.doc_id),
+x as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, coalesce(n_symbols / nullif(word_chars, 0), 0.0) as symbol_share, coalesce(n_shouts / nullif(word_chars, 0), 0.0) as shout_share,
+  coalesce(n_upper / nullif(word_chars, 0), 0.0) as upper_share, coalesce(n_dup_lines / nullif(n_lines, 0), 0.0) as dup_line_share, coalesce(n_repeat_words / nullif(n_words, 0), 0.0) as repeat_share,
+  coalesce(n_stutter / nullif(n_words, 0), 0.0) as stutter_share, coalesce(word_chars / nullif(n_words, 0), 0.0) as word_length from m),
+v as (select doc_id, stratum, base_failed, unnest([{_NAMES}]) as rule, unnest([{", ".join(RULES)}]) as value from x),
+judged as (select doc_id, cast(min(quality) = 1 as int) as good from labels where doc_id is not null and quality is not null group by 1),
+held as (select v.*, good from v join judged using (doc_id) where not base_failed),
+sizes as (select stratum, sum(good) as n, count(*) - sum(good) as bad, count(*) over () as strata from (select distinct doc_id, stratum, good from held) t group by 1),
+grid as ({_grid_sql()}),
+tests as (select stratum, n, bad, strata, rule, place, nr, cut, count(*) filter (where good = 1 and value > cut) as k, count(*) filter (where good = 0 and value > cut) as b from sizes join held using (stratum) join grid using (rule) group by all),
+chances as (select *, case when k < n * {0.1 / len(RULES)!r} then list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({0.1 / len(RULES)!r}) + (n - i) * ln(1 - {0.1 / len(RULES)!r})))) else 1.0 end <= {0.05 / len(RULES)!r} / strata as passed from tests),
+certified as (select *, min(nr) filter (where not passed) over (partition by stratum, rule) as stop, coalesce(b / nullif(bad, 0), 0) - 5.0 * coalesce(k / nullif(n, 0), 0) as gain from chances),
+best as (select stratum, rule, place, cut from (select *, row_number() over (partition by stratum, rule order by gain desc, nr) as nth from certified where (stop is null or nr < stop) and gain > 0) t where nth = 1),
+hits as (select doc_id, string_agg(rule, ',' order by place) as rejected_by from v join best using (stratum, rule) where value > cut group by 1)
+select x.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rejected_by is null as kept, coalesce(rejected_by, '') as rejected_by from x left join hits on x.doc_id = hits.doc_id"""

@@ -11,7 +11,7 @@ from tessera.llm.language_id import op1_language_id
 from tessera.llm.lm import op3_language_model
 from tessera.llm.packing import op5_packing
 from tessera.llm.pii import op6_pii
-from tessera.llm.quality import op2_quality_rules
+from tessera.llm.quality import OP2_SQL, op2_quality_rules
 from tessera.llm.simhash import op10_simhash
 from tessera.llm.syncmers import op9_syncmers
 from tessera.llm.token_counts import op8_token_counts
@@ -29,3 +29,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_syncmers": op9_syncmers,
     "op10_simhash": op10_simhash,
 }
+#: DuckDB SQL for the one that SQL can express on whole tables.
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL}

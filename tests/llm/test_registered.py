@@ -8,8 +8,10 @@ import struct
 import zlib
 from collections import Counter
 
+import duckdb
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import quality
@@ -97,6 +99,20 @@ def test_op2(spark, folder):
     assert 0.5 < sum(k for _, k in kept) / len(kept) < 1
 
 
+def test_op2_sql(spark, folder):
+    """The registered SQL gives the same rows."""
+    path, rows, labels = folder
+    unique = list({r[0]: r for r in rows if r[0] is not None}.values())  # the SQL joins by id
+    docs = spark.createDataFrame(unique, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in quality.quality_rules(docs, spark.read.parquet(f"{path}/labels.parquet")).select("doc_id", *quality.BASE, "base_failed", "kept", F.array_join("rejected_by", ",")).collect()]
+    con = duckdb.connect()
+    tables = {"documents": docs.toPandas(), "labels": spark.read.parquet(f"{path}/labels.parquet").toPandas()}
+    for name, df in tables.items():
+        con.register(name, df)
+    same(got, con.execute(quality.OP2_SQL).fetchall())
+    assert len({r[-1] for r in got}) > 2
+
+
 def test_op3(spark, folder):
     path, rows, _ = folder
     texts = [(i, i is not None and zlib.crc32(str(i).encode()) % 5 == 1, [*SPACE.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), None]) for i, t, *_ in rows]

@@ -38,7 +38,7 @@ def edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.edge_rows(e, "a", "b", universe, "k", "directed").select("a", "b", "id")
 
 
-UNIVERSE_SQL = """s as (select c_custkey as id, 'R1' as route, c_acctbal > 0 as ok from customer where c_custkey % 3 = 0 union all select c_custkey, 'R2', c_acctbal > 5000 from customer where c_custkey % 2 = 0),
+UNIVERSE_SQL = """s as (select c_custkey as id, 'R1' as route, c_acctbal > 0 as ok from customer where c_nationkey < 12 union all select c_custkey, 'R2', c_acctbal > 5000 from customer where c_mktsegment <> 'BUILDING'),
 u as (select id, string_agg(distinct route, ';' order by route) as routes, case when max(cast(ok as int)) = 1 then 'seed' else 'failure' end as label, count(*) as n_rows from s group by 1)"""
 
 
@@ -46,7 +46,7 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     screen = lambda df, ok: df.select(F.col("c_custkey").alias("id"), F.when(ok, "yes").otherwise("no").alias("passed"))
     names = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return audit.universe_with_labels({"R1": screen(c.filter("c_custkey % 3 = 0"), F.col("c_acctbal") > 0), "R2": screen(c.filter("c_custkey % 2 = 0"), F.col("c_acctbal") > 5000)}, "id", "passed", names)
+    return audit.universe_with_labels({"R1": screen(c.filter("c_nationkey < 12"), F.col("c_acctbal") > 0), "R2": screen(c.filter("c_mktsegment <> 'BUILDING'"), F.col("c_acctbal") > 5000)}, "id", "passed", names)
 
 
 @query(f"with {UNIVERSE_SQL} select id, routes, label, n_rows, c_name as name from u join customer on id = c_custkey")
@@ -57,13 +57,13 @@ def universe_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {UNIVERSE_SQL}, e as (select o_custkey as id, o_totalprice > 200000 as p1, o_orderstatus = 'F' as p2, o_orderkey as ord from orders),
 b as (select *, row_number() over (partition by id order by p1 desc, p2 desc, ord) as nth from e), x as (select distinct id from e where p1 and p2),
-t as (select c_custkey as id from customer where c_custkey % 10 = 0 union select c_custkey from customer where c_custkey % 7 = 1)
+t as (select c_custkey as id from customer)
 select t.id, case when u.id is null then 'not_in_universe' when label = 'seed' then 'pass' when t.id in (select id from x) then 'extended' else 'not_extended' end as status, coalesce(b.ord, -1) as best
 from t left join u on t.id = u.id left join b on t.id = b.id and nth = 1""")
 def case_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status and best edge of named targets."""
+    """Status and best edge of every customer as a target."""
     e = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), (F.col("o_totalprice") > 200000).alias("p1"), (F.col("o_orderstatus") == "F").alias("p2"), F.col("o_orderkey").alias("ord"))
-    targets = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0 or c_custkey % 7 = 1").select(F.col("c_custkey").alias("id"))
+    targets = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     found = audit.case_audit(targets, "id", universe(spark, sf_dir), e.filter("p1 and p2"), e, ["p1", "p2"], "ord")
     return found.select("id", "status", F.coalesce("ord", F.lit(-1)).cast("long").alias("best"))
 

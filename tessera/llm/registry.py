@@ -16,6 +16,7 @@ from tessera.llm.resampling import OP11_SQL, op11_resampling
 from tessera.llm.simhash import op10_simhash
 from tessera.llm.syncmers import op9_syncmers
 from tessera.llm.token_counts import op8_token_counts
+from tessera.llm.vector_codes import OP12_SQL, op12_vector_codes
 from tessera.llm.word_bpe import op4_bpe_codec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_syncmers": op9_syncmers,
     "op10_simhash": op10_simhash,
     "op11_resampling": op11_resampling,
+    "op12_vector_codes": op12_vector_codes,
 }
 #: DuckDB SQL for those that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op11_resampling": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op11_resampling": OP11_SQL, "op12_vector_codes": OP12_SQL}

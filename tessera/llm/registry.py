@@ -12,6 +12,7 @@ from tessera.llm.lm import op3_language_model
 from tessera.llm.packing import op5_packing
 from tessera.llm.pii import op6_pii
 from tessera.llm.quality import OP2_SQL, op2_quality_rules
+from tessera.llm.quality_score import op13_quality_classifier
 from tessera.llm.resampling import OP11_SQL, op11_resampling
 from tessera.llm.simhash import op10_simhash
 from tessera.llm.syncmers import op9_syncmers
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_resampling": op11_resampling,
     "op12_vector_codes": op12_vector_codes,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 #: DuckDB SQL for those that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op11_resampling": OP11_SQL, "op12_vector_codes": OP12_SQL}

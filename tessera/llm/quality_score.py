@@ -11,7 +11,7 @@ nor long texts can exceed the driver; exact repeats of a row count as one. A fif
 penalties. Classes are drawn alike; the bias brings scores back to the shares of all labelled rows. A document labelled
 twice is bad if any of its labels is. Scoring reads every whole text without a shuffle.
 
-A null or empty text, or one without tokens, is scored by the bias alone: the share of good rows. Without labelled rows every score is 0.5; with one class only, scores stay near it. Labels with null id or
+A null or empty text, or one without tokens, is scored by the bias alone: the share of good rows. Without a labelled document every score is 0.5; with one class only, scores stay near it. Labels with null id or
 quality are ignored, documents with null id train nothing but are scored; rows with equal ids keep their own rows;
 an empty table gives an empty result; further columns are ignored, whatever their names.
 """

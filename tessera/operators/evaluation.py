@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.rank import ordered_index
+from tessera.operators.rank import ordered_index, segment_sums
 
 
 def fold_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -47,3 +47,55 @@ def roc_auc(rows: DataFrame, score: str, truth: str) -> DataFrame:
     ahead = F.col("tp_upto") - F.col("p")
     parts = tp.agg(F.sum((ahead + F.col("p") / 2) * F.col("q")).alias("area"), F.sum(F.col("tp_upto") / F.col("n_upto") * F.col("p")).alias("ap"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
     return parts.select(F.try_divide(F.col("area"), F.col("np") * F.col("nq")).alias("roc_auc"), F.try_divide(F.col("ap"), F.col("np")).alias("pr_auc"))
+
+
+COUNTS = ("tp", "fp", "fn", "tn")
+
+
+def exact_thresholds(rows: DataFrame, segment: list[str], fold: str, score: str, truth: str, digits: int = 9) -> DataFrame:
+    """segment, fold, threshold: of all distinct scores of the other folds, the one of highest MCC on them (rule score > t).
+
+    ``segment`` names the columns that are calibrated apart (label, model...). MCCs are compared to ``digits`` digits;
+    ties take the lowest threshold. Rows are first counted by (segment, fold, score); each count then goes to the
+    folds that are not its own (folds are few), and running sums within (segment, left-out fold) by falling score
+    give the confusion of every threshold. No segment, fold or score is held by one task.
+    """
+    counts = rows.groupBy(*segment, F.col(fold).alias("_own"), F.col(score).alias("threshold")).agg(F.sum(F.col(truth)).cast("long").alias("p"), (F.count("*") - F.sum(F.col(truth))).cast("long").alias("q"))
+    folds = rows.groupBy(*segment).agg(F.collect_set(fold).alias("_folds"))  # a few numbers for each segment
+    other = counts.join(folds, segment).withColumn(fold, F.explode(F.array_remove("_folds", F.col("_own"))))
+    cells = other.groupBy(*segment, fold, "threshold").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    summed = segment_sums(cells, [*segment, fold], [F.desc("threshold")], ["p", "q"])
+    totals = cells.groupBy(*segment, fold).agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    tp, fp = F.col("upto_p") - F.col("p"), F.col("upto_q") - F.col("q")  # those above the threshold itself
+    said = summed.join(totals, [*segment, fold]).select(*segment, fold, "threshold", tp.alias("tp"), fp.alias("fp"), (F.col("_p") - tp).alias("fn"), (F.col("_q") - fp).alias("tn"))
+    best = F.struct(F.round("mcc", digits), -F.col("threshold"))
+    return rates(said).groupBy(*segment, fold).agg(F.max_by("threshold", best).alias("threshold"))
+
+
+def fold_metrics(rows: DataFrame, thresholds: DataFrame, segment: list[str], fold: str, score: str, truth: str) -> DataFrame:
+    """segment, fold, threshold, the confusion and the rates of each fold at the threshold that the others chose."""
+    keys = [*segment, fold]
+    counts = confusion(rows.join(thresholds, keys), [*keys, "threshold"], F.col(truth) == 1, F.col(score) > F.col("threshold"))
+    return rates(counts)
+
+
+def averaged_f1(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, micro_f1 (of the summed confusion of all labels) and macro_f1 (the mean of the labels' F1)."""
+    sums = metrics.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS], F.avg("f1").alias("macro_f1"))
+    return sums.select(*keys, F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("micro_f1"), "macro_f1")
+
+
+def ranking_by(rows: DataFrame, keys: list[str], score: str, truth: str) -> DataFrame:
+    """keys, roc_auc (ties count half) and pr_auc (average precision) of each group, from counts by score; null without both classes (or without a positive one)."""
+    by = rows.groupBy(*keys, score).agg(F.sum(F.col(truth)).cast("double").alias("p"), (F.count("*") - F.sum(F.col(truth))).cast("double").alias("q"))
+    up = segment_sums(by, keys, [F.desc(score)], ["p", "q"])
+    ahead, above = F.col("upto_p") - F.col("p"), F.col("upto_p") + F.col("upto_q")
+    parts = up.groupBy(*keys).agg(F.sum((ahead + F.col("p") / 2) * F.col("q")).alias("area"), F.sum(F.col("upto_p") / above * F.col("p")).alias("ap"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    return parts.select(*keys, F.try_divide(F.col("area"), F.col("np") * F.col("nq")).alias("roc_auc"), F.try_divide(F.col("ap"), F.col("np")).alias("pr_auc"))
+
+
+def model_comparison(values: DataFrame, metric: str, model: str, value: str, base: str, other: str) -> DataFrame:
+    """metric, mean and population standard deviation of both models over the folds, and the difference of the means in percentage points."""
+    side = lambda name: F.col(model) == name
+    aggregates = [f(F.when(side(m), F.col(value))).alias(f"{at}_{n}") for at, m in (("base", base), ("other", other)) for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    return values.groupBy(metric).agg(*aggregates).withColumn("difference_pp", 100 * (F.col("other_mean") - F.col("base_mean")))

@@ -28,6 +28,25 @@ def ordered_index(df: DataFrame, *order: Column, name: str = "position", amount:
     return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_range", "_own", "_before")
 
 
+def segment_sums(df: DataFrame, segment: list[str], order: list[Column], amounts: list[str], prefix: str = "upto_") -> DataFrame:
+    """df with the running sum of each amount within its segment, up to and including the row, as ``upto_<amount>``.
+
+    Rows are range-partitioned by segment and order together, so a segment may be of any size and many share a range.
+    A range adds the sums that its first segment has in the ranges before; it is the only one that may have begun
+    there, so what is carried is one row for each range. Rows that tie in the whole order are summed in any order.
+    """
+    ranged = staged(df.repartitionByRange(*segment, *order).withColumn("_range", F.spark_partition_id()), "segments")
+    own = Window.partitionBy("_range", *segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*segment).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("_range", *segment).agg(*[F.sum(a).alias(f"_sum_{a}") for a in amounts])
+    carried = parts.select(F.col("_range").alias("_at"), *[F.col(c).alias(f"_seg_{c}") for c in segment], F.count("*").over(before).alias("_n"), *[F.sum(f"_sum_{a}").over(before).alias(f"_before_{a}") for a in amounts]).filter("_n > 0")  # a row for each range at most
+    same = F.col("_range") == F.col("_at")
+    for c in segment:
+        same = same & F.col(c).eqNullSafe(F.col(f"_seg_{c}"))
+    out = ranged.withColumns({f"{prefix}{a}": F.sum(a).over(own) for a in amounts}).join(F.broadcast(carried), same, "left")
+    return out.select(*df.columns, *[(F.col(f"{prefix}{a}") + F.coalesce(f"_before_{a}", F.lit(0))).alias(f"{prefix}{a}") for a in amounts])
+
+
 def value_ranks(df: DataFrame, value: str, descending: bool, n: int | None = None) -> DataFrame:
     """For each value (null last) its min-rank, the number of rows up to its end (max-rank), and all rows: value, rank, upto, n."""
     order = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)

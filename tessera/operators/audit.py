@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import blank, joined
+from tessera.operators import guards
 from tessera.operators.rank import first_per_key
 
 #: The evidence codes that count as experimental.
@@ -52,6 +53,14 @@ def universe_with_labels(screens: dict[str, DataFrame], key: str, passed: str, r
     return merged.join(reference, key, "left")
 
 
+def labelled_universe(screens: dict[str, DataFrame], key: str, passed: str, reference: DataFrame) -> DataFrame:
+    """key, route, label (seed or failure) and the reference's columns; a key in two screens, twice in one, or absent from the reference fails the job."""
+    rows = reduce(DataFrame.unionByName, [df.select(F.col(key), F.lit(route).alias("route"), F.when(F.col(passed) == "yes", "seed").otherwise("failure").alias("label")) for route, df in screens.items()])
+    once = guards.unique_rows(rows, [key], "in two screens or twice in one: ")
+    found = once.join(reference.withColumn("_there", F.lit(True)), key, "left")
+    return guards.require(found.withColumn("_ok", F.col("_there").isNotNull() & F.col("route").isNotNull()), F.col("_ok"), "not in the reference: ", key).drop("_there", "_ok")
+
+
 def case_audit(targets: DataFrame, key: str, universe: DataFrame, extended: DataFrame, edges: DataFrame, priorities: list[str], order: str) -> DataFrame:
     """Each target's status (pass, extended, not_extended, not_in_universe) and its best edge by boolean priorities, input order last."""
     best = first_per_key(edges, [key], [*[F.desc(p) for p in priorities], F.asc(order)])

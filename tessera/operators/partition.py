@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import atomic_tokens, formal_part, has_word, joined, normalized_label, section_tag
+from tessera.operators import guards
 from tessera.operators.quality import complete, unique_key
 
 
@@ -125,9 +126,10 @@ def join_one_to_one(rows: DataFrame, attributes: DataFrame, key: str, required:
     return out
 
 
-def keep_old_add_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """All old rows, and new rows of keys that old lacks."""
-    return old.unionByName(new.join(old.select(key), key, "left_anti"))
+def keep_old_add_new(old: DataFrame, new: DataFrame, key: str, universe: DataFrame | None = None) -> DataFrame:
+    """All old rows, and new rows of keys that old lacks. With a universe the result must have each of its keys once, or the job fails."""
+    out = old.unionByName(new.join(old.select(key), key, "left_anti"))
+    return out if universe is None else guards.cover(guards.unique_rows(out, [key]), universe, key)
 
 
 def evidence_class(direct: Column, model: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from tessera.functions import similarity as fs
 from tessera.functions import text as fx
 from tessera.operators import features, scoring, sensitivity, similarity
 from tessera.plans.registry import query
-from tessera.sources.tables import staged, table
+from tessera.sources.tables import remove, shared_dir, staged, table
 
 #: parts blocked by brand and type, compared by the 4-mers of their name
 KMER_SQL = """d as (select p_partkey as id, p_brand || '|' || p_type as signature, length(p_name) as n, p_name as t from part),
@@ -249,4 +251,26 @@ def pair_scores_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     def model(a: list[str], b: list[str]) -> np.ndarray:
         return np.array([min(len(x), len(y)) / max(len(x), len(y), 1) for x, y in zip(a, b, strict=True)])
 
-    return scoring.score_pairs(todo, model).withColumn("score", F.round("score", 9))
+    return scoring.score_pairs(todo.select("pair_index", "left_text", "right_text"), model).withColumn("score", F.round("score", 9))
+
+
+SHARDED_SQL = """l as (select p_partkey as id, p_name || ' ' || p_type as t, dense_rank() over (order by p_partkey) - 1 as li from part where p_size > 45), r as (select n_nationkey as id, n_name as t, dense_rank() over (order by n_nationkey) - 1 as ri from nation),
+u as (select li * (select count(*) from r) + ri as pair_index, l.t as a, r.t as b from l, r), g as (select *, round(least(length(a), length(b)) / cast(greatest(length(a), length(b)) as double), 6) as score from u where length(a) + length(b) <= 28)"""
+
+
+@query(f"with {SHARDED_SQL} select pair_index, score, cast(score > 0.9 as int) as flag, cast(pair_index % 7 as int) as shard from g where score > 0.4")
+def sharded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a gated and checked universe scored shard by shard; the run is stopped after its first shards and then resumed."""
+    parts = table(spark, sf_dir, "part").filter("p_size > 45").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("left_text"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("right_text"))
+    universe = scoring.pair_universe(parts, "p_partkey", nations, "n_nationkey")
+    pairs = universe.join(parts, F.col("left_id") == F.col("p_partkey")).join(nations, F.col("right_id") == F.col("n_nationkey")).withColumn("length_sum", F.length("left_text") + F.length("right_text")).withColumn("prior", F.round(fs.length_ratio(F.length("left_text"), F.length("right_text")), 6))
+    gated = staged(scoring.checked_pairs(scoring.pair_gate(pairs, "prior", "length_sum", 0.4, 28), nations.count(), "prior", "length_sum", 0.4, 28), "pairs")
+    folder = f"{shared_dir(spark)}/sharded-{uuid.uuid4().hex}"
+
+    def model(a: list[str], b: list[str]) -> np.ndarray:
+        return np.array([min(len(x), len(y)) / max(len(x), len(y), 1) for x, y in zip(a, b, strict=True)])
+
+    scoring.score_shards(gated, model, folder, 7, 3)
+    remove(spark, f"{folder}/scores/shard=2")  # as if the run had ended before
+    return scoring.score_shards(gated, model, folder, 7, 3).withColumn("score", F.round("score", 6))

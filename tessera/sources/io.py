@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import set_hash  # noqa: F401  (re-exported for callers that lock an input)
 from tessera.operators.quality import equal_tables, fingerprint, unique_key
+from tessera.sources.tables import move, remove
 
 
 class InputError(ValueError):
@@ -165,8 +168,19 @@ def write_ids(df: DataFrame, path: str, key: str) -> None:
     df.orderBy(key).select(F.col(key).cast("string")).write.mode("errorifexists").text(path)
 
 
-def split_by_class(df: DataFrame, path: str, by: str) -> None:
-    df.write.partitionBy(by).mode("errorifexists").parquet(path)
+def split_by_class(df: DataFrame, path: str, by: str, expected: dict[object, int] | None = None) -> None:
+    """One folder for each class. With the expected count of each class, the job that writes counts too, and other counts (or another class) leave nothing behind."""
+    if expected is None:
+        return df.write.partitionBy(by).mode("errorifexists").parquet(path)
+    spark, seen, attempt = df.sparkSession, Observation(), f"{path}-attempt-{uuid.uuid4().hex}"
+    counts = [F.count_if(F.col(by).eqNullSafe(F.lit(c))).alias(f"n{i}") for i, c in enumerate(expected)]
+    df.observe(seen, F.count("*").alias("rows"), *counts).write.partitionBy(by).parquet(attempt)
+    found = {c: seen.get[f"n{i}"] for i, c in enumerate(expected)}
+    if found != expected or seen.get["rows"] != sum(expected.values()):
+        remove(spark, attempt)
+        raise InputError(f"{path}: class counts differ: {found}, {seen.get['rows']} rows in all")
+    move(spark, attempt, path)
+    return None
 
 
 def export_text(df: DataFrame) -> DataFrame:

@@ -33,10 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found}/{spark.sparkContext.applicationId}"
 
 
+def file_system(spark: SparkSession, path: str):  # noqa: ANN201
+    """(the file system of a path, the path in its terms): whatever store Spark itself writes to."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    fs, at = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename into place, once: an existing target is an error."""
+    fs, to = file_system(spark, target)
+    fs.mkdirs(to.getParent())
+    if fs.exists(to) or not fs.rename(file_system(spark, source)[1], to):
+        raise FileExistsError(f"{target} is there already, or {source} is not")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Remove what this application has staged. DataFrames made from it cannot be read any more: save results first."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, shared_dir(spark))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -262,7 +262,7 @@ def test_op6_query(spark, tmp_path, rows):
         ("<table>loose<tr><td>cell</table>", "loose\n\ncell"),
         ("<table><tr><div>block</div><td>cell</td></tr><p>para</table>after", "block\n\npara\n\ncell\n\nafter"),
         ("<table><td>a<td>b<tr><td>c</table>", "a  b\nc"),
-        ("<table><colgroup><col><tr><td>a<table><tr><td>in</table></table>", "a  in"),
+        ("<table><colgroup><col><tr><td>a<table><tr><td>in</table></table>", "a\n\nin"),
         ("<p style='visibility:hidden'>no<b style='visibility:visible'>yes</b></p>", "yes"),
         ("<p style='font-size:0'>no<b style='font-size:12px'>yes</b><i style='font-size:2em'>no</i></p>", "yes"),
         ("<div style='opacity: 0'>no<b style='opacity:1'>no</b></div>a", "a"),

@@ -104,6 +104,11 @@ def density_bins(rows: DataFrame, x: str, y: str, size: float, kinds: dict[str,
     return rows.groupBy(F.floor(F.col(x) / size).cast("long").alias("cell_x"), F.floor(F.col(y) / size).cast("long").alias("cell_y")).agg(F.count("*").alias("total"), *counts)
 
 
+def with_peak(bins: DataFrame, total: str = "total") -> DataFrame:
+    """bins with ``peak``, the largest total of any cell: what a colour scale ends at."""
+    return bins.join(F.broadcast(bins.agg(F.max(total).alias("peak"))))  # one row
+
+
 def in_box(rows: DataFrame, x: str, y: str, box: tuple[float, float, float, float]) -> DataFrame:
     """Rows inside (x0, y0, x1, y1), edges included."""
     return rows.filter(F.col(x).between(box[0], box[2]) & F.col(y).between(box[1], box[3]))

@@ -7,7 +7,7 @@ from math import floor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.rank import first_k, first_per_key
+from tessera.operators.rank import first_k, first_per_key, ordered_index
 from tessera.sources.tables import staged
 
 
@@ -101,6 +101,47 @@ def neighbourhood(edges: DataFrame, focus: DataFrame, hops: int = 1) -> DataFram
     return found
 
 
+def within_budget(rows: DataFrame, cell: list[str], order: list[Column], limit: int | None) -> DataFrame:
+    """The first ``limit`` rows by the columns ``cell`` (ascending), then ``order``; all without a limit.
+
+    Rows are counted by cell first; whole cells are kept up to the one in which the limit falls, and only
+    that one's rows are ordered.
+    """
+    if limit is None:
+        return rows
+    sizes = rows.groupBy(*cell).agg(F.count("*").alias("_n"))
+    upto = staged(ordered_index(sizes, *map(F.asc, cell), name="_upto", amount=F.col("_n")), "cells")
+    last = upto.filter(F.col("_upto") >= limit).orderBy("_upto").limit(1).collect()  # the cell in which the limit falls
+    if not last:
+        return rows
+    edge = F.struct(*cell) == F.struct(*[F.lit(last[0][c]).cast(rows.schema[c].dataType).alias(c) for c in cell])
+    before = F.struct(*cell) < F.struct(*[F.lit(last[0][c]).cast(rows.schema[c].dataType).alias(c) for c in cell])
+    rest = limit - (last[0]["_upto"] - last[0]["_n"])
+    return rows.filter(before).unionByName(rows.filter(edge).orderBy(*order).limit(rest))
+
+
+def explored(edges: DataFrame, focus: DataFrame, hops: int = 1, nodes: int | None = 150, links: int | None = 400) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, links, totals) around the focus: node, hop, degree; source, target; available_nodes, available_links, limited.
+
+    Nodes nearer to the focus come first, then those with more links among all that are available, then by id; links
+    between kept nodes come by the hops of their ends, then by their ids. None lifts a limit.
+    """
+    near = staged(neighbourhood(edges, focus, hops), "near")
+    pair = edges.select("source", "target").distinct()
+    side = lambda end: near.select(F.col("node").alias(end), F.col("hop").alias(f"_{end}"))
+    inside = staged(pair.join(side("source"), "source").join(side("target"), "target"), "links")
+    degree = inside.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    ranked = near.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long"))).withColumn("_less", -F.col("degree"))
+    kept = staged(within_budget(ranked, ["hop", "_less"], [F.asc("node")], nodes).drop("_less"), "kept")
+    only = lambda end: kept.select(F.col("node").alias(end))
+    linked = inside.join(only("source"), "source", "left_semi").join(only("target"), "target", "left_semi")
+    linked = linked.select("source", "target", F.greatest("_source", "_target").alias("_far"), F.least("_source", "_target").alias("_near"))
+    shown = within_budget(linked, ["_far", "_near"], [F.asc("source"), F.asc("target")], links).select("source", "target")
+    totals = near.agg(F.count("*").alias("available_nodes")).join(F.broadcast(inside.agg(F.count("*").alias("available_links"))))  # one row each
+    over = F.lit(False) if nodes is None else F.col("available_nodes") > nodes
+    return kept, shown, totals.withColumn("limited", over | (F.lit(False) if links is None else F.col("available_links") > links))
+
+
 def shortest_paths(edges: DataFrame, origins: DataFrame, targets: DataFrame, limit: int = 4) -> DataFrame:
     """node, status, hops, path: the directed shortest way to the nearest target, the least of equals; -1 and '' without one.
 

@@ -115,6 +115,35 @@ def integrate_routes(routes: dict[str, DataFrame], key: str, label: str) -> Data
     return rows.groupBy(key).agg(joined(F.collect_set("_route")).alias("routes"), F.count("*").alias("n_rows"), F.count_distinct("_label").alias("n_labels"))
 
 
+def distinct_tokens(rows: DataFrame, by: list[str], cell: str) -> DataFrame:
+    """by, n_rows, n_tokens: the distinct tokens of a multi-valued cell (``;`` or ``|``, upper-cased) in each group; groups without any stay with 0."""
+    n = rows.groupBy(*by).agg(F.count("*").alias("n_rows"))
+    tokens = rows.select(*by, F.explode(atomic_tokens(cell)).alias("_t")).groupBy(*by).agg(F.count_distinct("_t").alias("n_tokens"))
+    out = n.join(tokens, by, "left") if by else n.join(F.broadcast(tokens))  # without groups: one row each
+    return out.withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0).cast("long")))
+
+
+def release_totals(routes: dict[str, tuple[DataFrame, DataFrame]], key: str, genes: str, ends: tuple[str, str]) -> DataFrame:
+    """route, n_rows, n_genes, n_keys, n_pairs, n_unordered: each route's release and ALL routes together.
+
+    A route is its candidates (key, multi-valued gene cell) and its pairs (two ends). Genes are distinct tokens of ``;``
+    or ``,`` lists as they are written; a pair and the same pair turned round are one unordered pair.
+    """
+    rows = pairs = None
+    for name, (c, p) in routes.items():
+        c = c.select(F.lit(name).alias("route"), F.col(key).cast("string").alias("_key"), F.col(genes).alias("_genes"))
+        a, b = (F.col(e).cast("string") for e in ends)
+        p = p.select(F.lit(name).alias("route"), F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).alias("_pair"))
+        rows, pairs = (c, p) if rows is None else (rows.unionByName(c), pairs.unionByName(p))
+    both = lambda df: df.withColumn("route", F.explode(F.array("route", F.lit("ALL"))))
+    tokens = F.filter(F.transform(F.split(F.coalesce("_genes", F.lit("")), "[;,]"), lambda t: F.trim(t)), lambda t: t != "")
+    one = both(rows).groupBy("route").agg(F.count("*").alias("n_rows"), F.count_distinct("_key").alias("n_keys"))
+    two = both(rows.select("route", F.explode(tokens).alias("_t")).distinct()).groupBy("route").agg(F.count_distinct("_t").alias("n_genes"))
+    three = both(pairs).groupBy("route").agg(F.count("*").alias("n_pairs"), F.count_distinct("_pair").alias("n_unordered"))
+    out = one.join(two, "route", "full").join(three, "route", "full")
+    return out.select("route", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_rows", "n_genes", "n_keys", "n_pairs", "n_unordered")])
+
+
 def join_one_to_one(rows: DataFrame, attributes: DataFrame, key: str, required: list[str]) -> DataFrame:
     """rows with the attributes of their key; a repeated key on either side, or a required value that is missing after the join, is an error."""
     for side, df in (("rows", rows), ("attributes", attributes)):

@@ -63,6 +63,12 @@ def near_values(a: DataFrame, b: DataFrame, key: str, value: str, tolerance: flo
     return _row(both.filter(~F.coalesce((F.abs(F.col("_a") - F.col("_b")) <= tolerance) | (F.col("_a").isNull() & F.col("_b").isNull()), F.lit(False))), name)
 
 
+def same_order(a: DataFrame, b: DataFrame, key: str, position: str, name: str) -> DataFrame:
+    """Keys whose place in the two orders differs, or that one side lacks."""
+    both = a.select(key, F.col(position).alias("_a")).join(b.select(key, F.col(position).alias("_b")), key, "full")
+    return _row(both.filter(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))), name)
+
+
 def same_attributes(a: DataFrame, b: DataFrame, key: str, columns: list[str], name: str) -> DataFrame:
     """Keys of both whose columns differ, null being equal to null."""
     other = b.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in columns])
@@ -101,6 +107,11 @@ def fingerprint(df: DataFrame, name: str, key: str) -> DataFrame:
     return df.select(key, values.cast("decimal(38,0)").alias("_h")).agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), F.coalesce(F.sum("_h"), F.lit(0)).cast("string").alias("content")).select(F.lit(name).alias("name"), "rows", "keys", "content")
 
 
+def dataset_record(df: DataFrame, name: str, key: str, role: str, run: str) -> DataFrame:
+    """The fingerprint of a data set with its role in a run (input, output...) and the run's id."""
+    return fingerprint(df, name, key).select(F.lit(run).alias("run"), F.lit(role).alias("role"), "name", "rows", "keys", "content")
+
+
 def changed(stored: DataFrame, now: DataFrame, name: str) -> DataFrame:
     """Fingerprints that differ from the stored ones, or that one side lacks."""
     return equal_tables(stored, now, name)

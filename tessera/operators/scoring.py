@@ -13,9 +13,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.text import windows
 from tessera.operators import guards
+from tessera.operators.rank import ordered_index
 from tessera.sources.tables import children, move, remove
 
 
+#: least number of join keys of the full product
+KEYS = 256
+
+
 def padded_slices(lengths: list[int], rows: int, padding: float) -> Iterator[tuple[int, int]]:
     """(start, end) of batches over rising lengths: at most ``rows`` each, of which at most the share ``padding`` is filled up to the longest."""
     start = total = 0
@@ -91,16 +96,19 @@ def pair_universe(left: DataFrame, left_key: str, right: DataFrame, right_key: s
 
     The product is what the operator is. The right side goes into rows of ``block`` keys each, as arrays, and each
     left row meets every block by the block's number (an equi join on a number that the left rows are exploded to),
-    then its keys; so neither side is broadcast or collected, whatever its size.
+    then its keys; so neither side is broadcast or collected, whatever its size. With few blocks the number alone would
+    send all left rows to few tasks: each block is copied so often that there are ``KEYS`` keys at least, and a left
+    row meets one copy, by its own index.
     """
-    from tessera.operators.rank import ordered_index
-
     indexed = ordered_index(right.select(F.col(right_key).alias("right_id")).distinct(), F.asc("right_id"), name="_at").withColumn("right_index", F.col("_at") - 1).drop("_at")
     n = indexed.count()
+    n_blocks = max(1, -(-n // block))
+    copies = -(-KEYS // n_blocks)
     blocks = indexed.withColumn("_block", F.floor(F.col("right_index") / block).cast("long")).groupBy("_block").agg(F.collect_list(F.struct("right_index", "right_id")).alias("_keys"))
+    blocks = blocks.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     rows = ordered_index(left.select(left_key).distinct(), F.asc(left_key), name="left_index")
-    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, (n - 1) // block)).cast("long")))
-    met = rows.select(F.col(left_key).alias("left_id"), (F.col("left_index") - 1).alias("left_index"), numbers.alias("_block")).join(blocks, "_block")
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
+    met = rows.select(F.col(left_key).alias("left_id"), (F.col("left_index") - 1).alias("left_index"), numbers.alias("_block")).withColumn("_copy", F.pmod("left_index", F.lit(copies)).cast("int")).join(blocks, ["_block", "_copy"])
     pairs = met.select("left_id", "left_index", F.explode("_keys").alias("_k")).select("left_id", "left_index", "_k.right_index", "_k.right_id")
     return pairs.withColumn("pair_index", F.col("left_index") * n + F.col("right_index"))
 

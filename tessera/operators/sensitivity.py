@@ -48,6 +48,13 @@ def fraction_text(part: Column, whole: Column, digits: int = 8) -> Column:
     return F.when(whole == 0, "NA").otherwise(F.format_string(f"%.{digits}f", part / whole))
 
 
+def grid_fractions(cells: DataFrame, evaluated: DataFrame, eligible: DataFrame, count: str = "n_ids") -> DataFrame:
+    """Grid cells with the share of their ids among all evaluated and among the eligible ones, as text; NA where there is none to take a share of. Both tables: a row for each id."""
+    n = evaluated.agg(F.count("*").alias("evaluated")).join(F.broadcast(eligible.agg(F.count("*").alias("eligible"))))  # one row each
+    found = cells.join(F.broadcast(n))
+    return found.withColumns({"overall": fraction_text(F.col(count), F.col("evaluated")), "conditional": fraction_text(F.col(count), F.col("eligible"))})
+
+
 def rule_ablation(edges: DataFrame, profiles: dict[str, Column], a: str = "left_id", b: str = "right_id") -> DataFrame:
     """profile, n_edges, n_ids: what each set of rules lets through; profiles without any stay with 0."""
     spark = edges.sparkSession

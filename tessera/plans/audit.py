@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import audit
+from tessera.operators import evidence as operators
 from tessera.plans import evidence, similarity
 from tessera.plans.registry import query
-from tessera.sources.tables import table
+from tessera.sources.tables import staged, table
 
 
 @query("""with e as (select event_id, user_id, case event_type when 'purchase' then 'IDA' when 'click' then 'EXP' when 'view' then 'IEA' else 'ND' end as code, case when value < 2 then 'NOT|x' else 'y' end as qualifier from events)
@@ -77,15 +78,32 @@ def group_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.group_by_seed(best, "seed", "left_id").withColumn("place", F.col("place").cast("long"))
 
 
-@query(f"""with {evidence.EVIDENCE_SQL.replace("LEVEL", "45")} select count(*) - count(*) as missing_pairs, cast(0 as bigint) as disagreements from ev""")
+@query(f"""with {evidence.EVIDENCE_SQL.replace("LEVEL", "45")}, listed as (select distinct candidate from ev where mode = 'EXACT'),
+strong as (select * from ev where source = 'S1' or score >= 49),
+x as (select candidate, string_agg(distinct cast(anchor as varchar), ';' order by cast(anchor as varchar)) as anchors from ev group by 1), y as (select candidate, string_agg(distinct cast(anchor as varchar), ';' order by cast(anchor as varchar)) as anchors from strong group by 1)
+select (select count(*) from (select distinct candidate, anchor from ev where candidate not in (select candidate from listed))) as missing_pairs,
+ (select count(*) from cand left join x using (candidate) left join y using (candidate) where coalesce(x.anchors, '') <> coalesce(y.anchors, '')) as disagreements""")
 def evidence_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs without a candidate, and candidates whose anchors differ from their pairs: both should be none."""
-    candidates, pairs = evidence.evidence_candidates(spark, sf_dir), evidence.evidence_pairs(spark, sf_dir)
-    missing = audit.pair_coverage(pairs, candidates, ["candidate"]).agg(F.count("*").alias("missing_pairs"))
-    other = audit.pair_disagreements(candidates, pairs, "candidate", "anchors", "anchor").agg(F.count("*").alias("disagreements"))
+    """Pairs whose candidate is not listed (the list holds those with an exact match only), and candidates whose anchors differ from those of a pair table without weak scores."""
+    cand, rows = evidence.tall(spark, sf_dir, 45)
+    rows = staged(rows, "evidence")
+    candidates, pairs = operators.evidence_candidates(cand, rows), operators.evidence_pairs(rows)
+    listed = candidates.filter(F.col("modes").contains("EXACT"))
+    missing = audit.pair_coverage(pairs, listed, ["candidate"]).agg(F.count("*").alias("missing_pairs"))
+    strong = operators.evidence_pairs(rows.filter("source = 'S1' or score >= 49"))
+    other = audit.pair_disagreements(candidates, strong, "candidate", "anchors", "anchor").agg(F.count("*").alias("disagreements"))
     return missing.join(F.broadcast(other))  # one row each
 
 
+@query("""select c_custkey as id, case when c_nationkey < 12 then 'R1' else 'R2' end as route, case when c_acctbal > case when c_nationkey < 12 then 0 else 5000 end then 'seed' else 'failure' end as label, c_name as name from customer""")
+def labelled_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds and failures of two screens that must not share a key and whose keys the reference must have."""
+    c = table(spark, sf_dir, "customer")
+    screen = lambda df, ok: df.select(F.col("c_custkey").alias("id"), F.when(ok, "yes").otherwise("no").alias("passed"))
+    screens = {"R1": screen(c.filter("c_nationkey < 12"), F.col("c_acctbal") > 0), "R2": screen(c.filter("c_nationkey >= 12"), F.col("c_acctbal") > 5000)}
+    return audit.labelled_universe(screens, "id", "passed", c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+
+
 @query("select o_custkey as custkey from orders group by 1 having count(*) <> 10")
 def summary_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys whose summary count differs from the detail rows (here against a summary of ten each)."""

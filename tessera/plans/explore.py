@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fx
-from tessera.operators import explore, rank
+from tessera.operators import explore, postings, rank, spatial
 from tessera.plans.inputs import PAIRS_SQL, part_pairs
 from tessera.plans.registry import query
-from tessera.sources.tables import table
+from tessera.sources.tables import shared_dir, table
 
 
 @query("""with m as (select p_partkey, p_name, p_brand from part where contains(lower(p_partkey || ' ' || p_name || ' ' || p_type), 'bolt') and p_brand = 'Brand#13')
@@ -93,11 +95,11 @@ def sibling_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("o_custkey").alias("parent"), F.col("o_orderkey").alias("id"), F.round("share", 9).alias("share"), F.col("nth").cast("long").alias("nth"))
 
 
-@query("""select cast(floor(embedding[1] / 0.1) as bigint) as cell_x, cast(floor(embedding[2] / 0.1) as bigint) as cell_y, count(*) as total, count_if(label = 0)::bigint as zero, count_if(label <> 0)::bigint as other from embeddings group by 1, 2""")
+@query("""select cast(floor(embedding[1] / 0.1) as bigint) as cell_x, cast(floor(embedding[2] / 0.1) as bigint) as cell_y, count(*) as total, count_if(label = 0)::bigint as zero, count_if(label <> 0)::bigint as other, max(count(*)) over () as peak from embeddings group by 1, 2""")
 def density_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by cell of the first two dimensions."""
+    """Counts by cell of the first two dimensions, with the largest."""
     e = table(spark, sf_dir, "embeddings").select(F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), "label")
-    return explore.density_bins(e, "x", "y", 0.1, {"zero": F.col("label") == 0, "other": F.col("label") != 0})
+    return explore.with_peak(explore.density_bins(e, "x", "y", 0.1, {"zero": F.col("label") == 0, "other": F.col("label") != 0}))
 
 
 @query("""select vec_id from embeddings where embedding[1] between -0.1 and 0.1 and embedding[2] between 0 and 0.2""")
@@ -107,19 +109,47 @@ def region_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.in_box(e, "x", "y", (-0.1, 0.0, 0.1, 0.2)).select("vec_id")
 
 
+@query("""with e as (select vec_id, embedding[1]::double as x, embedding[2]::double as y, 'kind' || label as kind, 'node ' || vec_id || '/' || label as name from embeddings),
+b as (select * from e where x between -0.1 and 0.15 and y between -0.05 and 0.2 and kind in ('kind1', 'kind2', 'kind3', 'kind5')), f as (select * from b where contains(lower(name), 'e 1'))
+select vec_id, kind, name, (select count(*) from b) as available, (select count(*) from f) as total from f order by y desc, vec_id limit 5 offset 5""")
+def region_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of what a search finds among some kinds of points inside a box, with totals; the points are stored along a curve."""
+    path = f"{shared_dir(spark)}/points-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), F.concat(F.lit("kind"), F.col("label")).alias("kind"), F.concat(F.lit("node "), F.col("vec_id"), F.lit("/"), F.col("label")).alias("name"))
+    spatial.write_points(e, path)
+    inside = spatial.in_stored_box(spark, path, (-0.1, -0.05, 0.15, 0.2))
+    page = spatial.region_page(inside, [F.desc("y"), F.asc("vec_id")], "kind", ["kind1", "kind2", "kind3", "kind5"], "E 1", ["name"], 2, 5)
+    return page.select("vec_id", "kind", "name", "available", "total")
+
+
+@query("""with h as (select doc_id, lang, lower(concat_ws(' ', cast(doc_id as varchar), source, text)) as h from documents), a as (select 'rc1' as q union all select 'the ' union all select 'Ion' union all select '12' union all select 'zq~x')
+select q, doc_id from a, h where contains(h, lower(q)) and coalesce(lang, '') = 'en'""")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five searches over whole texts by trigram postings: rare, frequent, in other case, too short for a gram, and without a hit."""
+    path, d = f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    columns, out = ["doc_id", "source", "text"], None
+    postings.write_index(d, "doc_id", columns, path)
+    for q in ("rc1", "the ", "Ion", "12", "zq~x"):
+        one = postings.indexed_search(d, "doc_id", columns, path, q, {"lang": "en"}).select(F.lit(q).alias("q"), "doc_id")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query("""with p as (select a.doc_id as a, b.doc_id as b, string_split(a.text, '') as s, string_split(b.text, '') as t from documents a join documents b on b.doc_id = a.doc_id + 1),
 n as (select *, case when a.text is null or b.text is null then null else least(len(p.s), len(p.t)) end as n from p join documents a on p.a = a.doc_id join documents b on p.b = b.doc_id),
 h as (select *, coalesce(list_position(list_transform(list_zip(s[:n], t[:n]), lambda x: x[1] = x[2]), false) - 1, n) as prefix from n),
 x as (select *, coalesce(list_position(list_transform(list_zip(list_reverse(s[prefix + 1:]), list_reverse(t[prefix + 1:]), true), lambda x: x[1] = x[2]), false) - 1, n - prefix) as suffix from h)
-select a, b, cast(prefix as bigint) as prefix, cast(suffix as bigint) as suffix, array_to_string(s[prefix + 1:least(len(s) - suffix, prefix + 40)], '') as left_middle, cast(len(t) - prefix - suffix as bigint) as right_middle from x""")
+select a, b, cast(prefix as bigint) as prefix, cast(suffix as bigint) as suffix, cast(len(s) - prefix - suffix as bigint) as left_length, cast(len(t) - prefix - suffix as bigint) as right_length,
+ sha256(array_to_string(s[prefix + 1:len(s) - suffix], '')) as left_sha256, sha256(array_to_string(t[prefix + 1:len(t) - suffix], '')) as right_sha256 from x""")
 def seq_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring documents: their common head and tail, the beginning of what differs in the one, its length in the other."""
+    """Neighbouring documents: their common head and tail, and the length and hash of all that differs between."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("t"), F.col("doc_id").alias("b"))
     pairs = d.join(nxt, "doc_id").withColumn("x", explore.text_difference(F.col("text"), F.col("t")))
     prefix, suffix = (F.col(f"x.{c}").cast("long").alias(c) for c in ("prefix", "suffix"))
-    middle = F.substring("text", F.col("x.prefix") + 1, F.least(F.length("text") - F.col("x.suffix") - F.col("x.prefix"), F.lit(40)))
-    return pairs.select(F.col("doc_id").alias("a"), "b", prefix, suffix, middle.alias("left_middle"), (F.length("t") - F.col("x.prefix") - F.col("x.suffix")).cast("long").alias("right_middle"))
+    middle = lambda c: F.substring(c, F.col("x.prefix") + 1, F.length(c) - F.col("x.suffix") - F.col("x.prefix"))
+    sides = [f(c).alias(f"{n}_{k}") for n, c in (("left", "text"), ("right", "t")) for k, f in (("length", lambda c: F.length(middle(c)).cast("long")), ("sha256", lambda c: F.sha2(middle(c).cast("binary"), 256)))]
+    return pairs.select(F.col("doc_id").alias("a"), "b", prefix, suffix, *sides)
 
 
 @query("""with e as (select event_id, event_type, props::json as j from events)

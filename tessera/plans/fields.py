@@ -151,3 +151,26 @@ def evidence_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each entity's included ids by aspect."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "value", F.concat(F.lit("k"), F.from_json("props", "k bigint")["k"].cast("string")).alias("item"))
     return audit.evidence_sets(e, "user_id", "item", "event_type", F.col("value") >= 5, ["purchase", "click"])
+
+
+@query("""with c as (select case when c_nationkey < 9 then 'A' when c_nationkey < 18 then 'B' else 'C' end as route, c_custkey as k, c_mktsegment || '; ' || n_name || ',' || case when c_acctbal > 0 then 'Plus' else '' end as genes from customer join nation on c_nationkey = n_nationkey),
+p as (select case when l_returnflag = 'R' then 'A' when l_returnflag = 'A' then 'B' else 'C' end as route, least(cast(l_partkey as varchar), cast(l_suppkey as varchar)) as a, greatest(cast(l_partkey as varchar), cast(l_suppkey as varchar)) as b from lineitem where l_quantity >= 40),
+cc as (select route, k, genes from c union all select 'ALL', k, genes from c), pp as (select route, a, b from p union all select 'ALL', a, b from p),
+t as (select route, trim(unnest(string_split_regex(genes, '[;,]'))) as t from cc)
+select route, n_rows, n_genes, n_keys, n_pairs, n_unordered from (select route, count(*) as n_rows, count(distinct k) as n_keys from cc group by 1) join (select route, count(distinct t) as n_genes from t where t <> '' group by 1) using (route)
+ join (select route, count(*) as n_pairs, count(distinct (a, b)) as n_unordered from pp group by 1) using (route)""")
+def release_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three routes and all together: rows, distinct gene tokens, keys, pair rows, and pairs whichever way round."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.select("c_nationkey", F.col("c_custkey").alias("k"), F.concat("c_mktsegment", F.lit("; "), "n_name", F.lit(","), F.when(F.col("c_acctbal") > 0, "Plus").otherwise("")).alias("genes"))
+    p = table(spark, sf_dir, "lineitem").filter("l_quantity >= 40").select("l_returnflag", F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    routes = {"A": (c.filter("c_nationkey < 9"), p.filter("l_returnflag = 'R'")), "B": (c.filter("c_nationkey between 9 and 17"), p.filter("l_returnflag = 'A'")), "C": (c.filter("c_nationkey > 17"), p.filter("l_returnflag = 'N'"))}
+    return partition.release_totals(routes, "k", "genes", ("a", "b"))
+
+
+@query("""with t as (select p_brand as brand, p_partkey, unnest(string_split(upper(p_name || ' ' || p_type), ' ')) as t from part)
+select brand, count(distinct p_partkey) as n_rows, count(distinct t) as n_tokens from t group by 1 union all select 'ALL', (select count(*) from part), count(distinct t) from t""")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct tokens of multi-valued cells by brand, and of the whole table."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.translate(F.concat_ws(" ", "p_name", "p_type"), " ", ";").alias("cell"))
+    return partition.distinct_tokens(p, ["brand"], "cell").union(partition.distinct_tokens(p, [], "cell").select(F.lit("ALL"), "n_rows", "n_tokens"))

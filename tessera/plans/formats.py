@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fx
-from tessera.operators import scoring
+from tessera.operators import guards, rank, scoring
 from tessera.plans.registry import query
 from tessera.sources import io
 from tessera.sources.tables import shared_dir, table
@@ -59,12 +59,21 @@ def annotations_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("id", "quantity").agg(F.count("*").alias("n"))
 
 
-@query("select cast(c_custkey as varchar) as id from customer")
+@query("select cast(c_custkey as varchar) as id, row_number() over (order by c_acctbal desc, c_custkey) as position from customer")
 def id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids written one a line and read back."""
+    """Ids written one a line in the order of a table, over many files, and read back in that order."""
     path = _path(spark, "ids")
-    io.write_ids(table(spark, sf_dir, "customer"), path, "c_custkey")
-    return io.read_ids(spark, path)
+    io.write_ids(table(spark, sf_dir, "customer").repartition(6), path, "c_custkey", [F.desc("c_acctbal"), F.asc("c_custkey")])
+    return rank.ordered_index(io.read_ids(spark, path, place=True), F.asc("place")).select("id", "position")
+
+
+@query("select cast(s_suppkey as varchar) as id from supplier union all select cast(1000000 + p_partkey as varchar) from part")
+def table_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id column of two tables: the only one of known name, and one that is named."""
+    one, two = _path(spark, "table"), _path(spark, "table")
+    io.write_tsv(table(spark, sf_dir, "supplier").select("s_name", F.col("s_suppkey").alias("candidate_accession")), one, ["s_name", "candidate_accession"])
+    io.write_tsv(table(spark, sf_dir, "part").select((F.lit(1_000_000) + F.col("p_partkey")).alias("key"), F.col("p_name").alias("Entry")), two, ["key", "Entry"])
+    return io.read_table_ids(spark, one).union(io.read_table_ids(spark, two, "key"))
 
 
 @query("select cast(p_partkey as varchar) as accession, upper(regexp_replace(p_name || p_type, '\\s', '', 'g')) as sequence, (select count(*) from part) as n from part")
@@ -104,14 +113,36 @@ def exported_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+@query("select cast(doc_id as varchar) as doc_id, coalesce(lang, '') as lang, sha256(coalesce(regexp_replace(text, '[\\t\\r\\n]', ' ', 'g'), '')) as text_sha256 from documents")
+def exported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view written for spreadsheets and its lines read back: behind the byte order mark and header of each file, three cells a line."""
+    path = _path(spark, "export")
+    io.write_export(table(spark, sf_dir, "documents").select("doc_id", "lang", "text").repartition(3), path)
+    cells = spark.read.text(path).filter(F.ltrim("value", F.lit(io.BOM)) != "doc_id\tlang\ttext").select(F.split("value", "\t", -1).alias("c"))
+    return guards.require(cells, F.size("c") == 3, "not three cells").select(F.col("c")[0].alias("doc_id"), F.col("c")[1].alias("lang"), F.sha2(F.col("c")[2].cast("binary"), 256).alias("text_sha256"))
+
+
 @query("select o_orderstatus as class, count(*) as n, sum(o_orderkey)::bigint as keys from orders group by 1")
 def class_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One output for each class; counts by the folder that rows were read from."""
-    path = _path(spark, "classes")
-    io.split_by_class(table(spark, sf_dir, "orders"), path, "o_orderstatus")
+    """One output for each class, checked against the expected counts by the job that writes; counts by the folder that rows were read from."""
+    path, o = _path(spark, "classes"), table(spark, sf_dir, "orders")
+    expected = {r[0]: r[1] for r in o.groupBy("o_orderstatus").count().collect()}  # a row for each class
+    io.split_by_class(o, path, "o_orderstatus", expected)
     return spark.read.parquet(path).groupBy(F.col("o_orderstatus").cast("string").alias("class")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
+@query("""with r as (select 'orders' as d, o_orderstatus as l, o_orderpriority as k from orders union all select 'documents', coalesce(lang, ''), coalesce(source, '') from documents),
+c as (select d, l, '{' || string_agg('"' || k || '":' || n, ',' order by k) || '}' as classes, sum(n) as n from (select d, l, k, count(*) as n from r group by all) group by all),
+v as (select d, sum(n) as base from c group by 1),
+f as (select d, base, string_agg('"' || l || '":{"n":' || n || ',"share":"' || printf('%.8f', n / base::double) || '","classes":' || classes || '}', ',' order by l) as levels from c join v using (d) group by all)
+select '{' || string_agg('"' || d || '":{"n":' || base || ',"levels":{' || levels || '}}', ',' order by d) || '}' as json from f""")
+def nested_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of two data sets by level and class in one nested JSON document, each level with its share of the data set."""
+    o = table(spark, sf_dir, "orders").select(F.lit("orders").alias("d"), F.col("o_orderstatus").alias("l"), F.col("o_orderpriority").alias("k"))
+    d = table(spark, sf_dir, "documents").select(F.lit("documents").alias("d"), F.col("lang").alias("l"), F.col("source").alias("k"))
+    return io.nested_summary(o.union(d), "d", "l", "k")
+
+
 @query("""with c as (select 'orders/' || o_orderstatus as k, count(*) as v from orders group by 1 union all select 'customers/' || c_mktsegment, count(*) from customer group by 1)
 select '{' || string_agg('"' || k || '":' || v, ',' order by k) || '}' as json from c""")
 def json_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fx
-from tessera.operators import partition, quality
+from tessera.operators import guards, partition, quality
 from tessera.operators.rank import ordered_index
 from tessera.plans.registry import query
 from tessera.sources import io
@@ -74,33 +74,90 @@ def value_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""with x as (select 'customer' as name, count(*) as frozen_rows, count(*) filter (where c_acctbal >= 0) as rows from customer
- union all select 'orders', count(*), count(*) filter (where o_totalprice > 0) from orders union all select 'part', count(*), count(*) filter (where p_size <= 40) from part)
-select name, cast(frozen_rows <> rows as bigint) as violations, frozen_rows, rows from x""")
+@query("""with x as (select 'customer' as name, count(*) filter (where c_acctbal < 0) as altered, count(*) as frozen_rows, count(*) as rows from customer
+ union all select 'orders', count(*) filter (where o_totalprice < 0), count(*), count(*) from orders union all select 'part', count(*) filter (where p_size > 40), count(*), count(*) filter (where p_size <= 40) from part
+ union all select 'region', count(*) filter (where r_regionkey in (0, 1)), count(*), count(*) from region)
+select name, cast(altered > 0 as bigint) as violations, frozen_rows, rows from x""")
 def frozen_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints stored in the shared folder, then verified against the tables of today, dealt in another way."""
+    """Fingerprints stored in the shared folder, then verified against the tables of today: values changed, nothing changed, rows gone, two names swapped; all dealt in another way."""
+    swapped = F.when(F.col("r_regionkey") == 0, 1).when(F.col("r_regionkey") == 1, 0).otherwise(F.col("r_regionkey"))
+    today = {
+        "customer": ("c_custkey", lambda df: df.withColumn("c_acctbal", F.greatest("c_acctbal", F.lit(0.0)))),
+        "orders": ("o_orderkey", lambda df: df.withColumn("o_totalprice", F.greatest("o_totalprice", F.lit(0.0)))),
+        "part": ("p_partkey", lambda df: df.filter("p_size <= 40")),
+        "region": ("r_regionkey", lambda df: df.withColumn("r_regionkey", swapped.cast(df.schema["r_regionkey"].dataType))),
+    }
     out = None
-    for name, key, today in (("customer", "c_custkey", "c_acctbal >= 0"), ("orders", "o_orderkey", "o_totalprice > 0"), ("part", "p_partkey", "p_size <= 40")):
+    for name, (key, change) in today.items():
         df, path = table(spark, sf_dir, name), f"{shared_dir(spark)}/frozen-{uuid.uuid4().hex}"
         io.freeze(df, name, key, path)
-        one = io.verify_frozen(df.filter(today).repartition(5), name, key, path)
+        one = io.verify_frozen(change(df).repartition(5), name, key, path)
         out = one if out is None else out.union(one)
     return out
 
 
-@query("""with s as (select 'customer' as name, count(*) filter (where c_mktsegment <> 'BUILDING') as a, count(*) as b from customer union all select 'orders', count(*) filter (where o_totalprice > 0), count(*) from orders
- union all select 'documents', count(*) filter (where n_chars > 100), count(*) from documents)
-select 'manifest' as name, sum(case when a <> b then 2 else 0 end)::bigint as violations from s""")
+@query("""with s as (select 'customer' as name, count(*) filter (where c_mktsegment = 'BUILDING') as altered from customer union all select 'orders', count(*) filter (where o_totalprice < 0) from orders
+ union all select 'documents', count(*) filter (where coalesce(lang, '') = 'en') from documents union all select 'supplier', count(*) filter (where s_acctbal < 0) from supplier)
+select 'manifest' as name, sum(case when altered > 0 then 2 else 0 end)::bigint as violations from s""")
 def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest of fingerprints against the tables: a changed table counts on both sides."""
+    """A manifest of fingerprints against the tables, of which some had other values at the same number of rows: a changed table counts on both sides."""
     stored, now = None, None
-    for name, key, then in (("customer", "c_custkey", "c_mktsegment <> 'BUILDING'"), ("orders", "o_orderkey", "o_totalprice > 0"), ("documents", "doc_id", "n_chars > 100")):
+    before = {
+        "customer": ("c_custkey", ("c_mktsegment", F.when(F.col("c_mktsegment") == "BUILDING", "HOUSES").otherwise(F.col("c_mktsegment")))),
+        "orders": ("o_orderkey", ("o_totalprice", F.greatest("o_totalprice", F.lit(0.0)))),
+        "documents": ("doc_id", ("lang", F.when(F.col("lang") == "en", F.lit(None)).otherwise(F.col("lang")))),
+        "supplier": ("s_suppkey", ("s_acctbal", F.when(F.col("s_acctbal") < 0, -F.col("s_acctbal")).otherwise(F.col("s_acctbal")))),
+    }
+    for name, (key, (column, then)) in before.items():
         df = table(spark, sf_dir, name)
-        a, b = quality.fingerprint(df.filter(then), name, key), quality.fingerprint(df.repartition(3), name, key)
+        a, b = quality.fingerprint(df.withColumn(column, then), name, key), quality.fingerprint(df.repartition(3), name, key)
         stored, now = (a, b) if stored is None else (stored.union(a), now.union(b))
     return quality.changed(stored, now, "manifest")
 
 
+@query("""with a as (select c_custkey as id, row_number() over (order by c_acctbal desc, c_custkey) as p from customer), b as (select c_custkey as id, row_number() over (order by greatest(c_acctbal, 0) desc, c_custkey) as p from customer)
+select 'order_of_balances' as name, count(*) as violations from a full join b using (id) where a.p is distinct from b.p""")
+def order_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recomputed order against the one stated: customers by balance, and by balance without debts."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    now = c.withColumn("c_acctbal", F.greatest("c_acctbal", F.lit(0.0)))
+    place = lambda df: ordered_index(df, F.desc("c_acctbal"), F.asc("id"))
+    return quality.same_order(place(c), place(now), "id", "position", "order_of_balances")
+
+
+@query("""select 'orders' as name, (count(*) filter (where o_totalprice > 100000 and not o_orderstatus = 'O') + count(*) filter (where o_orderpriority like '1%' and not o_totalprice > 100000)
+ + cast(count(*) filter (where o_totalprice > 100000) >= count(*) filter (where o_orderstatus = 'O') as int) + cast(count(*) filter (where o_orderpriority like '1%') >= count(*) filter (where o_totalprice > 100000) as int))::bigint as violations from orders
+ union all select 'sizes', cast(count(*) filter (where p_size > 50) >= count(*) filter (where p_size > 20) as bigint) + cast(count(*) filter (where p_size > 20) >= count(*) filter (where p_size > 0) as bigint) from part""")
+def nesting_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels that should lie strictly inside each other: three rules over orders that do not, three sizes of parts."""
+    flags = lambda df, **rules: df.select(*[F.expr(r).cast("int").alias(n) for n, r in rules.items()])
+    one = flags(table(spark, sf_dir, "orders"), a="o_orderstatus = 'O'", b="o_totalprice > 100000", c="o_orderpriority like '1%'")
+    two = flags(table(spark, sf_dir, "part"), a="p_size > 0", b="p_size > 20", c="p_size > 50")
+    return guards.strict_nesting(one, ["a", "b", "c"], "orders").union(guards.strict_nesting(two, ["a", "b", "c"], "sizes"))
+
+
+@query("select c_custkey as id, c_name as name from customer where c_mktsegment <> 'BUILDING'")
+def excluded_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ranking universe without a set of exclusions, all of which must lie in it."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "c_mktsegment")
+    return guards.exclude_set(c.select("id", "name"), c.filter("c_mktsegment = 'BUILDING'"), "id")
+
+
+@query("""select p_partkey as id, cast(p_size > 10 as int) as a1, cast(p_size > 25 as int) as a2, cast(p_size > 45 as int) as a3, upper(replace(p_name, ' ', '')) as sequence from part""")
+def guarded_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three levels computed apart, each row of which must lie inside the level before, and cleaned texts of their declared length."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *[(F.col("p_size") > n).cast("int").alias(f"a{i}") for i, n in enumerate((10, 25, 45), 1)], F.concat(F.lit(" "), F.lower("p_name")).alias("text"), F.length(F.translate("p_name", " ", "")).alias("declared"))
+    sequence = guards.of_length(fx.clean_sequence("text"), F.col("declared"), "id")
+    return guards.nested(p, ["a1", "a2", "a3"], "id").select("id", "a1", "a2", "a3", sequence.alias("sequence"))
+
+
+@query("""with old as (select c_custkey as id, c_acctbal as v from customer where c_acctbal >= 0) select c_custkey as id, case when c_acctbal >= 0 then c_acctbal else round(c_acctbal * 2, 6) end as v from customer""")
+def checked_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old values for old keys and new ones for the others; each customer exactly once, or the job fails."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
+    return partition.keep_old_add_new(c.filter("v >= 0"), c.withColumn("v", F.round(F.col("v") * 2, 6)), "id", c)
+
+
 @query("""with a as (select c_custkey as id, c_mktsegment as segment, c_acctbal as balance, c_nationkey as nation from customer where c_mktsegment <> 'MACHINERY'),
 b as (select c_custkey as id, case when c_acctbal < 0 then null else c_mktsegment end as segment, round(c_acctbal / 2, 6) as balance, c_nationkey as nation from customer where c_nationkey <> 3),
 j as (select a.id as x, b.id as y, a.segment is distinct from b.segment as s, a.balance is distinct from b.balance as v, a.nation is distinct from b.nation as n from a full join b on a.id = b.id)

@@ -73,6 +73,29 @@ def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbourhood(edges, focus, 2)
 
 
+EXPLORED_SQL = f"""{STEPS_SQL}, b as (select source as a, target as z from edges union select target, source from edges),
+f as (select a as node from b group by 1 order by count(*) desc, a limit 1),
+n1 as (select distinct z as node from b where a in (select node from f) and z not in (select node from f)),
+n2 as (select distinct z as node from b where a in (select node from n1) and z not in (select node from f) and z not in (select node from n1)),
+near as (select node, 0 as hop from f union all select node, 1 from n1 union all select node, 2 from n2),
+inside as (select e.source, e.target, s.hop as sh, t.hop as th from (select distinct source, target from edges) e join near s on e.source = s.node join near t on e.target = t.node),
+deg as (select node, count(*) as degree from (select source as node from inside union all select target from inside where source <> target) group by 1),
+kept as (select node, hop, coalesce(degree, 0) as degree from near left join deg using (node) order by hop, coalesce(degree, 0) desc, node limit 150),
+linked as (select source, target from inside where source in (select node from kept) and target in (select node from kept) order by greatest(sh, th), least(sh, th), source, target limit 400)"""
+
+
+@query(f"""with {EXPLORED_SQL}, t as (select (select count(*) from near) as available_nodes, (select count(*) from inside) as available_links)
+select 'node' as kind, node as a, cast(hop as bigint) as b, degree, available_nodes, available_links, available_nodes > 150 or available_links > 400 as limited from kept, t union all select 'link', source, target, -1, available_nodes, available_links, available_nodes > 150 or available_links > 400 from linked, t""")
+def explored_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two steps around the part of most neighbours under the explorer's budget of nodes and links, with what is available."""
+    edges, _ = _edges(spark, sf_dir)
+    both = edges.select(F.col("source").alias("node"), F.col("target").alias("other")).union(edges.select("target", "source")).distinct()
+    focus = both.groupBy("node").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").limit(1)
+    nodes, links, totals = graph.explored(edges, focus, 2)
+    rows = nodes.select(F.lit("node").alias("kind"), F.col("node").alias("a"), F.col("hop").cast("long").alias("b"), "degree").union(links.select(F.lit("link"), "source", "target", F.lit(-1).cast("long")))
+    return rows.join(F.broadcast(totals))  # one row
+
+
 @query(f"""with recursive {STEPS_SQL},
 o as (select distinct source as node from edges),
 w as (select node, node as here, [node] as path, 0 as k from o

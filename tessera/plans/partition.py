@@ -40,16 +40,17 @@ def anchor_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with a as (select s_suppkey as k, upper(trim(s_name)) as c, n_name as src from supplier join nation on s_nationkey = n_nationkey where s_acctbal < 0),
-r as (select ps.l_suppkey as parent, ps.l_orderkey as ok, ps.l_linenumber as ln, ps.l_partkey as pk from lineitem ps where l_quantity >= 49),
-d as (select distinct parent from r)
-select parent, coalesce(string_agg(distinct cast(k as varchar), ';'), '') as matched_keys, coalesce(string_agg(distinct src, ';'), '') as matched_sources
-from d left join a on parent = k group by parent""")
+r as (select distinct l_suppkey as parent, 'SUPPLIER#' || lpad(cast(l_suppkey + 1 as varchar), 9, '0') as cell from lineitem where l_quantity >= 49),
+m as (select parent, k, c, src from r join a on parent = k union select parent, k, c, src from r join a on r.cell = a.c)
+select r.parent, coalesce(string_agg(distinct cast(k as varchar), ';' order by cast(k as varchar)), '') as matched_keys, coalesce(string_agg(distinct c, ';' order by c), '') as matched_cells, coalesce(string_agg(distinct src, ';' order by src), '') as matched_sources
+from r left join m on r.parent = m.parent group by 1""")
 def anchor_match_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows enriched with the anchors that their parent key or their whole cell matches."""
+    """Suppliers of large lines with the anchors that their own key or their whole cell (the name of the next supplier, in other case and spacing) matches."""
     a = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).filter("s_acctbal < 0")
-    r = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select(F.col("l_suppkey").alias("parent")).distinct().withColumn("cell", F.lit(""))
+    cell = F.concat(F.lit(" supplier#"), F.lpad((F.col("l_suppkey") + 1).cast("string"), 9, "0"), F.lit(" "))
+    r = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select(F.col("l_suppkey").alias("parent"), cell.alias("cell")).distinct()
     found = partition.anchor_match_enrich(r, "parent", "parent", "cell", a.select("s_suppkey", "s_name", "n_name"), "s_suppkey", "s_name", "n_name")
-    return found.select("parent", "matched_keys", "matched_sources")
+    return found.select("parent", "matched_keys", "matched_cells", "matched_sources")
 
 
 @query("""with sec as (select conv_id, '[' || role || ']: ' || text as section from conversations where role is not null),
@@ -173,16 +174,24 @@ def keep_old_add_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.keep_old_add_new(c.filter("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v")), c.select(F.col("c_custkey").alias("id"), F.round(F.col("c_acctbal") * 2, 6).alias("v")), "id")
 
 
-@query("""select 'customer' as name, count(*) as rows, count(distinct c_custkey) as keys from customer union all select 'orders', count(*), count(distinct o_orderkey) from orders
-union all select 'documents', count(*), count(distinct doc_id) from documents""")
+@query("""with t as (select 'customer' as name, 'input' as role, count(*) as rows, count(distinct c_custkey) as keys, count(*) filter (where c_acctbal < 0) > 0 as alters from customer
+ union all select 'orders', 'input', count(*), count(distinct o_orderkey), count(*) filter (where o_totalprice < 0) > 0 from orders union all select 'documents', 'output', count(*), count(distinct doc_id), count(*) filter (where lang is null) > 0 from documents)
+select 'r1' as run, role, name, rows, keys, true as same_in_any_order, not alters as same_when_filled from t""")
 def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and keys of tables; the content hash is compared with itself under another row order."""
-    out = []
-    for name, key in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("documents", "doc_id")):
+    """Rows and keys of tables with their role in a run; the content hash is the same under another row order, and another once a value differs."""
+    changes = {
+        "customer": ("c_custkey", "input", "c_acctbal", F.greatest("c_acctbal", F.lit(0.0))),
+        "orders": ("o_orderkey", "input", "o_totalprice", F.greatest("o_totalprice", F.lit(0.0))),
+        "documents": ("doc_id", "output", "lang", F.coalesce("lang", F.lit("und"))),
+    }
+    out = None
+    for name, (key, role, column, filled) in changes.items():
         df = table(spark, sf_dir, name)
-        a, b = quality.fingerprint(df, name, key), quality.fingerprint(df.repartition(7), name, key)
-        out.append(a.join(b.select("content"), "content", "left_semi").select("name", "rows", "keys"))
-    return out[0].union(out[1]).union(out[2])
+        record, dealt, altered = (quality.dataset_record(d, name, key, role, "r1") for d in (df, df.repartition(7), df.withColumn(column, filled)))
+        other = dealt.select("name", F.col("content").alias("_dealt")).join(altered.select("name", F.col("content").alias("_altered")), "name")
+        one = record.join(other, "name").select("run", "role", "name", "rows", "keys", (F.col("content") == F.col("_dealt")).alias("same_in_any_order"), (F.col("content") == F.col("_altered")).alias("same_when_filled"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("select p_brand as brand, sha256(string_agg(distinct p_type, chr(10) order by p_type) || chr(10)) as hash from part group by 1")

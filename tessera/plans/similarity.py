@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity as fs
 from tessera.functions import text as fx
 from tessera.operators import features, scoring, sensitivity, similarity
+from tessera.operators.rank import ordered_index
 from tessera.plans.registry import query
 from tessera.sources.tables import remove, shared_dir, staged, table
 
@@ -274,3 +275,49 @@ def sharded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scoring.score_shards(gated, model, folder, 7, 3)
     remove(spark, f"{folder}/scores/shard=2")  # as if the run had ended before
     return scoring.score_shards(gated, model, folder, 7, 3).withColumn("score", F.round("score", 6))
+
+
+@query(f"""with {KMER_SQL}, c as (select i, n from (values (0.5::double), (0.7), (0.9), (1.01)) t(i), (values (0.8::double), (0.95)) u(n)),
+p as (select i, n, left_id, right_id from c join kp on containment >= i and left_length::double / right_length >= n and right_length::double / left_length >= n),
+g as (select i, n, count(*) as n_edges from p group by all), ids as (select i, n, count(distinct id) as n_ids from (select i, n, unnest([left_id, right_id]) as id from p) group by all),
+e as (select count(*) as evaluated from part), l as (select count(distinct id) as eligible from (select unnest([left_id, right_id]) as id from kp)), z as (select count(*) as none from part where p_size > 1000)
+select i as identity, n as ratio, coalesce(n_edges, 0) as n_edges, coalesce(n_ids, 0) as n_ids, printf('%.8f', coalesce(n_ids, 0) / evaluated::double) as overall, case when eligible = 0 then 'NA' else printf('%.8f', coalesce(n_ids, 0) / eligible::double) end as conditional,
+ case when none = 0 then 'NA' else printf('%.8f', coalesce(n_ids, 0) / none::double) end as of_none from c left join g using (i, n) left join ids using (i, n), e, l, z""")
+def threshold_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid of thresholds: passing edges, recovered ids, and their share of all ids and of those with any edge; NA as share of an empty set."""
+    edges = staged(kmer_edges(spark, sf_dir).withColumn("ratio", fs.length_ratio(F.col("left_length"), F.col("right_length"))), "edges")
+    cells = sensitivity.grid(spark, identity=[0.5, 0.7, 0.9, 1.01], ratio=[0.8, 0.95])
+    counts = sensitivity.threshold_grid(edges, cells, {"identity": "containment", "ratio": "ratio"})
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    eligible = edges.select(sensitivity.endpoints(edges).alias("id")).distinct()
+    found = sensitivity.grid_fractions(counts, ids, eligible)
+    none = sensitivity.grid_fractions(counts, ids, ids.filter("p_size > 1000")).select("identity", "ratio", F.col("conditional").alias("of_none"))
+    return found.join(none, ["identity", "ratio"]).select("identity", "ratio", "n_edges", "n_ids", "overall", "conditional", "of_none")
+
+
+@query("""with o as (select o_orderkey as id, o_orderstatus as status, count(l_orderkey) as n, list(l_linenumber::bigint order by l_linenumber, l_partkey) as ids, list(l_quantity::bigint order by l_linenumber, l_partkey) as starts, any_value(o_orderpriority) as priority
+  from orders left join lineitem on l_orderkey = o_orderkey and l_quantity < 45 group by 1, 2),
+n as (select id as left_id, status as ls, priority as lp, n as ln, case when n = 0 then [] else ids end as lids, case when n = 0 then [] when n > 4 then starts[2:] else starts end as lstarts,
+  lead(id) over w as right_id, lead(status) over w as rs, lead(priority) over w as rp, lead(n) over w as rn, lead(case when n = 0 then [] else ids end) over w as rids, lead(case when n = 0 then [] when n > 5 then starts[2:] else starts end) over w as rstarts from o window w as (order by id)),
+i as (select *, case when ls = 'P' or rs = 'P' then 'missing' when ln = 0 or rn = 0 then 'empty' when left(lp, 1) <> left(rp, 1) and left(lp, 1) = '1' then 'source_mismatch' when lids <> rids then 'order_or_copy_mismatch' when len(lstarts) <> len(rstarts) then 'coordinate_count_mismatch' end as early,
+  list_min(list_transform(range(1, least(len(lstarts), len(rstarts)) + 1), lambda k: greatest(0, least(lstarts[k], rstarts[k]) + 10 - greatest(lstarts[k], rstarts[k]) + 1) / (greatest(lstarts[k], rstarts[k]) + 10 - least(lstarts[k], rstarts[k]) + 1)::double)) as iou from n where right_id is not null)
+select coalesce(early, case when iou < 0.4 then 'low_overlap' else 'pass' end) as reason, count(*) as n, round(coalesce(sum(case when early is null then iou end), 0), 5) as total_iou from i group by 1""")
+def architecture_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reason why the architectures of neighbouring orders (their lines, with quantities as places) do not match, with counts."""
+    li = table(spark, sf_dir, "lineitem").filter("l_quantity < 45").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").cast("long").alias("i"), "l_partkey", F.col("l_quantity").cast("long").alias("q")))).alias("lines"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    lines = F.coalesce("lines", F.array().cast("array<struct<i:bigint,l_partkey:bigint,q:bigint>>"))
+    status = F.when(F.col("o_orderstatus") != "P", "available").otherwise("absent")
+
+    def side(name: str, shift: int, most: int, source: Column) -> DataFrame:
+        places = F.transform(lines, lambda x: F.struct(x["q"].alias("start"), (x["q"] + 10).alias("end")))
+        cut = F.when(F.size(lines) > most, F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0)))).otherwise(places)
+        arch = F.struct(status.alias("status"), source.alias("source"), F.transform(lines, lambda x: x["i"]).alias("ids"), cut.alias("intervals"), F.lit(1).alias("length"))
+        return numbered.select((F.col("position") + shift).alias("position"), F.col("o_orderkey").alias(f"{name}_id"), arch.alias(f"{name}_arch"), F.substring("o_orderpriority", 1, 1).alias(f"{name}_p"))
+
+    numbered = ordered_index(o, F.asc("o_orderkey"))
+    p = side("left", 1, 4, F.lit("s")).join(side("right", 0, 5, F.lit("s")), "position")
+    other = (F.col("left_p") != F.col("right_p")) & (F.col("left_p") == "1")
+    p = p.withColumn("right_arch", F.col("right_arch").withField("source", F.when(other, "t").otherwise("s")))
+    found = p.withColumn("c", fs.compare_architectures("left_arch", "right_arch", 0.4))
+    return found.groupBy("c.reason").agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("c.min_iou"), F.lit(0.0)), 5).alias("total_iou"))

@@ -53,15 +53,38 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return read_headerless(spark, path, {"id1": 0, "id2": 1}, 2, strict=True)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """One id a line; a tab inside a line, a repeated id or an empty file is an error."""
-    ids = spark.read.text(path).select(F.trim("value").alias("id")).filter("id <> ''")
+#: The columns that hold the ids of a table, where none is named.
+ID_COLUMNS = ("accession", "candidate_accession", "Entry")
+
+
+def _unique_ids(ids: DataFrame, path: str) -> DataFrame:
     n, distinct, tabs = ids.agg(F.count("*"), F.count_distinct("id"), F.count_if(F.col("id").contains("\t"))).first()
     if not n or n != distinct or tabs:
         raise InputError(f"{path}: {n} ids, {n - distinct} repeated, {tabs} with tabs")
     return ids
 
 
+def read_ids(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
+    """One id a line; a tab inside a line, a repeated id or an empty file is an error. ``place`` orders the ids as they stand: by file, block and line."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path)
+    ids = lines.select(F.trim("value").alias("id"), at.alias("place")) if place else lines.select(F.trim("value").alias("id"))
+    return _unique_ids(ids.filter("id <> ''"), path)
+
+
+def read_table_ids(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
+    """The ids of a TSV with header: of the named column, or of the one of ``ID_COLUMNS`` that it has; none or two of these, a repeated id or no id is an error."""
+    raw = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"')
+    if column is None:
+        found = [c for c in ID_COLUMNS if c in raw.columns]
+        if len(found) != 1:
+            raise InputError(f"{path}: the id column is not clear: {found}")
+        column = found[0]
+    if column not in raw.columns:
+        raise InputError(f"{path}: no column {column}")
+    return _unique_ids(raw.select(F.trim(column).alias("id")).filter("id <> ''"), path)
+
+
 def fasta_accession(header: Column) -> Column:
     """The second '|' field after sp or tr, else the first token before '|'."""
     first = F.split(header, r"\s+")[0]
@@ -164,8 +187,10 @@ def write_fasta(df: DataFrame, path: str, header: Column, sequence: str, width:
     df.select(fasta_text(header, F.col(sequence), width).alias("value")).write.mode("errorifexists").text(path)
 
 
-def write_ids(df: DataFrame, path: str, key: str) -> None:
-    df.orderBy(key).select(F.col(key).cast("string")).write.mode("errorifexists").text(path)
+def write_ids(df: DataFrame, path: str, key: str, order: list[Column] | None = None) -> None:
+    """Ids one a line, in the table's order given by the columns ``order`` (by key without): files read by name, line after line, give it."""
+    by = order or [F.col(key)]
+    df.repartitionByRange(*by).sortWithinPartitions(*by).select(F.col(key).cast("string")).write.mode("errorifexists").text(path)
 
 
 def split_by_class(df: DataFrame, path: str, by: str, expected: dict[object, int] | None = None) -> None:
@@ -188,6 +213,33 @@ def export_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "[\t\r\n]", " ").alias(c) for c in df.columns])
 
 
+#: opens a text file so that spreadsheets read it as UTF-8
+BOM = "\ufeff"
+
+
+def write_export(df: DataFrame, path: str) -> None:
+    """A view as TSV files for spreadsheets: each has the byte order mark and the header, and cells have no tabs or line ends."""
+    text = export_text(df)
+    text.toDF(BOM + text.columns[0], *text.columns[1:]).write.mode("errorifexists").csv(path, sep="\t", header=True, quote="", quoteAll=False, escape="\\", encoding="UTF-8", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def nested_summary(df: DataFrame, dataset: str, level: str, kind: str) -> DataFrame:
+    """One JSON document of counts: for each data set its rows, and for each level its rows, their share of the data set's, and the rows of each class.
+
+    One pass counts all grouping sets; the summary must be small (it is one value). Keys are sorted; blanks stand for null.
+    """
+    names = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((dataset, "d"), (level, "l"), (kind, "k"))])
+    sets = names.groupingSets([[F.col("d")], [F.col("d"), F.col("l")], [F.col("d"), F.col("l"), F.col("k")]], "d", "l", "k").agg(F.count("*").alias("n"), F.grouping_id("d", "l", "k").alias("g"))
+    by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+    entries = lambda key, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))), by_key))
+    classes = sets.filter("g = 0").groupBy("d", "l").agg(entries("k", F.col("n")).alias("classes"))
+    base = sets.filter("g = 3").select("d", F.col("n").alias("base"))
+    levels = sets.filter("g = 1").select("d", "l", "n").join(classes, ["d", "l"]).join(base, "d")
+    share = F.format_string("%.8f", F.col("n") / F.col("base"))
+    folded = levels.groupBy("d", "base").agg(entries("l", F.struct("n", share.alias("share"), "classes")).alias("levels"))
+    return folded.agg(F.to_json(entries("d", F.struct(F.col("base").alias("n"), "levels"))).alias("json"))
+
+
 def json_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     """One JSON document of a summary table with few rows: key -> value, sorted by key."""
     rows = F.array_sort(F.collect_list(F.struct(F.concat_ws("/", *keys).alias("key"), F.col("value").alias("value"))))

@@ -58,8 +58,25 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+#: tables that the session's catalog knows by name, by application
+_named: dict[str, list[str]] = {}
+
+
+def staged_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """``df`` in a table of the shared folder bucketed by a column: a join on it moves only the other side.
+
+    The session's catalog knows it by a unique name until ``drop_staged``.
+    """
+    spark, name = df.sparkSession, f"staged_{uuid.uuid4().hex}"
+    _named.setdefault(spark.sparkContext.applicationId, []).append(name)
+    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def drop_staged(spark: SparkSession) -> None:
-    """Remove what this application has staged. DataFrames made from it cannot be read any more: save results first."""
+    """Remove what this application has staged, names in the catalog included. DataFrames made from it cannot be read any more: save results first."""
+    for name in _named.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"drop table if exists {name}")
     remove(spark, shared_dir(spark))
 
 

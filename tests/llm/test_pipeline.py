@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version on a small folder of tables, and its stages one by one."""
 
 import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,8 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tessera.llm import near_copies, pii, simhash
+from tessera.llm import language_id, near_copies, simhash
+from tessera.sources import tables
 from tests.llm.test_documents import SPACE
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -34,6 +36,12 @@ def folder(spark, tmp_path_factory):
     return path, rows
 
 
+def masked(text):
+    """The base kinds that the texts hold, by the rules of the task; kinds that they do not hold are left out."""
+    text = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "<email>", text)
+    return re.sub(r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: "<phone>" if 8 <= sum(c.isdigit() for c in m[0]) <= 15 else m[0], text)
+
+
 def test_against_brute_force(spark, folder):
     path, rows = folder
     kept = []
@@ -50,7 +58,7 @@ def test_against_brute_force(spark, folder):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     want = defaultdict(list)
     for r in first.values():
-        ids = [*tokenizer.encode(pii.masked(r[1], pii.spans(r[1])), add_special_tokens=False).ids, 0]
+        ids = [*tokenizer.encode(masked(r[1]), add_special_tokens=False).ids, 0]
         end, at = len(ids) % 2048 or 2048, 0
         while at < len(ids):
             part = ids[at:end]
@@ -81,9 +89,23 @@ def test_empty(spark, folder, stage):
 
 
 def test_nulls_and_repeats(spark, folder):
+    """Texts without words fail the rules and have no language; they are copies of each other; each is a piece of one token."""
     docs = spark.createDataFrame([(None, None, None, None, None)] * 2 + [(1, None, None, None, None), (1, "", "en", None, 0)], COLUMNS)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, folder[0]).count() <= 4
+    found = [sorted(map(tuple, stage(spark, docs, folder[0]).collect()), key=repr) for _, stage in corpus_pipeline.STAGES]
+    assert found[:2] == [[], []] and found[2] == [(1, None, None, None, None)]
+    assert [r[:2] for r in found[3]] == [(1, ""), (1, None), (None, None), (None, None)] or sorted(r[0] is None for r in found[3]) == [False, False, True, True]
+    assert len(found[4]) == 4 and {r[3] for r in found[4]} == {1}
+
+
+def test_language_stage_rejects_below_its_threshold(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    scores = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, language_id.train(language_id.with_fold(docs))).collect()}
+    cut = sorted(s for _, s in scores.values())[len(scores) // 2]
+    for least in (0.5, cut):
+        monkeypatch.setattr(corpus_pipeline, "LANGUAGE_SCORE", least)
+        got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs, folder[0]).collect()}
+        assert got == {i: lang for i, (lang, s) in scores.items() if lang != "und" and s >= least}
+    assert 0 < len(got) < len(scores)
 
 
 def test_registered():
@@ -145,8 +167,8 @@ def plain_groups(sets):
         label = new
 
 
-@pytest.mark.parametrize("block", [5, 17, 1000])
-def test_large_groups_in_blocks(spark, block):
+@pytest.mark.parametrize("block, size", [(5, 10**9), (17, 10**9), (1000, 10**9), (1000, 4_000)])
+def test_large_groups_in_blocks(spark, block, size):
     """Provisional groups of chains, dense clusters and strangers, cut into blocks, keep every link."""
     rng = random.Random(block)
     rows = []
@@ -161,7 +183,7 @@ def test_large_groups_in_blocks(spark, block):
         rows += [(root, {rng.randrange(1 << 40) for _ in range(40)}) for _ in range(10)]
     keyed = [(root, i, np.array(sorted(s), np.uint64).tobytes()) for i, (root, s) in enumerate(rows)]
     sets = spark.createDataFrame(keyed, "root long, key long, shingles binary").repartition(3).cache()
-    got = {r.fp: r.root for r in simhash.components(near_copies.exact_links(sets, 0.8, block)).collect()}
+    got = {r.fp: r.root for r in simhash.components(near_copies.exact_links(sets, 0.8, block, size)).collect()}
     want = plain_groups([s for _, s in rows])
     assert [got.get(i, i) for i in range(len(rows))] == want
 
@@ -173,3 +195,51 @@ def test_texts_move_once(spark, folder):
     plan = rows.join(few, "row", "left_semi")._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan
     assert plan.count("Exchange hashpartitioning") == 1  # of the short side
+
+
+def chain(n, keep=34):
+    """One provisional group of sets of 40 in which neighbours share ``keep`` (similarity 0.74): nothing is similar."""
+    return [(0, i, np.arange(i * (40 - keep), i * (40 - keep) + 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for i in range(n)]
+
+
+def test_pairs_formed_grow_in_proportion(spark, monkeypatch):
+    """Unlike nodes of one chained group: candidates grow with the nodes, not with their square; so do all staged rows."""
+    formed = {}
+    for n in (500, 4_000):
+        sizes = {}
+        real = tables.staged
+        monkeypatch.setattr(near_copies, "staged", lambda df, name, sizes=sizes: (out := real(df, name), sizes.update({name: out.count()}))[0])
+        sets = spark.createDataFrame([(r, k, np.sort(s).tobytes()) for r, k, s in chain(n)], "root long, key long, shingles binary").cache()
+        assert near_copies.exact_links(sets, 0.8, 50).count() == 0
+        monkeypatch.setattr(near_copies, "staged", real)
+        formed[n] = sizes
+    assert formed[4_000]["candidates"] <= 9 * max(formed[500]["candidates"], 500)
+    assert all(formed[4_000][k] <= 9 * formed[500][k] + 100 for k in formed[500])
+
+
+def test_a_common_template_forms_no_pairs(spark):
+    """Sets that share 85 % of their shingles (similarity 0.74) meet in no prefix."""
+    base = np.arange(1, 86, dtype=np.uint64)
+    rows = [(0, i, 1 if i else 0, 0, np.sort(np.concatenate([base, np.arange(15, dtype=np.uint64) + np.uint64(1000 + 15 * i)])).tobytes()) for i in range(300)]
+    nodes = spark.createDataFrame([(r, k, k, 0, s) for r, k, _, _, s in rows], "root long, key long, grp long, main long, shingles binary")
+    assert near_copies.candidates(nodes, 0.8).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_candidates_hold_every_similar_pair(spark, seed):
+    rng = random.Random(seed)
+    pool = [rng.randrange(1 << 40) for _ in range(120)]
+    sets = [set(rng.sample(pool, rng.randint(3, 25))) for _ in range(20)]
+    sets += [set(list(s)[: max(1, len(s) - rng.randint(0, 3))]) | set(rng.sample(pool, rng.randint(0, 2))) for s in sets for _ in range(3)]
+    rows = [(0, i, i % 5, 2, np.array(sorted(s), np.uint64).tobytes()) for i, s in enumerate(sets)]
+    got = {frozenset((r.fp, r.to)) for r in near_copies.candidates(spark.createDataFrame(rows, "root long, key long, grp long, main long, shingles binary"), 0.8).collect()}
+    want = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if i % 5 != j % 5 and jaccard(sets[i], sets[j]) >= 0.8}
+    assert want <= got and want and all(i % 5 != j % 5 for i, j in map(tuple, got))
+
+
+def test_no_table_name_is_left(spark, folder):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    kept = corpus_pipeline.near_duplicate(spark, docs, folder[0]).count()
+    assert 0 < kept and [t.name for t in spark.catalog.listTables() if t.name.startswith("staged_")]
+    tables.drop_staged(spark)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("staged_")]

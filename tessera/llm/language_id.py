@@ -8,8 +8,9 @@ labelled documents kept from the training calibrates the probabilities.
 The classifier is fitted on a bounded sample of the labelled rows: ``sample_rows`` in all, dealt evenly over the
 languages (one row each at least), and in each language those of least hash of (doc_id, text), so that copies
 of a text under different ids are drawn like any other row; exact repeats of a row count as one. Its features
-come to the driver, six bytes for each distinct bucket of a text (65,536 buckets at most). Every learned language
-is predicted; fitting takes 1.5 MB on the driver for each language, the broadcast weights 0.25 MB. Prediction
+come to the driver, six bytes for each distinct bucket of a text, and no more than ``sample_bytes`` in all, dealt over
+the languages likewise: rows are taken in order of their hash while they fit (the first of a language always).
+Every learned language is predicted; fitting takes 1.5 MB on the driver for each language, the broadcast weights 0.25 MB. Prediction
 reads every whole text and needs no shuffle.
 
 A text that is null or has no letter is 'und' with score 0. Without labelled rows every text is 'und'. Ties go
@@ -80,14 +81,16 @@ def labelled_features(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "fold", "h", "text").mapInArrow(run, "lang string, fold int, h long, at binary, n binary")
 
 
-def sample(usable: DataFrame, counts: dict[str, int], sample_rows: int) -> DataFrame:
-    """Features of the rows of least hash in each language, ``sample_rows`` over the number of languages at most; no text is shuffled."""
+def sample(usable: DataFrame, counts: dict[str, int], sample_rows: int, sample_bytes: int) -> DataFrame:
+    """Features of the rows of least hash in each language, ``sample_rows`` and ``sample_bytes`` over the number of languages at most; no text is shuffled."""
     each = max(1, sample_rows // len(counts))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.3 * each + 50) / n))])  # surely enough of them
     h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
     near = labelled_features(usable.withColumn("h", h).filter(F.col("h") / (1 << 62) < share[F.col("lang")]))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    return near.dropDuplicates(["lang", "h"]).withColumn("place", place).filter(F.col("place") <= each).drop("place")
+    inside = Window.partitionBy("lang").orderBy("h")
+    first = near.dropDuplicates(["lang", "h"]).withColumn("place", F.row_number().over(inside)).filter(F.col("place") <= each)
+    size = F.sum(F.length("at") + F.length("n")).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return first.withColumn("size", size).filter((F.col("size") <= sample_bytes // len(counts)) | (F.col("place") == 1)).drop("place", "size")
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -146,7 +149,7 @@ class Model:
         return self.classes[best], float(p[best])
 
 
-def train(docs: DataFrame, sample_rows: int = 6_000) -> Model:
+def train(docs: DataFrame, sample_rows: int = 6_000, sample_bytes: int = 100_000_000) -> Model:
     """docs: doc_id, lang, text and fold (0 to 4; fold 1 calibrates, the others but 0 train, 0 is never read)."""
     usable = docs.filter("fold <> 0 and lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a number for each language
@@ -157,7 +160,7 @@ def train(docs: DataFrame, sample_rows: int = 6_000) -> Model:
     idf = np.log((1 + total) / (1 + seen)) + 1
     number = {c: i for i, c in enumerate(classes)}
     rows = []
-    for r in sample(usable, counts, sample_rows).collect():  # the documented bound
+    for r in sample(usable, counts, sample_rows, sample_bytes).collect():  # the documented bound
         if r["at"]:
             at, n = np.frombuffer(r["at"], np.uint16), np.frombuffer(r["n"], np.uint32)
             rows.append((r["fold"], at, (n / n.sum() * idf[at] * SCALE).astype(np.float32), number[r["lang"]]))

@@ -51,7 +51,7 @@ def test_language_sample_and_frequencies(spark):
     text = lambda: "".join(rng.choice(list("abcdefghij klmn"), 30))
     rows = [(i, text(), "en") for i in range(400)] + [(1000 + i, "same text of many ids", "en") for i in range(400)] + [(5, "aa", "de")] * 3 + [(None, "null id", "fr")] * 500
     usable = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("fold", F.lit(2)).repartition(4)
-    got = Counter(r.lang for r in language_id.sample(usable, {"en": 800, "de": 3, "fr": 500}, 300).collect())
+    got = Counter(r.lang for r in language_id.sample(usable, {"en": 800, "de": 3, "fr": 500}, 300, 10**9).collect())
     assert got["de"] == got["fr"] == 1  # repeats of a row count as one
     assert got["en"] == 100
     total, seen = language_id.document_frequencies(usable)

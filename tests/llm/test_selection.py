@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm import quality_score, resampling, vector_codes
+from tessera.llm import language_id, quality_score, resampling, vector_codes
 from tessera.llm.registry import QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -297,3 +297,38 @@ def test_without_labels(spark, corpus, empty):
     one = quality_score.train(docs, labels.filter("quality = 1"))
     assert min(r.score for r in quality_score.scored(docs, one).collect()) > 0.9
     assert quality_score.scored(empty, model).count() == 0 and quality_score.train(empty, labels).score(quality_score.counted("x")) == 0.5
+
+
+def test_language_sample_in_bytes(spark, docs):
+    """The sample's features stay within the bound; a language keeps its first row."""
+    usable = language_id.with_fold(docs).filter("fold <> 0 and lang is not null and text is not null")
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    whole = language_id.sample(usable, counts, 1_000, 10**9).collect()
+    weight = lambda rows: sum(len(r["at"]) + len(r["n"]) for r in rows)
+    some = language_id.sample(usable, counts, 1_000, weight(whole) // 3).collect()
+    assert 0 < len(some) < len(whole) and weight(some) <= weight(whole) // 3
+    assert {r["lang"] for r in language_id.sample(usable, counts, 1_000, 1).collect()} == set(counts)
+
+
+def test_language_prediction_by_hand():
+    """The score is the softmax of the mean weight of all n-grams, over the temperature."""
+    rng = np.random.default_rng(3)
+    model = language_id.Model(["de", "en", "fr"], rng.normal(size=(1 << language_id.BITS, 3)).astype(np.float32), 0.4)
+    for text in ("a", "Ab a", "straße 12", "x" * 70_000):
+        low, total, n = text.lower(), np.zeros(3), 0
+        for size in (1, 2, 3):
+            for i in range(len(low) - size + 1):
+                total += model.weights[gram(low[i : i + size])]
+                n += 1
+        p = np.exp(total / n / 0.4)
+        lang, score = model.predict(text)
+        assert lang == model.classes[int(p.argmax())] and score == pytest.approx(float(p.max() / p.sum()), rel=1e-4)
+    assert model.predict("12 !") == model.predict(None) == ("und", 0.0)
+
+
+def gram(s):
+    """The bucket of an n-gram from its definition, in Python integers."""
+    m, mask, run = 0x9E3779B97F4A7C15, (1 << 64) - 1, 0
+    for n, c in enumerate(s, 1):
+        run = (run + ord(c) + n) * m & mask
+    return ((run ^ run >> 29) * m & mask) >> (64 - language_id.BITS)

@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import slices
 from tessera.sources.tables import table
 
 BITS, ORDERS, SCALE = 16, 3, 40.0
@@ -73,10 +74,10 @@ def labelled_features(docs: DataFrame) -> DataFrame:
     """lang, fold, h, and the distinct buckets of a text with their counts, as 16-bit and 32-bit numbers in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(grams(t), return_counts=True) for t in batch.column(3).to_pylist()]
+        for part in (x for batch in batches for x in slices(batch, 3)):
+            found = [np.unique(grams(t), return_counts=True) for t in part.column(3).to_pylist()]
             at, n = ([x[k].astype(kind).tobytes() for x in found] for k, kind in ((0, np.uint16), (1, np.uint32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["lang", "fold", "h", "at", "n"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["lang", "fold", "h", "at", "n"])
 
     return docs.select("lang", "fold", "h", "text").mapInArrow(run, "lang string, fold int, h long, at binary, n binary")
 

@@ -78,7 +78,50 @@ def set_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("jaccard", F.round("jaccard", 9))
 
 
-@query()
+def _aligned_sql() -> str:
+    """The alignment of every two different names by the recurrence, a cell of all tables a step.
+
+    A way that ends in a cell is one number, score * 10^9 + matches * 10^6 - columns * 10^3 + residues, and the
+    residues of the left name; of equal ways the first stays, and of equal best cells the first by rows.
+    """
+    first, last = 32, 90
+    scores = [int(x) for row in similarity.substitution()[first : last + 1, first : last + 1] for x in row]
+    ways = lambda cell, gaps: "list_max(list_filter([" + ", ".join(f"{{'v': {cell}.{k}.v + {g}, 'o': {o}, 'u': {cell}.{k}.u}}" for (k, o), g in zip((("m", 3), ("p", 2), ("q", 1)), gaps, strict=True)) + "], lambda z: z.v is not null))"
+    gap = lambda g: g * 10**9 - 999
+    opened, on = gap(similarity.GAP_OPEN), gap(similarity.GAP_EXTEND)
+    live = lambda w, v, u, dead: f"case when ({w}.{v}) + 1000000 >= 1000000000 then {{'v': ({w}.{v})::bigint, 'u': ({w}.{u})::bigint}} else {dead} end"
+    zero, none = "{'v': 0::bigint, 'u': 0::bigint}", "{'v': null::bigint, 'u': null::bigint}"
+    start = f"{{'m': {zero}, 'p': {none}, 'q': {none}}}"
+    return f"""names as (select distinct upper(x.p_name) as a, upper(y.p_name) as b from kp join part x on left_id = x.p_partkey join part y on right_id = y.p_partkey where containment >= 0.5),
+blosum as (select {scores} as s),
+cells as (
+  select a, b, 0 as k, list_transform(range(length(b) + 1), lambda i: {start}) as up, [{start}] as cur, {{'v': 0::bigint, 'u': 0::bigint}} as best from names
+  union all
+  select a, b, k + 1, case when j = length(b) then list_append(cur, {{'m': m, 'p': p, 'q': q}}) else up end, case when j = length(b) then [{start}] else list_append(cur, {{'m': m, 'p': p, 'q': q}}) end,
+    case when m.v > best.v and m.v >= coalesce(p.v, 0) and m.v >= coalesce(q.v, 0) then m when p.v > best.v and p.v >= coalesce(q.v, 0) then p when q.v > best.v then q else best end
+  from (select *, {live("wm", "v + step", "u + 1", zero)} as m, {live("wp", "v", "u", none)} as p, {live("wq", "v", "u + 1", none)} as q
+    from (select *, {ways("up[j]", (0, 0, 0))} as wm, {ways("cur[j]", (opened, on, opened))} as wp, {ways("up[j + 1]", (opened, opened, on))} as wq,
+      s[(ascii(substring(a, i, 1)) - {first}) * {last - first + 1} + ascii(substring(b, j, 1)) - {first} + 1]::bigint * 1000000000 + case when substring(a, i, 1) = substring(b, j, 1) then 1000000 else 0 end - 998 as step
+      from (select *, (k // length(b) + 1)::int as i, (k % length(b) + 1)::int as j from cells, blosum where k < length(a) * length(b)) z) z) z),
+ended as (select a, b, best.u as used_a, (best.v + 1000000) // 1000000000 as score, best.v - (best.v + 1000000) // 1000000000 * 1000000000 as rest from cells where k = length(a) * length(b)),
+counted as (select a, b, used_a, score, (rest + 999999) // 1000000 as matches, rest - (rest + 999999) // 1000000 * 1000000 as rest from ended),
+aligned as (select a, b, score, matches, (999 - rest) // 1000 as columns, used_a, rest + (999 - rest) // 1000 * 1000 - used_a as used_b from counted),
+pairs_aligned as (select left_id, right_id, score, matches, columns, case when columns > 0 then matches / columns::double else 0 end as identity, used_a / length(a)::double as left_coverage, used_b / length(b)::double as right_coverage
+  from kp join part x on left_id = x.p_partkey join part y on right_id = y.p_partkey join aligned on a = upper(x.p_name) and b = upper(y.p_name) where containment >= 0.5)"""
+
+
+ALIGNED_SQL = f"recursive {KMER_SQL}, {_aligned_sql()}"
+EDGES_SQL = f"""{ALIGNED_SQL}, big as (select l_partkey as id, l_suppkey as supplier, s_nationkey as nation, month(l_shipdate) as month from lineitem join supplier on l_suppkey = s_suppkey where l_quantity >= 30),
+sets as (select id, list(distinct supplier) as su, list(distinct nation) as na, list(distinct month) as mo from big group by 1),
+x as (select p.*, coalesce(len(list_intersect(l.su, r.su)), 0) as e, coalesce(len(list_intersect(l.na, r.na)), 0) as f, coalesce(len(list_intersect(l.mo, r.mo)), 0) as g, coalesce(len(l.su), 0) + coalesce(len(r.su), 0) as ee, coalesce(len(l.na), 0) + coalesce(len(r.na), 0) as ff, coalesce(len(l.mo), 0) + coalesce(len(r.mo), 0) as gg,
+  greatest(0, least(a.p_size, b.p_size) + 31 - greatest(a.p_size, b.p_size)) / (greatest(a.p_size, b.p_size) + 31 - least(a.p_size, b.p_size))::double as min_iou
+  from pairs_aligned p join part a on left_id = a.p_partkey join part b on right_id = b.p_partkey left join sets l on l.id = left_id left join sets r on r.id = right_id),
+y as (select *, case when min_iou < 0.5 then 'low_overlap' else 'pass' end as architecture, e + f + g as shared_all, case when ee + ff + gg - e - f - g > 0 then (e + f + g) / (ee + ff + gg - e - f - g)::double else 0 end as weighted from x),
+z as (select *, case when ee > e and e / (ee - e)::double >= 0.5 and e >= 1 then 'event' when ff > f and f / (ff - f)::double >= 0.5 and f >= 2 then 'first_set' when weighted >= 0.25 and shared_all >= 3 then 'weighted' else 'none' end as function from y),
+ed as (select *, identity >= 0.7 and left_coverage >= 0.8 and right_coverage >= 0.8 and architecture = 'pass' and function <> 'none' as edge from z)"""
+
+
+@query(f"with {ALIGNED_SQL} select left_id, right_id, score, matches, columns, identity, left_coverage, right_coverage from pairs_aligned")
 def align_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local alignments of the names of pairs with much in common."""
     pairs = kmer_edges(spark, sf_dir).filter("containment >= 0.5")
@@ -201,18 +244,20 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = part.select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("text"))
     place = F.array(F.struct(F.col("p_size").alias("start"), (F.col("p_size") + 30).alias("end")))
     arch = part.select(F.col("p_partkey").alias("id"), F.struct(F.lit("available").alias("status"), F.lit("PART").alias("source"), F.array("p_type").alias("ids"), place.alias("intervals"), F.lit(100).alias("length")).alias("arch"))
-    large = li.filter("l_quantity >= 40").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    large = li.filter("l_quantity >= 30").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     sets = large.groupBy(F.col("l_partkey").alias("id")).agg(F.collect_set("l_suppkey").alias("suppliers"), F.collect_set("s_nationkey").alias("nations"), F.collect_set(F.month("l_shipdate")).alias("months"))
     return similarity.pair_metrics(pairs, texts, arch, sets, ["suppliers", "nations", "months"], None, "suppliers", "nations", 0.5)
 
 
-@query()
+@query(f"with {EDGES_SQL} select left_id, right_id, identity, left_coverage, right_coverage, min_iou, architecture, weighted, shared_all, function, edge from ed")
 def extension_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment, architecture and set similarity of every candidate pair, and whether it is a passing edge."""
     return part_edges(spark, sf_dir).select("left_id", "right_id", "identity", "left_coverage", "right_coverage", "min_iou", "architecture", "weighted", "shared_all", "function", "edge")
 
 
-@query()
+@query(f"""with {EDGES_SQL}, t as (select left_id, right_id, identity, weighted from ed where edge union all select right_id, left_id, identity, weighted from ed where edge),
+n as (select t.*, row_number() over (partition by left_id order by identity desc, weighted desc, right_id desc) as nth, count(*) over (partition by left_id) as n_support from t join part r on right_id = r.p_partkey and r.p_size <= 20 join part l on left_id = l.p_partkey and l.p_size > 20)
+select left_id, 'failure' as label, right_id as best_seed, identity, weighted, n_support from n where nth = 1""")
 def extended_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed candidates (parts over size 20) that a passing edge ties to a seed, with the best seed; their label stays."""
     e, part = part_edges(spark, sf_dir).filter("edge"), table(spark, sf_dir, "part")

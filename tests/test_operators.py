@@ -135,7 +135,7 @@ def test_alignment(pairs):
         assert got == brute_align(a, b)
     short = [p for p in pairs if p[0] and p[1]]
     if short:  # the way for texts of any length gives the same
-        assert similarity.Alignments(40, object).run(short) == [brute_align(*p) for p in short]
+        assert similarity.Alignments(31, 2).run(short) == [brute_align(*p) for p in short]
 
 
 def test_alignment_cases(spark):
@@ -144,6 +144,25 @@ def test_alignment_cases(spark):
     assert rows(similarity.align_pairs(p), "right_id", "score", "identity", "left_coverage") == [(2, 23, 1.0, 1.0), (3, 0, 0.0, 0.0)]
 
 
+def test_both_ways_to_hold_a_state_give_the_same():
+    rng = np.random.default_rng(4)
+    text = lambda n: "".join(rng.choice(list("ACDEFGHIKLx~é"), n))
+    pairs = [(text(rng.integers(1, 60)), text(rng.integers(1, 60))) for _ in range(60)] + [(t := text(300), t[:100] + text(20) + t[120:])]
+    assert similarity.Alignments(14, 1).run(pairs) == similarity.Alignments(31, 2).run(pairs)
+
+
+def test_beyond_short_texts_a_cell_takes_no_longer():
+    """A pair of 8,100 letters in all, in two numbers a state, against one of 7,900 in one."""
+    rng = np.random.default_rng(4)
+    text = lambda n: "".join(rng.choice(list("ACDEFGHIKL"), n))
+    seconds = []
+    for n in (3_950, 4_050):
+        start = time.process_time()
+        similarity.align_many([(text(n), text(n))])
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 3 * seconds[0]  # as whole numbers of Python they took six times as long
+
+
 def test_long_alignment():
     rng = np.random.default_rng(0)
     a, b = ("".join(rng.choice(list("ACDEFGHIKL"), 600)) for _ in range(2))
@@ -375,6 +394,30 @@ def test_edge_pass_and_best_support(spark):
     assert rows(similarity.best_support(passed, "c", ["i", "l"], "s"), "c", "best_seed", "n_support") == [("c", "s2", 2)]
 
 
+def test_class_pairs_grow_with_the_texts_not_the_rows(spark):
+    """Ten times the rows of the same texts form the same pairs of classes, and a hundred times the pairs of rows."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("ABC"), rng.integers(8, 14))) for _ in range(25)]
+    sets = {t: sorted({t[i : i + 4] for i in range(len(t) - 3)}) for t in texts}
+    formed, found = [], []
+    for times in (1, 10):
+        df = spark.createDataFrame([(k * 100 + i, "s" if i % 2 else "t", len(t), sets[t]) for k in range(times) for i, t in enumerate(texts)], "i long, s string, n long, k array<string>")
+        formed.append(similarity.class_pairs(similarity.text_classes(df, "s", "n", "k"), 0.8, 0.2).count())
+        found.append({(r.left_id, r.right_id): r.containment for r in similarity.candidate_pairs(df, "i", "s", "n", "k", 0.8, 0.2).collect()})
+        text, sig = {r.i: tuple(r.k) for r in df.collect()}, {r.i: (r.s, r.n) for r in df.collect()}
+        share = lambda a, b: len(set(text[a]) & set(text[b])) / min(len(text[a]), len(text[b]))  # noqa: E731, B023
+        want = {(a, b): share(a, b) for a in text for b in text if a < b and sig[a][0] == sig[b][0] and min(sig[a][1], sig[b][1]) >= 0.8 * max(sig[a][1], sig[b][1]) and share(a, b) >= 0.2}
+        assert found[-1] == pytest.approx(want)
+    assert formed[0] == formed[1] and len(found[1]) > 90 * len(found[0])
+
+
+@pytest.mark.parametrize("ratio", [0.5, 0.8, 0.95, 1.0])
+def test_length_bands_lose_no_pair(spark, ratio):
+    df = spark.createDataFrame([(n, "s", n, ["AAAB"]) for n in range(0, 130)], "i long, s string, n long, k array<string>")
+    got = {(r.left_id, r.right_id) for r in similarity.candidate_pairs(df, "i", "s", "n", "k", ratio, 0.5).collect()}
+    assert got == {(a, b) for a in range(130) for b in range(a + 1, 130) if a >= ratio * b}
+
+
 def test_candidate_pairs(spark):
     r = spark.createDataFrame([(1, "s", 10, ["ab", "cd"]), (2, "s", 9, ["ab"]), (3, "s", 7, ["ab"]), (4, "", 10, ["ab"]), (5, "t", 10, ["ab"]), (6, "s", 10, ["zz"])], "i long, s string, n int, k array<string>")
     assert rows(similarity.candidate_pairs(r, "i", "s", "n", "k"), "left_id", "right_id") == [(1, 2)]

@@ -37,8 +37,3 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns
-
-
-def test_rows_only(spark):
-    for name in ("align_pairs", "extension_edges", "extended_candidates"):
-        assert QUERIES[name](spark, DIR).count() >= 0

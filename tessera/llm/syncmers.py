@@ -8,8 +8,9 @@ the likeness is the share of ranges whose anchors agree and lie in the same orde
 A text shorter than k is one anchor; an empty or null text has no anchor and the fingerprint ''. The likeness
 of two empty fingerprints is 1, of an empty and another 0. Equal texts have equal fingerprints. Documents follow
 each other by (doc_id, hash of the text, text), null ids first, so that a hot id (or many null ids) is cut into
-runs like any other part of the order; only equal rows stay together. Rows with equal or null ids each keep their
-own row; an empty table gives an empty result.
+runs like any other part of the order. Of rows with the same id and text all but the last are followed by their own
+like: where there are over ``HOT`` of them they are counted, compared once, and written out as often by many tasks,
+so no run is longer for them. Rows with equal or null ids each keep their own row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.tables import table
+from tessera.sources.tables import staged, table
 
 K, S, RANGES = 16, 8, 64  # S and K are powers of two
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT, _TOP = np.uint64(32), np.uint64(58)
 #: what a null id counts as in the order
 FIRST = -(1 << 63)
+#: equal rows beyond this number, or beyond a 20,000th of all rows, are counted; they are written out in parts of PART
+HOT, PART = 4_000, 100_000
 
 
 def _joined(h: np.ndarray, width: int) -> np.ndarray:
@@ -104,6 +107,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """k, h, doc_id, text: rows with their place in the order."""
+    return docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("k"), F.xxhash64("text").alias("h"), "doc_id", "text")
+
+
 def with_next(docs: DataFrame, rows_per_run: int = 4_000, most_runs: int = 20_000, draws: int = 20) -> DataFrame:
     """Each row in a run of rows near it in the order, and the first row of each run again at the end of the run before.
 
@@ -113,8 +121,8 @@ def with_next(docs: DataFrame, rows_per_run: int = 4_000, most_runs: int = 20_00
     and text. The last run ends with the very first row.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("k"), F.xxhash64("text").alias("h"), "doc_id", "text")
-    keys = keyed.select("k", "h")
+    whole = keyed(docs)
+    keys = whole.select("k", "h")
     n = docs.count()
     runs = min(most_runs, max(1, ceil(n / rows_per_run)))
     share = min(1.0, draws * runs / max(1, n))
@@ -134,7 +142,7 @@ def with_next(docs: DataFrame, rows_per_run: int = 4_000, most_runs: int = 20_00
     placed = keys.withColumn("run", run_of("k", "h")).groupBy("run").agg(F.min(F.struct("k", "h")).alias("first")).orderBy("run").collect()  # a row for each run
     before = [(r["first"]["k"], r["first"]["h"], placed[i - 1]["run"]) for i, r in enumerate(placed)]
     halo = spark.createDataFrame(before, "first_k long, first_h long, halo_run int")
-    marked = keyed.withColumn("run", run_of("k", "h")).join(F.broadcast(halo), (F.col("k") == F.col("first_k")) & (F.col("h") == F.col("first_h")), "left")
+    marked = whole.withColumn("run", run_of("k", "h")).join(F.broadcast(halo), (F.col("k") == F.col("first_k")) & (F.col("h") == F.col("first_h")), "left")
     places = F.array(F.struct(F.col("run"), F.lit(False).alias("halo")), F.struct(F.col("halo_run").alias("run"), F.lit(True).alias("halo")))
     return marked.select(F.explode(F.filter(places, lambda p: p["run"].isNotNull())).alias("p"), "k", "h", "doc_id", "text").select("p.run", "p.halo", "k", "h", "doc_id", "text")
 
@@ -148,6 +156,48 @@ def edited(text: str, following: str) -> str:
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+RESULT = [x.split()[0] for x in COMPARED.split(", ")]
+_kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+
+
+def compared(doc_id: int | None, text: str, mark: str, following: str, following_mark: str) -> tuple:
+    """A row of the result: a text with its fingerprint beside the text that follows it with its own."""
+    other = edited(text, following)
+    other_mark = sketch(other)
+    return doc_id, len(text), hashlib.sha256(other.encode()).hexdigest(), mark, other_mark, likeness(mark, other_mark), likeness(mark, following_mark)
+
+
+def counted_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(the rows to put in order, one of each set of hot equal rows; these with their number as ``copies``, None without any)."""
+    rows = keyed(docs)
+    counts = rows.groupBy("k", "h").agg(F.count("*").alias("n"))
+    most = max(HOT, docs.count() // 20_000)
+    hot = staged(counts.filter(F.col("n") > most), "hot")  # fewer than 20,000 keys
+    if not hot.limit(1).count():
+        return docs, None
+    keys = F.broadcast(hot.select("k", "h"))
+    one = staged(rows.join(keys, ["k", "h"], "left_semi").groupBy("k", "h", "doc_id", "text").agg(F.count("*").alias("copies")), "copies")
+    return rows.join(keys, ["k", "h"], "left_anti").select("doc_id", "text").union(one.select("doc_id", "text")), one.select("doc_id", "text", "copies")
+
+
+def compare_with_itself(copies: DataFrame) -> DataFrame:
+    """The result of all but the last of equal rows, which are followed by their like. copies: doc_id, text, copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, text, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mark = sketch(text)
+                out.append((*compared(doc_id, text, mark, text, mark), n - 1))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*_kinds, pa.int64()), strict=True)], [*RESULT, "n"])
+
+    found = copies.filter("copies > 1").mapInArrow(run, f"{COMPARED}, n long")
+    parts = found.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / PART) - 1)))
+    size = F.least(F.lit(PART).cast("long"), F.col("n") - F.col("part") * PART)
+    return parts.withColumn("n", size).repartition("doc_id", "part").withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*RESULT)
+
+
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Each text's fingerprint beside that of its edited text and of the next document."""
 
@@ -161,17 +211,15 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                     continue
                 own = sketch(text)
                 if held and held[0] == number:
-                    other = edited(held[2], text)
-                    mark = sketch(other)
-                    out.append((held[1], len(held[2]), hashlib.sha256(other.encode()).hexdigest(), held[3], mark, likeness(held[3], mark), likeness(held[3], own)))
+                    out.append(compared(*held[1:], text, own))
                 held, done = (None, number) if halo else ((number, doc_id, text, own), None)
             columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in COMPARED.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _kinds, strict=True)], RESULT)
 
-    rows = with_next(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
-    ordered = rows.repartition("run").sortWithinPartitions("run", "halo", "k", "h", "text")
-    return ordered.select("run", "halo", "doc_id", "text").mapInArrow(run, COMPARED)
+    single, copies = counted_apart(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
+    ordered = with_next(single).repartition("run").sortWithinPartitions("run", "halo", "k", "h", "text")
+    found = ordered.select("run", "halo", "doc_id", "text").mapInArrow(run, COMPARED)
+    return found if copies is None else found.union(compare_with_itself(copies))
 
 
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

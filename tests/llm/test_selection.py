@@ -11,7 +11,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm import language_id, quality_score, resampling, vector_codes
+from pyspark.sql import functions as F
+
+from tessera.llm import language_id, quality_score, resampling, syncmers, vector_codes
 from tessera.llm.registry import QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -332,3 +334,28 @@ def gram(s):
     for n, c in enumerate(s, 1):
         run = (run + ord(c) + n) * m & mask
     return ((run ^ run >> 29) * m & mask) >> (64 - language_id.BITS)
+
+
+@pytest.mark.parametrize("hot", [2, 5, 10**9])
+@pytest.mark.parametrize("part", [3, 10**6])
+def test_equal_rows_are_counted_apart(spark, monkeypatch, hot, part):
+    """Fingerprints beside the next document: the same rows whether hot equal rows are counted or not."""
+    monkeypatch.setattr(syncmers, "HOT", hot)
+    monkeypatch.setattr(syncmers, "PART", part)
+    rng = random.Random(1)
+    make = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"]) for _ in range(40))
+    texts = [make() for _ in range(12)]
+    rows = [(i % 9, texts[i]) for i in range(12)] + [(4, texts[4])] * 13 + [(None, None)] * 9 + [(None, texts[0])] * 4 + [(8, "")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = sorted([(i, t or "") for i, t in rows], key=lambda r: (r[0] is not None, r[0] or 0, hashes(spark, r[1]), r[1]))
+    want = [syncmers.compared(i, t, syncmers.sketch(t), n, syncmers.sketch(n)) for (i, t), (_, n) in zip(order, [*order[1:], order[0]], strict=True)]
+    assert tuples(syncmers.compare_with_next(docs)) == sorted(want, key=repr)
+
+
+_hash: dict = {}
+
+
+def hashes(spark, text):
+    if text not in _hash:
+        _hash[text] = spark.createDataFrame([(text,)], "t string").select(F.xxhash64("t")).first()[0]
+    return _hash[text]

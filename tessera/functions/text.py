@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-#: What case folding does to letters beyond lower-casing them (Unicode CaseFolding, the common ones).
-FOLDED = {"\u00df\u1e9e": "ss", "\u03c2": "\u03c3", "\u017f": "s", "\u212a": "k", "\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05\ufb06": "st", "\u0149": "\u02bcn", "\u00b5": "\u03bc"}
+#: What full case folding does to letters beyond lower-casing them (sharp s, final sigma, ligatures, long s and so on): by Unicode's rule, not a list.
+FOLDED = {c: folded for c in map(chr, range(sys.maxunicode + 1)) if not 0xD800 <= ord(c) < 0xE000 and c.lower() == c and (folded := c.casefold()) != c}
 
 
 def col(x: str | Column) -> Column:
@@ -49,11 +51,11 @@ def clean_label(x: str | Column) -> Column:
 
 
 def normalized_label(x: str | Column) -> Column:
-    """clean_label with case folded: lower case, and the letters whose folding is more than that (sharp s, final sigma, ligatures, long s, kelvin) replaced."""
-    folded = F.lower(clean_label(x))
-    for letters, plain in FOLDED.items():
-        folded = F.regexp_replace(folded, f"[{letters}]", plain)
-    return folded
+    """clean_label with case folded in full: lower case, and the letters whose folding is more than that replaced. Only texts that hold such a letter are looked at letter by letter."""
+    low = F.lower(clean_label(x))
+    table = F.create_map(*[F.lit(t) for pair in FOLDED.items() for t in pair])
+    folded = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(low.rlike(f"[{''.join(FOLDED)}]"), folded).otherwise(low)
 
 
 def parse_products(x: str | Column, keep_blank_ids: bool = False) -> Column:

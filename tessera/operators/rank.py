@@ -56,9 +56,20 @@ def value_ranks(df: DataFrame, value: str, descending: bool, n: int | None = Non
     return summed.join(F.broadcast(total)).select(value, (F.col("upto") - F.col("_rows") + 1).alias("rank"), "upto", "n")  # total: one row
 
 
+#: a value that more than a HOT-th of the rows have is hot; there are fewer than HOT
+HOT = 1_000
+
+
 def _with_ranks(df: DataFrame, value: str, descending: bool, base: DataFrame | None = None) -> DataFrame:
-    ranks = value_ranks(df if base is None else base, value, descending).withColumnRenamed(value, "_value")
-    return df.join(ranks, F.col(value).eqNullSafe(F.col("_value")), "left").drop("_value")
+    """df with rank, upto and n of its value. Hot values (0 or null, as a rule) come by broadcast and their rows are then spread; the others meet by a join on the value."""
+    ranks = staged(value_ranks(df if base is None else base, value, descending).withColumnRenamed(value, "_value"), "ranks")
+    often = (F.col("upto") - F.col("rank") + 1) * HOT > F.col("n")
+    hot = ranks.filter(often).select(F.col("_value").alias("_hot"), *[F.col(c).alias(f"_{c}") for c in ("rank", "upto", "n")])
+    found = df.join(F.broadcast(hot), F.col(value).eqNullSafe(F.col("_hot")), "left")
+    spread = found.withColumn("_salt", F.when(F.col("_rank").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(HOT)) + 1))
+    cold = ranks.filter(~often).withColumn("_cold", F.lit(0).cast("long"))
+    out = spread.join(cold, F.col(value).eqNullSafe(F.col("_value")) & (F.col("_salt") == F.col("_cold")), "left")
+    return out.select(*df.columns, *[F.coalesce(f"_{c}", c).alias(c) for c in ("rank", "upto", "n")])
 
 
 def rank_percentile(df: DataFrame, value: str, name: str) -> DataFrame:

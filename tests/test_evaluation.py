@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation
+from tessera.functions import text
+from tessera.operators import evaluation, rank
 from tessera.operators.rank import segment_sums
 
 
@@ -91,3 +92,25 @@ def test_model_comparison(spark):
     got = {r.metric: r for r in evaluation.model_comparison(spark.createDataFrame(rows, "metric string, model string, value double"), "metric", "model", "value", "a", "b").collect()}
     assert got["f1"].base_mean == pytest.approx(0.3) and got["f1"].base_std == pytest.approx(0.1) and got["f1"].difference_pp == pytest.approx(30)
     assert got["auc"].other_mean is None and got["auc"].difference_pp is None
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_hot_values_rank_like_the_others(spark, monkeypatch, hot):
+    """Ranks by broadcast for frequent values and by join for the rest are the same."""
+    monkeypatch.setattr(rank, "HOT", hot)
+    rng = random.Random(hot)
+    values = [rng.choice([None, 0.0, 0.0, 1.0, rng.random()]) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double").repartition(4)
+    filled = [v if v is not None else -1 for v in values]
+    got = {r.i: r.p for r in rank.rank_percentile(df, "v", "p").collect()}
+    assert got == pytest.approx({i: 1 - sum(w > v for w in filled) / 199 for i, v in enumerate(filled)})
+    share = {r.i: r.p for r in rank.positive_percentile(df, "v", "p").collect()}
+    assert share == pytest.approx({i: sum(max(w, 0) <= v for w in filled) / 200 if v > 0 else 0.0 for i, v in enumerate(filled)})
+
+
+def test_case_folding_in_full(spark):
+    """Every letter that lower-casing changes less than folding does, and mixtures."""
+    texts = [c for c in text.FOLDED] + ["Straße ΣΑΣ", "ﬁn İstanbul", "ǰ ΐ", "plain TEXT", "ᏸ", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.x for r in df.select("i", text.normalized_label("t").alias("x")).collect()}
+    assert {i: got[i] for i, t in enumerate(texts)} == {i: t.lower().casefold() for i, t in enumerate(texts)}

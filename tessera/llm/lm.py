@@ -34,6 +34,7 @@ from __future__ import annotations
 import mmap
 import os
 import tempfile
+from array import array
 from collections.abc import Iterator
 from math import ceil, log10
 
@@ -471,14 +472,16 @@ def language_model_scores(docs: DataFrame, mass: float = 8.0, shard_tokens: int
         return added(*(np.concatenate(x) for x in zip(*sums, strict=True))) if len(sums) > 1 else sums[0]
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spool, others = Cells(cells), []
+        spool, firsts, owns = Cells(cells), array("q"), {}  # eight bytes for each block; what is its own only where it came to this shard
         for batch in batches:
             own = [batch.column(name) for name in ("first", *names(OWN), "docs", "words", "contexts")]
             for i in range(batch.num_rows):
-                *other, docs_, words_, contexts_ = (c[i].as_py() for c in own)
+                first, *other, docs_, words_, contexts_ = (c[i].as_py() for c in own)
                 words, contexts, doc = unpack(docs_, words_, contexts_)
-                row = np.full(len(doc), len(others), np.uint32)
-                others.append(other)
+                row = np.full(len(doc), len(firsts), np.uint32)
+                if other[0] is not None:
+                    owns[len(firsts)] = other
+                firsts.append(first)
                 if cells == 1:
                     spool.add(0, words, contexts, doc, row)
                     continue
@@ -495,16 +498,16 @@ def language_model_scores(docs: DataFrame, mass: float = 8.0, shard_tokens: int
                 found = level.map()
             runs.append(found)
         total = sum(len(r[0]) for r in runs)
-        step = max(1, len(others) * 1_000_000 // max(1, total))
-        for low in range(0, len(others), step):
-            high = min(len(others), low + step)
+        step = max(1, len(firsts) * 1_000_000 // max(1, total))
+        for low in range(0, len(firsts), step):
+            high = min(len(firsts), low + step)
             near = [[x[a:b] for x in r] for r in runs for a, b in [np.searchsorted(r[0], np.array([low << 16, high << 16], U64)).tolist()]]
             code, known, base, lm = (np.concatenate(x) for x in zip(*near, strict=True))
             if cells > 1:
                 code, known, base, lm = added(code, known, base, lm)
             bounds = np.searchsorted(code, np.arange(low, high + 1).astype(U64) << U64(16)).tolist()
             packed = ((code & U64(0xFFFF)).astype(np.uint16), known.astype(np.uint32), base, lm.astype(np.float32))
-            out = [(*others[low + i], *(x[a:b].tobytes() for x in packed)) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
+            out = [(firsts[low + i], *owns.pop(low + i, (None,) * 4), *(x[a:b].tobytes() for x in packed)) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
             kinds = (pa.int64(), *OWN_KINDS, *[pa.binary()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names(ANSWERS))
 

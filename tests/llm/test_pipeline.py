@@ -167,7 +167,7 @@ def plain_groups(sets):
         label = new
 
 
-@pytest.mark.parametrize("block, size", [(5, 10**9), (17, 10**9), (1000, 10**9), (1000, 4_000)])
+@pytest.mark.parametrize("block, size", [(5, 10**9), (17, 10**9), (60, 10**9), (1000, 10**9), (1000, 4_000)])
 def test_large_groups_in_blocks(spark, block, size):
     """Provisional groups of chains, dense clusters and strangers, cut into blocks, keep every link."""
     rng = random.Random(block)

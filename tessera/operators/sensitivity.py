@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.similarity import class_ends
+
+#: what an edge between classes has for its ends
+CLASS_ENDS = ("a", "b", "n_edges", "lo_a", "hi_a", "lo_b", "hi_b")
+
 
 def grid(spark: SparkSession, **axes: list[float]) -> DataFrame:
     """Every combination of a few threshold values."""
@@ -18,19 +23,26 @@ def endpoints(edges: DataFrame, a: str = "left_id", b: str = "right_id") -> Colu
     return F.explode(F.array(a, b))
 
 
-def threshold_grid(edges: DataFrame, cells: DataFrame, axes: dict[str, str], a: str = "left_id", b: str = "right_id") -> DataFrame:
+def counted(passing: DataFrame, by: list[str], a: str, b: str, members: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(edges, distinct ids at their ends) by the columns ``by``. With ``members`` the edges are those of classes (``similarity.class_edges``) and are not listed."""
+    if members is None:
+        return passing.groupBy(*by).agg(F.count("*").alias("n_edges")), passing.select(*by, endpoints(passing, a, b).alias("id")).distinct().groupBy(*by).agg(F.count("*").alias("n_ids"))
+    return passing.groupBy(*by).agg(F.sum("n_edges").alias("n_edges")), class_ends(passing, members, *by).groupBy(*by).agg(F.count_distinct("id").alias("n_ids"))
+
+
+def threshold_grid(edges: DataFrame, cells: DataFrame, axes: dict[str, str], a: str = "left_id", b: str = "right_id", members: DataFrame | None = None) -> DataFrame:
     """For each cell: passing edges and distinct ids at their ends. An edge passes where every measure reaches its threshold.
 
     Edges are first counted at the highest thresholds they reach, so the grid meets cells, not edges: each edge
-    is exploded to the cells it passes through a bounded array of all cells (a few dozen).
+    is exploded to the cells it passes through a bounded array of all cells (a few dozen). With ``members`` the edges
+    are those of classes: cells meet pairs of classes, and ids by their class.
     """
     names = list(axes)
     spark = edges.sparkSession
     values = [tuple(r) for r in cells.select(*names).collect()]  # the grid itself
     array = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(names, row, strict=True)]) for row in values])
-    passing = edges.withColumn("_cell", F.explode(F.filter(array, lambda c: _all(F.col(m) >= c[n] for n, m in axes.items())))).select("_cell.*", a, b)
-    counts = passing.groupBy(*names).agg(F.count("*").alias("n_edges"))
-    ids = passing.select(*names, endpoints(passing, a, b).alias("id")).distinct().groupBy(*names).agg(F.count("*").alias("n_ids"))
+    passing = edges.withColumn("_cell", F.explode(F.filter(array, lambda c: _all(F.col(m) >= c[n] for n, m in axes.items())))).select("_cell.*", *([a, b] if members is None else CLASS_ENDS))
+    counts, ids = counted(passing, names, a, b, members)
     base = spark.createDataFrame(values, ", ".join(f"{n} double" for n in names))
     out = base.join(counts, names, "left").join(ids, names, "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_edges", "n_ids")})
@@ -55,13 +67,12 @@ def grid_fractions(cells: DataFrame, evaluated: DataFrame, eligible: DataFrame,
     return found.withColumns({"overall": fraction_text(F.col(count), F.col("evaluated")), "conditional": fraction_text(F.col(count), F.col("eligible"))})
 
 
-def rule_ablation(edges: DataFrame, profiles: dict[str, Column], a: str = "left_id", b: str = "right_id") -> DataFrame:
-    """profile, n_edges, n_ids: what each set of rules lets through; profiles without any stay with 0."""
+def rule_ablation(edges: DataFrame, profiles: dict[str, Column], a: str = "left_id", b: str = "right_id", members: DataFrame | None = None) -> DataFrame:
+    """profile, n_edges, n_ids: what each set of rules lets through; profiles without any stay with 0. With ``members`` the edges are those of classes."""
     spark = edges.sparkSession
     hits = F.explode(F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in profiles.items()])))
     tall = edges.withColumn("profile", hits)
-    counts = tall.groupBy("profile").agg(F.count("*").alias("n_edges"))
-    ids = tall.select("profile", endpoints(tall, a, b).alias("id")).distinct().groupBy("profile").agg(F.count("*").alias("n_ids"))
+    counts, ids = counted(tall, ["profile"], a, b, members)
     base = spark.createDataFrame([(p,) for p in profiles], "profile string")
     return base.join(counts, "profile", "left").join(ids, "profile", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_edges", "n_ids")})
 

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import evidence
+from tessera.functions import similarity as fs
+from tessera.operators import evidence, sensitivity, similarity
 from tessera.plans import catalog
 
 
@@ -19,3 +20,56 @@ def test_of_mapping_rows_of_one_place_the_first_of_the_table_wins(spark, tmp_pat
     df.repartitionByRange(2, "file").drop("file").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     assert rows(catalog.QUERIES["map_both_ends"](spark, str(tmp_path)), "a", "b", "pos") == [(6846, 16846, 2), (16846, 6846, 1)]
+
+
+TEXTS = ["large ring", "large rings", "hot bolt", "hot bolts", "", None]
+
+
+def parts(spark, copies):
+    """Rows of few texts; every ninth id stands twice, once with another text."""
+    found = [(i if n == 0 else i - 1, TEXTS[i % 6], "s") for i in range(6 * copies) for n in range(2 if i % 9 == 8 else 1)]
+    return spark.createDataFrame(found, "id long, t string, s string").select("*", F.length("t").alias("n"), fs.kmer_set("t").alias("k"))
+
+
+def listed(df):
+    return rows(similarity.candidate_pairs(df, "id", "s", "n", "k"), "left_id", "right_id", "containment", "left_length", "right_length")
+
+
+def test_edges_of_classes_are_counted_as_if_listed(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 3)
+    formed = []
+    for copies in (4, 12):
+        df = parts(spark, copies)
+        own = df.collect()
+        near = lambda a, b: min(a.n, b.n) >= 0.8 * max(a.n, b.n) and len(set(a.k) & set(b.k)) / min(len(a.k), len(b.k)) >= 0.08
+        known = [r for r in own if r.k]
+        want = sorted((a.id, b.id) for a in known for b in known if a.id < b.id and near(a, b))
+        found = listed(df)
+        assert [r[:2] for r in found] == want
+        pairs, members = similarity.candidate_classes(df, "id", "s", "n", "k")
+        edges = similarity.class_edges(pairs, members)
+        formed.append(edges.count())
+        assert edges.agg(F.sum("n_edges")).first()[0] == len(want)
+        cells = sensitivity.grid(spark, least=[0.1, 0.9, 1.0, 1.1])
+        got = rows(sensitivity.threshold_grid(edges, cells, {"least": "containment"}, members=members))
+        passing = {t: [r[:2] for r in found if r[2] >= t] for t in (0.1, 0.9, 1.0, 1.1)}
+        assert got == sorted((t, len(p), len({i for r in p for i in r})) for t, p in passing.items())
+        assert sorted({r[0] for r in rows(similarity.class_ends(edges, members, "containment").filter("id < hi"), "id")}) == sorted({r[0] for r in want})
+    assert formed[0] == formed[1]  # pairs of classes, not of rows
+
+
+def test_a_class_of_one_id_has_no_edge(spark):
+    df = spark.createDataFrame([(1, "large ring", "s"), (1, "large ring", "s")], "id long, t string, s string").select("*", F.length("t").alias("n"), fs.kmer_set("t").alias("k"))
+    assert listed(df) == []
+    edges = similarity.class_edges(*similarity.candidate_classes(df, "id", "s", "n", "k"))
+    assert edges.count() == 0
+
+
+def test_alignments_of_classes_are_those_of_their_rows(spark):
+    df = parts(spark, 3).filter("t is not null").dropDuplicates(["id"])
+    pairs, members = similarity.candidate_classes(df, "id", "s", "n", "k", also=("t",))
+    found = similarity.directed_alignment(similarity.member_pairs(similarity.align_classes(pairs, "t"), members))
+    text = lambda s: df.select(F.col("id").alias(f"{s}_id"), F.col("t").alias(f"{s}_text"))
+    plain = similarity.candidate_pairs(df, "id", "s", "n", "k").join(text("left"), "left_id").join(text("right"), "right_id")
+    names = [c.split()[0] for c in similarity.ALIGNED.split(", ")]
+    assert rows(found, *names) == rows(similarity.align_pairs(plain), *names) != []

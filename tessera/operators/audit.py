@@ -94,6 +94,18 @@ def pair_coverage(pairs: DataFrame, candidates: DataFrame, keys: list[str]) -> D
     return pairs.join(candidates.select(*keys).distinct(), keys, "left_anti")
 
 
+def uncovered_pairs(counts: DataFrame, candidates: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """missing_pairs: the number of pairs that ``pair_coverage`` finds, of a table of each candidate's number of pairs (one row)."""
+    rest = counts.join(candidates.select(*keys).distinct(), keys, "left_anti")
+    return rest.agg(F.coalesce(F.sum(count), F.lit(0)).cast("long").alias("missing_pairs"))
+
+
+def subset_disagreements(counts: DataFrame, subset: DataFrame, key: str, count: str) -> DataFrame:
+    """Candidates whose anchors differ from those of a part of the same evidence: then, and only then, their numbers differ."""
+    part = subset.select(key, F.col(count).alias("_own"))
+    return counts.select(key, count).join(part, key, "left").filter(F.col(count) != F.coalesce("_own", F.lit(0)))
+
+
 def summary_disagreements(summary: DataFrame, detail: DataFrame, key: str, count: str) -> DataFrame:
     """Keys whose summary count differs from the number of detail rows; a missing side counts 0."""
     n = detail.groupBy(key).agg(F.count("*").alias("_n"))

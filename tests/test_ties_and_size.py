@@ -73,3 +73,23 @@ def test_alignments_of_classes_are_those_of_their_rows(spark):
     plain = similarity.candidate_pairs(df, "id", "s", "n", "k").join(text("left"), "left_id").join(text("right"), "right_id")
     names = [c.split()[0] for c in similarity.ALIGNED.split(", ")]
     assert rows(found, *names) == rows(similarity.align_pairs(plain), *names) != []
+
+
+def test_evidence_is_formed_by_sets_of_tokens(spark, monkeypatch):
+    """A candidate whose key brings an anchor that its tokens lack, one without tokens, and one without evidence."""
+    monkeypatch.setattr(similarity, "BLOCK", 2)
+    tokens = [(c, t) for c, ts in {1: "AB", 2: "AB", 3: "AB", 4: "", 5: "Z", 6: "A", 90: "A", 91: "B"}.items() for t in ts]
+    frame = spark.createDataFrame
+    cand, t = frame([(c,) for c in (1, 2, 3, 4, 5)], "candidate long"), frame(tokens, "candidate long, token string")
+    by_token = frame([("A", 10), ("B", 10), ("B", 11)], "token string, anchor long")
+    by_key = frame([(2, 10, 47.0), (4, 12, 48.0), (90, 10, 46.0), (91, 13, 45.0)], "partner long, anchor long, score double")
+    found = evidence.class_evidence(cand, t, by_token, by_key)
+    pairs = rows(evidence.evidence_pairs(found), "candidate", "anchor", "has_s1", "has_s2", "modes", "scores", "best_score")
+    shared = [(10, 1, 1, "PROPAGATED;TOKEN", "46.000000;47.000000", 47.0), (11, 1, 0, "TOKEN", "", None), (13, 0, 1, "PROPAGATED", "45.000000", 45.0)]
+    keyed = [(10, 1, 1, "EXACT;PROPAGATED;TOKEN", "46.000000;47.000000", 47.0), *shared[1:]]
+    assert pairs == [(1, *r) for r in shared] + [(2, *r) for r in keyed] + [(3, *r) for r in shared] + [(4, 12, 0, 1, "EXACT", "48.000000", 48.0)]
+    got = rows(evidence.evidence_candidates(cand, found), "candidate", "n_s1", "n_s2", "n_anchors", "modes", "anchors", "category", "passed")
+    both = (2, 2, 3, "PROPAGATED", "10;11;13", "BOTH", "yes")
+    assert got == [(1, *both), (2, 2, 2, 3, "EXACT;PROPAGATED", "10;11;13", "BOTH", "yes"), (3, *both), (4, 0, 1, 1, "EXACT", "12", "S2_ONLY", "yes"), (5, 0, 0, 0, "", "", "NONE", "no")]
+    assert found.found.count() == 3  # for one set of tokens, not for three candidates
+    assert rows(evidence.keyed_candidates(cand, t, by_key)) == [(1,), (2,), (3,), (4,)]

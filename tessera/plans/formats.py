@@ -101,7 +101,7 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, li = table(spark, sf_dir, "supplier").select("s_suppkey"), table(spark, sf_dir, "lineitem").filter("l_quantity = 50")
     results = li.groupBy("l_suppkey").agg(F.collect_list(F.struct(F.col("l_partkey").alias("part"))).alias("results"))
     d = s.join(results, F.col("s_suppkey") == F.col("l_suppkey"), "left").select(F.to_json(F.struct(F.col("s_suppkey").cast("string").alias("id"), F.coalesce("results", F.array().cast("array<struct<part:bigint>>")).alias("results"))).alias("value"))
-    d.write.option("maxRecordsPerFile", 1).text(path)
+    io.write_json_documents(d, path)
     schema = spark.createDataFrame([], "id string, results array<struct<part: long>>").schema
     return io.read_json_documents(spark, path, schema).select("id", F.size("results").cast("long").alias("n"), F.coalesce(F.array_max(F.transform("results", lambda r: r["part"])), F.lit(-1)).cast("long").alias("top"))
 
@@ -117,7 +117,7 @@ def exported_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A view written for spreadsheets and its lines read back: behind the byte order mark and header of each file, three cells a line."""
     path = _path(spark, "export")
-    io.write_export(table(spark, sf_dir, "documents").select("doc_id", "lang", "text").repartition(3), path)
+    io.write_export(table(spark, sf_dir, "documents").select("doc_id", "lang", "text").repartition("doc_id"), path)
     cells = spark.read.text(path).filter(F.ltrim("value", F.lit(io.BOM)) != "doc_id\tlang\ttext").select(F.split("value", "\t", -1).alias("c"))
     return guards.require(cells, F.size("c") == 3, "not three cells").select(F.col("c")[0].alias("doc_id"), F.col("c")[1].alias("lang"), F.sha2(F.col("c")[2].cast("binary"), 256).alias("text_sha256"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import set_hash  # noqa: F401  (re-exported for callers that lock an input)
+from tessera.operators import guards
 from tessera.operators.quality import equal_tables, fingerprint, unique_key
 from tessera.sources.tables import move, remove
 
@@ -122,12 +123,20 @@ def read_jsonl_last(spark: SparkSession, path: str, schema: str, key: str, order
     return first_per_key(rows, [key], [F.desc(order or "_at")]).drop("_at")
 
 
+#: documents of a task
+TASK_DOCUMENTS = 2_000
+
+
+def write_json_documents(docs: DataFrame, path: str) -> None:
+    """One file for each row (``value``, a JSON document). Files cost by their number, so tasks are dealt by it, and not by their few bytes."""
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // TASK_DOCUMENTS))
+    docs.repartition(tasks).write.option("maxRecordsPerFile", 1).mode("errorifexists").text(path)
+
+
 def read_json_documents(spark: SparkSession, path: str, schema: T.StructType, required: str = "results") -> DataFrame:
-    """One JSON object a file; ``required`` must be there."""
+    """One JSON object a file; a document without ``required`` fails the job that reads it, so every file is read once."""
     docs = spark.read.schema(schema).json(path, multiLine=True)
-    if docs.filter(F.col(required).isNull()).limit(1).count():
-        raise InputError(f"{path}: a document lacks {required}")
-    return docs
+    return guards.require(docs, F.col(required).isNotNull(), f"a document lacks {required}")
 
 
 def write_shards(df: DataFrame, key: str, path: str, length: int = 4) -> None:

@@ -1,10 +1,17 @@
 """Ties that the SQL leaves to the order of rows, and steps whose work must not grow with the square of the input."""
 
+import pathlib
+import re
+
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera import plans
 from tessera.functions import similarity as fs
 from tessera.operators import evidence, sensitivity, similarity
 from tessera.plans import catalog
+from tessera.sources import io
 
 
 def rows(df, *columns):
@@ -93,3 +100,23 @@ def test_evidence_is_formed_by_sets_of_tokens(spark, monkeypatch):
     assert got == [(1, *both), (2, 2, 2, 3, "EXACT;PROPAGATED", "10;11;13", "BOTH", "yes"), (3, *both), (4, 0, 1, 1, "EXACT", "12", "S2_ONLY", "yes"), (5, 0, 0, 0, "", "", "NONE", "no")]
     assert found.found.count() == 3  # for one set of tokens, not for three candidates
     assert rows(evidence.keyed_candidates(cand, t, by_key)) == [(1,), (2,), (3,), (4,)]
+
+
+def test_documents_are_dealt_by_their_number_and_read_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io, "TASK_DOCUMENTS", 5)
+    docs = spark.range(40).coalesce(1).select(F.to_json(F.struct("id", F.array(F.col("id")).alias("results"))).alias("value"))
+    io.write_json_documents(docs, f"{tmp_path}/json")
+    files = [f.name for f in (tmp_path / "json").glob("part-*")]
+    assert len(files) == 40 and len({f.split("-")[1] for f in files}) > 4
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("results", T.ArrayType(T.LongType())), T.StructField("missing", T.StringType())])
+    assert sorted(r.id for r in io.read_json_documents(spark, f"{tmp_path}/json", schema).collect()) == list(range(40))
+    with pytest.raises(Exception, match="lacks missing"):
+        io.read_json_documents(spark, f"{tmp_path}/json", schema, "missing").collect()
+
+
+@pytest.mark.parametrize("module", ["gates", "formats"])
+def test_no_table_is_dealt_to_a_fixed_number_of_tasks(module):
+    """A share of a table in each of three tasks grows with the table."""
+    source = (pathlib.Path(plans.__file__).parent / f"{module}.py").read_text()
+    for name in {"gates": ["def frozen_tables", "def manifest_check"], "formats": ["def exported_files"]}[module]:
+        assert not re.search(r"repartition\(\d+\)", source.split(name)[1].split("\n@query")[0])

@@ -91,7 +91,7 @@ def frozen_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, (key, change) in today.items():
         df, path = table(spark, sf_dir, name), f"{shared_dir(spark)}/frozen-{uuid.uuid4().hex}"
         io.freeze(df, name, key, path)
-        one = io.verify_frozen(change(df).repartition(5), name, key, path)
+        one = io.verify_frozen(change(df).repartition(key), name, key, path)
         out = one if out is None else out.union(one)
     return out
 
@@ -110,7 +110,7 @@ def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     for name, (key, (column, then)) in before.items():
         df = table(spark, sf_dir, name)
-        a, b = quality.fingerprint(df.withColumn(column, then), name, key), quality.fingerprint(df.repartition(3), name, key)
+        a, b = quality.fingerprint(df.withColumn(column, then), name, key), quality.fingerprint(df.repartition(key), name, key)
         stored, now = (a, b) if stored is None else (stored.union(a), now.union(b))
     return quality.changed(stored, now, "manifest")
 

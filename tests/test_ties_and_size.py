@@ -3,6 +3,7 @@
 import pathlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,3 +121,16 @@ def test_no_table_is_dealt_to_a_fixed_number_of_tasks(module):
     source = (pathlib.Path(plans.__file__).parent / f"{module}.py").read_text()
     for name in {"gates": ["def frozen_tables", "def manifest_check"], "formats": ["def exported_files"]}[module]:
         assert not re.search(r"repartition\(\d+\)", source.split(name)[1].split("\n@query")[0])
+
+
+def test_sets_meet_by_as_many_members_as_they_must_share(spark, monkeypatch):
+    """Sets up to six members meet by three of them, larger ones by one; no pair is lost, and few others are formed."""
+    monkeypatch.setattr(similarity, "WIDE", 6)
+    random = np.random.default_rng(8)
+    sets = {i: set(random.choice(12, random.integers(1, 9), replace=False).tolist()) for i in range(60)}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, s array<long>")
+    blocks = spark.createDataFrame([(i, i % 2) for i in sets], "id long, k int")
+    got = set(rows(similarity.prefix_pairs(similarity.set_members(df, "id", ["s"]), "id", blocks, ["k"], 0.25, 3)))
+    shared = {(i, j): len(sets[i] & sets[j]) for i in sets for j in sets if i < j and i % 2 == j % 2}
+    assert {p for p, n in shared.items() if n >= 3 and n >= 0.25 * len(sets[p[0]] | sets[p[1]])} <= got
+    assert all(shared[p] >= 3 for p in got if max(len(sets[i]) for i in p) <= 6)

@@ -145,22 +145,26 @@ def _links(x: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]
                 yield hit, order[at[hit]]
 
 
+def merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the groups of positions i and j; ``root`` holds each position's group, the first one in it."""
+    while len(i):
+        a, b = root[i], root[j]
+        open_ = a != b
+        if not open_.any():
+            break
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 def groups(x: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each of the distinct fingerprints the position of its group's first one."""
     root = np.arange(len(x))
     for own in _blocks(x, radius):
         for i, j in _links(x[own], radius):
-            i, j = own[i], own[j]
-            while len(i):
-                a, b = root[i], root[j]
-                open_ = a != b
-                if not open_.any():
-                    break
-                i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-                low, high = np.minimum(a, b), np.maximum(a, b)
-                np.minimum.at(root, high, low)
-                while (root[root] != root).any():
-                    root = root[root]
+            merge(root, own[i], own[j])
     return root
 
 

@@ -243,3 +243,64 @@ def test_no_table_name_is_left(spark, folder):
     assert 0 < kept and [t.name for t in spark.catalog.listTables() if t.name.startswith("staged_")]
     tables.drop_staged(spark)
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("staged_")]
+
+
+def word_sets(rng, bases, copies):
+    """Sets of 1 to 300 hashes, and others that share more or less of each."""
+    sets = []
+    for _ in range(bases):
+        base = [rng.getrandbits(64) for _ in range(rng.choice([1, 3, 4, 5, 16, 60, 300]))]
+        sets.append(set(base))
+        for _ in range(copies):
+            cut = rng.randint(0, max(1, len(base) // 4))
+            sets.append((set(base[cut:]) | {rng.getrandbits(64) for _ in range(rng.randint(0, max(1, len(base) // 6)))}) or {1})
+    return [np.array(sorted(s), np.uint64) for s in sets]
+
+
+@pytest.mark.parametrize("shard", [3, 40, 20_000])
+def test_candidates_come_from_fingerprints(spark, shard):
+    """Groups of nodes by bits of fingerprints and by size, against all pairs; every pair at the similarity is in one group."""
+    sets = word_sets(random.Random(shard), 40, 5)
+    bits = np.array([np.unpackbits(np.frombuffer(near_copies.fingerprint(s), np.uint8)) for s in sets])
+    of = lambda i, j: (np.count_nonzero(bits[i] != bits[j]), np.count_nonzero(bits[i][:64] != bits[j][:64]), min(len(sets[i]), len(sets[j])) / max(len(sets[i]), len(sets[j])))
+    near = {(i, j) for i in range(len(sets)) for j in range(i) if (d := of(i, j))[0] <= near_copies.RADIUS and d[1] <= near_copies.FIRST and d[2] >= 0.8 and min(len(sets[i]), len(sets[j])) >= 4}
+    nodes = spark.createDataFrame([(i, len(s), near_copies.fingerprint(s)) for i, s in enumerate(sets)], "key long, n int, print binary")
+    got = {r.fp: r.root for r in simhash.components(near_copies.print_links(nodes, 0.8, shard)).collect()}
+    label = list(range(len(sets)))
+    while True:
+        new = [min([label[i]] + [label[b if a == i else a] for a, b in near if i in (a, b)]) for i in range(len(sets))]
+        if new == label:
+            break
+        label = new
+    assert [got.get(i, i) for i in range(len(sets))] == label
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8 and len(sets[i]) >= 4]
+    assert len(alike) > 40 and all(label[i] == label[j] for i, j in alike)
+
+
+def test_near_copies_need_near_fingerprints(spark, folder, monkeypatch):
+    """The stage's candidates are SimHash's alone: with fingerprints that lie apart, no near copy meets another."""
+    words = [f"w{i}" for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join(words + [f"end{i}"]), "en", "s", 1) for i in range(6)], COLUMNS).coalesce(1)
+    count = lambda: corpus_pipeline.near_duplicate(spark, docs, folder[0]).count()
+    assert count() == 1
+    real, far = near_copies.print_links, lambda key: np.random.default_rng(abs(key)).bytes(8 * near_copies.WORDS)
+    apart = lambda nodes: spark.createDataFrame([(r.key, r.n, far(r.key)) for r in nodes.collect()], "key long, n int, print binary")
+    monkeypatch.setattr(near_copies, "print_links", lambda nodes, similarity: real(apart(nodes), similarity))
+    assert count() == 6
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dense_groups_by_vantage_points(seed, monkeypatch):
+    """A dense group with a chain that leads out of it: the same groups as without vantage points."""
+    rng = np.random.default_rng(seed)
+    flip = lambda x, k: x ^ np.packbits(np.isin(np.arange(256), rng.choice(256, k, replace=False))).view(np.uint64)
+    core = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    rows = [flip(core, int(k)) for k in rng.integers(0, 15, 400)]
+    for _ in range(5):
+        rows.append(flip(rows[-1], 40))
+    rows += list(rng.integers(0, 1 << 63, (200, 4), dtype=np.uint64))
+    x, n = np.array(rows)[rng.permutation(len(rows))], np.full(len(rows), 50)
+    got = near_copies.print_groups(x, n, 0 * n, 0.8)
+    monkeypatch.setattr(near_copies, "DENSE", -1)
+    assert got.tolist() == near_copies.print_groups(x, n, 0 * n, 0.8).tolist()
+    assert np.bincount(got).max() >= 400

@@ -97,6 +97,21 @@ def test_rarest_grams_bound_the_rows_read(spark, indexed):
     assert postings.candidates(spark, path, "ro", "bigint") == (None, 0)
 
 
+def test_postings_are_lists_by_segment(spark, indexed, tmp_path, monkeypatch):
+    """A row for each run and segment, not for each run and text; a run that most rows have is no candidate but a scan."""
+    df = spark.createDataFrame([(i, f"the same words {'odd' * (i % 2)}") for i in range(200)] + [(200, None), (201, "\0\0\0 é😀ß")], "id long, text string").coalesce(1)
+    postings.write_index(df, "id", ["text"], str(tmp_path / "i"))
+    stored = [(r.gram, sorted(r["keys"]), r.n) for r in spark.read.parquet(str(tmp_path / "i/postings")).collect()]
+    want = {}
+    for r in df.collect():
+        for g in {(r.text or "")[i : i + 3] for i in range(len(r.text or "") - 2)}:
+            want.setdefault(g, []).append(r.id)
+    assert {(g, tuple(k)) for g, k, _ in stored} == {("", ()), *((g, tuple(sorted(k))) for g, k in want.items())}
+    assert all(n == (202 if g == "" else len(k)) for g, k, n in stored)
+    monkeypatch.setattr(postings, "PUSHED", 0)
+    assert postings.candidates(spark, str(tmp_path / "i"), "the same", "bigint") == (None, 0)
+
+
 def budget(rows, key, limit):
     return sorted(rows, key=key)[:limit]
 

@@ -134,3 +134,14 @@ def test_sets_meet_by_as_many_members_as_they_must_share(spark, monkeypatch):
     shared = {(i, j): len(sets[i] & sets[j]) for i in sets for j in sets if i < j and i % 2 == j % 2}
     assert {p for p, n in shared.items() if n >= 3 and n >= 0.25 * len(sets[p[0]] | sets[p[1]])} <= got
     assert all(shared[p] >= 3 for p in got if max(len(sets[i]) for i in p) <= 6)
+
+
+def test_every_part_is_a_candidate(spark, tmp_path):
+    """Parts of any size are looked at, not those over 45 alone: 1 is the anchor, 2 its partner, 3 shares a word with 2."""
+    parts = [(1, "red bolt", 1), (2, "hot ring", 20), (3, "hot rod", 46), (4, "hot gear", 45), (5, "old plate", 50)]
+    spark.createDataFrame([(k, n, "B", s) for k, n, s in parts], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(1, 1, 1, 7, 50.0), (1, 2, 2, 7, 10.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = rows(catalog.QUERIES["evidence_candidates"](spark, str(tmp_path)), "candidate", "anchors", "category", "modes")
+    found = {2: "EXACT;PROPAGATED", 3: "PROPAGATED", 4: "PROPAGATED"}
+    assert got == [(k, "1" if k in found else "", "BOTH" if k in found else "NONE", found.get(k, "")) for k in range(1, 6)]

@@ -145,3 +145,13 @@ def test_every_part_is_a_candidate(spark, tmp_path):
     got = rows(catalog.QUERIES["evidence_candidates"](spark, str(tmp_path)), "candidate", "anchors", "category", "modes")
     found = {2: "EXACT;PROPAGATED", 3: "PROPAGATED", 4: "PROPAGATED"}
     assert got == [(k, "1" if k in found else "", "BOTH" if k in found else "NONE", found.get(k, "")) for k in range(1, 6)]
+
+
+def test_a_link_meets_a_level_by_any_of_its_rows(spark, tmp_path):
+    """Part 2 is 1's partner at 40 first and at 50 later, 3 at 30 and then at 46; parts of every size are compared."""
+    parts = [(1, "red bolt", 1), (2, "hot ring", 50), (3, "old rod", 50), (4, "old gear", 10), (5, "new plate", 50)]
+    spark.createDataFrame([(k, n, "B", s) for k, n, s in parts], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(o, n, p, 7, q) for o, p, first in ((1, 2, 40.0), (2, 2, 50.0), (3, 3, 30.0), (4, 3, 46.0)) for n, p, q in ((1, 1, first), (2, p, 1.0))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = rows(catalog.QUERIES["level_comparison"](spark, str(tmp_path)), "candidate", "level")
+    assert got == [(1, "PASS_NEITHER"), (2, "PASS_BOTH"), (3, "PASS_WIDE_ONLY"), (4, "PASS_WIDE_ONLY"), (5, "PASS_NEITHER")]

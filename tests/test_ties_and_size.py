@@ -155,3 +155,39 @@ def test_a_link_meets_a_level_by_any_of_its_rows(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = rows(catalog.QUERIES["level_comparison"](spark, str(tmp_path)), "candidate", "level")
     assert got == [(1, "PASS_NEITHER"), (2, "PASS_BOTH"), (3, "PASS_WIDE_ONLY"), (4, "PASS_WIDE_ONLY"), (5, "PASS_NEITHER")]
+
+
+def test_candidates_by_counts_lose_no_pair_that_passes(spark):
+    """Sets with many and few values in common, some by brands alone, against all pairs."""
+    random = np.random.default_rng(5)
+    draw = lambda most, n: sorted(set(random.choice(most, n).tolist()))
+    sets = {i: (draw(30, random.integers(1, 4)), draw(40, random.integers(1, 4)), draw(6, random.integers(1, 6))) for i in range(80)}
+    sets |= {80 + i: (draw(60, 25), draw(60, 25), list(range(6))) for i in range(20)}
+    df = spark.createDataFrame([(i, *s) for i, s in sets.items()], "id long, suppliers array<long>, parts array<long>, brands array<long>")
+    heavy = {b: 1.0 + b / 2 for b in range(6)}
+    weights = spark.createDataFrame([(f"brands:{b}", w) for b, w in heavy.items()], "member string, weight double")
+    blocks = spark.createDataFrame([(i, i % 2) for i in sets], "id long, k int")
+    got = set(rows(similarity.functional_candidates(df, "id", blocks, ["k"], "suppliers", "parts", "brands", weights)))
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    want, alone = set(), 0
+    for i, j in ((i, j) for i in sets for j in sets if i < j and i % 2 == j % 2):
+        (s, p, b), (t, q, c) = (tuple(map(set, sets[x])) for x in (i, j))
+        weigh = lambda sp, x: len(sp) + sum(heavy[y] for y in x)
+        common = [("s", x) for x in s & t] + [("p", x) for x in p & q]
+        every = [("s", x) for x in s | t] + [("p", x) for x in p | q]
+        by_weight = weigh(common, b & c) / weigh(every, b | c) >= 0.25 and len(common) + len(b & c) >= 3
+        if (jaccard(s, t) >= 0.5) or (jaccard(p, q) >= 0.5 and len(p & q) >= 2) or by_weight:
+            want.add((i, j))
+            alone += not common
+    assert want <= got and alone and len(got) < len(sets) * (len(sets) - 2) / 4
+    assert not [p for p in got - want if min(p) >= 80 and len(set(sets[p[0]][0]) & set(sets[p[1]][0])) + len(set(sets[p[0]][1]) & set(sets[p[1]][1])) < 5]
+
+
+def test_customers_are_compared_by_all_their_lines(spark, tmp_path):
+    """Lines of any quantity count, not those of 49 or more alone."""
+    write = lambda data, schema, name: spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write([(k, 1, "A") for k in (1, 2, 3)], "c_custkey long, c_nationkey int, c_mktsegment string", "customer")
+    write([(k, k) for k in (1, 2, 3)], "o_orderkey long, o_custkey long", "orders")
+    write([(k, f"B{k}") for k in range(6)], "p_partkey long, p_brand string", "part")
+    write([(1, 0, 0, 3.0), (1, 1, 1, 50.0), (2, 0, 0, 48.0), (2, 2, 2, 50.0), (3, 5, 5, 50.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double", "lineitem")
+    assert rows(catalog.QUERIES["function_similarity"](spark, str(tmp_path)), "left_id", "right_id", "shared_all") == [(1, 2, 3)]

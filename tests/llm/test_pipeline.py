@@ -289,6 +289,16 @@ def test_near_copies_need_near_fingerprints(spark, folder, monkeypatch):
     assert count() == 6
 
 
+@pytest.mark.parametrize("words", ["866890 355964 440910 259686 679370 868542 90251 720667 34239", "533257 589310 905173 851080 370369 670644 435732 359410 214205", "819467 464942 618422 304634 122263 462305 97186 639965 282894"])
+def test_small_near_copies_with_far_fingerprints_meet(spark, folder, words):
+    """Four of five shingles in common, and 25 of the first 64 bits or 74 of all differ: copies at the similarity that a radius of 24 and 72 misses."""
+    named = [f"w{w}" for w in words.split()]
+    sets = [set(near_copies.shingle_set(" ".join(t), 5).tolist()) for t in (named[:8], named)]
+    assert jaccard(*sets) == 0.8
+    docs = spark.createDataFrame([(1, " ".join(named[:8]), "en", "s", 1), (2, " ".join(named), "en", "s", 1)], COLUMNS).coalesce(1)
+    assert [r.doc_id for r in corpus_pipeline.near_duplicate(spark, docs, folder[0]).collect()] == [1]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_dense_groups_by_vantage_points(seed, monkeypatch):
     """A dense group with a chain that leads out of it: the same groups as without vantage points."""

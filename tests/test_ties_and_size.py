@@ -191,3 +191,23 @@ def test_customers_are_compared_by_all_their_lines(spark, tmp_path):
     write([(k, f"B{k}") for k in range(6)], "p_partkey long, p_brand string", "part")
     write([(1, 0, 0, 3.0), (1, 1, 1, 50.0), (2, 0, 0, 48.0), (2, 2, 2, 50.0), (3, 5, 5, 50.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double", "lineitem")
     assert rows(catalog.QUERIES["function_similarity"](spark, str(tmp_path)), "left_id", "right_id", "shared_all") == [(1, 2, 3)]
+
+
+def counted_stages(monkeypatch, module):
+    """The rows of each table that a module stages, by name."""
+    found, real = {}, module.staged
+    monkeypatch.setattr(module, "staged", lambda df, name: (out := real(df, name), found.update({name: out.count()}))[0])
+    return found
+
+
+def test_units_of_pairs_do_not_grow_with_the_pairs(spark, monkeypatch):
+    """With four times the rows there are as many units of two blocks, so rows are sent as often as before; each two rows meet once."""
+    monkeypatch.setattr(similarity, "BLOCK", 2)
+    found, units = counted_stages(monkeypatch, similarity), []
+    for n in (40, 160):
+        df = spark.range(2 * n).select((F.col("id") % 2).alias("class"), "id")
+        pairs = spark.createDataFrame([(0, 1), (1, 1)], "a long, b long")
+        got = rows(similarity.member_pairs(pairs, df), "row_a.id", "row_b.id")
+        assert len(got) == n * n + n * (n - 1) // 2 == len({frozenset(r) for r in got})
+        units.append(found["units"])
+    assert units[1] <= units[0] + 8

@@ -211,3 +211,15 @@ def test_units_of_pairs_do_not_grow_with_the_pairs(spark, monkeypatch):
         assert len(got) == n * n + n * (n - 1) // 2 == len({frozenset(r) for r in got})
         units.append(found["units"])
     assert units[1] <= units[0] + 8
+
+
+def test_a_list_is_sent_once_for_many_candidates(spark, monkeypatch):
+    """Twelve candidates of one set of tokens get the list of its anchors by one unit, not one for each block of rows."""
+    monkeypatch.setattr(similarity, "BLOCK", 2)
+    cand = spark.range(12).select(F.col("id").alias("candidate"))
+    t = cand.select("candidate", F.lit("A").alias("token"))
+    by_token = spark.createDataFrame([("A", 30), ("A", 31)], "token string, anchor long")
+    by_key = spark.createDataFrame([(40, 30, 47.0)], "partner long, anchor long, score double")
+    found = counted_stages(monkeypatch, similarity)
+    got = rows(evidence.evidence_candidates(cand, evidence.class_evidence(cand, t, by_token, by_key)), "candidate", "anchors")
+    assert got == [(i, "30;31") for i in range(12)] and found["units"] == 1
